@@ -4,26 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import decontam, minhash, suffix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_decontaminate_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op4_minhash_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op2_decontaminate_automaton": op2_decontaminate_automaton,
         "op4_minhash_chosen_path": op4_minhash_chosen_path,
+        "op6_suffix_array_dedup": op6_suffix_array_dedup,
     }
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
+ALNUM = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+
+OP2 = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all({LOW}, {ALNUM}) AS ws FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all({LOW}, {ALNUM}) AS ws FROM benchmark),
+g AS (
+  SELECT item_id, least(10, len(ws)) AS k,
+    unnest(list_transform(range(1, len(ws) - least(10, len(ws)) + 2), lambda i: array_to_string(ws[i:i + least(10, len(ws)) - 1], ' '))) AS t
+  FROM b WHERE len(ws) > 0),
+d AS (
+  SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) AS i,
+    unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS t
+  FROM w, (SELECT DISTINCT k FROM g) WHERE len(ws) >= k),
+o AS (SELECT DISTINCT d.doc_id, d.i, d.k, g.item_id FROM d JOIN g ON d.t = g.t AND d.k = g.k),
+h AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM o) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id FROM o) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(t.s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
 OP4 = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({LOW}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
@@ -44,5 +75,6 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(t) AS c FROM r G
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontaminate_automaton": OP2,
         "op4_minhash_chosen_path": OP4,
     }
