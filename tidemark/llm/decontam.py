@@ -259,7 +259,8 @@ def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int
 
 def n_hit() -> Column:
     """Hit words of a row of ``scan``."""
-    return F.expr(f"aggregate(sequence(0, size({HITS}) div 4), 0L, (s, k) -> s + coalesce(try_element_at({HITS}, k * 4 + 2) - try_element_at({HITS}, k * 4 + 1), 0L))")
+    at = lambda k: f"coalesce(try_element_at({HITS}, cast(k * 4 + {k} as int)), 0L)"
+    return F.expr(f"aggregate(sequence(0, cast(size({HITS}) div 4 as int)), 0L, (s, k) -> s + {at(2)} - {at(1)})")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

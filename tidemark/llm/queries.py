@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, suffix
+from . import decontam, minhash, mixing, suffix, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_decontaminate_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -19,15 +25,25 @@ def op4_minhash_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op5_mix_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_records(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict:
     return {
         "op2_decontaminate_automaton": op2_decontaminate_automaton,
         "op4_minhash_chosen_path": op4_minhash_chosen_path,
+        "op5_mix_pfair": op5_mix_pfair,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
+        "op9_token_records": op9_token_records,
     }
 
 
@@ -72,9 +88,37 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(t) AS c FROM r GROUP BY v) m ON m.v = d.doc_id
 """
 
+OP5 = f"""
+WITH RECURSIVE k AS (SELECT doc_id, coalesce(source, '') AS source, md5(doc_id::VARCHAR) AS h FROM documents),
+c AS (SELECT source, count(*) AS n FROM k GROUP BY source),
+w AS (SELECT source, n, pow(n::DOUBLE, {mixing.ALPHA}) AS w FROM c),
+a AS (SELECT source, n, w / sum(w) OVER () * ({mixing.PERIOD} - count(*) OVER ()) AS share FROM w),
+f AS (SELECT source, n, floor(share)::INT AS whole, share - floor(share)::INT AS rest FROM a),
+q AS (
+  SELECT source, n, 1 + whole + CASE WHEN row_number() OVER (ORDER BY round(rest, 9) DESC, source)
+    <= {mixing.PERIOD} - count(*) OVER () - sum(whole) OVER () THEN 1 ELSE 0 END AS quota FROM f),
+l AS (SELECT list(quota ORDER BY source) AS q, list(source ORDER BY source) AS s, count(*) AS m FROM q),
+p AS (
+  SELECT -1::BIGINT AS t, list_transform(q, lambda x: 0::BIGINT) AS used, -1::BIGINT AS best FROM l
+  UNION ALL
+  SELECT t + 1, list_transform(used, lambda u, i: u + CASE WHEN i - 1 = nb % m THEN 1 ELSE 0 END), nb FROM (
+    SELECT t, used, m, list_min(list_transform(q, lambda x, i: CASE WHEN used[i] < x AND (used[i] * {mixing.PERIOD}) // x <= t + 1
+      THEN ((used[i] + 1) * {mixing.PERIOD} + x - 1) // x * m + i - 1 END))::BIGINT AS nb
+    FROM p, l WHERE t < {mixing.PERIOD} - 1)),
+e AS (
+  SELECT s[(best % m)::INT + 1] AS source, t AS slot, row_number() OVER (PARTITION BY best % m ORDER BY t) - 1 AS turn
+  FROM p, l WHERE t >= 0 AND best IS NOT NULL),
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1 AS k FROM k),
+b AS (SELECT r.doc_id, r.source, r.k, r.k // {mixing.BLOCK_DOCS} AS block, q.quota FROM r JOIN q USING (source))
+SELECT b.doc_id, b.source, b.block::BIGINT AS block, ((b.block // b.quota) * {mixing.PERIOD} + e.slot)::BIGINT AS slot,
+  row_number() OVER (ORDER BY (b.block // b.quota) * {mixing.PERIOD} + e.slot, b.k) - 1 AS "position"
+FROM b JOIN e ON e.source = b.source AND e.turn = b.block % b.quota
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate_automaton": OP2,
         "op4_minhash_chosen_path": OP4,
+        "op5_mix_pfair": OP5,
     }
