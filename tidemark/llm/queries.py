@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, mixing, suffix, tokens
+from . import decontam, minhash, mixing, preferences, suffix, tokens, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_decontaminate_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op3_embedding_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -37,13 +41,20 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_records(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = preferences.turns_of(_read(spark, sf_dir, "conversations"))
+    return preferences.format_pairs(turns, preferences.sibling_pairs(turns))
+
+
 def queries() -> dict:
     return {
         "op2_decontaminate_automaton": op2_decontaminate_automaton,
+        "op3_embedding_int8": op3_embedding_int8,
         "op4_minhash_chosen_path": op4_minhash_chosen_path,
         "op5_mix_pfair": op5_mix_pfair,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op9_token_records": op9_token_records,
+        "op10_preference_chat": op10_preference_chat,
     }
 
 
@@ -71,6 +82,46 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
 FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+OP3 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0),
+l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id != b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS v, vec_id AS t FROM embeddings UNION SELECT r.v, l.y FROM r JOIN l ON r.t = l.x)
+SELECT m.vec_id, (SELECT count(*) FROM l WHERE l.x = m.vec_id) AS n_links, c.c AS component_id, m.vec_id = c.c AS kept
+FROM embeddings m JOIN (SELECT v, min(t) AS c FROM r GROUP BY v) c ON c.v = m.vec_id
+"""
+
+OP10 = f"""
+WITH t AS (
+  SELECT DISTINCT conv_id AS conv, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+s AS (SELECT conv, turn, role, length(text) AS chars, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said FROM t),
+f AS (
+  SELECT conv, md5(arg_min(said, ROW(turn, role, said))) AS opening,
+    coalesce(sum(CASE WHEN role = 'assistant' THEN chars END), 0)::BIGINT AS answer FROM s GROUP BY conv),
+g AS (
+  SELECT f.*, left(opening, 1) AS deal,
+    ('0x' || left(md5(conv::VARCHAR), 8))::BIGINT % ceil(count(*) OVER (PARTITION BY left(opening, 1)) / {preferences.FAMILY_ROWS})::BIGINT AS salt FROM f),
+n AS (
+  SELECT conv, answer, coalesce(lead(conv) OVER w, first_value(conv) OVER w) AS nconv, coalesce(lead(answer) OVER w, first_value(answer) OVER w) AS nanswer
+  FROM g WINDOW w AS (PARTITION BY deal, salt ORDER BY opening, conv)),
+p AS (
+  SELECT DISTINCT CASE WHEN m THEN conv ELSE nconv END AS chosen, CASE WHEN m THEN nconv ELSE conv END AS rejected
+  FROM (SELECT *, answer > nanswer OR (answer = nanswer AND conv < nconv) AS m FROM n WHERE conv != nconv)),
+b AS (
+  SELECT chosen, rejected, 'chosen' AS side, turn, role, said FROM p JOIN s ON s.conv = p.chosen
+  UNION ALL SELECT chosen, rejected, 'rejected', turn, role, said FROM p JOIN s ON s.conv = p.rejected),
+r AS (SELECT chosen, rejected, turn, role, said, count(*) AS sides, min(side) AS side FROM b GROUP BY ALL),
+c AS (SELECT chosen, rejected, min(turn) AS cut FROM r WHERE sides < 2 GROUP BY ALL),
+o AS (
+  SELECT chosen, rejected, turn, role, said, unnest(CASE WHEN cut IS NULL OR turn < cut THEN ['prompt'] WHEN sides = 2 THEN ['chosen', 'rejected'] ELSE [side] END) AS part
+  FROM r LEFT JOIN c USING (chosen, rejected))
+SELECT chosen, rejected, part, turn, role, said, part != 'prompt' AND role = 'assistant' AS loss FROM o
+"""
+
 OP4 = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({LOW}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
@@ -119,6 +170,8 @@ FROM b JOIN e ON e.source = b.source AND e.turn = b.block % b.quota
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate_automaton": OP2,
+        "op3_embedding_int8": OP3,
         "op4_minhash_chosen_path": OP4,
         "op5_mix_pfair": OP5,
+        "op10_preference_chat": OP10,
     }
