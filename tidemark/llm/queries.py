@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, mixing, preferences, suffix, tokens, vectors
+from . import decontam, licenses, minhash, mixing, preferences, suffix, tokens, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op8_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_records(_read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -53,6 +57,7 @@ def queries() -> dict:
         "op4_minhash_chosen_path": op4_minhash_chosen_path,
         "op5_mix_pfair": op5_mix_pfair,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
+        "op8_license_join": op8_license_join,
         "op9_token_records": op9_token_records,
         "op10_preference_chat": op10_preference_chat,
     }
@@ -94,6 +99,37 @@ SELECT m.vec_id, (SELECT count(*) FROM l WHERE l.x = m.vec_id) AS n_links, c.c A
 FROM embeddings m JOIN (SELECT v, min(t) AS c FROM r GROUP BY v) c ON c.v = m.vec_id
 """
 
+
+def _op8() -> str:
+    sets = [(t, label, sorted(set(licenses.words_of(text)))) for t, (label, text) in enumerate(licenses.TEMPLATES)]
+    template = ", ".join(f"({t}, '{label}', {words!r})" for t, label, words in sets)
+    phrase = ", ".join(f"('{label}', '{text}', {len(text.split())})" for label, text in licenses.PHRASES)
+    num, den = licenses.THRESHOLD
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOW}, {ALNUM}) AS ws FROM documents),
+t(t, label, ts) AS (VALUES {template}),
+p(label, phrase, n) AS (VALUES {phrase}),
+o AS (
+  SELECT doc_id, label, unnest(list_filter(range(0, len(ws) - n + 1), lambda i: array_to_string(ws[i + 1:i + n], ' ') = phrase)) AS i
+  FROM d, p WHERE contains(array_to_string(ws, ' '), phrase)),
+b AS (
+  SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS s FROM o GROUP BY doc_id),
+k AS (
+  SELECT doc_id, unnest(list_transform(range(0, greatest(0, ceil((len(ws) - {licenses.BLOCK}) / {licenses.STRIDE}))::BIGINT + 1),
+    lambda i: list_distinct(ws[i * {licenses.STRIDE} + 1:i * {licenses.STRIDE} + {licenses.BLOCK}]))) AS ks FROM d WHERE len(ws) > 0),
+m AS (
+  SELECT doc_id, label, len(list_intersect(ks, ts)) / len(ts) AS share FROM k, t
+  WHERE len(list_intersect(ks, ts)) * {den} >= {num} * len(ts)),
+l AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS s
+  FROM (SELECT doc_id, label FROM o UNION SELECT doc_id, label FROM m) GROUP BY doc_id),
+x AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word,
+  coalesce(b.s, '') AS base_labels, coalesce(l.s, '') AS labels, CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(x.share, 0)::DOUBLE END AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
+
+
 OP10 = f"""
 WITH t AS (
   SELECT DISTINCT conv_id AS conv, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
@@ -173,5 +209,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_embedding_int8": OP3,
         "op4_minhash_chosen_path": OP4,
         "op5_mix_pfair": OP5,
+        "op8_license_join": _op8(),
         "op10_preference_chat": OP10,
     }
