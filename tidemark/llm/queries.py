@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, minhash, mixing, preferences, suffix, tokens, vectors
+from . import decontam, licenses, minhash, mixing, preferences, secrets, suffix, tokens, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op7_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_read(spark, sf_dir, "documents"))
+
+
 def op8_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict:
         "op4_minhash_chosen_path": op4_minhash_chosen_path,
         "op5_mix_pfair": op5_mix_pfair,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
+        "op7_secret_battery": op7_secret_battery,
         "op8_license_join": op8_license_join,
         "op9_token_records": op9_token_records,
         "op10_preference_chat": op10_preference_chat,
