@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, minhash, mixing, preferences, secrets, suffix, tokens, vectors
+from . import decontam, licenses, minhash, mixing, preferences, quality, secrets, suffix, tokens, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_decontaminate_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -56,6 +60,7 @@ def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_quality_gam": op1_quality_gam,
         "op2_decontaminate_automaton": op2_decontaminate_automaton,
         "op3_embedding_int8": op3_embedding_int8,
         "op4_minhash_chosen_path": op4_minhash_chosen_path,
