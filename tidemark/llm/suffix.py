@@ -115,16 +115,23 @@ def window_groups(text: np.ndarray, starts: np.ndarray, window: int) -> tuple[np
 # ------------------------------------------------------------------------------------------------- minimisers of a text
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one minimiser: ``(hash, first window, last window)``, as positions in ``data``."""
+def gram_hashes(data: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the GRAM bytes from each position, or from those of ``at``; bytes past the end count as 0."""
+    n = len(data)
+    padded = np.zeros(n + GRAM, np.uint8)
+    padded[:n] = data
+    word = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (n + 8,), (1,))
+    a, b = (word[:n], word[8 : n + 8]) if at is None else (word[at], word[at + 8])
+    return _text.mix(a * np.uint64(_text.MULT) + b * _text.MIX_1)
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one minimiser: ``(hash, first window, last window, minimiser)``, as positions in ``data``."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < window:
-        return none.astype(np.uint64), none, none
-    padded = np.zeros(n + 16, np.uint8)
-    padded[:n] = data
-    word = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (n + 8,), (1,)).copy()
-    gram = _text.mix(word[:n] * np.uint64(_text.MULT) + word[8 : n + 8] * _text.MIX_1)
+        return none.astype(np.uint64), none, none, none
+    gram = gram_hashes(data)
     bits = np.uint64(max(1, int(n - 1).bit_length()))
     low = np.uint64((1 << int(bits)) - 1)
     key = (gram & ~low) | np.arange(n, dtype=np.uint64)
@@ -142,31 +149,31 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndar
     np.add.at(valid, np.minimum(hi, len(key)), -1)
     starts = starts[np.cumsum(valid)[:-1] > 0]
     if not len(starts):
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none
     best = (key[starts] & low).astype(np.int64)
     new = np.ones(len(starts), bool)
     new[1:] = (best[1:] != best[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
-    return gram[best[first]], starts[first], starts[last]
+    return gram[best[first]], starts[first], starts[last], best[first]
 
 
 def _unit(table: pa.Table, window: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per slice of a unit's texts: ``bytes, hash, document id, text tag, first and last window, text start``."""
+    """Per slice of a unit's texts: ``bytes, hash, document id, text tag, first and last window, minimiser, text start``."""
     for batch in table.combine_chunks().to_batches():
         ids = batch.column(0)
         known = np.asarray(ids.is_valid())
         ids = ids.fill_null(0).to_numpy()
         for lo, hi, data, offsets in _text.slices(batch.column(1), SLICE):
-            h, first, last = anchors(data, offsets, window)
+            h, first, last, best = anchors(data, offsets, window)
             row = np.searchsorted(offsets, first, "right") - 1
             use = known[lo + row]
-            h, first, last, row = h[use], first[use], last[use], row[use]
+            h, first, last, best, row = h[use], first[use], last[use], best[use], row[use]
             present = np.unique(row)
             tags = np.zeros(hi - lo, np.int64)
             for r in present:
                 tags[r] = zlib.crc32(data[offsets[r] : offsets[r + 1]])
-            yield data, h, ids[lo + row], tags[row], first, last, offsets[row]
+            yield data, h, ids[lo + row], tags[row], first, last, best, offsets[row]
 
 
 LOW48 = np.uint64((1 << 48) - 1)
@@ -241,12 +248,26 @@ def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     )
 
 
-MARKS = "unit int, doc binary, tag binary, lo binary, hi binary"
-CONTEXTS = f"shard int, {MARKS}, hash binary, bytes binary"
+MARKS = "unit int, marks binary"
+CONTEXTS = f"shard int, {MARKS}, gram binary, bytes binary"
+
+
+def _squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _open(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _pack(doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
+    """Marks, best sorted by document: differences of ids and lengths in place of ends squeeze well."""
+    return _squeeze(np.concatenate([np.diff(doc, prepend=0), tag, lo, hi - lo]).astype(np.int64).tobytes())
 
 
-def _int64(*arrays: np.ndarray) -> list[bytes]:
-    return [np.ascontiguousarray(a, np.int64).tobytes() for a in arrays]
+def _unpack(blob: bytes) -> np.ndarray:
+    doc, tag, lo, size = np.frombuffer(_open(blob), np.int64).reshape(4, -1)
+    return np.stack([np.cumsum(doc), tag, lo, lo + size])
 
 
 def _contexts(window: int, buckets: int):
@@ -259,7 +280,7 @@ def _contexts(window: int, buckets: int):
             shared = np.concatenate([(np.uint64(b.as_py()) << np.uint64(48)) | _unpack48(k.as_py()) for b, k in zip(reply["bucket"], reply["keys"], strict=True)])
             shared.sort()
             found, pieces = [], []
-            for data, h, doc, tag, first, last, begin in _unit(docs.select(["doc_id", "text"]), window):
+            for data, h, doc, tag, first, last, best, begin in _unit(docs.select(["doc_id", "text"]), window):
                 k = _keys(h, buckets)
                 at = np.minimum(np.searchsorted(shared, k), len(shared) - 1)
                 use = np.flatnonzero(shared[at] == k)
@@ -267,12 +288,12 @@ def _contexts(window: int, buckets: int):
                     continue
                 lo, hi = first[use], last[use] + window
                 ctx = _text.span_hashes(data, lo, hi) ^ _text.mix(h[use])
-                found.append((k[use], ctx, doc[use], tag[use], lo - begin[use], hi - begin[use]))
+                found.append((k[use], ctx, doc[use], tag[use], lo - begin[use], hi - begin[use], (best[use] - lo).astype(np.uint8)))
                 length = hi - lo
                 to = np.cumsum(length) - length
                 pieces.append(data[np.arange(length.sum()) - np.repeat(to, length) + np.repeat(lo, length)])
             if found:
-                k, ctx, doc, tag, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+                k, ctx, doc, tag, lo, hi, gram = (np.concatenate(x) for x in zip(*found, strict=True))
                 text = np.concatenate(pieces)
                 start = np.cumsum(hi - lo) - (hi - lo)
                 order = np.lexsort((doc, ctx, k))
@@ -281,18 +302,20 @@ def _contexts(window: int, buckets: int):
                 best = doc[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
                 over = order[doc[order] > best]  # a smaller document of this unit has the same windows
                 if len(over):
-                    rows.append((unit % buckets, unit, *_int64(doc[over], tag[over], lo[over], hi[over]), None, None))
+                    over = over[np.lexsort((lo[over], doc[over]))]
+                    rows.append((unit % buckets, unit, _pack(doc[over], tag[over], lo[over], hi[over]), None, None))
                 same = order[doc[order] == best]  # a document may hold a context several times
                 bucket = (k[same] >> np.uint64(48)).astype(np.int64)
                 cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
                 for a, b in zip(cuts, np.append(cuts[1:], len(same)), strict=True):
                     i = same[a:b]
+                    i = i[np.lexsort((lo[i], doc[i]))]
                     length = hi[i] - lo[i]
                     to = np.cumsum(length) - length
                     part = text[np.arange(length.sum()) - np.repeat(to, length) + np.repeat(start[i], length)]
-                    rows.append((int(bucket[a]), unit, *_int64(doc[i], tag[i], lo[i], hi[i]), k[i].tobytes(), part.tobytes()))
-        names = ["shard", "unit", "doc", "tag", "lo", "hi", "hash", "bytes"]
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+                    rows.append((int(bucket[a]), unit, _pack(doc[i], tag[i], lo[i], hi[i]), gram[i].tobytes(), _squeeze(part.tobytes())))
+        names = ["shard", "unit", "marks", "gram", "bytes"]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 3]
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
     return work
@@ -330,22 +353,21 @@ class _Part:
 def _shard(window: int):
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        cols = {n: [] for n in ("doc", "tag", "lo", "hi")}
-        units, hashes, pieces = [], [], []
+        entries, units, grams, pieces = [], [], [], []
         for r in table.to_pylist():
-            if r["hash"] is None:
-                out.append((r["unit"], r["doc"], r["tag"], r["lo"], r["hi"]))
+            if r["gram"] is None:
+                out.append((r["unit"], r["marks"]))
                 continue
-            for n, parts in cols.items():
-                parts.append(np.frombuffer(r[n], np.int64))
-            units.append(np.full(len(cols["doc"][-1]), r["unit"], np.int64))
-            hashes.append(np.frombuffer(r["hash"], np.uint64))
-            pieces.append(np.frombuffer(r["bytes"], np.uint8))
-        if hashes:
-            doc, tag, lo, hi = (np.concatenate(x) for x in cols.values())
-            unit, h, text = np.concatenate(units), np.concatenate(hashes), np.concatenate(pieces)
+            entries.append(_unpack(r["marks"]))
+            units.append(np.full(entries[-1].shape[1], r["unit"], np.int64))
+            grams.append(np.frombuffer(r["gram"], np.uint8))
+            pieces.append(np.frombuffer(_open(r["bytes"]), np.uint8))
+        if entries:
+            doc, tag, lo, hi = np.concatenate(entries, axis=1)
+            unit, text = np.concatenate(units), np.concatenate(pieces)
             length = hi - lo
             start = np.cumsum(length) - length
+            h = gram_hashes(text, start + np.concatenate(grams))
             ctx = _text.span_hashes(text, start, start + length)
             order = np.lexsort((doc, ctx, h))
             head = np.ones(len(order), bool)
@@ -396,8 +418,8 @@ def _shard(window: int):
             cuts = np.flatnonzero(np.append(True, m[0][1:] != m[0][:-1])) if m.shape[1] else np.zeros(0, np.int64)
             for a, b in zip(cuts, np.append(cuts[1:], m.shape[1]), strict=True):
                 u, d, t, x, y = _runs(m[:, a:b])
-                out.append((int(u[0]), *_int64(d, t, x, y)))
-        names, kinds = ["unit", "doc", "tag", "lo", "hi"], [pa.int32(), *[pa.binary()] * 4]
+                out.append((int(u[0]), _pack(d, t, x, y)))
+        names, kinds = ["unit", "marks"], [pa.int32(), pa.binary()]
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
     return work
@@ -418,7 +440,7 @@ def _finish(with_text: bool):
     def work(key: tuple[pa.Scalar, ...], docs: pa.Table, marks: pa.Table) -> pa.Table:
         by: dict[tuple[int, int], list[tuple[int, int]]] = {}
         if marks.num_rows:
-            doc, tag, lo, hi = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in marks[n]]) for n in ("doc", "tag", "lo", "hi"))
+            doc, tag, lo, hi = np.concatenate([_unpack(x.as_py()) for x in marks["marks"]], axis=1)
             for d, t, a, b in zip(doc.tolist(), tag.tolist(), lo.tolist(), hi.tolist(), strict=True):
                 by.setdefault((d, t), []).append((a, b))
         marked = {d for d, _ in by}
