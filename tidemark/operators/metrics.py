@@ -123,12 +123,12 @@ def select_threshold(df: DataFrame, keys: Sequence[str] = (), metric: str = "f2"
 
 
 def infer_threshold(df: DataFrame, keys: Sequence[str] = (), prob: str = "y_prob", pred: str = "y_pred") -> DataFrame:
-    """The threshold behind (prob, pred): the least positive score, if all negatives are below it or there are none; else the
-    middle between it and the largest negative; without positives the largest negative. In [0, 1]; null for no rows."""
+    """The threshold behind (prob, pred), per group and in [0, 1]: the least positive score where no negative one exceeds it
+    (or there is none), halfway to the largest negative score where one does, and 1 without positives."""
     yes = F.min(F.when(F.col(pred) == 1, F.col(prob)))
     no = F.max(F.when(F.col(pred) == 0, F.col(prob)))
-    found = F.when(yes.isNull(), no).when(no.isNull() | (yes > no), yes).otherwise((yes + no) / 2)
-    return df.groupBy(*keys).agg(F.when(found.isNotNull(), F.least(F.greatest(found, F.lit(0.0)), F.lit(1.0))).alias("threshold"))
+    found = F.when(yes.isNull(), F.lit(1.0)).when(yes < no, (yes + no) / 2).otherwise(yes)
+    return df.groupBy(*keys).agg(F.least(F.greatest(found, F.lit(0.0)), F.lit(1.0)).alias("threshold"))
 
 
 def metrics_long(df: DataFrame, keys: Sequence[str], min_rows: int = 0, min_positives: int = 0, decimals: int | None = None) -> DataFrame:
@@ -165,12 +165,25 @@ def missing_predictions(expected: DataFrame, present: DataFrame, keys: Sequence[
     return expected.join(present.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def robust_range(df: DataFrame, value: str, low: float = 0.05, high: float = 0.95, least_width: float = 1e-6) -> DataFrame:
-    """One row: the 5th and 95th percentile of finite values, widened upwards to a least width; (0, 1) without values."""
-    finite = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value)) < float("inf")))
-    r = finite.agg(F.percentile(value, low).alias("lo"), F.percentile(value, high).alias("hi"))
-    lo, hi = F.coalesce("lo", F.lit(0.0)), F.coalesce("hi", F.lit(1.0))
-    return r.select(lo.alias("low"), F.greatest(hi, lo + least_width).alias("high"))
+def robust_range(df: DataFrame, value: str, metric: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``low``, ``high`` of finite values per group for a colour scale: their 5th and 95th percentile inside [0, 1], and if
+    those are equal the extremes, a little wider; ``hss`` is symmetric about 0, at least 0.05 wide; null without values."""
+    v = F.col(value).cast("double")
+    r = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).groupBy(*keys)
+    r = r.agg(F.percentile(v, 0.05).alias("lo"), F.percentile(v, 0.95).alias("hi"), F.min(v).alias("least"), F.max(v).alias("most"))
+    lo, hi, least, most = (F.col(c) for c in ("lo", "hi", "least", "most"))
+    unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    if metric == "hss":
+        side = F.greatest(F.abs(F.least(lo, F.lit(0.0))), F.abs(F.greatest(hi, F.lit(0.0))), F.lit(0.05))
+        low, high = -side, side
+    elif metric == "brier":
+        low = F.when(lo != hi, lo).when(least != most, least).otherwise(F.greatest(least - 0.01, F.lit(0.0)))
+        high = F.when(lo != hi, hi).when(least != most, most).otherwise(F.least(most + 0.01, F.lit(1.0)))
+    else:
+        flat = F.greatest(lo, F.lit(0.0)) == F.least(hi, F.lit(1.0))
+        low = F.when(flat, unit(least - 0.01)).otherwise(F.greatest(lo, F.lit(0.0)))
+        high = F.when(flat, unit(most + 0.01)).otherwise(F.least(hi, F.lit(1.0)))
+    return r.select(*keys, F.when(least.isNotNull(), low).alias("low"), F.when(least.isNotNull(), high).alias("high"))
 
 
 def difference_limit(df: DataFrame, value: str, least: float = 0.05) -> DataFrame:
