@@ -205,12 +205,11 @@ def _spread(window: int, buckets: int):
         keys, docs = np.concatenate(keys), np.concatenate(docs)
         order = np.argsort(keys)
         keys, docs = keys[order], docs[order]
-        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        start, _ = _cuts(keys)
         many = np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start) if len(start) else np.zeros(0, bool)
         keys = keys[start]
         bucket = (keys >> np.uint64(48)).astype(np.int32)
-        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.zeros(0, np.int64)
-        ends = np.append(cuts[1:], len(keys))
+        cuts, ends = _cuts(bucket)
         return pa.table(
             {
                 "bucket": pa.array(bucket[cuts], pa.int32()),
@@ -231,14 +230,12 @@ def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     unit = np.repeat(table["unit"].to_numpy(), [len(p) for p in parts])
     order = np.lexsort((unit, keys))
     keys, flag, unit = keys[order], flag[order], unit[order]
-    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    size = np.diff(np.append(start, len(keys)))
-    shared = np.repeat((size > 1) | np.logical_or.reduceat(flag, start), size)
+    start, end = _cuts(keys)
+    shared = np.repeat((end - start > 1) | np.logical_or.reduceat(flag, start), end - start)
     keys, unit = keys[shared], unit[shared]
     order = np.argsort(unit, kind="stable")
     keys, unit = keys[order], unit[order]
-    cuts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])) if len(unit) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(unit))
+    cuts, ends = _cuts(unit)
     return pa.table(
         {
             "unit": pa.array(unit[cuts], pa.int32()),
@@ -252,6 +249,12 @@ MARKS = "unit int, marks binary"
 CONTEXTS = f"shard int, {MARKS}, gram binary, bytes binary"
 
 
+def _cuts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of equal values."""
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return start, np.append(start[1:], len(keys))[: len(start)]
+
+
 def _squeeze(data: bytes) -> bytes:
     return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
@@ -306,8 +309,7 @@ def _contexts(window: int, buckets: int):
                     rows.append((unit % buckets, unit, _pack(doc[over], tag[over], lo[over], hi[over]), None, None))
                 same = order[doc[order] == best]  # a document may hold a context several times
                 bucket = (k[same] >> np.uint64(48)).astype(np.int64)
-                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                for a, b in zip(cuts, np.append(cuts[1:], len(same)), strict=True):
+                for a, b in zip(*_cuts(bucket), strict=True):
                     i = same[a:b]
                     i = i[np.lexsort((lo[i], doc[i]))]
                     length = hi[i] - lo[i]
@@ -415,8 +417,7 @@ def _shard(window: int):
                     marks.append(np.stack([unit[e], doc[e], tag[e], s, s + window]))
             m = np.concatenate(marks, axis=1)
             m = m[:, np.lexsort((m[3], m[2], m[1], m[0]))]
-            cuts = np.flatnonzero(np.append(True, m[0][1:] != m[0][:-1])) if m.shape[1] else np.zeros(0, np.int64)
-            for a, b in zip(cuts, np.append(cuts[1:], m.shape[1]), strict=True):
+            for a, b in zip(*_cuts(m[0]), strict=True):
                 u, d, t, x, y = _runs(m[:, a:b])
                 out.append((int(u[0]), _pack(d, t, x, y)))
         names, kinds = ["unit", "marks"], [pa.int32(), pa.binary()]
