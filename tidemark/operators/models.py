@@ -123,7 +123,8 @@ def boosted_trees(
     for params in grid:
         gbt = GBTClassifier(labelCol=label, weightCol="weight", seed=42, **params)
         if early_stop:
-            gbt = gbt.setValidationIndicatorCol("is_val").setValidationTol(0.001)
+            gbt = gbt.setValidationIndicatorCol("is_val")
+            gbt.set(gbt.validationTol, 0.001)
         fitted.append((params, Pipeline(stages=[vector, gbt]).fit(train.unionByName(val) if early_stop else train)))
     choice, model, threshold = _best(fitted, val, label, metric, decimals)
     out = _predict(model, ready, label).withColumn("y_pred", (F.col("y_prob") >= threshold).cast("int"))

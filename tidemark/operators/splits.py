@@ -80,8 +80,8 @@ def task_summary(df: DataFrame, targets: Sequence[str], station: str, time: str,
 
     All targets in one pass: they are stacked as rows, which the aggregation combines before its shuffle.
     """
-    stacked = df.select(station, time, "split", F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets])).alias("s"))
-    stacked = stacked.select(station, time, "split", "s.target", "s.y").where("y is not null")
+    stacked = df.select(station, time, "split", F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets])).alias("__s"))
+    stacked = stacked.select(station, time, "split", "__s.target", "__s.y").where("y is not null")
     found = stacked.groupBy("target", "split").agg(
         F.count("*").alias("rows"), F.countDistinct(station).alias("stations"), F.min(time).alias("first"), F.max(time).alias("last"), F.avg("y").alias("event_rate")
     )
