@@ -180,3 +180,25 @@ def test_residuals(spark):
     seen = spark.sql("select 1 as k, 20D as b_north, 20D as b_east, 20D as b_centre union all select 2, 1D, 1D, 1D")
     r = resample.attach_residuals(seen, model, ["k"]).collect()
     assert len(r) == 1 and (r[0].residual_total_east, r[0].residual_internal_east) == (10, 17)
+
+
+def test_a_new_month_is_labelled_like_the_whole(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [("a", at(m), rng.random()) for m in range(180)]
+    df = spark.createDataFrame(rows, "s string, t timestamp, v double").withColumn("yyyymm", F.date_format("t", "yyyyMM"))
+    df.write.partitionBy("yyyymm").parquet(str(tmp_path / "m"))
+    thr = spark.createDataFrame([("a", 0.5, 0.9)], "s string, p95 double, p99 double")
+    stored = spark.read.parquet(str(tmp_path / "m"))
+    month = pipeline.label_new_month(stored, "202401", "s", "t", "v", thr, (5, 10))
+    whole = labels.forward_labels(labels.attach_thresholds(df, thr, "s"), ["s"], "t", "v", {"p95": "p95", "p99": "p99"}, (5, 10)).where("yyyymm = '202401'")
+    names = ["t", "target_geq_p95_5m", "target_geq_p99_10m"]
+    assert sorted(month.select(names).collect()) == sorted(whole.select(names).collect()) and month.count() == 60
+
+
+def test_label_stage_derives_features(spark):
+    rows = [("a", at(m), float(m % 7), float(m), float(m + 1)) for m in range(60)]
+    df = spark.createDataFrame(rows, ["s", "t", "v", *INPUTS["sun"]])
+    out = pipeline.label_and_derive(df, "s", "t", "v", df, (3,))
+    assert out.count() == 57 and "sun_xrsa_diff_10m" in out.columns and out.where("target_geq_p95_3m = 1").count() > 0
+    tasks = pipeline.tasks(out, "t", ["s", "t"], ["target_geq_p95_3m"], {"train": ("2024-01-31", "2024-01-31"), "test": ("2024-02-01", "2024-02-02")})
+    assert "v" in tasks["target_geq_p95_3m"].columns and not any("p99" in c for c in tasks["target_geq_p95_3m"].columns if c.startswith("target"))

@@ -41,3 +41,14 @@ def tasks(labelled: DataFrame, time: str, metadata: Sequence[str], targets: Sequ
 def verify(predictions: DataFrame, keys: Sequence[str] = ("model", "target", "split", "station"), min_rows: int = 0, min_positives: int = 0) -> DataFrame:
     """The long metric table of a prediction table."""
     return metrics.metrics_long(metrics.normalise_predictions(predictions), keys, min_rows, min_positives)
+
+
+def label_new_month(rows: DataFrame, month: str, station: str, time: str, value: str, thresholds: DataFrame, horizons: Sequence[int] = (30, 60, 120)) -> DataFrame:
+    """Labels of one ``yyyymm`` of a table partitioned by it, for incremental runs: only that month and as many rows of the
+    next as windows reach are read, and only the month's rows are returned."""
+    first = F.to_timestamp(F.lit(month), "yyyyMM")
+    after = F.add_months(first, 1).cast("timestamp")
+    reach = F.date_format(after, "yyyyMM")
+    near = rows.where(F.col("yyyymm").cast("string").isin(month) | ((F.col("yyyymm").cast("string") == reach) & (F.col(time) < after + F.make_dt_interval(mins=F.lit(max(horizons))))))
+    near = labels.attach_thresholds(near, thresholds, station)
+    return labels.forward_labels(near, [station], time, value, {"p95": "p95", "p99": "p99"}, horizons).where(F.col("yyyymm").cast("string") == month)

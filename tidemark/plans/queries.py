@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..functions.derived import add_derived
 from ..operators import asof, blocks, dedupe, labels, metrics, models, ranking, resample, splits
 from ..sources import feeds
+from . import pipeline, report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -830,3 +831,60 @@ def family_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT feature, family, rank::INT AS rank, family_rank::INT AS family_rank FROM f WHERE family_rank <= 6 ORDER BY rank LIMIT 24""")
 def rank_topk_per_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_per_family(_ranking(spark, sf_dir), "family", 6, 24).select("feature", "family", "rank", "family_rank")
+
+
+# -------------------------------------------------------------------------------------------------------------- reports
+
+
+@query(f"""{YEAR_SPLIT} SELECT split, count(*) AS rows, count(DISTINCT o_custkey) AS stations, (min(o_orderdate)::DATE - DATE '1970-01-01')::INT AS first_day, (max(o_orderdate)::DATE - DATE '1970-01-01')::INT AS last_day,
+  round((avg((o_totalprice > 200000)::INT) FILTER (o_orderstatus != 'P') + avg((o_totalprice > 300000)::INT)) / 2, 8) AS mean_rate FROM o GROUP BY split""")
+def dataset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = report.dataset_table(_tasks(spark, sf_dir), "o_custkey", "o_orderdate", {"mean": ["high", "top"]})
+    return rounded(out.withColumns({c: F.unix_date(c) for c in ("first_day", "last_day")}), ["mean_rate"])
+
+
+@query(f"""{PREDICTIONS} {COUNTS}, v AS (SELECT model, station, {_scores()} FROM c),
+w AS (SELECT station, max(f2) FILTER (model = 'a') AS a, max(f2) FILTER (model = 'b') AS b FROM v GROUP BY station)
+SELECT station, a, b, CASE WHEN a = greatest(a, b) THEN 'a' WHEN b = greatest(a, b) THEN 'b' END AS best FROM w""")
+def results_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.results_matrix(confusion_metrics(spark, sf_dir), "station", "model", "f2", ["a", "b"], ["en", "de"])
+
+
+@query(f"{PREDICTIONS} {COUNTS}, v AS (SELECT model, station, {_scores()} FROM c) SELECT station, \"precision\", recall, f2, hss FROM v WHERE model = 'b'")
+def model_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.model_details(confusion_metrics(spark, sf_dir), "b", ["precision", "recall", "f2", "hss"], "station", order=["en"])
+
+
+@query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 25")
+def top_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.top_rows(read(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", "p_partkey", 25)
+
+
+@query(f"""{NEAREST}, l AS (
+  SELECT event_id, strftime(ts, '%Y%m%d') AS day, {', '.join(_ahead(h) for h in (3, 6))} FROM events JOIN t USING (user_id))
+SELECT day, count(*) AS n, sum(target_geq_p95_3m)::BIGINT AS p95_3, sum(target_geq_p99_6m)::BIGINT AS p99_6 FROM l
+WHERE {' AND '.join(f'target_geq_{p}_{h}m IS NOT NULL' for h in (3, 6) for p in ('p95', 'p99'))} GROUP BY day
+""")
+def labels_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of whole histories, counted by the day that a later run would add."""
+    rows = events(spark, sf_dir)
+    rows = labels.attach_thresholds(rows, labels.quantiles_nearest(rows, ["user_id"], "value", [0.95, 0.99]), "user_id", check=False)
+    out = labels.forward_labels(rows, ["user_id"], "ts", "value", {"p95": "p95", "p99": "p99"}, [3, 6])
+    return out.groupBy(F.date_format("ts", "yyyyMMdd").alias("day")).agg(
+        F.count("*").alias("n"), F.sum("target_geq_p95_3m").alias("p95_3"), F.sum("target_geq_p99_6m").alias("p99_6")
+    )
+
+
+@query(f"""
+WITH m AS (SELECT user_id, event_id, ts, sqrt(value * value + 1)::FLOAT AS magnitude FROM events WHERE event_type = 'purchase'),
+d AS (SELECT *, abs(magnitude - lag(magnitude) OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts)) AS c FROM m)
+SELECT d.event_id, round(d.c::DOUBLE, 2) AS abs_change, CASE WHEN epoch_us(d.ts) - epoch_us(s.ts) <= {DAY // 24} THEN s.value END AS click_value,
+  coalesce(epoch_us(d.ts) - epoch_us(s.ts) > {DAY // 24}, true) AS click_missing
+FROM d ASOF LEFT JOIN (SELECT ts, value FROM events WHERE event_type = 'click') s ON d.ts >= s.ts
+""")
+def fusion_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fusion stage as a whole: deduplicated stations, change, an attached source, calendar columns."""
+    base = events(spark, sf_dir, "purchase").select(F.col("user_id").cast("string").alias("station"), "event_id", "ts", "value", F.lit(1.0).alias("east"))
+    clicks = events(spark, sf_dir, "click").withColumnRenamed("value", "click_value")
+    out = pipeline.fuse_station_minutes(base, "station", "ts", "value", "east", [asof.Source("click", clicks, "ts", ["click_value"], 60)])
+    return out.select("event_id", F.round(F.col("abs_change").cast("double"), 2).alias("abs_change"), "click_value", "click_missing")
