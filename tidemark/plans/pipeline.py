@@ -26,7 +26,7 @@ def label_and_derive(fused: DataFrame, station: str, time: str, value: str, trai
     frozen = labels.group_thresholds(training, [station], value)
     rows = labels.attach_thresholds(fused, frozen, station)
     rows = labels.forward_labels(rows, [station], time, value, {"p95": "p95", "p99": "p99"}, horizons)
-    dealt = blocks.blocked(rows, [station], time, before=15)
+    dealt = blocks.blocked(rows.drop("p95", "p99"), [station], time, before=15)
     return blocks.own_rows(add_derived(dealt, blocks.lag([station]), inputs))
 
 
