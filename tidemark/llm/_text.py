@@ -49,7 +49,34 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets.astype(np.int64)
 
 
-def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows, so that what is made of it stays small."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
+def frugal(*steps):
+    """Iterator functions over batches as one, which at a task's end gives back what its worker no longer needs: workers
+    are kept for later tasks, and each holds on to its memory."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        try:
+            yield from batches
+        finally:
+            release()
+
+    return work
+
+
+def release() -> None:
+    for base in [b for b, t in _powers.items() if len(t) > 1 << 20]:
+        del _powers[base]
+    pa.default_memory_pool().release_unused()
+
+
+def slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, row after the last, bytes, offsets)`` of runs of whole texts of about ``limit`` bytes."""
     if not len(column):
         return

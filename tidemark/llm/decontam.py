@@ -214,7 +214,7 @@ WORDS = "__words"
 def _pass(items, window: int, text_at: int, width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(items.value, window)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _text.pieces(whole)):
             n_words, hits, found = [], [], []
             earlier = batch.column(width + 1).to_pylist()
             known = batch.column(width + 2).to_pylist()
@@ -242,19 +242,29 @@ def _pass(items, window: int, text_at: int, width: int):
 def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with ``__words`` (count), ``__hits`` (flat list: first word, word after, first byte, byte after) and
     ``__found`` (sorted item ids). Null texts have no words. Without items, or with empty ones only, nothing is hit."""
+    rows, work = _scanned(docs, items, text_col, window, item_col, item_text)
+    return rows.mapInArrow(_text.frugal(work), _nullable(rows))
+
+
+def _nullable(df: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
+
+
+def _scanned(docs: DataFrame, items: DataFrame, text_col: str, window: int, item_col: str = "item_id", item_text: str = "text"):
+    """Rows after all blocks of items but the last, and the pass of the last block."""
     spark = docs.sparkSession
     names = docs.columns
     out = docs.select(
         "*", F.lit(0).cast("long").alias(WORDS), F.array().cast("array<bigint>").alias(HITS), F.array().cast("array<string>").alias(FOUND)
     )
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema.fields])
     blocks = _blocks(items, item_col, item_text)
     block = next(blocks, [])
     while True:
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), window, names.index(text_col), len(names)), schema)
+        work = _pass(spark.sparkContext.broadcast(block), window, names.index(text_col), len(names))
         block = next(blocks, None)
         if block is None:
-            return out
+            return out, work
+        out = out.mapInArrow(_text.frugal(work), _nullable(out))
 
 
 def n_hit() -> Column:
@@ -281,7 +291,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def _cut(text_at: int, width: int, max_coverage: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _text.pieces(whole)):
             texts, keep = batch.column(text_at).to_pylist(), []
             for r, flat in enumerate(batch.column(width + 1).to_pylist()):
                 spans = [flat[i : i + 4] for i in range(0, len(flat or []), 4)]
@@ -303,6 +313,6 @@ def _cut(text_at: int, width: int, max_coverage: float):
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.8) -> DataFrame:
     """``docs`` (all its columns) with every hit span cut out of its text; a document of which hits cover more than
     ``max_coverage`` of its words is removed altogether. Texts without hits stay byte for byte."""
-    found = scan(docs, items, text_col, window)
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
-    return found.mapInArrow(_cut(docs.columns.index(text_col), len(docs.columns), max_coverage), schema)
+    rows, work = _scanned(docs, items, text_col, window)
+    cut = _cut(docs.columns.index(text_col), len(docs.columns), max_coverage)
+    return rows.mapInArrow(_text.frugal(work, cut), _nullable(docs))

@@ -246,7 +246,7 @@ def _confirm(num: int, den: int, asked: bool):
 
 
 def _set_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in _text.pieces(whole)):
         blobs = [s[x:y].tobytes() for _, s, bounds in shingle_sets(batch.column(2)) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["comp", "rep", "set"])
 
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = materialise(
-        base.mapInArrow(_signatures, "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<int>"), "signatures"
+        base.mapInArrow(_text.frugal(_signatures), "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<int>"), "signatures"
     )
     solid = sig.where("n_shingles > 0 and doc_id is not null")
     firsts = solid.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -310,7 +310,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
     for more in leaves[1:]:
         nodes = nodes.unionByName(more)
     nodes = nodes.join(reps.select("doc_id", "sig"), "doc_id").select("node", "doc_id", "sig")
-    pairs = nodes.repartition("node").sortWithinPartitions("node").mapInArrow(_node_edges, "a long, b long")
+    pairs = nodes.repartition("node").sortWithinPartitions("node").mapInArrow(_text.frugal(_node_edges), "a long, b long")
     return pairs.unionByName(stars).distinct()
 
 
@@ -326,7 +326,7 @@ def _confirmed(spark, base: DataFrame, sig: DataFrame, loose: DataFrame, num: in
         "groups",
     )
     texts = base.join(placed.select(F.col("v").alias("doc_id"), F.col("root").alias("comp")), "doc_id").select("comp", "doc_id", "text")
-    sets = texts.mapInArrow(_set_blobs, "comp long, rep long, set binary")
+    sets = texts.mapInArrow(_text.frugal(_set_blobs), "comp long, rep long, set binary")
     large = placed.where("blocks > 1").groupBy(F.col("root").alias("comp")).agg(F.max("blocks").alias("blocks"))
     giant = bool(large.limit(1).count())
     if giant:
@@ -334,7 +334,7 @@ def _confirmed(spark, base: DataFrame, sig: DataFrame, loose: DataFrame, num: in
     schema = "a long, b long"
 
     def confirm(rows: DataFrame, asked: bool = False) -> DataFrame:
-        return rows.repartition("key1", "key2").sortWithinPartitions("key1", "key2").mapInArrow(_confirm(num, den, asked), schema)
+        return rows.repartition("key1", "key2").sortWithinPartitions("key1", "key2").mapInArrow(_text.frugal(_confirm(num, den, asked)), schema)
 
     small = sets.join(large, "comp", "left_anti") if giant else sets
     links = materialise(confirm(small.select(F.col("comp").alias("key1"), F.lit(0).alias("key2"), "rep", "set")), "links")

@@ -252,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     picked = texts.join(F.broadcast(known), "doc_id").select("label", "text")  # at most ``rows`` rows of two numbers
-    table = picked.mapInArrow(_measure, "label int, x array<double>").toArrow()
+    table = picked.mapInArrow(_text.frugal(_measure), "label int, x array<double>").toArrow()
     x = np.concatenate([np.zeros(0), *(c.flatten().to_numpy() for c in table["x"].chunks)]).reshape(-1, len(FEATURES))
     y = table["label"].to_numpy().astype(np.float64)
     order = np.lexsort((*x.T, y))  # the result does not depend on the order in which tasks end
@@ -276,15 +276,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = texts.mapInArrow(_score(model), "doc_id long, score double")
+    scored = texts.mapInArrow(_text.frugal(_score(model)), "doc_id long, score double")
     return scored.select(F.col("doc_id").alias(id_col), held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def _sift(model, text_at: int, least: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.concatenate([np.zeros((0, len(FEATURES))), *features(batch.column(text_at))])
-            yield batch.filter(pa.array(model.value.score(x) >= least))
+            for part in _text.pieces(batch):
+                x = np.concatenate([np.zeros((0, len(FEATURES))), *features(part.column(text_at))])
+                yield part.filter(pa.array(model.value.score(x) >= least))
 
     return work
 
@@ -293,4 +294,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """``docs``, all columns, without the rows that score below ``least``."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
-    return docs.mapInArrow(_sift(model, docs.columns.index(text_col), least), schema)
+    return docs.mapInArrow(_text.frugal(_sift(model, docs.columns.index(text_col), least)), schema)

@@ -32,7 +32,8 @@ END_ID = 2
 MASK_DELTA = 0xA282EAD8
 HEAD = "<QI"
 KEY = "<qB"
-CACHE_ENTRIES = 1 << 21
+#: Pre-tokens that a worker keeps (some 40 MB); beyond, it starts anew.
+CACHE_ENTRIES = 1 << 19
 SPACE, LETTER, NUMBER, MARK, OTHER = range(5)
 
 
@@ -97,10 +98,10 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slot = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
+        self.keys, self.slot = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
         self.count = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.off, self.len = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.off, self.len = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -166,8 +167,8 @@ class Encoder:
         if self.count * 2 > len(self.keys):
             old = self.keys != 0
             h, number = np.concatenate([self.keys[old], h]), np.concatenate([self.slot[old], number])
-            size = 1 << int(self.count * 4 - 1).bit_length()
-            self.keys, self.slot = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+            size = 1 << int(self.count * 2 - 1).bit_length()
+            self.keys, self.slot = np.zeros(size, np.uint64), np.zeros(size, np.int32)
         self._place(h, number)
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
@@ -203,7 +204,7 @@ class Encoder:
                 distinct, at = np.unique(h[new], return_index=True)
                 self.learn(distinct, [text[starts[i] : ends[i]] for i in new[at]])
                 number[new] = self.find(h[new])
-            n = self.len[number]
+            n = self.len[number].astype(np.int64)
             to = np.cumsum(n) - n
             ids = self.flat[np.arange(int(n.sum())) + np.repeat(self.off[number] - to, n)]
             cuts = np.append(to, len(ids))[np.searchsorted(starts, bounds)]
@@ -233,15 +234,13 @@ def _writer(tokenizer: str, folder: str, end_id: int, width: int):
         import pyarrow.fs
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.rec"
+        number = TaskContext.get().partitionId()
+        name = f"{folder}/part-{number:06d}-{uuid.uuid4().hex}.rec"
         fs, path = pyarrow.fs.FileSystem.from_uri(name)
         end = np.array([end_id], np.uint32)
         kind = np.dtype("<u2") if width == 2 else np.dtype("<u4")
         out, offset, before, row = None, 0, 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in _text.pieces(whole)):
             if out is None:
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(path)
@@ -252,7 +251,7 @@ def _writer(tokenizer: str, folder: str, end_id: int, width: int):
                 length = struct.pack("<Q", len(payload))
                 record = b"".join([length, struct.pack("<I", masked(length)), payload, struct.pack("<I", masked(payload))])
                 out.write(record)
-                rows.append((part, name, row, doc_id, offset, len(record), len(ids), before))
+                rows.append((number, name, row, doc_id, offset, len(record), len(ids), before))
                 offset, before, row = offset + len(record), before + len(ids), row + 1
             names = [x.split()[0] for x in INDEX.split(", ")]
             kinds = [pa.int32(), pa.string(), *[pa.int64()] * 6]
@@ -275,7 +274,7 @@ def write_records(
     keys = [f"__k{i}" for i in range(len(order))]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.alias(k) for c, k in zip(order, keys, strict=True)])
     rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
-    return materialise(rows.mapInArrow(_writer(tokenizer, folder, end_id, width), INDEX), "index")
+    return materialise(rows.mapInArrow(_text.frugal(_writer(tokenizer, folder, end_id, width)), INDEX), "index")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
