@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,7 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives the loss of executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -40,5 +42,15 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table of ``materialise`` that no later step reads."""
     for uri in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, uri)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Delete every table that this application has written here: for a job's end, when all its results are stored."""
+    for uri in _written.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, uri)
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -176,15 +176,19 @@ def _unit(table: pa.Table, window: int) -> Iterator[tuple[np.ndarray, ...]]:
             yield data, h, ids[lo + row], tags[row], first, last, best, offsets[row]
 
 
-LOW48 = np.uint64((1 << 48) - 1)
+#: A key is a bucket number and, below it, so many bits of hash.
+LOW_BITS = np.uint64(46)
+MAX_BUCKETS = 1 << 18
 
 
 def _keys(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket in the top 16 bits, 48 bits of hash below."""
-    return (((h >> np.uint64(48)) % np.uint64(buckets)) << np.uint64(48)) | (h & LOW48)
+    low = h & ((np.uint64(1) << LOW_BITS) - np.uint64(1))
+    return ((_text.mix(h) % np.uint64(buckets)) << LOW_BITS) | low
 
 
 def _pack48(keys: np.ndarray) -> bytes:
+    """The hash bits of keys, six bytes each."""
+    keys = keys & ((np.uint64(1) << LOW_BITS) - np.uint64(1))
     return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
@@ -208,7 +212,7 @@ def _spread(window: int, buckets: int):
         start, _ = _cuts(keys)
         many = np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start) if len(start) else np.zeros(0, bool)
         keys = keys[start]
-        bucket = (keys >> np.uint64(48)).astype(np.int32)
+        bucket = (keys >> LOW_BITS).astype(np.int32)
         cuts, ends = _cuts(bucket)
         return pa.table(
             {
@@ -280,7 +284,7 @@ def _contexts(window: int, buckets: int):
         rows: list[tuple] = []
         unit = key[0].as_py()
         if reply.num_rows:
-            shared = np.concatenate([(np.uint64(b.as_py()) << np.uint64(48)) | _unpack48(k.as_py()) for b, k in zip(reply["bucket"], reply["keys"], strict=True)])
+            shared = np.concatenate([(np.uint64(b.as_py()) << LOW_BITS) | _unpack48(k.as_py()) for b, k in zip(reply["bucket"], reply["keys"], strict=True)])
             shared.sort()
             found, pieces = [], []
             for data, h, doc, tag, first, last, best, begin in _unit(docs.select(["doc_id", "text"]), window):
@@ -308,7 +312,7 @@ def _contexts(window: int, buckets: int):
                     over = over[np.lexsort((lo[over], doc[over]))]
                     rows.append((unit % buckets, unit, _pack(doc[over], tag[over], lo[over], hi[over]), None, None))
                 same = order[doc[order] == best]  # a document may hold a context several times
-                bucket = (k[same] >> np.uint64(48)).astype(np.int64)
+                bucket = (k[same] >> LOW_BITS).astype(np.int64)
                 for a, b in zip(*_cuts(bucket), strict=True):
                     i = same[a:b]
                     i = i[np.lexsort((lo[i], doc[i]))]
@@ -480,7 +484,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"windows must have {GRAM + 8} bytes or more")
     bytes_in = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     units = min(1 << 22, max(8, bytes_in >> 22))
-    buckets = min(1 << 16, max(16, bytes_in >> 20))
+    buckets = min(MAX_BUCKETS, max(16, bytes_in >> 20))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumn("unit", F.pmod(F.xxhash64("doc_id"), F.lit(units)).cast("int"))
     spread = base.groupBy("unit").applyInArrow(_spread(window, buckets), "bucket int, unit int, keys binary, many binary")
