@@ -15,8 +15,9 @@ START, END = "<|{}|>\n", "<|end|>\n"
 
 
 def turns_of(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``(conv, turn, said)``: what was said at each turn, rendered; equal rows are one, different rows of one turn follow
-    each other in the order of role and text. A null role is 'user', a null text empty; null conversations or turns go."""
+    """``(conv, turn, role, chars, digest, said)``: what was said at each turn, rendered, and its md5, by which turns are
+    compared so that texts need not travel. Equal rows are one; different rows of one turn all stand, in no set order. A null
+    role is 'user', a null text empty; rows of null conversations or turns go."""
     said = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit(END))
     rows = conversations.select(
         F.col(conv_col).cast("long").alias("conv"),
@@ -24,7 +25,8 @@ def turns_of(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
         F.coalesce(F.col(role_col).cast("string"), F.lit("user")).alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     ).where("conv is not null and turn is not null")
-    return rows.distinct().select("conv", "turn", "role", F.length("text").cast("long").alias("chars"), said.alias("said"))
+    rows = rows.select("conv", "turn", "role", F.length("text").cast("long").alias("chars"), said.alias("said"))
+    return rows.withColumn("digest", F.md5(F.col("said").cast("binary"))).dropDuplicates(["conv", "turn", "digest"])
 
 
 def sibling_pairs(turns: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def sibling_pairs(turns: DataFrame) -> DataFrame:
     a group is followed by its first. One alone in its group has nothing to be compared with and gives no pair.
     """
     first = turns.groupBy("conv").agg(
-        F.md5(F.min(F.struct("turn", "role", "said"))["said"].cast("binary")).alias("opening"),
+        F.min(F.struct("turn", "role", "digest"))["digest"].alias("opening"),
         F.coalesce(F.sum(F.when(F.col("role") == "assistant", F.col("chars"))), F.lit(0)).alias("answer"),
     )
     groups = first.withColumn("deal", F.substring("opening", 1, 1))
@@ -59,15 +61,18 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     (masked). Two equal conversations are all prompt. Pairs whose conversations are not there give no rows.
     """
     key = ["chosen", "rejected"]
-    left = pairs.join(turns.withColumnRenamed("conv", "chosen"), "chosen").withColumn("side", F.lit("chosen"))
-    right = pairs.join(turns.withColumnRenamed("conv", "rejected"), "rejected").withColumn("side", F.lit("rejected"))
+    marks = turns.select("conv", "turn", "role", "digest")
+    left = pairs.join(marks.withColumnRenamed("conv", "chosen"), "chosen").withColumn("side", F.lit("chosen"))
+    right = pairs.join(marks.withColumnRenamed("conv", "rejected"), "rejected").withColumn("side", F.lit("rejected"))
     both = left.unionByName(right)
     # a turn is common if each of its rows stands on both sides
-    rows = both.groupBy(*key, "turn", "role", "said").agg(F.count("*").alias("sides"), F.min("side").alias("side"))
+    rows = both.groupBy(*key, "turn", "role", "digest").agg(F.count("*").alias("sides"), F.min("side").alias("side"))
     cut = rows.where("sides < 2").groupBy(*key).agg(F.min("turn").alias("cut"))
     marked = rows.join(cut, key, "left")
     common = F.col("cut").isNull() | (F.col("turn") < F.col("cut"))
     # past the cut a row that both sides hold belongs to each of them
     parts = F.when(common, F.array(F.lit("prompt"))).when(F.col("sides") == 2, F.array(F.lit("chosen"), F.lit("rejected"))).otherwise(F.array("side"))
     out = marked.withColumn("part", F.explode(parts))
+    teller = F.when((F.col("sides") == 2) | (F.col("side") == "chosen"), F.col("chosen")).otherwise(F.col("rejected"))
+    out = out.withColumn("conv", teller).join(turns.select("conv", "turn", "digest", "said"), ["conv", "turn", "digest"])
     return out.select(*key, "part", "turn", "role", "said", ((F.col("part") != "prompt") & (F.col("role") == "assistant")).alias("loss"))

@@ -146,7 +146,7 @@ WITH t AS (
   WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 s AS (SELECT conv, turn, role, length(text) AS chars, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said FROM t),
 f AS (
-  SELECT conv, md5(arg_min(said, ROW(turn, role, said))) AS opening,
+  SELECT conv, md5(arg_min(said, ROW(turn, role, md5(said)))) AS opening,
     coalesce(sum(CASE WHEN role = 'assistant' THEN chars END), 0)::BIGINT AS answer FROM s GROUP BY conv),
 g AS (
   SELECT f.*, left(opening, 1) AS deal,
