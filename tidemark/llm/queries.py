@@ -140,6 +140,23 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN x USING (
 """
 
 
+OP6 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, length(h) // 2 - 49 AS n, b, substr(h, b * 200 + 1, 298) AS t FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 + 50) // 100)) AS b FROM d)),
+w AS (SELECT doc_id, b * 100 + j AS i, substr(t, j * 2 + 1, 100) AS s FROM (SELECT doc_id, n, b, t, unnest(range(0, least(100, n - b * 100))) AS j FROM p)),
+m AS (SELECT s, min(doc_id) AS lo FROM w GROUP BY s),
+g AS (SELECT w.doc_id, w.i, lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS before FROM w JOIN m USING (s) WHERE m.lo < w.doc_id),
+n AS (SELECT doc_id, i, sum((before IS NULL OR i > before + 50)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY doc_id, run),
+k AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM (
+    SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM d)),
+t AS (SELECT doc_id, string_agg(substr(h, x * 2 + 1, (y - x) * 2), '' ORDER BY x) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(c.n, 0)::BIGINT AS n_removed, coalesce(c.spans, 0)::BIGINT AS n_spans, sha256(unhex(t.kept)) AS kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
 OP10 = f"""
 WITH t AS (
   SELECT DISTINCT conv_id AS conv, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
@@ -219,6 +236,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_embedding_int8": OP3,
         "op4_minhash_chosen_path": OP4,
         "op5_mix_pfair": OP5,
+        "op6_suffix_array_dedup": OP6,
         "op8_license_join": _op8(),
         "op10_preference_chat": OP10,
     }
