@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text
+from ._shared import hashed_sample
 
 TRAIN_ROWS = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 8
@@ -249,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``rows`` labelled documents that are not held out. Several labels of one id count as their least."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
-    known = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    known = hashed_sample(known.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id", rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     picked = texts.join(F.broadcast(known), "doc_id").select("label", "text")  # at most ``rows`` rows of two numbers
     table = picked.mapInArrow(_text.frugal(_measure), "label int, x array<double>").toArrow()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._shared import materialise
+from ._shared import hashed_sample, materialise
 
 PIVOTS = 32
 SAMPLE = 4096
@@ -172,7 +172,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     by_dim: dict[int, list[np.ndarray]] = {}
-    for row in base.where("v is not null").orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toLocalIterator():
+    for row in hashed_sample(base.where("v is not null"), "id", SAMPLE).select("v").toLocalIterator():
         x = np.array([np.nan if c is None else c for c in row["v"]], np.float64)
         if len(x) and np.isfinite(x).all() and x.any():
             x = x / np.abs(x).max()
