@@ -31,6 +31,7 @@ LEAF = 32
 AGREE = 30
 GROUP_SHINGLES, GROUP_DOCS = 4_000_000, 4_000
 BLOCK_ROUNDS = 3
+SALTS = 32
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -264,10 +265,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         base.mapInArrow(_text.frugal(_signatures), "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<int>"), "signatures"
     )
     solid = sig.where("n_shingles > 0 and doc_id is not null")
-    firsts = solid.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    copies = solid.select("doc_id", "fp1", "fp2", "n_shingles").join(firsts, ["fp1", "fp2", "n_shingles"]).where("doc_id != rep")
+    firsts = solid.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     keys = ["doc_id", "fp1", "fp2", "n_shingles"]
-    reps = firsts.withColumnRenamed("rep", "doc_id").join(solid, keys).dropDuplicates(keys)
+    # a set may have copies without number: its copies are dealt to SALTS tasks, each of which gets the set's first document
+    several = firsts.where("last > rep").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("last")
+    salted = solid.select(*keys, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    copies = salted.join(several, ["fp1", "fp2", "n_shingles", "salt"]).where("doc_id != rep")
+    reps = firsts.drop("last").withColumnRenamed("rep", "doc_id").join(solid, keys).dropDuplicates(keys)
 
     candidates = materialise(_candidates(reps), "candidates")
     loose = components(candidates)
