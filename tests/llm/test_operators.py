@@ -389,3 +389,22 @@ def test_other_operators_take_awkward_rows(docs):
             r = got[(i, len((text or "").encode()))]
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want
     assert tokens.token_records(docs, tokenizer_path()).count() == docs.count()
+
+
+def test_siblings_meet_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(preferences, "FAMILY_ROWS", 7)
+    first = {i: f"opening {i // 2}" for i in range(400)} | {i: "hello" for i in range(400, 480)}
+    rows = [(i, 0, "user", t) for i, t in first.items()] + [(i, 1, "assistant", "x" * (i % 5)) for i in first]
+    made = preferences.sibling_pairs(preferences.turns_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    rings = {}
+    for i, t in first.items():
+        opening = hashlib.md5(f"<|user|>\n{t}<|end|>\n".encode()).hexdigest()
+        rings.setdefault(opening[0], []).append((opening, i))
+    want = set()
+    for ring in map(sorted, rings.values()):
+        for (_, a), (_, b) in zip(ring, ring[1:] + ring[:1], strict=True):
+            if a != b:
+                want.add((a, b) if (a % 5, -a) > (b % 5, -b) else (b, a))
+    got = [tuple(r) for r in made]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {(2 * k, 2 * k + 1) for k in range(200)} <= {tuple(sorted(p)) for p in got}

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._shared import materialise
+
 FAMILY_ROWS = 5_000
 START, END = "<|{}|>\n", "<|end|>\n"
 
@@ -32,22 +34,28 @@ def turns_of(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
 def sibling_pairs(turns: DataFrame) -> DataFrame:
     """``(chosen, rejected)``: each conversation and the next that opens alike, or else the next in the order of openings.
 
-    Of the two, the one with more assistant characters is chosen (at a tie, the smaller id). Conversations are dealt by the
-    md5 of what they open with, and a family of more than ``FAMILY_ROWS`` openings by the md5 of their ids too; the last of
-    a group is followed by its first. One alone in its group has nothing to be compared with and gives no pair.
+    Of the two, the one with more assistant characters is chosen (at a tie, the smaller id). Conversations stand in the order
+    of the md5 of what they open with, then of their ids; those whose md5 has the same first digit form a ring, where the
+    first follows the last. One alone in its ring has nothing to be compared with and gives no pair. The order is cut into
+    ranges of about ``FAMILY_ROWS`` conversations, and the last of a range is followed by the first of the ring's next range,
+    so who is paired depends neither on the size of the table nor on how many open alike.
     """
     first = turns.groupBy("conv").agg(
         F.min(F.struct("turn", "role", "digest"))["digest"].alias("opening"),
         F.coalesce(F.sum(F.when(F.col("role") == "assistant", F.col("chars"))), F.lit(0)).alias("answer"),
     )
-    groups = first.withColumn("deal", F.substring("opening", 1, 1))
-    size = groups.groupBy("deal").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("long").alias("salts"))
-    salt = F.conv(F.substring(F.md5(F.col("conv").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("salts")
-    groups = groups.join(F.broadcast(size), "deal").withColumn("salt", salt)  # 16 rows
-    near = Window.partitionBy("deal", "salt").orderBy("opening", "conv")
-    whole = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    other = lambda c: F.coalesce(F.lead(c).over(near), F.first(c).over(whole))
-    pairs = groups.select("conv", "answer", other("conv").alias("next"), other("answer").alias("next_answer")).where("conv != next")
+    first = materialise(first.withColumn("ring", F.substring("opening", 1, 1)), "openings")
+    ranges = first.count() // FAMILY_ROWS + 1
+    # stored, as another run of the plan may cut the ranges elsewhere
+    rows = materialise(first.repartitionByRange(ranges, "opening", "conv").withColumn("cut", F.spark_partition_id()), "ranges")
+    heads = rows.groupBy("ring", "cut").agg(F.min(F.struct("opening", "conv", "answer")).alias("head"))
+    on = Window.partitionBy("ring").orderBy("cut")
+    whole = on.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("ring", "cut", F.coalesce(F.lead("head").over(on), F.first("head").over(whole)).alias("head"))
+    near = Window.partitionBy("ring", "cut").orderBy("opening", "conv")
+    after = rows.withColumn("after", F.lead(F.struct("opening", "conv", "answer")).over(near)).join(heads, ["ring", "cut"])
+    after = after.withColumn("after", F.coalesce("after", "head"))
+    pairs = after.select("conv", "answer", F.col("after.conv").alias("next"), F.col("after.answer").alias("next_answer")).where("conv != next")
     mine = (F.col("answer") > F.col("next_answer")) | ((F.col("answer") == F.col("next_answer")) & (F.col("conv") < F.col("next")))
     return pairs.select(
         F.when(mine, F.col("conv")).otherwise(F.col("next")).alias("chosen"), F.when(mine, F.col("next")).otherwise(F.col("conv")).alias("rejected")
