@@ -408,3 +408,23 @@ def test_siblings_meet_at_any_size(spark, monkeypatch):
     got = [tuple(r) for r in made]
     assert len(got) == len(set(got)) and set(got) == want
     assert {(2 * k, 2 * k + 1) for k in range(200)} <= {tuple(sorted(p)) for p in got}
+
+
+@pytest.mark.parametrize("given", [True, False])
+def test_mix_of_many_sources_keeps_to_the_weights(spark, given):
+    n = {f"s{k:03}": 3000 if k == 0 else 2 + k % 7 for k in range(450)}
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, c in n.items() for _ in range(c))], "doc_id long, source string")
+    weights = {s: 0.5 if s == "s000" else 0.4 / 300 if k % 3 else 0.1 / 149 for k, s in enumerate(n)} if given else None
+    got = mixing.mix(df, weights, block_docs=1).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(len(got))) and sorted(r.doc_id for r in got) == list(range(sum(n.values())))
+    assert [r.slot for r in got] == sorted({r.slot for r in got})
+    target = weights or {s: c**0.7 for s, c in n.items()}
+    total = sum(target.values())
+    for s, w in target.items():
+        slots = [r.slot for r in got if r.source == s]
+        assert len(slots) == n[s]
+        for k, slot in enumerate(slots):  # just before and just after its block
+            assert abs(slot * w / total - k) < 2 and abs((slot + 1) * w / total - (k + 1)) < 2, (s, k, slot)
+    if given:
+        done = sum(r.slot < 1000 for r in got if r.source == "s000")
+        assert abs(done - 500) < 2
