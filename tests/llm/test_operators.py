@@ -428,3 +428,20 @@ def test_mix_of_many_sources_keeps_to_the_weights(spark, given):
     if given:
         done = sum(r.slot < 1000 for r in got if r.source == "s000")
         assert abs(done - 500) < 2
+
+
+@pytest.mark.parametrize("length", [20, 24, 32])
+def test_short_keys_among_a_thousand_candidates(spark, length):
+    rng = random.Random(length)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    key = lambda: "".join(rng.choice(letters + letters.upper() + "0123456789") for _ in range(length))
+    names = ["".join(rng.choices(letters, [8, 1, 3, 4, 12, 2, 2, 6, 7, 0.2, 0.8, 4, 2.4, 6.7, 7.5, 2, 0.1, 6, 6.3, 9, 2.8, 1, 2.4, 0.2, 2, 0.1], k=rng.randrange(3, 9))) for _ in range(500)]
+    join = [lambda w: "/".join(w), lambda w: "_".join(w), lambda w: "-".join(w), lambda w: "".join(x.title() for x in w), lambda w: "_".join(w).upper(), lambda w: "/".join([*w[:-1], w[-1].title(), "2024-01-02"])]
+    rows = []
+    for i in range(8000):
+        name = rng.choice(join)(rng.choices(names, k=8))[: max(20, rng.randrange(length, length + 4))]
+        rows.append((i, f"The {' '.join(rng.choices(names, k=20))} {name} {key() if i % 1000 == 7 else 'In 2024'}."))
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r.doc_id for r in got if r.n_random}
+    planted = {i for i in range(8000) if i % 1000 == 7}
+    assert len(found & planted) >= 7 and len(found - planted) <= 1, (len(found & planted), [rows[i][1] for i in sorted(found - planted)][:5])

@@ -1,17 +1,20 @@
 """Secret scan: fixed patterns, and a battery of randomness tests with false-discovery control for the strings around them.
 
 A candidate is a run of 20 or more of ``[A-Za-z0-9+/_=-]``. Its encoding is the smallest of ENCODINGS that holds its
-characters. Three statistics are taken of it:
+characters. These statistics are taken of it:
 
 * chi-squared uniformity over the encoding's alphabet, in the form of its coincidences (pairs of equal characters, of which
   the statistic is a linear function at a given length); few coincidences mean a flat alphabet;
 * the runs test about the alphabet's middle, and the serial correlation of neighbours, both as standard scores under
-  randomness; a candidate that fails either (``SCORE``) is a pattern, not a secret.
+  randomness, and with them the kinds of its characters (digits, small and capital letters, signs): how often each occurs
+  and how often neighbours differ. A candidate that fails one (``SCORE``) is a pattern, not a secret, and is not judged;
+* surprise, the sum of -log of its characters' probabilities in the corpus.
 
 Ordinary text is the null hypothesis: with the character counts of all documents, cut down to the encoding's alphabet, the
-mean and variance of coincidences at the candidate's own length are exact, and give it a p-value. Benjamini-Hochberg's rule
-then runs within each band of lengths over all candidates of the corpus, from a histogram of p-values, so a few long strings
-are not judged at the rate of many short ones.
+mean and variance of coincidences at the candidate's own length are exact, and Chernoff's bound holds for its surprise. The
+p-value is twice the smaller of the two, whatever their dependence. Benjamini-Hochberg's rule then runs within each band of
+lengths over all judged candidates of the corpus, from a histogram of p-values, so a few long strings are not judged at the
+rate of many short ones.
 """
 
 from __future__ import annotations
@@ -88,6 +91,42 @@ def battery(token: str) -> tuple[int, int, float, float]:
     return enc, same, z_runs, z_serial
 
 
+MIXED = ENCODINGS.index(LETTERS.upper() + LETTERS + DIGITS)
+WORDS = re.compile(rb"[^A-Z0-9]*([A-Z][^A-Z0-9]+)*[A-Z]?")
+KIND = np.zeros(256, np.int64)
+for _k, _chars in enumerate((DIGITS, LETTERS, LETTERS.upper())):
+    KIND[list(_chars.encode())] = _k + 1
+
+
+def kinds_like_random(token: bytes, enc: int) -> bool:
+    """Whether the kinds of characters are as frequent, and change as often, as in random strings of the encoding. Both
+    letters without a digit and without two capitals in a row are words written together; fewer than one in a hundred random
+    strings look so."""
+    share = np.bincount(KIND[list(ENCODINGS[enc].encode())], minlength=4) / len(ENCODINGS[enc])
+    if share.max() == 1:
+        return True
+    if enc >= MIXED and WORDS.fullmatch(token):
+        return False
+    x = KIND[np.frombuffer(token, np.uint8)]
+    n, have = len(x), share > 0
+    # chi-squared as a standard score, by Wilson and Hilferty
+    chi, df = float((((np.bincount(x, minlength=4) - n * share) ** 2)[have] / (n * share[have])).sum()), int(have.sum()) - 1
+    score = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    p2, p3 = float((share**2).sum()), float((share**3).sum())
+    changes = int((x[1:] != x[:-1]).sum())
+    var = (n - 1) * p2 * (1 - p2) + 2 * (n - 2) * (p3 - p2 * p2)
+    return score <= SCORE and abs(changes - (n - 1) * (1 - p2)) <= SCORE * math.sqrt(var)
+
+
+STEPS = np.concatenate([np.arange(0.02, 1, 0.02), np.arange(1, 4, 0.25)])
+
+
+def surprise_p(hist: np.ndarray, logs: np.ndarray, growth: np.ndarray) -> float:
+    """Bound on how likely ordinary text of this length is as surprising; ``logs`` are of its characters' probabilities,
+    ``growth`` the logarithms of their moments at ``STEPS``."""
+    return math.exp(min(0.0, float((int(hist.sum()) * growth + STEPS * float(hist @ logs)).min())))
+
+
 def p_value(n: int, same: int, share: np.ndarray) -> float:
     """How likely ordinary text of this length has so few coincidences; ``share`` are its characters' probabilities."""
     p2, p3 = float((share**2).sum()), float((share**3).sum())
@@ -100,13 +139,13 @@ def p_value(n: int, same: int, share: np.ndarray) -> float:
 
 
 SPANS = "array<struct<s:long,e:long,k:int>>"
-CANDIDATES = "array<struct<s:long,e:long,n:int,enc:int,same:long,plain:boolean>>"
+CANDIDATES = "array<struct<s:long,e:long,n:int,enc:int,same:long,plain:boolean,hist:array<int>>>"
 FOUND = f"doc_id long, base {SPANS}, candidates {CANDIDATES}, counts array<long>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("k", pa.int32())]))
-    cand = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("n", pa.int32()), ("enc", pa.int32()), ("same", pa.int64()), ("plain", pa.bool_())]))
+    cand = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("n", pa.int32()), ("enc", pa.int32()), ("same", pa.int64()), ("plain", pa.bool_()), ("hist", pa.list_(pa.int32()))]))
     for batch in batches:
         base: list[list] = [[] for _ in range(batch.num_rows)]
         maybe: list[list] = [[] for _ in range(batch.num_rows)]
@@ -133,7 +172,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     base[lo + r].append((s, e, 2))
                 else:
                     enc, same, z1, z2 = battery(raw[a:b].decode())
-                    maybe[lo + r].append((s, e, e - s, enc, same, abs(z1) <= SCORE and abs(z2) <= SCORE))
+                    plain = abs(z1) <= SCORE and abs(z2) <= SCORE and kinds_like_random(raw[a:b], enc)
+                    hist = np.bincount(data[a:b], minlength=256)[list(ENCODINGS[enc].encode())] if plain else None
+                    maybe[lo + r].append((s, e, e - s, enc, same, plain, hist))
             lower = raw.lower()
             named = any(n.encode() in lower for n in NAMES)
             if named or b"AKIA" in raw:
@@ -147,7 +188,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in base:
             x.sort(key=lambda v: (v[0], v[2]))
         first = [counts.tolist(), *[None] * (batch.num_rows - 1)] if batch.num_rows else []
-        names = ("s", "e", "k"), ("s", "e", "n", "enc", "same", "plain")
+        names = ("s", "e", "k"), ("s", "e", "n", "enc", "same", "plain", "hist")
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -160,7 +201,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _judge(counts: list[int]):
-    """Adds to each candidate the bin of its p-value (-log10 p, in tenths, rounded down)."""
+    """Keeps the candidates that are no patterns, with the bin of their p-value (-log10 p, in tenths, rounded down)."""
     chars = np.array(counts, np.float64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,17 +209,22 @@ def _judge(counts: list[int]):
         for alphabet in ENCODINGS:
             some = chars[np.frombuffer(alphabet.encode(), np.uint8)] + 0.5
             shares.append(some / some.sum())
-        known: dict[tuple[int, int, int], int] = {}
+        logs = [np.log(x) for x in shares]
+        growth = [np.log(np.exp(np.multiply.outer(1 - STEPS, x)).sum(1)) for x in logs]
+        known: dict[tuple[int, int, int], float] = {}
         for batch in batches:
             out = []
             for row in batch.column(2).to_pylist():
                 bins = []
                 for c in row:
+                    if not c["plain"]:
+                        continue
                     key = (c["n"], c["same"], c["enc"])
                     if key not in known:
-                        p = p_value(c["n"], c["same"], shares[c["enc"]])
-                        known[key] = min(TOP_BIN, int(-math.log10(p) * BIN)) if p > 0 else TOP_BIN
-                    bins.append({"s": c["s"], "e": c["e"], "band": int(np.searchsorted(BANDS, c["n"], "right")), "bin": known[key] if c["plain"] else 0})
+                        known[key] = p_value(c["n"], c["same"], shares[c["enc"]])
+                    p = min(1.0, 2 * min(known[key], surprise_p(np.array(c["hist"]), logs[c["enc"]], growth[c["enc"]])))
+                    place = min(TOP_BIN, int(-math.log10(p) * BIN)) if p > 0 else TOP_BIN
+                    bins.append({"s": c["s"], "e": c["e"], "band": int(np.searchsorted(BANDS, c["n"], "right")), "bin": place})
                 out.append(bins)
             kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("band", pa.int32()), ("bin", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["doc_id", "base", "judged"])
