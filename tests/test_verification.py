@@ -146,3 +146,36 @@ def test_baselines_and_estimators(spark):
     assert s[0] == pytest.approx(0, abs=1e-9) and s[1] == pytest.approx(1) and s[2] == 0
     assert models.random_search(3) == models.random_search(3)
     assert {round(x.weight, 3) for x in models.class_weights(df, "label", "ratio").select("weight").distinct().collect()} == {1.0, round((600 - (p := sum(v[-1] for v in rows))) / p, 3)}
+
+
+def test_queries_search_whole_grids(spark, monkeypatch):
+    from tidemark.operators import models
+    from tidemark.plans import queries
+
+    tried = []
+    best = models._best
+
+    class Stop(Exception):
+        pass
+
+    def chosen(fitted, *rest):
+        tried.append([p for p, _ in fitted])
+        raise Stop
+
+    rows = [(i, i % 2, float(i % 7), None if i % 5 else 1.0, ("train", "val", "test")[i % 3]) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, a double, b double, split string")
+    monkeypatch.setattr(queries, "_documents", lambda *_: (df, ["a", "b"]))
+    monkeypatch.setattr(models, "_best", chosen)
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, data: None)
+    for name in ("logistic_regression", "boosted_trees", "tuned_trees"):
+        try:
+            getattr(queries, name)(spark, "")
+        except Stop:
+            pass
+    assert [p["C"] for p in tried[0]] == list(models.C_GRID)
+    assert [(p["maxDepth"], p["maxIter"]) for p in tried[1]] == [(3, 20), (5, 20), (5, 40)]
+    assert tried[2] == models.random_search(20)
+    monkeypatch.undo()
+    assert models._best is best
+    choice, _, out = models.tuned_trees(df, ["a", "b"], "label", trials=1)
+    assert "threshold" in choice and out.count() == len(rows)

@@ -756,13 +756,19 @@ def _quality(out: DataFrame) -> DataFrame:
 @query()
 def logistic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, features = _documents(spark, sf_dir)
-    return _quality(models.logistic_grid(rows, features, "label", grid=(0.1, 1.0))[2])
+    return _quality(models.logistic_grid(rows, features, "label")[2])
 
 
 @query()
 def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, features = _documents(spark, sf_dir)
-    return _quality(models.boosted_trees(rows, features, "label", grid=[{"maxDepth": 3, "maxIter": 5}])[2])
+    return _quality(models.boosted_trees(rows, features, "label")[2])
+
+
+@query()
+def tuned_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, features = _documents(spark, sf_dir)
+    return _quality(models.tuned_trees(rows, features, "label")[2])
 
 
 SPEARMAN = """
