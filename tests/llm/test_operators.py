@@ -340,8 +340,56 @@ def test_preferences(spark):
         ("rejected", 2, "user", "<|user|>\nless<|end|>\n", False), ("rejected", 3, "assistant", "<|assistant|>\nno<|end|>\n", True),
     ]
     assert turns.where("conv = 3").first().said == "<|user|>\n<|end|>\n"
-    made = preferences.sibling_pairs(turns).collect()
-    assert all(a != b for a, b in made) and (1, 2) in [tuple(r) for r in made]
+    # conversation 3 says nothing as an assistant; 1 and 2 open alike; a listed pair counts once
+    assert [tuple(r) for r in preferences.preference_pairs(turns).collect()] == [(1, 2, None, None, None, None)]
+    twice = pairs.limit(1)
+    assert preferences.format_pairs(turns, twice.union(twice)).count() == len(got)
+
+
+def plain_preferences(rows):
+    """Rendered rows of all pairs, by hand; one row for each conversation and turn."""
+    said = {(c, t): (r, f"<|{r}|>\n{x}<|end|>\n") for c, t, r, x in rows}
+    talks = {c: {t: said[c, t] for k, t in said if k == c} for c, _ in said}
+    rings = {}
+    for c, talk in talks.items():
+        if any(r == "assistant" for r, _ in talk.values()):
+            opening = hashlib.md5(talk[min(talk)][1].encode()).hexdigest()
+            rings.setdefault(opening[0], []).append((opening, c))
+    answer = lambda c: sum(len(x) - len("<|assistant|>\n<|end|>\n") for r, x in talks[c].values() if r == "assistant")
+    last = lambda c: max(t for t, (r, _) in talks[c].items() if r == "assistant")
+    out = set()
+    for ring in map(sorted, rings.values()):
+        for (same, a), (other, b) in zip(ring, ring[1:] + ring[:1], strict=True):
+            if a == b:
+                continue
+            if same == other:
+                a, b = (a, b) if (answer(a), -a) > (answer(b), -b) else (b, a)
+                left, right = talks[a], talks[b]
+            else:
+                left = {t: x for t, x in talks[a].items() if t <= last(a)}
+                right = left | {last(a): talks[b][last(b)]}
+            cut = min((t for t in {*left, *right} if left.get(t) != right.get(t)), default=1 << 60)
+            out |= {(a, b, "prompt", t, *x, False) for t, x in left.items() if t < cut}
+            for part, side in (("chosen", left), ("rejected", right)):
+                out |= {(a, b, part, t, *x, x[0] == "assistant") for t, x in side.items() if t >= cut}
+    return out
+
+
+@pytest.mark.parametrize("rows_a_range", [3, 5000])
+def test_preferences_share_what_was_said_before(spark, monkeypatch, rows_a_range):
+    monkeypatch.setattr(preferences, "FAMILY_ROWS", rows_a_range)
+    rng = random.Random(12)
+    rows = []
+    for c in range(120):
+        opening = f"opening {c // 3 if c % 4 else 0}" if c % 2 else f"own {c}"
+        turns = [("user", opening)] + [(rng.choice(["user", "assistant"]), words_text(rng, rng.randrange(3), 5)) for _ in range(rng.randrange(6))]
+        rows += [(c, t * 2, *x) for t, x in enumerate(turns)]
+    rows += [(500, t, *x) for t, x in enumerate([("user", "own 0"), ("assistant", "x " * 50_000)] * 40)]
+    turns = preferences.turns_of(spark.createDataFrame(rows * 2, "conv_id long, turn long, role string, text string").repartition(5))
+    got = [tuple(r) for r in preferences.format_pairs(turns, preferences.preference_pairs(turns)).collect()]
+    want = plain_preferences(rows)
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(x[2] == "prompt" for x in want) > 100
 
 
 def test_quality_on_held_out(spark):
@@ -375,7 +423,7 @@ def test_quality_on_held_out(spark):
         lambda d: decontam.contamination(d, d.select(F.col("doc_id").cast("string").alias("item_id"), "text")),
         lambda d: quality.score_quality(d, d.select("doc_id", F.lit(1).alias("quality"))),
         lambda d: vectors.near_vectors(d.select(F.col("doc_id").alias("vec_id"), F.array().cast("array<float>").alias("embedding"))),
-        lambda d: preferences.format_pairs(t := preferences.turns_of(d.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.col("source").alias("role"), "text")), preferences.sibling_pairs(t)),
+        lambda d: preferences.format_pairs(t := preferences.turns_of(d.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.col("source").alias("role"), "text")), preferences.preference_pairs(t)),
     ],
 )
 def test_empty_tables(empty, run):
@@ -393,21 +441,10 @@ def test_other_operators_take_awkward_rows(docs):
 
 def test_siblings_meet_at_any_size(spark, monkeypatch):
     monkeypatch.setattr(preferences, "FAMILY_ROWS", 7)
-    first = {i: f"opening {i // 2}" for i in range(400)} | {i: "hello" for i in range(400, 480)}
-    rows = [(i, 0, "user", t) for i, t in first.items()] + [(i, 1, "assistant", "x" * (i % 5)) for i in first]
-    made = preferences.sibling_pairs(preferences.turns_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
-    rings = {}
-    for i, t in first.items():
-        opening = hashlib.md5(f"<|user|>\n{t}<|end|>\n".encode()).hexdigest()
-        rings.setdefault(opening[0], []).append((opening, i))
-    want = set()
-    for ring in map(sorted, rings.values()):
-        for (_, a), (_, b) in zip(ring, ring[1:] + ring[:1], strict=True):
-            if a != b:
-                want.add((a, b) if (a % 5, -a) > (b % 5, -b) else (b, a))
-    got = [tuple(r) for r in made]
-    assert len(got) == len(set(got)) and set(got) == want
-    assert {(2 * k, 2 * k + 1) for k in range(200)} <= {tuple(sorted(p)) for p in got}
+    rows = [(i, 0, "user", f"opening {i // 2}") for i in range(800)] + [(i, 1, "assistant", "x" * (i % 5)) for i in range(800)]
+    turns = preferences.turns_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = [tuple(sorted(r)) for r in preferences.preference_pairs(turns).where("at is null").select("chosen", "rejected").collect()]
+    assert {(2 * k, 2 * k + 1) for k in range(400)} == set(got) and len(got) == 400
 
 
 @pytest.mark.parametrize("given", [True, False])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, licenses, minhash, mixing, preferences, quality, secrets, suffix, tokens, vectors
+from ._shared import materialise
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,8 +55,8 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = preferences.turns_of(_read(spark, sf_dir, "conversations"))
-    return preferences.format_pairs(turns, preferences.sibling_pairs(turns))
+    turns = materialise(preferences.turns_of(_read(spark, sf_dir, "conversations")), "turns")
+    return preferences.format_pairs(turns, preferences.preference_pairs(turns))
 
 
 def queries() -> dict:
@@ -157,26 +158,30 @@ SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(c.n, 0)::BIGINT A
 FROM d JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
-OP10 = f"""
+OP10 = """
 WITH t AS (
   SELECT DISTINCT conv_id AS conv, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
   WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 s AS (SELECT conv, turn, role, length(text) AS chars, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said FROM t),
 f AS (
   SELECT conv, md5(arg_min(said, ROW(turn, role, md5(said)))) AS opening,
-    coalesce(sum(CASE WHEN role = 'assistant' THEN chars END), 0)::BIGINT AS answer FROM s GROUP BY conv),
-g AS (
-  SELECT f.*, left(opening, 1) AS deal,
-    ('0x' || left(md5(conv::VARCHAR), 8))::BIGINT % ceil(count(*) OVER (PARTITION BY left(opening, 1)) / {preferences.FAMILY_ROWS})::BIGINT AS salt FROM f),
+    sum(chars) FILTER (WHERE role = 'assistant')::BIGINT AS answer,
+    max(turn) FILTER (WHERE role = 'assistant') AS own_turn, arg_max(said, ROW(turn, md5(said))) FILTER (WHERE role = 'assistant') AS own
+  FROM s GROUP BY conv HAVING count(*) FILTER (WHERE role = 'assistant') > 0),
 n AS (
-  SELECT conv, answer, coalesce(lead(conv) OVER w, first_value(conv) OVER w) AS nconv, coalesce(lead(answer) OVER w, first_value(answer) OVER w) AS nanswer
-  FROM g WINDOW w AS (PARTITION BY deal, salt ORDER BY opening, conv)),
+  SELECT *, coalesce(lead(conv) OVER w, first_value(conv) OVER w) AS nconv FROM f WINDOW w AS (PARTITION BY left(opening, 1) ORDER BY opening, conv)),
+q AS (
+  SELECT n.*, f.opening = n.opening AS alike, n.answer > f.answer OR (n.answer = f.answer AND n.conv < f.conv) AS more, f.own AS reply
+  FROM n JOIN f ON f.conv = n.nconv WHERE n.conv != n.nconv),
 p AS (
-  SELECT DISTINCT CASE WHEN m THEN conv ELSE nconv END AS chosen, CASE WHEN m THEN nconv ELSE conv END AS rejected
-  FROM (SELECT *, answer > nanswer OR (answer = nanswer AND conv < nconv) AS m FROM n WHERE conv != nconv)),
+  SELECT DISTINCT CASE WHEN more OR NOT alike THEN conv ELSE nconv END AS chosen, CASE WHEN more OR NOT alike THEN nconv ELSE conv END AS rejected,
+    CASE WHEN NOT alike THEN own_turn END AS place, CASE WHEN NOT alike THEN own END AS own, CASE WHEN NOT alike THEN reply END AS reply FROM q),
 b AS (
   SELECT chosen, rejected, 'chosen' AS side, turn, role, said FROM p JOIN s ON s.conv = p.chosen
-  UNION ALL SELECT chosen, rejected, 'rejected', turn, role, said FROM p JOIN s ON s.conv = p.rejected),
+  WHERE place IS NULL OR turn < place OR (turn = place AND role = 'assistant' AND said = own)
+  UNION ALL SELECT chosen, rejected, 'rejected', turn, role, said FROM p JOIN s ON s.conv = p.rejected WHERE place IS NULL
+  UNION ALL SELECT chosen, rejected, 'rejected', turn, role, said FROM p JOIN s ON s.conv = p.chosen WHERE turn < place
+  UNION ALL SELECT chosen, rejected, 'rejected', place, 'assistant', reply FROM p WHERE place IS NOT NULL),
 r AS (SELECT chosen, rejected, turn, role, said, count(*) AS sides, min(side) AS side FROM b GROUP BY ALL),
 c AS (SELECT chosen, rejected, min(turn) AS cut FROM r WHERE sides < 2 GROUP BY ALL),
 o AS (
