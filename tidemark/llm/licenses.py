@@ -6,7 +6,12 @@ and joined with the templates by their token sets: tokens are ordered by how man
 meets a template on a token of the template's prefix (long enough that any block over the threshold holds one of its
 tokens), and length and position bounds discard what cannot reach the overlap that is counted last.
 
-Templates are a parameter of at most ``MAX_TEMPLATE_WORDS`` words in all, so what is broadcast never grows with the data.
+A template's blocks are made to its measure: its class is the least power of two, ``LEAST`` or more, that its words do not
+exceed, and the blocks of a class are twice as wide and start at its every multiple. Any run of as many words as the template
+has lies whole in one of them, so a template that stands anywhere in a text is found, however long it is.
+
+Templates are a parameter: the driver holds them, and their words are literals of the plan. Tables made of them are broadcast up
+to ``BROADCAST_WORDS`` words, and joined by key beyond.
 """
 
 from __future__ import annotations
@@ -17,34 +22,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._license_texts import TEMPLATES
 from ._shared import materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 PHRASES = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
-#: Notices of well-known licenses.
-TEMPLATES = [
-    ("apache-2", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("gpl", "This work is licensed under the GNU General Public License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-]
 THRESHOLD = (4, 5)
-BLOCK, STRIDE = 64, 32
-MAX_TEMPLATE_WORDS = 5000
+LEAST = 32
+BROADCAST_WORDS = 100_000
 
 
 def words_of(text: str) -> list[str]:
     return [w for w in re.split(BREAK, text.translate(str.maketrans(UPPER, LOWER))) if w]
 
 
-def _array(words: list[str]):
-    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+def template_sets(templates: list[tuple[str, str]], threshold: tuple[int, int]) -> list[tuple[int, str, list[str], int, int]]:
+    """``(number, label, distinct words, words needed, class)`` of templates that have words."""
+    num, den = threshold
+    out = []
+    for t, (label, text) in enumerate(templates):
+        said = words_of(text)
+        if said:
+            distinct = sorted(set(said))
+            out.append((t, label, distinct, -(-num * len(distinct) // den), max(LEAST, 1 << (len(said) - 1).bit_length())))
+    return out
+
+
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)  # words hold neither quotes nor backslashes
+
+
+def _places(phrases: list[tuple[str, str]]) -> str:
+    """SQL for an array of ``(at, label)`` over ``words``, searched only in texts ``low`` that hold each word of a phrase."""
+    places = []
+    for label, phrase in phrases:
+        said = words_of(phrase)
+        test = " and ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(said))
+        some = " and ".join(f"contains(low, '{w}')" for w in sorted(set(said), key=lambda w: -len(w)))
+        found = f"filter(sequence(0, size(words) - {len(said)}), i -> {test})"
+        label = label.replace("\\", "\\\\").replace("'", "\\'")
+        places.append(f"if({some} and size(words) >= {len(said)}, transform({found}, i -> named_struct('at', cast(i as bigint), 'label', '{label}')), cast(array() as array<struct<at:bigint,label:string>>))")
+    return f"concat({', '.join(places)})"
 
 
 def scan_licenses(
@@ -60,64 +80,63 @@ def scan_licenses(
     ``score`` is 1 where a base phrase stands, else the largest share of a template's distinct words found in one block, and
     0 below the threshold. Null and empty texts have no words, no places (null positions) and the score 0. Rows that repeat
     an id each give a row, and share labels only if their texts are the same. An empty table gives an empty result; other
-    columns are not read. Two templates of the same words count under each label.
+    columns are not read. Two templates of the same words count under each label; one without words is never found. A very long
+    text is one row while it is scanned; only its blocks that hold enough words of a template travel.
     """
-    num, den = threshold
-    sets = [(t, label, sorted(set(words_of(text)))) for t, (label, text) in enumerate(templates)]
-    sets = [(t, label, words, -(-num * len(words) // den)) for t, label, words in sets if words]
-    vocabulary = sorted({w for _, _, words, _ in sets for w in words})
-    if sum(len(words) for _, _, words, _ in sets) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words")
+    sets = template_sets(templates, threshold)
+    vocabulary = sorted({w for _, _, words, _, _ in sets for w in words})
+    least = {}
+    for *_, need, half in sets:
+        least[half] = min(need, least.get(half, need))
     spark = docs.sparkSession
     row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     low = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("key"), F.filter(F.split(low, BREAK), lambda w: w != "").alias("words"))
-    places = []
-    for label, phrase in phrases:
-        said = words_of(phrase)
-        test = " and ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(said))
-        some = " and ".join(f"array_contains(words, '{w}')" for w in sorted(set(said), key=lambda w: -len(w)))
-        found = f"filter(sequence(0, size(words) - {len(said)}), i -> {test})"
-        places.append(f"if(size(words) >= {len(said)} and {some}, transform({found}, i -> named_struct('at', cast(i as bigint), 'label', '{label}')), cast(array() as array<struct<at:bigint,label:string>>))")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("key"), low.alias("low"))
+    base = base.select("*", F.filter(F.split("low", BREAK), lambda w: w != "").alias("words"))
+    known = f"w -> w in ({_quoted(vocabulary)})" if sets else "w -> false"
     base = base.select(
         "doc_id",
         "key",
         "words",
         F.size("words").cast("long").alias("n_words"),
-        F.expr(f"concat({', '.join(places)})").alias("places"),
-        F.array_intersect("words", _array(vocabulary)).alias("held"),
+        F.expr(_places(phrases) if phrases else "cast(array() as array<struct<at:bigint,label:string>>)").alias("places"),
+        F.expr(f"array_distinct(filter(words, {known}))").alias("held"),
     )
-    enough = F.lit(False)
-    for _, _, words, need in sets:
-        enough = enough | (F.size(F.array_intersect("held", _array(words))) >= need)
-    kept = materialise(base.withColumn("words", F.when(enough, F.col("words"))), "license-words")
+    holds = [f"if(size(held) >= {need} and size(filter(held, w -> w in ({_quoted(words)}))) >= {need}, {half}, null)" for _, _, words, need, half in sets]
+    base = base.withColumn("classes", F.expr(f"array_distinct(array_compact(array({', '.join(holds)})))" if sets else "cast(array() as array<int>)"))
+    kept = materialise(base.withColumn("words", F.when(F.size("classes") > 0, F.col("words"))), "license-words")
 
+    small = F.broadcast if sum(len(words) for _, _, words, _, _ in sets) <= BROADCAST_WORDS else lambda df: df
     rank = F.row_number().over(Window.orderBy(F.coalesce("n", F.lit(0)), "token"))  # one row for each template word
     counts = kept.select(F.explode("held").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    known = spark.createDataFrame([(w,) for w in vocabulary], "token string")
-    order = F.broadcast(known.join(counts, "token", "left").select("token", rank.alias("rank")))
+    tokens = spark.createDataFrame([(w,) for w in vocabulary], "token string")
+    order = small(tokens.join(counts, "token", "left").select("token", rank.alias("rank")))
     template = spark.createDataFrame(
-        [(t, label, w, len(words), need) for t, label, words, need in sets for w in words], "template int, label string, token string, size int, need int"
+        [(t, label, w, len(words), need, half) for t, label, words, need, half in sets for w in words], "template int, label string, token string, size int, need int, half int"
     )
     template = template.join(order, "token").withColumn("i", F.row_number().over(Window.partitionBy("template").orderBy("rank")))
-    prefix = F.broadcast(template.where(F.col("i") <= F.col("size") - F.col("need") + 1))
-
-    blocks = kept.where("words is not null").dropDuplicates(["key"]).select(
-        "key", "words", F.explode(F.expr(f"sequence(0, greatest(0, cast(ceil((size(words) - {BLOCK}) / {STRIDE}) as int)) * {STRIDE}, {STRIDE})")).alias("start")
-    )
-    tokens = blocks.select("key", "start", F.explode(F.expr(f"array_intersect(slice(words, start + 1, {BLOCK}), array({', '.join(repr(w) for w in vocabulary)}))")).alias("token"))
-    # a block's tokens in the global order; it has at most as many as templates have words
-    sizes = tokens.join(order, "token").groupBy("key", "start").agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("block"))
-    placed = sizes.select("key", "start", "block", F.size("block").alias("n"), F.posexplode("block").alias("j", "b"))
-    met = placed.join(prefix, F.col("b.token") == F.col("token")).where("n >= need")
+    prefix = small(template.where(F.col("i") <= F.col("size") - F.col("need") + 1))
+
+    # the blocks of a document's classes that hold as many known words as the class's least template needs
+    texts = kept.where("size(classes) > 0").dropDuplicates(["key"]).select("key", "words", F.explode("classes").alias("half"))
+    starts = "sequence(0, greatest(0, cast(ceil((size(words) - 2 * half) / half) as int)) * half, half)"
+    cut = f"transform({starts}, s -> named_struct('start', s, 'tokens', array_distinct(filter(slice(words, s + 1, 2 * half), {known}))))"
+    wanted = F.expr(f"case {' '.join(f'when half = {half} then {n}' for half, n in least.items())} end") if sets else F.lit(1)
+    blocks = texts.select("key", "half", F.explode(F.expr(cut)).alias("b")).where(F.size("b.tokens") >= wanted)
+    held = blocks.select("key", "half", F.col("b.start").alias("start"), F.explode("b.tokens").alias("token"))
+    # a block's tokens in the global order; it has at most as many as its width or templates have words
+    sizes = held.join(order, "token").groupBy("key", "half", "start").agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("block"))
+    placed = sizes.select("key", "half", "start", "block", F.size("block").alias("n"), F.posexplode("block").alias("j", "b"))
+    placed = placed.withColumn("token", F.col("b.token"))
+    met = placed.join(prefix, ["half", "token"]).where("n >= need")
     first = met.groupBy("key", "start", "template", "label", "size", "need", "n").agg(F.min(F.struct("i", "j")).alias("at"), F.first("block.token").alias("block"))
     first = first.where(F.least(F.col("size") - F.col("at.i"), F.col("n") - F.col("at.j") - 1) + 1 >= F.col("need"))
-    full = F.broadcast(template.groupBy("template").agg(F.collect_list("token").alias("tokens")))
+    full = small(template.groupBy("template").agg(F.collect_list("token").alias("tokens")))
     shared = F.size(F.array_intersect("block", "tokens"))
     links = first.join(full, "template").withColumn("shared", shared).where("shared >= need")
     found = links.groupBy("key").agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("size")).alias("share"))
 
-    out = kept.drop("words", "held").join(found, "key", "left")
+    out = kept.drop("words", "held", "classes").join(found, "key", "left")
     base_labels = F.array_distinct(F.col("places.label"))
     return out.select(
         F.col("doc_id").alias(id_col),

@@ -112,13 +112,13 @@ FROM embeddings m JOIN (SELECT v, min(t) AS c FROM r GROUP BY v) c ON c.v = m.ve
 
 
 def _op8() -> str:
-    sets = [(t, label, sorted(set(licenses.words_of(text)))) for t, (label, text) in enumerate(licenses.TEMPLATES)]
-    template = ", ".join(f"({t}, '{label}', {words!r})" for t, label, words in sets)
+    sets = licenses.template_sets(licenses.TEMPLATES, licenses.THRESHOLD)
+    template = ", ".join(f"({t}, '{label}', {words!r}, {half})" for t, label, words, _, half in sets)
     phrase = ", ".join(f"('{label}', '{text}', {len(text.split())})" for label, text in licenses.PHRASES)
     num, den = licenses.THRESHOLD
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOW}, {ALNUM}) AS ws FROM documents),
-t(t, label, ts) AS (VALUES {template}),
+t(t, label, ts, half) AS (VALUES {template}),
 p(label, phrase, n) AS (VALUES {phrase}),
 o AS (
   SELECT doc_id, label, unnest(list_filter(range(0, len(ws) - n + 1), lambda i: array_to_string(ws[i + 1:i + n], ' ') = phrase)) AS i
@@ -126,10 +126,10 @@ o AS (
 b AS (
   SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS s FROM o GROUP BY doc_id),
 k AS (
-  SELECT doc_id, unnest(list_transform(range(0, greatest(0, ceil((len(ws) - {licenses.BLOCK}) / {licenses.STRIDE}))::BIGINT + 1),
-    lambda i: list_distinct(ws[i * {licenses.STRIDE} + 1:i * {licenses.STRIDE} + {licenses.BLOCK}]))) AS ks FROM d WHERE len(ws) > 0),
+  SELECT doc_id, half, unnest(list_transform(range(0, greatest(0, ceil((len(ws) - 2 * half) / half))::BIGINT + 1),
+    lambda i: list_distinct(ws[i * half + 1:i * half + 2 * half]))) AS ks FROM d, (SELECT DISTINCT half FROM t) WHERE len(ws) > 0),
 m AS (
-  SELECT doc_id, label, len(list_intersect(ks, ts)) / len(ts) AS share FROM k, t
+  SELECT doc_id, label, len(list_intersect(ks, ts)) / len(ts) AS share FROM k JOIN t USING (half)
   WHERE len(list_intersect(ks, ts)) * {den} >= {num} * len(ts)),
 l AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS s
