@@ -13,6 +13,19 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Names for columns of the caller's own: those wanted, with underscores before them until none is taken."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        name = f"__{name}"
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 # ---- projection and schema
 
 

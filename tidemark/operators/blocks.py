@@ -13,21 +13,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from ..functions.columns import fresh
+from .ranks import join_null_safe
+
 NUMBER, BLOCK, OWN = "__n", "__block", "__own"
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str] = ()) -> DataFrame:
     """Adds each row's number (from 0) in its series, ordered by time and ties."""
-    day = "__day"
+    if taken := {NUMBER, BLOCK, OWN} & set(df.columns):
+        raise ValueError(f"columns of the frame may not be named {sorted(taken)}")
+    day, count, before_day, place = fresh(df.columns, "day", "count", "before", "place")
     rows = df.withColumn(day, F.date_trunc("day", F.col(time)))
     before = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*keys, day).agg(F.count("*").alias("__c"))
-    counts = counts.select(*keys, day, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"))
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, day]]
+    counts = rows.groupBy(*keys, day).agg(F.count("*").alias(count))
+    counts = counts.select(*keys, day, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(before_day))
     inside = Window.partitionBy(*keys, day).orderBy(time, *ties)
-    rows = rows.withColumn("__inside", F.row_number().over(inside) - 1)
-    joined = rows.alias("a").join(counts.alias("b"), [*same]).select("a.*", "b.__before")
-    return joined.withColumn(NUMBER, F.col("__before") + F.col("__inside")).drop(day, "__inside", "__before")
+    joined = join_null_safe(rows.withColumn(place, F.row_number().over(inside) - 1), counts, [*keys, day])
+    return joined.withColumn(NUMBER, F.col(before_day) + F.col(place)).drop(day, place, before_day)
 
 
 def blocked(df: DataFrame, keys: Sequence[str], time: str, before: int = 0, after: int = 0, block_rows: int = 100_000, ties: Sequence[str] = ()) -> DataFrame:
@@ -41,8 +44,9 @@ def blocked(df: DataFrame, keys: Sequence[str], time: str, before: int = 0, afte
         where.append(F.when(place >= block_rows - before, F.struct((home + 1).alias("b"), F.lit(False).alias("own"))))
     if after:
         where.append(F.when((place < after) & (home > 0), F.struct((home - 1).alias("b"), F.lit(False).alias("own"))))
-    dealt = rows.withColumn("__d", F.explode(F.filter(F.array(*where), lambda x: x.isNotNull())))
-    return dealt.withColumns({BLOCK: F.col("__d.b"), OWN: F.col("__d.own")}).drop("__d")
+    (spot,) = fresh(rows.columns, "spot")
+    dealt = rows.withColumn(spot, F.explode(F.filter(F.array(*where), lambda x: x.isNotNull())))
+    return dealt.withColumns({BLOCK: F.col(f"{spot}.b"), OWN: F.col(f"{spot}.own")}).drop(spot)
 
 
 def series(keys: Sequence[str]) -> WindowSpec:

@@ -6,31 +6,31 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..functions.columns import fresh
 from .blocks import over_blocks
+from .ranks import join_null_safe, quantiles
 
 
 def magnitude_and_change(df: DataFrame, keys: Sequence[str], time: str, north: str, east: str, reset: str | None = "month") -> DataFrame:
     """``magnitude`` and ``abs_change`` (from the row before, starting anew each month unless ``reset`` is None)."""
-    rows = df.withColumn("magnitude", F.hypot(north, east).cast("float"))
-    part = [*keys]
+    rows, part, (again,) = df.withColumn("magnitude", F.hypot(north, east).cast("float")), [*keys], fresh(df.columns, "reset")
     if reset:
-        rows = rows.withColumn("__reset", F.date_trunc(reset, F.col(time)))
-        part.append("__reset")
+        rows = rows.withColumn(again, F.date_trunc(reset, F.col(time)))
+        part.append(again)
     made = lambda w: {"abs_change": F.abs(F.col("magnitude") - F.lag("magnitude", 1).over(w))}
-    return over_blocks(rows, part, time, made, before=1).drop("__reset")
+    return over_blocks(rows, part, time, made, before=1).drop(again)
 
 
 def lagged_differences(df: DataFrame, keys: Sequence[str], time: str, lags: dict[str, tuple[str, int]], reset: str | None = None, ties: Sequence[str] = ()) -> DataFrame:
-    """``{new: (column, k)}``: column less its value k rows (not minutes) before."""
-    part = [*keys]
-    rows = df
+    """``{new: (column, k)}``: column less its value k rows (not minutes) before; with ``reset`` ("month"), rows before the month's
+    first do not count."""
+    rows, part, (again,) = df, [*keys], fresh(df.columns, "reset")
     if reset:
-        rows = rows.withColumn("__reset", F.date_trunc(reset, F.col(time)))
-        part.append("__reset")
+        rows = rows.withColumn(again, F.date_trunc(reset, F.col(time)))
+        part.append(again)
     made = lambda w: {n: F.col(c) - F.lag(c, k).over(w) for n, (c, k) in lags.items()}
-    return over_blocks(rows, part, time, made, before=max(k for _, k in lags.values()), ties=ties).drop("__reset")
+    return over_blocks(rows, part, time, made, before=max(k for _, k in lags.values()), ties=ties).drop(again)
 
 
 def forward_labels(
@@ -53,35 +53,25 @@ def forward_labels(
     return labelled.dropna(subset=names) if drop_incomplete else labelled
 
 
-def quantile_linear(c: str | Column, q: float) -> Column:
-    """Aggregate: exact quantile with linear interpolation."""
-    return F.percentile(c, q)
+def quantile(df: DataFrame, value: str | Column, q: float, name: str) -> DataFrame:
+    """One row: the exact quantile of a number, with linear interpolation; null without values."""
+    return quantiles(df.select((F.col(value) if isinstance(value, str) else value).alias(name)), [], name, {name: (q, "linear")})
 
 
 def quantiles_nearest(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
-    """Per group, the value at rank round((n - 1) q), halves up. Equal values count once with their number, so the window
-    runs over distinct values of a group, combined before the shuffle."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*keys)
-    ranked = counts.withColumns(
-        {"__upto": F.sum("__c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__c").over(w)}
-    )
-    at = lambda q: F.floor((F.col("__all") - 1) * q + 0.5)
-    hit = lambda q: F.min(F.when(F.col("__upto") > at(q), F.col(value)))
-    return ranked.groupBy(*keys).agg(*[hit(q).alias(f"p{round(q * 100)}") for q in qs])
+    """Per group, the value at rank round((n - 1) q), halves up, as ``p95`` and so on."""
+    return quantiles(df, keys, value, {f"p{round(q * 100)}": (q, "nearest") for q in qs})
 
 
 def group_thresholds(df: DataFrame, keys: Sequence[str], value: str, method: str = "nearest", accuracy: int = 10_000) -> DataFrame:
-    """n_samples, min, median, max, p95, p99 per group; ``method`` is nearest, linear or approx (bounded error)."""
-    base = df.where(F.col(value).isNotNull()).groupBy(*keys)
-    aggs = [
-        F.count("*").alias("n_samples"), F.min(value).alias("min_value"), quantile_linear(value, 0.5).alias("median_value"), F.max(value).alias("max_value"),
-    ]
-    if method == "linear":
-        return base.agg(*aggs, quantile_linear(value, 0.95).alias("p95"), quantile_linear(value, 0.99).alias("p99"))
+    """n_samples, min, median, max, p95, p99 per group; ``method`` is nearest, linear (both exact) or approx (bounded error)."""
+    rows = df.where(F.col(value).isNotNull())
+    base = rows.groupBy(*keys).agg(F.count("*").alias("n_samples"), F.min(value).alias("min_value"), F.max(value).alias("max_value"))
     if method == "approx":
-        return base.agg(*aggs, *[F.percentile_approx(value, q, accuracy).alias(f"p{round(q * 100)}") for q in (0.95, 0.99)])
-    return base.agg(*aggs).join(quantiles_nearest(df, keys, value, [0.95, 0.99]), list(keys))
+        part = rows.groupBy(*keys).agg(*[F.percentile_approx(value, q, accuracy).alias(n) for n, q in (("median_value", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    else:
+        part = quantiles(rows, keys, value, {"median_value": (0.5, "linear"), "p95": (0.95, method), "p99": (0.99, method)})
+    return join_null_safe(base, part, list(keys)).select(*keys, "n_samples", "min_value", "median_value", "max_value", "p95", "p99")
 
 
 def bad_thresholds(thresholds: DataFrame) -> DataFrame:

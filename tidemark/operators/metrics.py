@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranks import quantiles, running_totals
 
 GRID = tuple(round(0.05 * k, 2) for k in range(1, 20))
 
@@ -71,15 +72,14 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str] = (), y: str = "y_true",
     """``pr_auc`` (average precision: steps over distinct scores) and ``roc_auc`` (ties count half) per group; null where a
     class is missing.
 
-    Rows are counted by group and score before the shuffle; the window runs over distinct scores, of which ``decimals``
-    bounds the number where scores are continuous.
+    Rows are counted by group and score before the shuffle; ``decimals`` bounds the number of distinct scores, which need not
+    be few: their running totals are made in buckets.
     """
     keys = list(keys)
     score = F.col(prob) if decimals is None else F.round(F.col(prob), decimals)
     rows = df.where(F.col(y).isNotNull() & F.col(prob).isNotNull())
     counts = rows.groupBy(*keys, score.alias("__s")).agg(F.sum(F.col(y).cast("long")).alias("__p"), F.sum(1 - F.col(y).cast("long")).alias("__n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumns({"__tp": F.sum("__p").over(down), "__fp": F.sum("__n").over(down)})
+    ranked = running_totals(counts, keys, "__s", {"__p": ("__tp", "__all_p"), "__n": ("__fp", "__all_n")}, descending=True)
     out = ranked.groupBy(*keys).agg(
         F.sum("__p").alias("__P"),
         F.sum("__n").alias("__N"),
@@ -168,9 +168,8 @@ def missing_predictions(expected: DataFrame, present: DataFrame, keys: Sequence[
 def robust_range(df: DataFrame, value: str, metric: str, keys: Sequence[str] = ()) -> DataFrame:
     """``low``, ``high`` of finite values per group for a colour scale: their 5th and 95th percentile inside [0, 1], and if
     those are equal the extremes, a little wider; ``hss`` is symmetric about 0, at least 0.05 wide; null without values."""
-    v = F.col(value).cast("double")
-    r = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).groupBy(*keys)
-    r = r.agg(F.percentile(v, 0.05).alias("lo"), F.percentile(v, 0.95).alias("hi"), F.min(v).alias("least"), F.max(v).alias("most"))
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null and not isnan(__v) and abs(__v) < double('infinity')")
+    r = quantiles(rows, keys, "__v", {"lo": (0.05, "linear"), "hi": (0.95, "linear")}, [F.min("__v").alias("least"), F.max("__v").alias("most")])
     lo, hi, least, most = (F.col(c) for c in ("lo", "hi", "least", "most"))
     unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     if metric == "hss":
@@ -188,4 +187,5 @@ def robust_range(df: DataFrame, value: str, metric: str, keys: Sequence[str] = (
 
 def difference_limit(df: DataFrame, value: str, least: float = 0.05) -> DataFrame:
     """One row: a symmetric limit, the 95th percentile of absolute differences, at least ``least``."""
-    return df.agg(F.greatest(F.coalesce(F.percentile(F.abs(F.col(value)), 0.95), F.lit(least)), F.lit(least)).alias("limit"))
+    found = quantiles(df.select(F.abs(F.col(value)).alias("v")), [], "v", {"limit": (0.95, "linear")})
+    return found.select(F.greatest(F.coalesce("limit", F.lit(least)), F.lit(least)).alias("limit"))

@@ -12,7 +12,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .labels import quantile as pooled_quantile
 from .metrics import confusion_metrics, ranking_metrics, select_threshold
+from .ranks import column_quantiles
 
 C_GRID = (0.01, 0.1, 1.0, 3.0)
 TRIALS = 20
@@ -34,7 +36,7 @@ def persistence(df: DataFrame, label: str, north: str, east: str, quantile: floa
     """What is now stays: 1 where the horizontal magnitude (nulls as 0) reaches its pooled training quantile; all splits."""
     proxy = F.sqrt(F.pow(F.coalesce(F.col(north), F.lit(0.0)), F.lit(2.0)) + F.pow(F.coalesce(F.col(east), F.lit(0.0)), F.lit(2.0)))
     rows = df.withColumn("proxy", proxy)
-    limit = rows.where(F.col(split) == "train").agg(F.percentile("proxy", quantile).alias("limit"))
+    limit = pooled_quantile(rows.where(F.col(split) == "train"), "proxy", quantile, "limit")
     hit = (F.col("proxy") >= F.col("limit")).cast("int")
     return rows.crossJoin(F.broadcast(limit)).withColumns({"y_true": F.col(label).cast("int"), "y_prob": hit.cast("double"), "y_pred": hit})
 
@@ -44,9 +46,9 @@ def persistence(df: DataFrame, label: str, north: str, east: str, quantile: floa
 
 def impute_and_scale(df: DataFrame, features: Sequence[str], split: str = "split", scale: bool = True, eps: float = 0.0) -> DataFrame:
     """Nulls to the training median (0 if a column has none), then (x - mean) / population deviation of the imputed training
-    rows plus ``eps``; a constant column becomes 0. Two aggregations of one row, whatever the number of columns."""
+    rows plus ``eps``; a constant column becomes 0. A few passes of one row each, whatever the number of columns."""
     train = df.where(F.col(split) == "train")
-    m = train.agg(*[F.percentile(c, 0.5).alias(c) for c in features]).first()
+    m = {c: v[0] for c, v in column_quantiles(train, features, [0.5]).items()}
     filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(m[c] if m[c] is not None else 0.0))) for c in features})
     if not scale:
         return filled

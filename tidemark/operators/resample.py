@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import all_present, circular_mean
+from ..functions.columns import all_present, circular_mean, fresh
+from .ranks import join_null_safe
 
 
 def floor_minute(time: str) -> Column:
@@ -77,12 +78,27 @@ def grid_gaps(grid: DataFrame, keys: Sequence[str], observed: Column) -> DataFra
     return grid.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum((~F.coalesce(observed, F.lit(False))).cast("long")).alias("gaps"))
 
 
-def fill_both_ways(df: DataFrame, keys: Sequence[str], time: str, column: str) -> DataFrame:
-    """Nulls of a column from the last value before, else the first after, per key."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    before = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(column, F.coalesce(before, after))
+def fill_both_ways(df: DataFrame, keys: Sequence[str], time: str, column: str, step: str = "day") -> DataFrame:
+    """Nulls of a column from the last value before, else the first after, per key.
+
+    Rows are filled within ``step``s (days); what a step takes from others comes from a window over one row a step. Among rows
+    of one time the largest value is the last and the smallest the first; rows without a time stand before all others.
+    """
+    keys = list(keys)
+    part, first, last = fresh(df.columns, "part", "first", "last")
+    rows = df.withColumn(part, F.date_trunc(step, F.col(time)))
+    held = F.when(F.col(column).isNotNull(), F.struct(time, column))
+    ends = rows.groupBy(*keys, part).agg(F.min(held).alias(first), F.max(held).alias(last))
+    along = Window.partitionBy(*keys).orderBy(part)
+    back = Window.partitionBy(*keys).orderBy(F.desc(part))
+    earlier = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))[column]
+    ends = ends.select(*keys, part, earlier(last, along).alias(last), earlier(first, back).alias(first))
+    inside = Window.partitionBy(*keys, part).rowsBetween(Window.unboundedPreceding, 0)
+    known = lambda *order: F.last(column, ignorenulls=True).over(inside.orderBy(*order))
+    rows = rows.withColumns({f"{first}_": known(F.desc(time), F.desc_nulls_last(column)), f"{last}_": known(time, F.asc_nulls_first(column))})
+    filled = join_null_safe(rows, ends, [*keys, part])
+    value = F.coalesce(column, f"{last}_", last, f"{first}_", first)
+    return filled.withColumn(column, value).select(*df.columns)
 
 
 def reduce_satellites(df: DataFrame, time: str, satellite: str, means: Sequence[str] = (), flags: Sequence[str] = (), sums: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import fresh
+from .ranks import join_null_safe, quantiles
+
 SPLITS = ("train", "val", "test")
+#: Parts of names that hint at the future.
 LEAKS = ("target", "future", "lead", "t_plus")
 
 
@@ -76,19 +80,29 @@ def task_table(df: DataFrame, target: str, metadata: Sequence[str], features: Se
 
 
 def task_summary(df: DataFrame, targets: Sequence[str], station: str, time: str, splits: Sequence[str] = SPLITS) -> DataFrame:
-    """Per target and split: rows, stations, first and last time, event rate; splits without rows stand with 0.
+    """Per target and split: rows, stations, first and last time, event rate, mean and nearest-rank 95th percentile of the
+    target (the rate and the mean are one number, as a target is 0 or 1); splits without rows stand with 0.
 
     All targets in one pass: they are stacked as rows, which the aggregation combines before its shuffle.
     """
     stacked = df.select(station, time, "split", F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets])).alias("__s"))
     stacked = stacked.select(station, time, "split", "__s.target", "__s.y").where("y is not null")
     found = stacked.groupBy("target", "split").agg(
-        F.count("*").alias("rows"), F.countDistinct(station).alias("stations"), F.min(time).alias("first"), F.max(time).alias("last"), F.avg("y").alias("event_rate")
+        F.count("*").alias("rows"), F.countDistinct(station).alias("stations"), F.min(time).alias("first"), F.max(time).alias("last"), F.avg("y").alias("event_rate"), F.avg("y").alias("target_mean")
     )
+    high = quantiles(stacked.select("target", "split", "y"), ["target", "split"], "y", {"target_p95": (0.95, "nearest")})
+    found = join_null_safe(found, high, ["target", "split"])
     names = df.sparkSession.createDataFrame([(t, s) for t in targets for s in splits], "target string, split string")
     return names.join(found, ["target", "split"], "left").fillna(0, ["rows", "stations"])
 
 
+def station_summary(df: DataFrame, station: str, label: str, proxy: str, split: str = "split") -> DataFrame:
+    """Per station and split: rows, event rate, mean and sample deviation of a proxy (null for one row); nulls are groups."""
+    return df.groupBy(station, split).agg(
+        F.count("*").alias("rows"), F.avg(label).alias("event_rate"), F.avg(proxy).alias("source_mean"), F.stddev_samp(proxy).alias("source_std")
+    )
+
+
 def label_summary(df: DataFrame, targets: Sequence[str], station: str) -> DataFrame:
     """One row: rows, stations and the event rate of each target."""
     return df.agg(F.count("*").alias("rows"), F.countDistinct(station).alias("stations"), *[F.avg(t).alias(f"{t}_rate") for t in targets])
@@ -100,8 +114,16 @@ def head_rows(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame
 
 
 def seeded_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows (or all), the same for the same seed, whatever the partitioning."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    """Exactly n rows (or all), the same for the same seed, whatever the partitioning: those of the smallest md5 of the key's
+    text and the seed. A first cut by the md5 keeps tasks from sorting and sending more than their share; it takes some more
+    rows than asked, and where the keys crowd so that it took too few, it is left out."""
+    (mark,) = fresh(df.columns, "mark")
+    rows = df.withColumn(mark, F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed))).cast("binary")))
+    total, margin = df.count(), n + 6 * n**0.5 + 20
+    if total > 2 * margin:
+        cut = rows.where(F.col(mark) < f"{int(16**12 * margin / total):012x}")
+        rows = cut if cut.count() >= n else rows
+    return rows.orderBy(mark, *key).limit(n).drop(mark)
 
 
 def stratified_sample(df: DataFrame, stratum: str, fractions: dict, seed: int = 42) -> DataFrame:
