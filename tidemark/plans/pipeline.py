@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import calendar
+from ..functions.columns import calendar, fresh
 from ..functions.derived import add_derived
 from ..operators import blocks, labels, metrics, splits
 from ..operators.asof import Source, fuse
@@ -22,12 +22,15 @@ def fuse_station_minutes(base: DataFrame, station: str, time: str, north: str, e
 
 
 def label_and_derive(fused: DataFrame, station: str, time: str, value: str, training: DataFrame, horizons: Sequence[int] = (30, 60, 120), inputs: dict | None = None) -> DataFrame:
-    """Thresholds frozen on the training rows, forward labels, and the derived families that the columns allow."""
+    """Thresholds frozen on the training rows, forward labels, and the derived families that the columns allow; the lags of
+    these start anew each month, over the rows that kept their labels."""
     frozen = labels.group_thresholds(training, [station], value)
     rows = labels.attach_thresholds(fused, frozen, station)
     rows = labels.forward_labels(rows, [station], time, value, {"p95": "p95", "p99": "p99"}, horizons)
-    dealt = blocks.blocked(rows.drop("p95", "p99"), [station], time, before=15)
-    return blocks.own_rows(add_derived(dealt, blocks.lag([station]), inputs))
+    (month,) = fresh(rows.columns, "month")
+    part = [station, month]
+    dealt = blocks.blocked(rows.drop("p95", "p99").withColumn(month, F.date_trunc("month", F.col(time))), part, time, before=15)
+    return blocks.own_rows(add_derived(dealt, blocks.lag(part), inputs)).drop(month)
 
 
 def tasks(labelled: DataFrame, time: str, metadata: Sequence[str], targets: Sequence[str], ranges: dict | None = None) -> dict[str, DataFrame]:

@@ -241,7 +241,8 @@ SELECT l_orderkey, l_linenumber, d IS NOT NULL AND t IS NOT NULL AS all_valid, d
 def validity_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").withColumns({"d": F.when(F.col("l_discount") != 0.0, F.col("l_discount")), "t": F.when(F.col("l_tax") != 0.0, F.col("l_tax"))})
     d, t = F.col("d"), F.col("t")
-    generation = F.when(F.col("l_returnflag") == "R", "goesr").otherwise("legacy")
+    rows = rows.withColumn("marker", F.when(F.col("l_returnflag") == "R", F.lit(1)))
+    generation = C.generation(rows, ["marker"])
     return rows.select(
         "l_orderkey", "l_linenumber", C.all_present(["d", "t"]).alias("all_valid"), C.any_present(["d", "t"]).alias("any_valid"), C.at_most(rows, "d", 0.05).alias("low"),
         C.flag_valid(d, F.col("l_linenumber"), generation, {"legacy": [0, 1], "goesr": [0, 1, 2]}).alias("flag_valid"), d.isNotNull().alias("has_discount"),
@@ -383,7 +384,8 @@ def thresholds_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events")
 def global_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).agg(F.round(labels.quantile_linear("value", 0.95), 6).alias("p95"), F.count("*").alias("n"))
+    rows = events(spark, sf_dir)
+    return rounded(labels.quantile(rows, "value", 0.95, "p95"), ["p95"], 6).crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
 
 
 def _ahead(h: int) -> str:
@@ -501,12 +503,15 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT 'high' AS target, split, o_custkey, o_orderdate, (o_totalprice > 200000)::INT AS y FROM o WHERE o_orderstatus != 'P' UNION ALL
   SELECT 'top', split, o_custkey, o_orderdate, (o_totalprice > 300000)::INT FROM o),
 n AS (SELECT * FROM (VALUES ('high'), ('top')) a(target), (VALUES ('train'), ('val'), ('test')) b(split)),
-g AS (SELECT target, split, count(*) AS n, count(DISTINCT o_custkey) AS s, min(o_orderdate) AS a, max(o_orderdate) AS b, round(avg(y), 8) AS r FROM t GROUP BY 1, 2)
-SELECT target, split, coalesce(n, 0) AS rows, coalesce(s, 0) AS stations, epoch_us(a) AS first_us, epoch_us(b) AS last_us, r AS event_rate FROM n LEFT JOIN g USING (target, split)
+g AS (SELECT target, split, count(*) AS n, count(DISTINCT o_custkey) AS s, min(o_orderdate) AS a, max(o_orderdate) AS b, round(avg(y), 8) AS r FROM t GROUP BY 1, 2),
+k AS (SELECT target, split, y, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY target, split) AS n FROM t WINDOW w AS (PARTITION BY target, split ORDER BY y)),
+h AS (SELECT target, split, max(y)::DOUBLE AS h FROM k WHERE k = floor((n - 1) * 0.95::DOUBLE + 0.5) GROUP BY ALL)
+SELECT target, split, coalesce(n, 0) AS rows, coalesce(s, 0) AS stations, epoch_us(a) AS first_us, epoch_us(b) AS last_us, r AS event_rate, r AS target_mean, h AS target_p95
+FROM n LEFT JOIN h USING (target, split) LEFT JOIN g USING (target, split)
 """)
 def task_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = splits.task_summary(_tasks(spark, sf_dir), ["high", "top"], "o_custkey", "o_orderdate")
-    return out.select("target", "split", "rows", "stations", us("first").alias("first_us"), us("last").alias("last_us"), F.round("event_rate", 8).alias("event_rate"))
+    return out.select("target", "split", "rows", "stations", us("first").alias("first_us"), us("last").alias("last_us"), *[F.round(c, 8).alias(c) for c in ("event_rate", "target_mean", "target_p95")])
 
 
 @query("""
@@ -530,7 +535,7 @@ def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.head_rows(read(spark, sf_dir, "orders"), ["o_custkey", "o_orderkey"], 1000).select("o_orderkey", "o_totalprice")
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(o_orderkey::VARCHAR || '|42'), o_orderkey LIMIT 1000")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.seeded_sample(read(spark, sf_dir, "orders"), ["o_orderkey"], 1000).select("o_orderkey", "o_totalprice")
 
@@ -813,19 +818,22 @@ def importance_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part").select(F.concat_ws("|", "p_type", "p_brand").alias("feature"), F.col("p_brand").alias("family"), "p_retailprice")
-    return ranking.global_ranking(part, "feature", "family", "p_retailprice")
+    part = read(spark, sf_dir, "part").select(
+        F.concat_ws("|", "p_type", "p_brand").alias("feature"), F.col("p_brand").alias("family"), "p_retailprice", F.floor(F.col("p_retailprice") / 200).alias("score"), F.col("p_size").alias("gain")
+    )
+    return ranking.global_ranking(part, "feature", "family", "score", ["gain", "p_retailprice"], "gain")
 
 
 GLOBAL = """
-WITH t AS (SELECT p_type || '|' || p_brand AS feature, p_brand AS family, count(p_retailprice) AS n_targets, avg(p_retailprice) AS mean_score, quantile_cont(p_retailprice, 0.5) AS median_score, max(p_retailprice) AS max_score FROM part GROUP BY 1, 2),
-k AS (SELECT *, row_number() OVER (ORDER BY mean_score DESC, feature) AS rank FROM t)
+WITH t AS (SELECT p_type || '|' || p_brand AS feature, p_brand AS family, count(*) AS n_targets, avg(floor(p_retailprice / 200)) AS mean_score, quantile_cont(floor(p_retailprice / 200), 0.5) AS median_score, max(floor(p_retailprice / 200))::BIGINT AS max_score,
+  avg(p_size) AS mean_gain, avg(p_retailprice) AS mean_p_retailprice FROM part GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (ORDER BY mean_score DESC, mean_gain DESC, feature) AS rank FROM t)
 """
 
 
-@query(f"{GLOBAL} SELECT feature, family, n_targets, round(mean_score, 5) AS mean_score, round(median_score, 5) AS median_score, max_score, rank::INT AS rank FROM k")
+@query(f"{GLOBAL} SELECT feature, family, n_targets, round(mean_score, 5) AS mean_score, round(median_score, 5) AS median_score, max_score, round(mean_gain, 5) AS mean_gain, round(mean_p_retailprice, 5) AS mean_p_retailprice, rank::INT AS rank FROM k")
 def global_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_ranking(spark, sf_dir), ["mean_score", "median_score"], 5)
+    return rounded(_ranking(spark, sf_dir), ["mean_score", "median_score", "mean_gain", "mean_p_retailprice"], 5)
 
 
 @query(f"{GLOBAL} SELECT family, count(*) AS n_features, round(avg(mean_score), 5) AS mean_score, round(max(mean_score), 5) AS best_score, min(rank)::INT AS best_rank FROM k GROUP BY family")
