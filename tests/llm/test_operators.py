@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,10 +116,10 @@ def plain_repeats(rows, window=50):
     return out
 
 
-@pytest.mark.parametrize("shard_bytes", [None, 300])
-def test_remove_repeats(spark, monkeypatch, shard_bytes):
-    if shard_bytes:  # shards in parts that must merge
-        monkeypatch.setattr(suffix, "SHARD_BYTES", shard_bytes)
+@pytest.mark.parametrize("limits", [{}, {"SHARD_BYTES": 300}, {"SHARD_BYTES": 700, "WARM": 2, "HOT_CONTEXTS": 5}, {"WARM": 1, "HOT_CONTEXTS": 0, "STEP": 1}])
+def test_remove_repeats(spark, monkeypatch, limits):
+    for k, v in limits.items():  # shards that must merge; minimisers whose windows are dealt out
+        monkeypatch.setattr(suffix, k, v)
     rng = random.Random(4)
     line = words_text(rng, 25)
     rows = [(i, f"{words_text(rng, rng.randrange(3, 30))}\n{line[: rng.randrange(40, len(line))]} {words_text(rng, 9)}") for i in range(60)]
@@ -131,6 +132,34 @@ def test_remove_repeats(spark, monkeypatch, shard_bytes):
     assert left == sorted((i or -1, *want[(i, t)]) for i, t in rows)
 
 
+def test_removal_is_what_the_arrays_say(spark, monkeypatch):
+    text = words_text(random.Random(14), 60)
+    df = spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string")
+    assert sorted(r.n_removed for r in suffix.remove_repeats(df).collect()) == [0, *[len(text)] * 4]
+    monkeypatch.setattr(suffix, "merged_least", lambda shards: [np.full(len(x.least), 1 << 40) for x in shards])
+    work = suffix._bucket(50)  # without the merged order nothing goes
+    row = {"bucket": [0, 0], "unit": [1, 2], "marks": [], "lengths": [bytes([60])] * 2, "bytes": [suffix._squeeze(text.encode()[:60])] * 2}
+    row["marks"] = [suffix._squeeze(np.array([d, 9, 0, 0], np.int64).tobytes()) for d in (3, 4)]
+    assert work((), pa.table(row)).num_rows == 0
+    monkeypatch.undo()
+    assert work((), pa.table(row)).column("unit").to_pylist() == [2]
+
+
+def test_merged_shards():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 7):
+        texts = [rng.integers(97, 99, 60 + 20 * k).astype(np.uint8) for k in range(n)]
+        shards = [suffix._Shard(t, np.array([30, len(t) - 30]), np.array([5 * k + 1, 5 * k]), 12) for k, t in enumerate(texts)]
+        least = {}
+        for k, t in enumerate(texts):
+            for doc, part in ((5 * k + 1, t[:30]), (5 * k, t[30:])):
+                for a in range(len(part) - 11):
+                    w = part[a : a + 12].tobytes()
+                    least[w] = min(doc, least.get(w, doc))
+        for shard, low in zip(shards, suffix.merged_least(shards), strict=True):
+            assert [least[w] for w in shard.strings.tolist()] == low.tolist() and sorted(shard.strings.tolist()) == shard.strings.tolist()
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(0)
     for n in (1, 7, 200, 900):

@@ -5,10 +5,17 @@ A byte goes where some ``window``-byte string that covers it also starts in a do
 1. Each window is represented by its minimiser: the least of its ``GRAM``-byte grams under a random order. Equal windows
    have equal minimisers at equal places, so a window whose minimiser occurs in one document only is unique. Per task,
    minimisers collapse to one entry each; their hashes meet in hash buckets, and only those of several documents go on.
-2. Every shared minimiser sends its context (the bytes that its windows can span) to the shard of its hash, equal contexts
-   collapsed. A shard builds suffix arrays by Larsson-Sadakane refinement, takes common prefixes by Kasai's rule, and so
-   groups equal windows; a shard larger than ``SHARD_BYTES`` is built in parts whose sorted windows merge by binary search.
-3. Windows whose group starts in a smaller document go back to their documents as intervals.
+2. Every shared minimiser sends its contexts (the bytes that its windows can span) to the bucket of its hash, each context of a
+   unit of documents once, beside the places where it stands. There, units are shards of ``SHARD_BYTES``: each shard builds its
+   suffix array by Larsson-Sadakane refinement, takes common prefixes by Kasai's rule and so has its distinct windows in order,
+   with the smallest document of each. Shards merge in pairs by binary search of the one's windows among the other's.
+3. Windows whose smallest document is smaller than theirs go back to their documents as intervals.
+
+Contexts count as equal only where their bytes are, and what is removed is decided by the merged order alone.
+
+A minimiser in more than ``HOT_CONTEXTS`` different surroundings would fill one bucket. Its windows are then dealt by where the
+minimiser stands in them, ``STEP`` places together, and by the bytes that all windows of those places share; equal windows agree
+in both, so each still meets all its equals, in a bucket of their own.
 """
 
 from __future__ import annotations
@@ -26,8 +33,13 @@ from . import _text
 
 WINDOW = 50
 GRAM = 16
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 19
 SLICE = 1 << 19
+#: Different surroundings of a minimiser: in one unit, from which on they are counted; in all, from which on they are dealt out.
+WARM, HOT_CONTEXTS = 8, 20_000
+STEP = 5
+#: Bytes of text of a unit and a bucket; both grow with the input, so that the rows between them do not outgrow it.
+UNIT_BYTES, MOST_UNIT_BYTES = 8 << 20, 32 << 20
 
 
 # ---------------------------------------------------------------------------------------------- suffix arrays in numpy
@@ -43,7 +55,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     padded = np.zeros(n + 8, np.uint8)
     padded[:n] = text
     head = np.lib.stride_tricks.as_strided(padded[:8].view(">u8"), (n,), (1,)).astype(np.uint64)
-    order = np.argsort(head, kind="stable")
+    order = np.argsort(head)
     sorted_head = head[order]
     new = np.ones(n, bool)
     new[1:] = sorted_head[1:] != sorted_head[:-1]
@@ -60,7 +72,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         group = rank[suffix]
         further = suffix + h
         key = np.where(further < n, rank[np.minimum(further, n - 1)] + 1, 0)
-        again = np.lexsort((key, group))
+        again = np.argsort(group * (n + 1) + key)
         order[open_at] = suffix = suffix[again]
         group, key = group[again], key[again]
         split = np.ones(len(again), bool)
@@ -176,19 +188,31 @@ def _unit(table: pa.Table, window: int) -> Iterator[tuple[np.ndarray, ...]]:
             yield data, h, ids[lo + row], tags[row], first, last, best, offsets[row]
 
 
-#: A key is a bucket number and, below it, so many bits of hash.
-LOW_BITS = np.uint64(46)
-MAX_BUCKETS = 1 << 18
+def _surroundings(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number made of the 16 bytes before and after the gram at each position; the text's ends count as 0."""
+    n = len(data)
+    padded = np.zeros(n + 2 * GRAM + 24, np.uint8)
+    padded[16 : 16 + n] = data
+    word = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (n + 2 * GRAM + 16,), (1,))
+    out = np.zeros(len(at), np.uint64)
+    for k in (0, 8, 16 + GRAM, 24 + GRAM):
+        out = _text.mix(out * np.uint64(_text.MULT) + word[at + k])
+    return out
+
+
+def _low_bits(buckets: int) -> np.uint64:
+    """A key is a bucket number and, below it, so many bits of hash; two hashes that agree in them only cost some work."""
+    return np.uint64(min(48, 64 - (buckets - 1).bit_length()))
 
 
 def _keys(h: np.ndarray, buckets: int) -> np.ndarray:
-    low = h & ((np.uint64(1) << LOW_BITS) - np.uint64(1))
-    return ((_text.mix(h) % np.uint64(buckets)) << LOW_BITS) | low
+    bits = _low_bits(buckets)
+    return ((_text.mix(h) % np.uint64(buckets)) << bits) | (h & ((np.uint64(1) << bits) - np.uint64(1)))
 
 
-def _pack48(keys: np.ndarray) -> bytes:
+def _pack48(keys: np.ndarray, buckets: int) -> bytes:
     """The hash bits of keys, six bytes each."""
-    keys = keys & ((np.uint64(1) << LOW_BITS) - np.uint64(1))
+    keys = keys & ((np.uint64(1) << _low_bits(buckets)) - np.uint64(1))
     return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
@@ -199,58 +223,75 @@ def _unpack48(blob: bytes) -> np.ndarray:
 
 
 def _spread(window: int, buckets: int):
-    """A unit's minimisers, one entry each, by hash bucket: bytes of the hashes and a bit that says more than one document."""
+    """A unit's minimisers, one entry each, by hash bucket: bytes of the hashes, a bit that says more than one document, and
+    the places and numbers of those in many different surroundings."""
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for _, h, doc, *_ in _unit(table.select(["doc_id", "text"]), window):
+        keys, docs, around = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for data, h, doc, _, _, _, best, _ in _unit(table.select(["doc_id", "text"]), window):
             keys.append(_keys(h, buckets))
             docs.append(doc)
-        keys, docs = np.concatenate(keys), np.concatenate(docs)
-        order = np.argsort(keys)
-        keys, docs = keys[order], docs[order]
+            around.append(_surroundings(data, best))
+        keys, docs, around = np.concatenate(keys), np.concatenate(docs), np.concatenate(around)
+        order = np.lexsort((around, keys))
+        keys, docs, around = keys[order], docs[order], around[order]
         start, _ = _cuts(keys)
+        new = np.ones(len(keys), np.int64)
+        new[1:] = (keys[1:] != keys[:-1]) | (around[1:] != around[:-1])
         many = np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start) if len(start) else np.zeros(0, bool)
+        kinds = np.add.reduceat(new, start) if len(start) else np.zeros(0, np.int64)
         keys = keys[start]
-        bucket = (keys >> LOW_BITS).astype(np.int32)
+        bucket = (keys >> _low_bits(buckets)).astype(np.int32)
         cuts, ends = _cuts(bucket)
+        warm = [np.flatnonzero(kinds[a:b] >= WARM) for a, b in zip(cuts, ends, strict=True)]
         return pa.table(
             {
                 "bucket": pa.array(bucket[cuts], pa.int32()),
                 "unit": pa.array(np.full(len(cuts), key[0].as_py(), np.int32)),
-                "keys": pa.array([_pack48(keys[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+                "keys": pa.array([_pack48(keys[a:b], buckets) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
                 "many": pa.array([np.packbits(many[a:b]).tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+                "warm": pa.array([np.stack([w, kinds[a + w]]).astype(np.int32).tobytes() for a, w in zip(cuts, warm, strict=True)], pa.binary()),
             }
         )
 
     return work
 
 
-def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """One hash bucket: each unit gets back those of its minimisers that several documents hold."""
-    parts = [_unpack48(x.as_py()) for x in table["keys"]]
-    many = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)).astype(bool) for x, p in zip(table["many"], parts, strict=True)]
-    keys, flag = np.concatenate(parts), np.concatenate(many)
-    unit = np.repeat(table["unit"].to_numpy(), [len(p) for p in parts])
-    order = np.lexsort((unit, keys))
-    keys, flag, unit = keys[order], flag[order], unit[order]
-    start, end = _cuts(keys)
-    shared = np.repeat((end - start > 1) | np.logical_or.reduceat(flag, start), end - start)
-    keys, unit = keys[shared], unit[shared]
-    order = np.argsort(unit, kind="stable")
-    keys, unit = keys[order], unit[order]
-    cuts, ends = _cuts(unit)
-    return pa.table(
-        {
-            "unit": pa.array(unit[cuts], pa.int32()),
-            "bucket": pa.array(np.full(len(cuts), key[0].as_py(), np.int32)),
-            "keys": pa.array([_pack48(keys[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-        }
-    )
+def _meet(buckets: int):
+    """One hash bucket: each unit gets back those of its minimisers that several documents hold, and which of them are hot."""
+
+    def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        parts = [_unpack48(x.as_py()) for x in table["keys"]]
+        many = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)).astype(bool) for x, p in zip(table["many"], parts, strict=True)]
+        kinds = [np.ones(len(p), np.int64) for p in parts]
+        for x, k in zip(table["warm"], kinds, strict=True):
+            at, n = np.frombuffer(x.as_py(), np.int32).reshape(2, -1)
+            k[at] = n
+        keys, flag, kinds = np.concatenate(parts), np.concatenate(many), np.concatenate(kinds)
+        unit = np.repeat(table["unit"].to_numpy(), [len(p) for p in parts])
+        order = np.lexsort((unit, keys))
+        keys, flag, kinds, unit = keys[order], flag[order], kinds[order], unit[order]
+        start, end = _cuts(keys)
+        shared = np.repeat((end - start > 1) | np.logical_or.reduceat(flag, start), end - start)
+        hot = np.repeat(np.add.reduceat(kinds, start) > HOT_CONTEXTS, end - start)
+        keys, unit, hot = keys[shared], unit[shared], hot[shared]
+        order = np.argsort(unit, kind="stable")
+        keys, unit, hot = keys[order], unit[order], hot[order]
+        cuts, ends = _cuts(unit)
+        return pa.table(
+            {
+                "unit": pa.array(unit[cuts], pa.int32()),
+                "bucket": pa.array(np.full(len(cuts), key[0].as_py(), np.int32)),
+                "keys": pa.array([_pack48(keys[a:b], buckets) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+                "hot": pa.array([np.flatnonzero(hot[a:b]).astype(np.int32).tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+            }
+        )
+
+    return work
 
 
 MARKS = "unit int, marks binary"
-CONTEXTS = f"shard int, {MARKS}, gram binary, bytes binary"
+CONTEXTS = f"bucket int, {MARKS}, lengths binary, bytes binary"
 
 
 def _cuts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,15 +318,61 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.stack([np.cumsum(doc), tag, lo, lo + size])
 
 
+def _gather(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The spans of a text, one after the other."""
+    to = np.cumsum(length) - length
+    return text[np.arange(length.sum()) - np.repeat(to, length) + np.repeat(start, length)]
+
+
+def _equals(text: np.ndarray, start: np.ndarray, length: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """For each span, the first one found that agrees in the keys and in every byte, or itself; the first of a class is its own."""
+    order = np.lexsort(keys)
+    head = np.ones(len(order), bool)
+    head[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    mine, other = order[~head], first[~head]
+    fits = length[mine] == length[other]
+    mine, other = mine[fits], other[fits]
+    same = np.zeros(len(mine), bool)
+    for lo in range(0, len(mine), 100_000):
+        m, o = mine[lo : lo + 100_000], other[lo : lo + 100_000]
+        n = length[m]
+        if len(m):
+            same[lo : lo + 100_000] = np.logical_and.reduceat(_gather(text, start[m], n) == _gather(text, start[o], n), np.cumsum(n) - n)
+    out = np.arange(len(start))
+    out[mine[same]] = other[same]
+    return out
+
+
+def _dealt(window: int, buckets: int, data, h, first, last, best, hot):
+    """Runs of windows as they travel: ``(row, key, first window, last window)``; those of hot minimisers by where it stands."""
+    cold = np.flatnonzero(~hot)
+    out = [(cold, _keys(h[cold], buckets), first[cold], last[cold])]
+    i = np.flatnonzero(hot)
+    for a in range(0, window - GRAM + 1, STEP) if len(i) else ():
+        b = min(a + STEP - 1, window - GRAM)
+        lo, hi = np.maximum(first[i], best[i] - b), np.minimum(last[i], best[i] - a)
+        some = np.flatnonzero(lo <= hi)
+        j = i[some]
+        common = _text.span_hashes(data, best[j] - a, best[j] - b + window)
+        out.append((j, _keys(_text.mix(h[j] ^ _text.mix(common + np.uint64(a + 1))), buckets), lo[some], hi[some]))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
 def _contexts(window: int, buckets: int):
-    """A unit's shared windows: copies inside the unit are decided here, one entry for each distinct context goes on."""
+    """A unit's shared windows by bucket: each distinct context once, and every place where one stands."""
 
     def work(key: tuple[pa.Scalar, ...], docs: pa.Table, reply: pa.Table) -> pa.Table:
         rows: list[tuple] = []
-        unit = key[0].as_py()
+        unit, bits = key[0].as_py(), _low_bits(buckets)
         if reply.num_rows:
-            shared = np.concatenate([(np.uint64(b.as_py()) << LOW_BITS) | _unpack48(k.as_py()) for b, k in zip(reply["bucket"], reply["keys"], strict=True)])
-            shared.sort()
+            shared = [(np.uint64(b.as_py()) << bits) | _unpack48(k.as_py()) for b, k in zip(reply["bucket"], reply["keys"], strict=True)]
+            heat = [np.zeros(len(k), bool) for k in shared]
+            for x, k in zip(reply["hot"], heat, strict=True):
+                k[np.frombuffer(x.as_py(), np.int32)] = True
+            shared, heat = np.concatenate(shared), np.concatenate(heat)
+            order = np.argsort(shared)
+            shared, heat = shared[order], heat[order]
             found, pieces = [], []
             for data, h, doc, tag, first, last, best, begin in _unit(docs.select(["doc_id", "text"]), window):
                 k = _keys(h, buckets)
@@ -293,137 +380,132 @@ def _contexts(window: int, buckets: int):
                 use = np.flatnonzero(shared[at] == k)
                 if not len(use):
                     continue
-                lo, hi = first[use], last[use] + window
-                ctx = _text.span_hashes(data, lo, hi) ^ _text.mix(h[use])
-                found.append((k[use], ctx, doc[use], tag[use], lo - begin[use], hi - begin[use], (best[use] - lo).astype(np.uint8)))
-                length = hi - lo
-                to = np.cumsum(length) - length
-                pieces.append(data[np.arange(length.sum()) - np.repeat(to, length) + np.repeat(lo, length)])
+                row, k, lo, hi = _dealt(window, buckets, data, h[use], first[use], last[use], best[use], heat[at[use]])
+                row, hi = use[row], hi + window
+                found.append((k, _text.span_hashes(data, lo, hi), doc[row], tag[row], lo - begin[row], hi - lo))
+                pieces.append(_gather(data, lo, hi - lo))
             if found:
-                k, ctx, doc, tag, lo, hi, gram = (np.concatenate(x) for x in zip(*found, strict=True))
+                k, ctx, doc, tag, lo, length = (np.concatenate(x) for x in zip(*found, strict=True))
                 text = np.concatenate(pieces)
-                start = np.cumsum(hi - lo) - (hi - lo)
-                order = np.lexsort((doc, ctx, k))
-                head = np.ones(len(order), bool)
-                head[1:] = ctx[order][1:] != ctx[order][:-1]
-                best = doc[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-                over = order[doc[order] > best]  # a smaller document of this unit has the same windows
-                if len(over):
-                    over = over[np.lexsort((lo[over], doc[over]))]
-                    rows.append((unit % buckets, unit, _pack(doc[over], tag[over], lo[over], hi[over]), None, None))
-                same = order[doc[order] == best]  # a document may hold a context several times
-                bucket = (k[same] >> LOW_BITS).astype(np.int64)
-                for a, b in zip(*_cuts(bucket), strict=True):
-                    i = same[a:b]
-                    i = i[np.lexsort((lo[i], doc[i]))]
-                    length = hi[i] - lo[i]
-                    to = np.cumsum(length) - length
-                    part = text[np.arange(length.sum()) - np.repeat(to, length) + np.repeat(start[i], length)]
-                    rows.append((int(bucket[a]), unit, _pack(doc[i], tag[i], lo[i], hi[i]), gram[i].tobytes(), _squeeze(part.tobytes())))
-        names = ["shard", "unit", "marks", "gram", "bytes"]
+                start = np.cumsum(length) - length
+                rep = _equals(text, start, length, ctx, k)
+                bucket = (k >> bits).astype(np.int64)
+                order = np.lexsort((lo, doc, bucket))
+                for a, b in zip(*_cuts(bucket[order]), strict=True):
+                    i = order[a:b]
+                    own, at, number = np.unique(rep[i], return_index=True, return_inverse=True)
+                    turn = np.argsort(at)
+                    place = np.empty(len(own), np.int64)
+                    place[turn] = np.arange(len(own))
+                    own = own[turn]
+                    marks = np.concatenate([np.diff(doc[i], prepend=0), tag[i], lo[i], np.diff(place[number], prepend=0)])
+                    bytes_of = _gather(text, start[own], length[own])
+                    rows.append((int(bucket[i[0]]), unit, _squeeze(marks.astype(np.int64).tobytes()), length[own].astype(np.uint8).tobytes(), _squeeze(bytes_of.tobytes())))
+        names = ["bucket", "unit", "marks", "lengths", "bytes"]
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 3]
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
     return work
 
 
-class _Part:
-    """Sorted windows of some contexts, each distinct window with its smallest document."""
+class _Shard:
+    """The distinct windows of a shard's contexts in order (``strings``), each with its smallest document (``least``).
+
+    ``of`` leads from the windows of the contexts, one after the other, to the distinct ones.
+    """
 
-    def __init__(self, text: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray, window: int) -> None:
+    def __init__(self, text: np.ndarray, length: np.ndarray, doc: np.ndarray, window: int) -> None:
+        start = np.cumsum(length) - length
         windows = length - window + 1
-        self.owner = np.repeat(np.arange(len(start)), windows)
-        offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = start[self.owner] + offset
+        owner = np.repeat(np.arange(len(start)), windows)
+        at = start[owner] + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
         number = np.full(len(text), -1, np.int64)
         number[at] = np.arange(len(at))
         order, group = window_groups(text, at, window)
         slot = number[order]
-        head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        self.least = np.minimum.reduceat(doc[self.owner[slot]], head)
+        new = np.append(True, group[1:] != group[:-1])
+        head = np.flatnonzero(new)
+        self.least = np.minimum.reduceat(doc[owner[slot]], head)
         self.of = np.empty(len(at), np.int64)
-        self.of[slot] = np.cumsum(np.append(True, group[1:] != group[:-1])) - 1
+        self.of[slot] = np.cumsum(new) - 1
         rows = np.lib.stride_tricks.sliding_window_view(text, window)[order[head]]
         self.strings = np.ascontiguousarray(rows).view(f"S{window}").ravel()
-        self.offset = offset
 
-    def merge(self, other: _Part) -> None:
-        """Smallest documents of windows that both parts hold, found by binary search of the sorted windows."""
-        at = np.minimum(np.searchsorted(self.strings, other.strings), len(self.strings) - 1)
-        both = np.flatnonzero(self.strings[at] == other.strings)
-        low = np.minimum(self.least[at[both]], other.least[both])
-        self.least[at[both]] = low
-        other.least[both] = low
 
+def merged_least(shards: list[_Shard]) -> list[np.ndarray]:
+    """For every shard, the smallest document of each of its distinct windows in any shard.
+
+    Neighbours merge in pairs until one order is left: each window of the one is looked up among the other's by binary search,
+    and those not there are put in their places.
+    """
+    level = [(x.strings, x.least, [(n, np.arange(len(x.strings)))]) for n, x in enumerate(shards)]
+    while len(level) > 1:
+        above = [level[-1]] if len(level) % 2 else []
+        for (a, low_a, from_a), (b, low_b, from_b) in zip(level[0::2], level[1::2], strict=False):
+            at = np.searchsorted(a, b)
+            both = a[np.minimum(at, len(a) - 1)] == b
+            add = np.flatnonzero(~both)
+            move_a = np.arange(len(a)) + np.cumsum(np.bincount(at[add], minlength=len(a) + 1))[: len(a)]
+            move_b = np.empty(len(b), np.int64)
+            move_b[add] = at[add] + np.arange(len(add))
+            move_b[both] = move_a[at[both]]
+            low = np.insert(low_a, at[add], low_b[add])
+            met = move_b[both]
+            low[met] = np.minimum(low[met], low_b[both])
+            above.append((np.insert(a, at[add], b[add]), low, [*((n, move_a[x]) for n, x in from_a), *((n, move_b[x]) for n, x in from_b)]))
+        level = above
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(shards)
+    for _, low, parts in level:
+        for n, x in parts:
+            out[n] = low[x]
+    return out
+
+
+def _bucket(window: int):
+    """One bucket: its contexts by shards of documents, the shards merged, and every place judged by the merged order."""
 
-def _shard(window: int):
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        entries, units, grams, pieces = [], [], [], []
-        for r in table.to_pylist():
-            if r["gram"] is None:
-                out.append((r["unit"], r["marks"]))
-                continue
-            entries.append(_unpack(r["marks"]))
-            units.append(np.full(entries[-1].shape[1], r["unit"], np.int64))
-            grams.append(np.frombuffer(r["gram"], np.uint8))
-            pieces.append(np.frombuffer(_open(r["bytes"]), np.uint8))
-        if entries:
-            doc, tag, lo, hi = np.concatenate(entries, axis=1)
-            unit, text = np.concatenate(units), np.concatenate(pieces)
-            length = hi - lo
-            start = np.cumsum(length) - length
-            h = gram_hashes(text, start + np.concatenate(grams))
-            ctx = _text.span_hashes(text, start, start + length)
-            order = np.lexsort((doc, ctx, h))
-            head = np.ones(len(order), bool)
-            head[1:] = (ctx[order][1:] != ctx[order][:-1]) | (h[order][1:] != h[order][:-1])
-            heads = np.flatnonzero(head)
-            which = np.cumsum(head) - 1  # distinct context of each sorted entry
-            least = doc[order[heads]]
-            whole = doc[order] > least[which]
-            marks = [np.stack([unit, doc, tag, lo, hi])[:, order[whole]]]
-            # contexts that share a minimiser with another, different context
-            hh = h[order[heads]]
-            alone = np.append(True, hh[1:] != hh[:-1]) & np.append(hh[1:] != hh[:-1], True)
-            unsure = np.flatnonzero(~alone)
-            cuts, total = [0], 0
-            for n, i in enumerate(unsure):
-                total += int(length[order[heads[i]]])
-                if total > SHARD_BYTES:
-                    cuts.append(n + 1)
-                    total = 0
-            cuts = [*dict.fromkeys([*cuts, len(unsure)])]
-            parts: list[tuple[_Part, np.ndarray]] = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                which_ctx = unsure[a:b]
-                entry = order[heads[which_ctx]]
-                n = length[entry]
-                to = np.cumsum(n) - n
-                sub = text[np.arange(n.sum()) - np.repeat(to, n) + np.repeat(start[entry], n)]
-                part = _Part(sub, to, n, least[which_ctx], window)
-                for before, earlier in reversed(parts):
-                    if hh[earlier[-1]] != hh[which_ctx[0]]:
-                        break
-                    before.merge(part)
-                parts.append((part, which_ctx))
-            for part, which_ctx in parts:
-                low = part.least[part.of]
-                gone = np.flatnonzero(low < least[which_ctx][part.owner])
-                if len(gone):
-                    # every entry that has the least document of its context holds these windows
-                    c = which_ctx[part.owner[gone]]
-                    off = part.offset[gone]
-                    n_same = np.add.reduceat((~whole).astype(np.int64), heads)
-                    times = n_same[c]
-                    e = order[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(heads[c], times)]
-                    s = lo[e] + np.repeat(off, times)
-                    marks.append(np.stack([unit[e], doc[e], tag[e], s, s + window]))
-            m = np.concatenate(marks, axis=1)
-            m = m[:, np.lexsort((m[3], m[2], m[1], m[0]))]
-            for a, b in zip(*_cuts(m[0]), strict=True):
-                u, d, t, x, y = _runs(m[:, a:b])
-                out.append((int(u[0]), _pack(d, t, x, y)))
+        places, units, sizes, pieces, base = [], [], [], [], 0
+        for row in range(table.num_rows):
+            doc, tag, lo, c = np.frombuffer(_open(table["marks"][row].as_py()), np.int64).reshape(4, -1)
+            places.append(np.stack([np.cumsum(doc), tag, lo, np.cumsum(c) + base]))
+            units.append(np.full(len(doc), table["unit"][row].as_py(), np.int64))
+            sizes.append(np.frombuffer(table["lengths"][row].as_py(), np.uint8).astype(np.int64))
+            pieces.append(np.frombuffer(_open(table["bytes"][row].as_py()), np.uint8))
+            base += len(sizes[-1])
+        doc, tag, lo, c = np.concatenate(places, axis=1)
+        unit, length, text = np.concatenate(units), np.concatenate(sizes), np.concatenate(pieces)
+        start = np.cumsum(length) - length
+        own, c_of = np.unique(_equals(text, start, length, _text.span_hashes(text, start, start + length)), return_inverse=True)
+        c = c_of[c]  # of the place, its distinct context
+        length, start = length[own], start[own]
+        order = np.argsort(c, kind="stable")
+        unit, doc, tag, lo, c = unit[order], doc[order], tag[order], lo[order], c[order]
+        least = np.minimum.reduceat(doc, _cuts(c)[0])
+        cuts, _ = _cuts((np.cumsum(length) - length) // SHARD_BYTES)
+        cuts = [*cuts, len(length)]
+        shards = [_Shard(_gather(text, start[a:b], length[a:b]), length[a:b], least[a:b], window) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        low = np.concatenate([x[shard.of] for x, shard in zip(merged_least(shards), shards, strict=True)])
+        windows = length - window + 1
+        begin = np.cumsum(windows) - windows
+        top, bottom = np.maximum.reduceat(low, begin), np.minimum.reduceat(low, begin)
+        whole = np.flatnonzero(doc > top[c])
+        marks = [np.stack([unit[whole], doc[whole], tag[whole], lo[whole], lo[whole] + length[c[whole]]])]
+        part = np.flatnonzero((doc <= top[c]) & (doc > bottom[c]))
+        for a in range(0, len(part), 50_000):
+            e = part[a : a + 50_000]
+            n = windows[c[e]]
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            e = np.repeat(e, n)
+            gone = np.flatnonzero(low[begin[c[e]] + offset] < doc[e])
+            e, at = e[gone], lo[e[gone]] + offset[gone]
+            marks.append(np.stack([unit[e], doc[e], tag[e], at, at + window]))
+        m = np.concatenate(marks, axis=1)
+        m = m[:, np.lexsort((m[3], m[2], m[1], m[0]))]
+        out = []
+        for a, b in zip(*_cuts(m[0]), strict=True):
+            u, d, t, x, y = _runs(m[:, a:b])
+            out.append((int(u[0]), _pack(d, t, x, y)))
         names, kinds = ["unit", "marks"], [pa.int32(), pa.binary()]
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
@@ -478,18 +560,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (remaining bytes; a character cut in two is left out of the text, never of the digest).
 
     A null or short text has nothing removed; a null id neither causes nor suffers removal; rows that repeat an id do not
-    remove from each other. Each row of the input gives one row, an empty table none; other columns are not read.
+    remove from each other. Each row of the input gives one row, an empty table none; other columns are not read. A very long
+    text is one row of its unit, where slices of whole texts are worked on in turn.
     """
-    if window < GRAM + 8:
-        raise ValueError(f"windows must have {GRAM + 8} bytes or more")
-    bytes_in = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    units = min(1 << 22, max(8, bytes_in >> 22))
-    buckets = min(MAX_BUCKETS, max(16, bytes_in >> 20))
+    if window < GRAM + 8 or window + window - GRAM > 255:
+        raise ValueError(f"windows must have {GRAM + 8} to {(255 + GRAM) // 2} bytes")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = base.withColumn("unit", F.pmod(F.xxhash64("doc_id"), F.lit(units)).cast("int"))
-    spread = base.groupBy("unit").applyInArrow(_spread(window, buckets), "bucket int, unit int, keys binary, many binary")
-    reply = spread.groupBy("bucket").applyInArrow(_meet, "unit int, bucket int, keys binary")
+    bytes_in = base.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    size = UNIT_BYTES
+    while size < MOST_UNIT_BYTES and bytes_in > size * 20_000:
+        size *= 2
+    units, buckets = max(8, bytes_in // size), max(16, 4 * bytes_in // size)
+    base = base.withColumn("unit", F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)).cast("int"))
+    spread = base.groupBy("unit").applyInArrow(_spread(window, buckets), "bucket int, unit int, keys binary, many binary, warm binary")
+    reply = spread.groupBy("bucket").applyInArrow(_meet(buckets), "unit int, bucket int, keys binary, hot binary")
     contexts = base.groupBy("unit").cogroup(reply.groupBy("unit")).applyInArrow(_contexts(window, buckets), CONTEXTS)
-    marks = contexts.groupBy("shard").applyInArrow(_shard(window), MARKS)
+    marks = contexts.groupBy("bucket").applyInArrow(_bucket(window), MARKS)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     return base.groupBy("unit").cogroup(marks.groupBy("unit")).applyInArrow(_finish(with_text), schema).withColumnRenamed("doc_id", id_col)
