@@ -1,18 +1,64 @@
-"""Connected components by alternating large-star and small-star rounds, entirely in DataFrames."""
+"""Connected components by alternating large-star and small-star rounds in DataFrames, the last of a small graph in one task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import forget, materialise
 
+#: A graph of at most so many edges (of 16 bytes) is finished by one task.
+SMALL_EDGES = 100_000
+#: Hubs, at most so many, have their minima broadcast in place of a shuffle by vertex.
+HUBS, LEAST_HUB = 4096, 1000
+
+
+def hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the classes of linked positions; a label is the smallest position of its class."""
+    while len(i):
+        a, b = label[i], label[j]
+        d = a != b
+        i, j, a, b = i[d], j[d], a[d], b[d]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            further = label[label]
+            if (further == label).all():
+                break
+            label[:] = further
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [np.stack([b.column(k).to_numpy() for k in (0, 1)]) for b in batches if b.num_rows]
+    if parts:
+        ids, at = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+        u, v = at.reshape(2, -1)
+        label = np.arange(len(ids))
+        hook(label, u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], names=["v", "root"])
+
+
+def _with_minima(rows: DataFrame, low: DataFrame, edges: int) -> DataFrame:
+    """``rows`` (u, v) with the minimum m of their vertex u, from ``low`` (u, n, m).
+
+    Vertices of more than ``LEAST_HUB`` and a ``HUBS``-th part of all edges, at most ``2 * HUBS`` of them, are joined by a
+    broadcast; those left have few edges each, so no task of the shuffled join holds more than a sliver of them.
+    """
+    hub = max(LEAST_HUB, edges // HUBS)
+    hubs = F.broadcast(low.where(F.col("n") > hub).select("u", "m"))
+    rest = rows.join(hubs, "u", "left_anti").join(low.where(F.col("n") <= hub).select("u", "m"), "u")
+    return rows.join(hubs, "u").unionByName(rest)
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(v, root)`` for every vertex of ``edges``; root is the smallest vertex reachable.
 
-    A round only takes minima per vertex (combined before the shuffle) and joins them back, so a hub with a third of all
-    edges is never gathered. Each round is written to the shared folder; vertices without edges do not appear.
+    A round only takes minima per vertex (combined before the shuffle) and joins them back, hubs by a broadcast of their minima,
+    so a hub with a third of all edges is never gathered. Each round is written to the shared folder; vertices without edges do
+    not appear. Once there are no more than ``SMALL_EDGES`` edges, one task finishes them.
     """
     spark = edges.sparkSession
     e = materialise(
@@ -21,15 +67,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     seen = None
     for _ in range(max_rounds):
         mark = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if mark["n"] <= SMALL_EDGES:
+            return e.coalesce(1).mapInArrow(_finish, "v long, root long")
         if mark == seen:
             break
         seen = mark
+        minima = lambda rows: rows.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = minima(both).select("u", "n", F.least("u", "m").alias("m"))
+        large = _with_minima(both, low, 2 * mark["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        low = minima(large)
         small = (
-            large.join(low, "u")
+            _with_minima(large, low, mark["n"])
             .where("v > m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))

@@ -3,9 +3,11 @@
 1. One scan shingles every whole text into a set of 64-bit shingle hashes and draws ``COORDINATES`` minwise tokens.
 2. Equal sets collapse to their smallest doc_id, so copies never meet each other.
 3. ``TREES`` independent trees branch the rest by one minwise token a level. A node of at most ``LEAF`` documents is
-   compared exhaustively; a larger one branches again, at most ``DEPTH`` times. A pair of similarity 0.75 misses the first
-   level of all 16 trees with probability 0.25**16. Inside a node, minwise sketches only discard pairs that agree in fewer
-   than ``AGREE`` of 64 coordinates (over five standard deviations below what similarity 0.75 gives).
+   compared exhaustively; a larger one branches again, at most ``DEPTH`` times. A pair of similarity s that meets in nodes of
+   level k misses a tree with probability 1 - s**k: at 0.75 it misses all 24 trees with probability 0.25**24 if small nodes part
+   it from others at once, and (1 - 0.75**4)**24, about 0.0001, if it always stands among many that resemble it. Inside a node,
+   minwise sketches only discard pairs that agree in fewer than ``AGREE`` of 96 coordinates (over five standard deviations below
+   what similarity 0.75 gives).
 4. The surviving candidates form loose groups; each document's full set travels once, to its group, where similarity is
    counted exactly and unions skip pairs that are linked already. A group over ``GROUP_SHINGLES`` or ``GROUP_DOCS`` is dealt
    to random blocks of bounded size, several times; what the blocks leave apart is compared with every member, in blocks.
@@ -25,10 +27,10 @@ from ._graph import components
 from ._shared import materialise
 
 SHINGLE = 5
-TREES, DEPTH = 16, 4
+TREES, DEPTH = 24, 4
 COORDINATES = TREES * DEPTH
 LEAF = 32
-AGREE = 30
+AGREE = 50
 GROUP_SHINGLES, GROUP_DOCS = 4_000_000, 4_000
 BLOCK_ROUNDS = 3
 SALTS = 32
@@ -267,17 +269,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     solid = sig.where("n_shingles > 0 and doc_id is not null")
     firsts = solid.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     keys = ["doc_id", "fp1", "fp2", "n_shingles"]
-    # a set may have copies without number: its copies are dealt to SALTS tasks, each of which gets the set's first document
-    several = firsts.where("last > rep").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("last")
+    # a set may have copies without number: its copies are dealt to SALTS tasks, each of which gets the set's root
+    several = firsts.where("last > rep").drop("last")
     salted = solid.select(*keys, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    copies = salted.join(several, ["fp1", "fp2", "n_shingles", "salt"]).where("doc_id != rep")
     reps = firsts.drop("last").withColumnRenamed("rep", "doc_id").join(solid, keys).dropDuplicates(keys)
 
     candidates = materialise(_candidates(reps), "candidates")
     loose = components(candidates)
     links = _confirmed(spark, base, sig, loose, num, den)
-    same = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.unionByName(same))
+    # ids of several sets tie those sets together; copies are told their set's root afterwards and are no part of the graph
+    each = F.struct(*keys[1:])
+    torn = solid.groupBy("doc_id").agg(F.min(each).alias("a"), F.max(each).alias("b")).where("a != b").select("doc_id")
+    ties = solid.join(torn, "doc_id").join(firsts, keys[1:]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = materialise(components(links.unionByName(ties)), "components")
+    rooted = several.join(found.withColumnRenamed("v", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    copies = salted.join(rooted.select(*keys[1:], "rep", "root", salts), [*keys[1:], "salt"]).where("doc_id != rep")
+    found = found.unionByName(copies.select(F.col("doc_id").alias("v"), "root")).distinct()
     return (
         sig.select("doc_id", "n_shingles")
         .join(found.withColumnRenamed("v", "doc_id"), "doc_id", "left")
