@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, licenses, minhash, mixing, preferences, quality, secrets, suffix, tokens, vectors
+from tidemark.llm import _graph
 from tidemark.llm._graph import components
 from tidemark.llm.queries import tokenizer_path
 
@@ -90,7 +91,10 @@ def test_near_duplicates(docs, monkeypatch, limits):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root[r.doc_id], root[r.doc_id] == r.doc_id)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("limits", [{}, {"SMALL_EDGES": 0}, {"SMALL_EDGES": 0, "LEAST_HUB": 3, "HUBS": 40}])
+def test_components(spark, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(_graph, k, v)
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(900, 900 + k) for k in range(1, 50)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
@@ -98,6 +102,31 @@ def test_components(spark):
     assert got == want
 
 
+def test_recall_of_the_trees(spark):
+    """Pairs just over the threshold, all of them among many documents that resemble them just below it."""
+    rng = random.Random(15)
+    own = lambda k: [f"r{rng.randrange(10**9)}" for _ in range(k)]
+    rows, pairs = [], 400
+    common = own(66)
+    for i in range(pairs):
+        mine = own(20)  # two documents share some 76 of 100 shingles, and with all others some 55
+        for side in range(2):
+            w = common + mine + own(13)
+            rows.append((2 * i + side, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets, root = plain_near(rows)
+    linked = sum(root[2 * i + 1] == 2 * i for i in range(pairs))
+    assert linked > 350 and sum(got[2 * i + 1] == root[2 * i + 1] for i in range(pairs)) >= pairs - 1
+
+
+def test_a_repeated_id_ties_its_sets(spark):
+    rng = random.Random(16)
+    a, b, c = (words_text(rng, 30) for _ in range(3))
+    rows = [(1, a), (2, b), (3, a), (3, b), (4, c), (5, c), (5, a), (6, None)]
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (3, 1), (4, 1), (5, 1), (5, 1), (6, 6)]
+
+
 def plain_repeats(rows, window=50):
     seen, out = {}, {}
     for i, text, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
@@ -222,22 +251,27 @@ def test_decontaminate_cuts_spans(spark):
     assert got[1].text == "Keep this, ! And that" and got[3].text == "clean é text" and got[4].text is None and 2 not in got and got[1].hits == 7
 
 
-def test_near_vectors(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "TILE", 16)
+@pytest.mark.parametrize("tile", [1 << 21, 24 * 16])
+def test_near_vectors(spark, monkeypatch, tile):
+    monkeypatch.setattr(vectors, "TILE", tile)
     rng = np.random.default_rng(7)
     centre = rng.normal(size=(6, 24))
     rows = [(i, [float(x) for x in (centre[i % 6] + rng.normal(size=24) * 0.25).astype(np.float32)], "x", 5) for i in range(150)]
     rows += [(200, None, "x", 1), (201, [0.0] * 24, "x", 1), (202, [1.0, None] + [0.0] * 22, "x", 1), (203, [float("nan")] * 24, "x", 1), (204, [1.0, 2.0], "x", 1), (205, [1.0, 2.0], "x", 1), (206, [], "x", 1), (None, rows[0][1], "x", 1)]
+    rows += [(300 + i, rows[i % 2][1], "copy", 1) for i in range(40)] + [(301, rows[1][1], "again", 1), (400, [x * 2 for x in rows[5][1]], "scaled", 1)]
+    rows += [(500, rows[0][1], "torn", 1), (500, rows[1][1], "torn", 1), (501, rows[0][1], "torn", 1), (501, rows[4][1], "torn", 1), (501, [3.0, 6.0], "torn", 1), (502, None, "x", 1), (502, rows[7][1], "x", 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, kept string, n_links int").repartition(3)
-    got = {r.vec_id: r for r in vectors.near_vectors(df).collect()}
+    got = {}
+    for r in vectors.near_vectors(df).collect():
+        got.setdefault(r.vec_id, []).append((r.n_links, r.component_id, r.kept))
     good = [(i, np.array(v, np.float64)) for i, v, *_ in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
-    links = [(a, b) for (a, x), (b, y) in itertools.combinations(good, 2) if len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.9]
+    links = {(min(a, b), max(a, b)) for (a, x), (b, y) in itertools.combinations(good, 2) if a != b and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.9}
     root = roots([i for i, *_ in rows if i is not None], links)
-    assert len(links) > 100 and len(got) == len(rows)
-    for i, *_ in rows:
-        if i is not None:
-            assert (got[i].n_links, got[i].component_id, got[i].kept) == (sum(i in e for e in links), root[i], root[i] == i)
-    assert got[None].n_links == 0 and got[None].kept
+    assert len(links) > 100 and sum(map(len, got.values())) == len(rows)
+    for i in {i for i, *_ in rows if i is not None}:
+        assert set(got[i]) == {(sum(i in e for e in links), root[i], root[i] == i)}, i
+        assert len(got[i]) == sum(j == i for j, *_ in rows)
+    assert got[None] == [(0, None, True)]
 
 
 def test_quantisation_bound():

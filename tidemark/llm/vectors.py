@@ -4,13 +4,16 @@ A unit vector v is written s*q + e with q of whole numbers from -127 to 127. As
 the int8 product is off by at most |e|(1+|f|) + (1+|e|)|f| + |e||f|, where |e| and |f| are measured for each vector. Pairs
 whose product plus bound reaches the threshold, and only those, are computed anew in double precision.
 
-Vectors are dealt to cells by their nearest pivot (k-means on a sample of ``SAMPLE`` vectors) and cells to tiles of about
-``TILE`` rows. By the triangle inequality of angles, two cells whose vectors cannot be near enough never meet; other pairs
-of tiles meet once, in a task of bounded size that returns counts and a spanning forest of its links, not the pairs.
+Equal unit vectors collapse to one that stands for all their ids. What is left is dealt to cells by the nearest pivot (k-means on
+a sample of ``SAMPLE`` vectors; the pivots grow with the table, up to ``MOST_PIVOTS``) and cells to tiles of a bounded size. By the
+triangle inequality of angles, a vector can only link with one of another cell if it is no farther from that cell's pivot than
+the cell's radius and the threshold's angle together; it travels to no other cell. Tiles meet in pairs, each in a task of bounded
+size that returns counts and a spanning forest of its links, not the pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import components
+from ._graph import components, hook
 from ._shared import hashed_sample, materialise
 
-PIVOTS = 32
+#: Pivots: about one for so many vectors, between the least and the most.
+ROWS_A_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 4096, 32, 512
 SAMPLE = 4096
-TILE = 4096
+#: Numbers in a tile (32,768 rows of 64 numbers), and rows in a step of its product.
+TILE = 1 << 21
 INNER = 1024
+SALTS = 32
 #: Rounding allowed for in single-precision products and in angles.
 SLACK = 1e-5
 
@@ -42,7 +48,7 @@ def unit_rows(column: pa.Array) -> tuple[list, list[int]]:
     return rows, good
 
 
-def pivots(sample: np.ndarray, k: int = PIVOTS, rounds: int = 8) -> np.ndarray:
+def pivots(sample: np.ndarray, k: int = LEAST_PIVOTS, rounds: int = 8) -> np.ndarray:
     """Spherical k-means of unit vectors, started by farthest points."""
     centres = sample[:1]
     near = sample @ centres[0]
@@ -60,6 +66,8 @@ def pivots(sample: np.ndarray, k: int = PIVOTS, rounds: int = 8) -> np.ndarray:
 
 
 def _place(shared):
+    """Usable rows as unit vectors with their cell, their angle from its pivot and a fingerprint of the unit vector."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, good = unit_rows(batch.column(1))
@@ -70,27 +78,45 @@ def _place(shared):
                 by.setdefault(len(rows[i]), []).append(i)
             for dim, members in by.items():
                 v = np.stack([rows[i] for i in members])
-                scale = np.abs(v).max(axis=1, keepdims=True)
-                v = v / scale
-                unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+                v = v / np.abs(v).max(axis=1, keepdims=True)
+                unit = v / np.linalg.norm(v, axis=1, keepdims=True) + 0.0  # no negative zeros
+                home, angle = np.zeros(len(v), np.int32), np.zeros(len(v))
                 centres = shared.value.get(dim)
-                if centres is None:
-                    home, angles = np.zeros(len(v), np.int32), np.zeros((len(v), 1))
-                else:
+                if centres is not None:
                     cos = unit @ centres.T
                     home = np.argmax(cos, axis=1).astype(np.int32)
-                    angles = np.arccos(np.clip(cos, -1, 1))
-                flat = pa.array(angles.ravel())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[i] for i in members], pa.int64()),
-                        pa.array(np.full(len(v), dim, np.int32)),
-                        pa.array(home),
-                        pa.array([x.tobytes() for x in unit], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, angles.shape[1], dtype=np.int32)), flat),
-                    ],
-                    names=["id", "dim", "home", "unit", "angles"],
-                )
+                    angle = np.arccos(np.clip(cos[np.arange(len(v)), home], -1, 1))
+                blobs = [x.tobytes() for x in unit]
+                prints = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in blobs), np.int64).reshape(-1, 2)
+                columns = [
+                    pa.array([ids[i] for i in members], pa.int64()), pa.array(np.full(len(v), dim, np.int32)), pa.array(home), pa.array(angle),
+                    pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array(blobs, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "dim", "home", "angle", "fp1", "fp2", "unit"])
+
+    return work
+
+
+def _reach(shared, gap: float):
+    """``cells``: the other cells where a row may have links, by its angle from their pivots and their radii."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, home = batch.column("dim").to_numpy(), batch.column("home").to_numpy()
+            blobs = batch.column("unit")
+            cells: list[np.ndarray] = [np.zeros(0, np.int32)] * batch.num_rows
+            for dim in np.unique(dims):
+                if int(dim) not in shared.value:
+                    continue
+                centres, radius = shared.value[int(dim)]
+                at = np.flatnonzero(dims == dim)
+                for part in np.split(at, range(1024, len(at), 1024)):
+                    unit = np.stack([np.frombuffer(blobs[int(i)].as_buffer(), np.float64) for i in part])
+                    near = np.arccos(np.clip(unit @ centres.T, -1, 1)) <= radius + gap
+                    near[np.arange(len(part)), home[part]] = False
+                    for i, hit in zip(part, near, strict=True):
+                        cells[i] = np.flatnonzero(hit).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
 
     return work
 
@@ -111,63 +137,70 @@ def tile_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join the classes of linked positions; a label is the smallest position of its class."""
-    while len(i):
-        a, b = label[i], label[j]
-        d = a != b
-        i, j, a, b = i[d], j[d], a[d], b[d]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            further = label[label]
-            if (further == label).all():
-                break
-            label[:] = further
+LINKS = "id long, other long, links long, fp1 long, fp2 long, to1 long, to2 long"
 
 
 def _tiles(threshold: float):
+    """Links of two tiles, or of one with itself: for each row the ids that it links with and another row of its class; and
+    for sets that hold an id of several vectors, each link by itself (``to``), as only distinct ids count there."""
+
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
         order = np.argsort(side, kind="stable")
-        ids = table["id"].to_numpy()[order]
-        unit = np.stack([np.frombuffer(x.as_py(), np.float64) for x in table["unit"]])[order]
+        ids, weight, torn, fp1, fp2 = (table[c].to_numpy()[order] for c in ("id", "n", "torn", "fp1", "fp2"))
         n_left = int((side == 0).sum())
         alone = key[1].as_py() == key[2].as_py()
-        q, s, e = quantise(unit)
-        count, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        right = (0, n_left) if alone else (n_left, len(ids))
-        for x0 in range(0, n_left, INNER):
-            x1 = min(x0 + INNER, n_left)
-            for y0 in range(x0 if alone else right[0], right[1], INNER):
-                y1 = min(y0 + INNER, right[1])
-                near = tile_product(q[x0:x1], q[y0:y1]) * s[x0:x1, None] * s[None, y0:y1]
-                ex, ey = e[x0:x1, None], e[None, y0:y1]
-                i, j = np.nonzero(near + (ex * (1 + ey) + (1 + ex) * ey + ex * ey) + SLACK >= threshold)
-                if not len(i):
-                    continue
-                if len(i) * 8 > near.size:
-                    cos = (unit[x0:x1] @ unit[y0:y1].T)[i, j]
-                else:
-                    cos = np.concatenate([np.einsum("ij,ij->i", unit[x0 + i[k : k + 65536]], unit[y0 + j[k : k + 65536]]) for k in range(0, len(i), 65536)])
-                i, j = i + x0, j + y0
-                keep = (cos >= threshold) & (ids[i] != ids[j])
-                if alone:
-                    keep &= i < j
-                i, j = i[keep], j[keep]
-                count += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
-                hook(label, i, j)
-        some = np.flatnonzero(count)
-        return pa.table({"id": ids[some], "other": ids[label[some]], "links": count[some]})
+        told: list[np.ndarray] = []
+        count, label = np.zeros(len(ids)), np.arange(len(ids))
+        if alone or 0 < n_left < len(ids):
+            unit = np.stack([np.frombuffer(x.as_buffer(), np.float64) for x in table["unit"]])[order]
+            q, s, e = quantise(unit)
+            right = (0, n_left) if alone else (n_left, len(ids))
+            for x0 in range(0, n_left, INNER):
+                x1 = min(x0 + INNER, n_left)
+                for y0 in range(x0 if alone else right[0], right[1], INNER):
+                    y1 = min(y0 + INNER, right[1])
+                    near = tile_product(q[x0:x1], q[y0:y1]) * s[x0:x1, None] * s[None, y0:y1]
+                    ex, ey = e[x0:x1, None], e[None, y0:y1]
+                    i, j = np.nonzero(near + (ex * (1 + ey) + (1 + ex) * ey + ex * ey) + SLACK >= threshold)
+                    if not len(i):
+                        continue
+                    if len(i) * 8 > near.size:
+                        cos = (unit[x0:x1] @ unit[y0:y1].T)[i, j]
+                    else:
+                        cos = np.concatenate([np.einsum("ij,ij->i", unit[x0 + i[k : k + 65536]], unit[y0 + j[k : k + 65536]]) for k in range(0, len(i), 65536)])
+                    i, j = i + x0, j + y0
+                    keep = cos >= threshold
+                    if alone:
+                        keep &= i < j
+                    i, j = i[keep], j[keep]
+                    count += np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
+                    hook(label, i, j)
+                    some = torn[i] | torn[j]
+                    told.append(np.stack([i[some], j[some]]))
+        some = np.flatnonzero((count > 0) | (label != np.arange(len(ids))))
+        a, b = np.concatenate([np.zeros((2, 0), np.int64), *told], axis=1)
+        rest = [None] * len(some)
+        pairs = [None] * (2 * len(a))
+        join = lambda x, y: pa.array([*x, *y], pa.int64())
+        return pa.table(
+            {
+                "id": join(ids[some].tolist(), pairs), "other": join(ids[label[some]].tolist(), pairs), "links": join(count[some].astype(np.int64).tolist(), pairs),
+                "fp1": join(fp1[some].tolist(), fp1[np.append(a, b)].tolist()), "fp2": join(fp2[some].tolist(), fp2[np.append(a, b)].tolist()),
+                "to1": join(rest, fp1[np.append(b, a)].tolist()), "to2": join(rest, fp2[np.append(b, a)].tolist()),
+            }
+        )
 
     return work
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
-    """One row per vector: n_links (others of cosine >= threshold), component_id, kept.
+    """One row per vector: n_links (other ids of cosine >= threshold), component_id, kept.
 
     Null and zero vectors, those with null or non-finite components and those with a null id link with nothing (a null id's
-    component is null, and it is kept). Vectors of different lengths never link. Rows that repeat an id are one vertex, do not link with each
-    other and each give a row with the links of all. Other columns are not read; an empty table gives an empty result.
+    component is null, and it is kept). Vectors of different lengths never link. Rows that repeat an id are one vertex, with the
+    links of all its vectors; they do not link with each other, each id counts once, and each row gives a row. Other columns are
+    not read; an empty table gives an empty result. Vectors may have any length; a tile holds fewer of the longer ones.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -177,41 +210,64 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         if len(x) and np.isfinite(x).all() and x.any():
             x = x / np.abs(x).max()
             by_dim.setdefault(len(x), []).append(x / np.linalg.norm(x))
-    centres = {dim: pivots(np.stack(x)) for dim, x in by_dim.items()}
+    k = min(MOST_PIVOTS, max(LEAST_PIVOTS, base.count() // ROWS_A_PIVOT))
+    centres = {dim: pivots(np.stack(x), k) for dim, x in by_dim.items()}
     placed = materialise(
-        base.mapInArrow(_place(spark.sparkContext.broadcast(centres)), "id long, dim int, home int, unit binary, angles array<double>"), "vectors"
+        base.mapInArrow(_place(spark.sparkContext.broadcast(centres)), "id long, dim int, home int, angle double, fp1 long, fp2 long, unit binary"), "vectors"
     )
-    # of each cell: its rows, and how near it comes to and how far it goes from each pivot (at most PIVOTS ** 2 rows a length)
-    cells = placed.select("dim", "home", F.posexplode("angles").alias("pivot", "angle")).groupBy("dim", "home", "pivot")
-    cells = cells.agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
-    gap = float(np.arccos(min(1.0, threshold))) + SLACK
-    tiles = cells.where("home = pivot or pivot = 0").groupBy("dim", "home").agg(F.ceil(F.max("n") / TILE).cast("int").alias("tiles"))
-    a, b = cells.alias("a"), cells.alias("b")
-    apart = (
-        a.join(b, (F.col("a.dim") == F.col("b.dim")) & (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.home") < F.col("b.home")))
-        .groupBy(F.col("a.dim").alias("dim"), F.col("a.home").alias("x"), F.col("b.home").alias("y"))
-        .agg(F.max(F.greatest(F.col("a.low") - F.col("b.high"), F.col("b.low") - F.col("a.high"))).alias("gap"))
-        .where(F.col("gap") <= gap)
-        .select("dim", "x", "y")
+    fp = ["fp1", "fp2"]
+    member = placed.select("id", *fp).distinct()
+    torn = member.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("torn"))
+    member = materialise(member.join(torn, "id", "left").withColumn("torn", F.coalesce("torn", F.lit(False))), "members")
+    sets = member.groupBy(*fp).agg(
+        F.min("id").alias("rep"), F.sum((~F.col("torn")).cast("long")).alias("n"), F.count("*").alias("size"), F.max("torn").alias("torn")
     )
-    meets = apart.unionByName(tiles.select("dim", F.col("home").alias("x"), F.col("home").alias("y")))
-    left, right = (tiles.select("dim", F.col("home").alias(c), F.col("tiles").alias(f"n{c}")) for c in "xy")
-    meets = meets.join(left, ["dim", "x"]).join(right, ["dim", "y"])
-    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    rows = placed.select("id", "dim", "home", "unit").join(tiles, ["dim", "home"]).withColumn("tile", tile)
-    # each tile goes to every tile that it meets: as the left one of a pair, or as the right one
-    first = meets.select("dim", F.col("x").alias("home"), "y", "ny")
-    second = meets.select("dim", F.col("y").alias("home"), "x", "nx")
-    code = lambda home, t: F.col(home).cast("long") * (1 << 32) + t
-    as_left = rows.join(first, ["dim", "home"]).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)))
-    as_left = as_left.where("home != y or t >= tile").select("dim", code("home", F.col("tile")).alias("x"), code("y", F.col("t")).alias("y"), F.lit(0).alias("side"), "id", "unit")
-    as_right = rows.join(second, ["dim", "home"]).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)))
-    as_right = as_right.where("home != x or t < tile").select("dim", code("x", F.col("t")).alias("x"), code("home", F.col("tile")).alias("y"), F.lit(1).alias("side"), "id", "unit")
-    met = as_left.unionByName(as_right).groupBy("dim", "x", "y").applyInArrow(_tiles(threshold), "id long, other long, links long")
-    met = materialise(met, "links")
-    found = components(met.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    links = met.groupBy("id").agg(F.sum("links").alias("n"))
-    out = base.select("id").join(links, "id", "left").join(found.withColumnRenamed("v", "id"), "id", "left")
+    # one row stands for each set; of a repeated row any
+    first = placed.join(sets.select(*fp, F.col("rep").alias("id"), "n", "torn"), [*fp, "id"]).dropDuplicates(fp)
+    # of each cell its rows and radius: at most MOST_PIVOTS rows for each length that the sample holds, and one for any other
+    cells = first.groupBy("dim", "home").agg(F.count("*").alias("rows"), F.max("angle").alias("radius"))
+    known = cells.where(F.col("dim").isin(list(centres))).collect() if centres else []
+    reach = {}
+    for dim, points in centres.items():
+        radius = np.full(len(points), -10.0)  # nothing is near an empty cell
+        for r in known:
+            if r["dim"] == dim:
+                radius[r["home"]] = r["radius"]
+        reach[dim] = (points, radius)
+    gap = float(np.arccos(min(1.0, threshold))) + SLACK
+    tiles = cells.select("dim", "home", F.ceil(F.col("rows") / F.greatest(F.lit(16), F.least(F.lit(65536), F.floor(F.lit(TILE) / F.col("dim"))))).cast("int").alias("tiles"))
+    near = first.mapInArrow(_reach(spark.sparkContext.broadcast(reach), gap), "fp1 long, fp2 long, id long, dim int, home int, angle double, unit binary, n long, torn boolean, cells array<int>")
+    rows = near.join(F.broadcast(tiles), ["dim", "home"]).withColumn("tile", F.pmod(F.xxhash64(*fp), F.col("tiles")).cast("int"))
+    # each row meets the later tiles of its own cell, and all tiles of the cells that it can reach
+    other = rows.withColumn("cell", F.explode(F.concat(F.array("home"), "cells"))).drop("cells")
+    other = other.join(F.broadcast(tiles.select("dim", F.col("home").alias("cell"), F.col("tiles").alias("there"))), ["dim", "cell"])
+    met = other.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("there") - 1)))
+    code = lambda home, t: F.col(home).cast("long") * (1 << 32) + F.col(t)
+    mine, theirs = code("home", "tile"), code("cell", "t")
+    met = met.select("dim", F.least(mine, theirs).alias("x"), F.greatest(mine, theirs).alias("y"), (mine > theirs).cast("int").alias("side"), "id", "n", "torn", *fp, "unit")
+    met = materialise(met.groupBy("dim", "x", "y").applyInArrow(_tiles(threshold), LINKS), "links")
+
+    ties = member.where("torn").join(sets.select(*fp, "rep"), fp).where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    found = materialise(components(met.where("id is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(ties)), "components")
+    links = met.where("id is not null").groupBy(*fp).agg(F.sum("links").alias("links"))
+    told = sets.join(links, fp, "left").join(found.withColumnRenamed("v", "rep"), "rep", "left")
+    told = told.select(*fp, "rep", "size", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("root", "rep").alias("root"))
+    told = materialise(told, "sets")
+    # a set may have copies without number: they are dealt to SALTS tasks, each of which is told the set's links
+    salted = told.where("size > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    plain = member.where("not torn").select("id", *fp, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    single = told.where("size = 1").select(F.col("rep").alias("id"), "n", "root", *fp)
+    counted = plain.join(salted, [*fp, "salt"]).select("id", "n", "root", *fp).unionByName(single.join(torn, "id", "left_anti"))
+    if member.where("torn").limit(1).count():
+        counted = counted.select("id", "n", "root", *fp)
+        ways = met.where("to1 is not null").select(*fp, "to1", "to2").unionByName(sets.where("torn").select(*fp, F.col("fp1").alias("to1"), F.col("fp2").alias("to2"))).distinct()
+        there = member.select(F.col("id").alias("to"), F.col("fp1").alias("to1"), F.col("fp2").alias("to2"), F.col("torn").alias("to_torn"))
+        extra = ways.join(there.where("to_torn"), ["to1", "to2"]).groupBy(*fp).agg(F.count_distinct("to").alias("extra"))
+        counted = counted.join(extra, fp, "left").select("id", (F.col("n") + F.coalesce("extra", F.lit(0))).alias("n"), "root")
+        whole = member.where("torn").join(ways, fp).join(there, ["to1", "to2"]).where("id != to").groupBy("id").agg(F.count_distinct("to").alias("n"))
+        whole = torn.select("id").join(whole, "id", "left").join(found.withColumnRenamed("v", "id"), "id", "left")
+        counted = counted.unionByName(whole.select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "id").alias("root")))
+    out = base.select("id").join(counted.select("id", "n", "root"), "id", "left")
     root = F.coalesce("root", "id")
     return out.select(
         F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).alias("n_links"), root.alias("component_id"), (F.col("id").isNull() | (F.col("id") == root)).alias("kept")
