@@ -211,11 +211,12 @@ OP5 = f"""
 WITH RECURSIVE k AS (SELECT doc_id, coalesce(source, '') AS source, md5(doc_id::VARCHAR) AS h FROM documents),
 c AS (SELECT source, count(*) AS n FROM k GROUP BY source),
 w AS (SELECT source, n, pow(n::DOUBLE, {mixing.ALPHA}) AS w FROM c),
-a AS (SELECT source, n, w / sum(w) OVER () * ({mixing.PERIOD} - count(*) OVER ()) AS share FROM w),
-f AS (SELECT source, n, floor(share)::INT AS whole, share - floor(share)::INT AS rest FROM a),
-q AS (
-  SELECT source, n, 1 + whole + CASE WHEN row_number() OVER (ORDER BY round(rest, 9) DESC, source)
-    <= {mixing.PERIOD} - count(*) OVER () - sum(whole) OVER () THEN 1 ELSE 0 END AS quota FROM f),
+a AS (SELECT source, n, round(w / sum(w) OVER () * {mixing.PERIOD}, 9) AS share FROM w),
+f AS (SELECT source, n, greatest(1, floor(share))::INT AS whole, greatest(0, share - greatest(1, floor(share))) AS rest FROM a),
+g AS (
+  SELECT *, {mixing.PERIOD} - sum(whole) OVER () AS spare, row_number() OVER (ORDER BY round(rest, 9) DESC, source) AS i,
+    row_number() OVER (ORDER BY whole DESC, source) AS j FROM f),
+q AS (SELECT source, n, (whole + CASE WHEN i <= spare THEN 1 ELSE 0 END + CASE WHEN j = 1 AND spare < 0 THEN spare ELSE 0 END)::BIGINT AS quota FROM g),
 l AS (SELECT list(quota ORDER BY source) AS q, list(source ORDER BY source) AS s, count(*) AS m FROM q),
 p AS (
   SELECT -1::BIGINT AS t, list_transform(q, lambda x: 0::BIGINT) AS used, -1::BIGINT AS best FROM l
