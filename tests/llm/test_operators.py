@@ -306,6 +306,29 @@ def test_mix_keeps_all_and_stays_within_a_block(spark, docs):
     assert sorted(r.position for r in awkward) == list(range(docs.count()))
 
 
+def test_names_that_clash_and_ids_that_are_missing(spark):
+    mine = ["__row", "__position", "__key", "__hits", "__found", "__words", "a.b"]
+    rows = [(i if i else None, f"text {i} " + "alpha beta " * (i % 3), None if i % 4 else "s", *["mine"] * len(mine)) for i in range(-1, 30)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *mine])
+    mixed = mixing.in_mixed_order(df)
+    assert mixed.columns == df.columns and sorted(map(str, mixed.collect())) == sorted(map(str, df.collect()))
+    items = spark.createDataFrame([("x", "alpha beta"), ("y", "text 7")], "item_id string, text string")
+    clean = decontam.decontaminate(df, items, max_coverage=1.0)
+    assert clean.columns == df.columns and clean.count() == len(rows)
+    assert {tuple(r[c] for c in mine) for r in clean.collect()} == {("mine",) * len(mine)}
+    assert all("alpha" not in r.text for r in clean.collect())
+    found = decontam.scan(df, items)
+    assert found.columns == [*df.columns, "___words", "___hits", "___found"]
+    ids = {r.doc_id: r.n_tokens for r in tokens.token_records(df.where("doc_id is null or doc_id = -1"), tokenizer_path()).collect()}
+    assert set(ids) == {None, -1}
+
+
+def test_weights_below_a_slot(spark):
+    n = spark.createDataFrame([("big", 900), ("other", 90), *[(f"s{k}", 1) for k in range(8)]], "source string, n long")
+    quota = {r.source: r.quota for r in mixing.quotas(n, {"big": 0.9, "other": 0.0999, **{f"s{k}": 0.0001 / 8 for k in range(8)}}, 0.7, 200).collect()}
+    assert sum(quota.values()) == 200 and all(quota[f"s{k}"] == 1 for k in range(8)) and quota["other"] in (19, 20) and 170 < quota["big"] <= 180
+
+
 def test_mixed_order_is_kept_by_files(spark, docs, tmp_path):
     out = mixing.in_mixed_order(docs)
     assert out.columns == docs.columns

@@ -8,12 +8,13 @@ Streaming in Python costs per word, so a numpy pass first finds the stretches wh
 belongs to some item; nothing outside such a stretch can match, and inside one the automaton reads the words themselves.
 
 Test items are a stated query set. They travel in blocks of at most ``BLOCK_WORDS`` words, one pass over the documents for
-each block, so no broadcast grows with them.
+each block, so no broadcast grows with them. What a pass found is stored before the next begins, so one block is held at a time.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import fresh
 from . import _text
+from ._shared import forget, materialise
 
 WINDOW = 10
 GRAM = 4
@@ -132,7 +135,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """Finds hits of one block of items in runs of texts; built once per Python worker."""
+    """Finds hits of one block of items in runs of texts."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int) -> None:
         self.automaton = Automaton(items, window)
@@ -206,14 +209,22 @@ def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[list[tup
         yield block
 
 
-HITS = "__hits"
-FOUND = "__found"
-WORDS = "__words"
+_built: dict[str, Scanner] = {}
+
+
+def scanner_of(block: str, items, window: int) -> Scanner:
+    """The scanner of a block, built once per Python worker, which keeps that of the last block it saw."""
+    if block not in _built:
+        _built.clear()
+        _built[block] = Scanner(items.value, window)
+    return _built[block]
 
 
 def _pass(items, window: int, text_at: int, width: int):
+    block = uuid.uuid4().hex
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(items.value, window)
+        scanner = scanner_of(block, items, window)
         for batch in (part for whole in batches for part in _text.pieces(whole)):
             n_words, hits, found = [], [], []
             earlier = batch.column(width + 1).to_pylist()
@@ -240,10 +251,16 @@ def _pass(items, window: int, text_at: int, width: int):
 
 
 def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with ``__words`` (count), ``__hits`` (flat list: first word, word after, first byte, byte after) and
-    ``__found`` (sorted item ids). Null texts have no words. Without items, or with empty ones only, nothing is hit."""
+    """``docs`` with three columns more, named by ``scan_names``: words (count), hits (flat list: first word, word after, first
+    byte, byte after) and found (sorted item ids). Null and empty texts have no words. Without items, or with empty ones only,
+    nothing is hit; rows that repeat are scanned each; an empty table stays empty. A very long text is one row of a small batch."""
     rows, work = _scanned(docs, items, text_col, window, item_col, item_text)
-    return rows.mapInArrow(_text.frugal(work), _nullable(rows))
+    return rows.mapInArrow(_text.frugal(work), _nullable(rows)).toDF(*docs.columns, *scan_names(docs))
+
+
+def scan_names(docs: DataFrame) -> list[str]:
+    """Names of the columns that ``scan`` adds: words, hits, found, with underscores so that none is one of the frame's."""
+    return fresh(docs.columns, "words", "hits", "found")
 
 
 def _nullable(df: DataFrame) -> T.StructType:
@@ -253,24 +270,28 @@ def _nullable(df: DataFrame) -> T.StructType:
 def _scanned(docs: DataFrame, items: DataFrame, text_col: str, window: int, item_col: str = "item_id", item_text: str = "text"):
     """Rows after all blocks of items but the last, and the pass of the last block."""
     spark = docs.sparkSession
-    names = docs.columns
-    out = docs.select(
-        "*", F.lit(0).cast("long").alias(WORDS), F.array().cast("array<bigint>").alias(HITS), F.array().cast("array<string>").alias(FOUND)
-    )
+    names = [f"c{i}" for i in range(len(docs.columns))]  # a frame's own names may be such as Arrow functions do not take
+    text_at = docs.columns.index(text_col)
+    empty = (F.lit(0).cast("long"), F.array().cast("array<bigint>"), F.array().cast("array<string>"))
+    first = out = docs.toDF(*names).select("*", *[c.alias(n) for c, n in zip(empty, ("words", "hits", "found"), strict=True)])
     blocks = _blocks(items, item_col, item_text)
     block = next(blocks, [])
     while True:
-        work = _pass(spark.sparkContext.broadcast(block), window, names.index(text_col), len(names))
+        shared = spark.sparkContext.broadcast(block)
+        work = _pass(shared, window, text_at, len(names))
         block = next(blocks, None)
         if block is None:
             return out, work
-        out = out.mapInArrow(_text.frugal(work), _nullable(out))
+        before, out = out, materialise(out.mapInArrow(_text.frugal(work), _nullable(out)), "scanned")
+        shared.destroy()
+        if before is not first:
+            forget(spark, before)
 
 
-def n_hit() -> Column:
-    """Hit words of a row of ``scan``."""
-    at = lambda k: f"coalesce(try_element_at({HITS}, cast(k * 4 + {k} as int)), 0L)"
-    return F.expr(f"aggregate(sequence(0, cast(size({HITS}) div 4 as int)), 0L, (s, k) -> s + {at(2)} - {at(1)})")
+def n_hit(hits: str) -> Column:
+    """Hit words of a row of ``scan``, by its column of hits."""
+    at = lambda k: f"coalesce(try_element_at(`{hits}`, cast(k * 4 + {k} as int)), 0L)"
+    return F.expr(f"aggregate(sequence(0, cast(size(`{hits}`) div 4 as int)), 0L, (s, k) -> s + {at(2)} - {at(1)})")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,14 +299,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     Rows that repeat a document each give a row; null ids stay null; empty tables give an empty result.
     """
-    found = scan(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), items)
-    return found.select(
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    words, hits, found = scan_names(rows)
+    return scan(rows, items).select(
         F.col("doc_id").alias(id_col),
-        F.col(WORDS).alias("n_words"),
-        n_hit().alias("n_hit"),
-        F.size(FOUND).cast("long").alias("n_items"),
-        F.sha2(F.array_join(FOUND, ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size(HITS) > 0).alias("contaminated"),
+        F.col(words).alias("n_words"),
+        n_hit(hits).alias("n_hit"),
+        F.size(found).cast("long").alias("n_items"),
+        F.sha2(F.array_join(found, ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size(hits) > 0).alias("contaminated"),
     )
 
 
@@ -312,7 +334,9 @@ def _cut(text_at: int, width: int, max_coverage: float):
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.8) -> DataFrame:
     """``docs`` (all its columns) with every hit span cut out of its text; a document of which hits cover more than
-    ``max_coverage`` of its words is removed altogether. Texts without hits stay byte for byte."""
+    ``max_coverage`` of its words is removed altogether. Texts without hits, null and empty ones stay byte for byte, whatever
+    their length; rows that repeat are judged each; an empty table stays empty, and without items all rows stay."""
     rows, work = _scanned(docs, items, text_col, window)
     cut = _cut(docs.columns.index(text_col), len(docs.columns), max_coverage)
-    return rows.mapInArrow(_text.frugal(work, cut), _nullable(docs))
+    kept = rows.mapInArrow(_text.frugal(work, cut), _nullable(rows.drop("words", "hits", "found")))
+    return kept.toDF(*docs.columns)

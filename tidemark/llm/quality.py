@@ -292,7 +292,9 @@ def _sift(model, text_at: int, least: float):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5) -> DataFrame:
-    """``docs``, all columns, without the rows that score below ``least``."""
+    """``docs``, all columns, without the rows that score below ``least``. Null and empty texts are scored as texts without
+    words, very long ones whole; rows that repeat are judged each; an empty table stays empty; without labels all rows stay."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
-    return docs.mapInArrow(_text.frugal(_sift(model, docs.columns.index(text_col), least)), schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # a frame's own names may be such as Arrow functions do not take
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in plain.schema.fields])
+    return plain.mapInArrow(_text.frugal(_sift(model, docs.columns.index(text_col), least)), schema).toDF(*docs.columns)
