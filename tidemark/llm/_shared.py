@@ -15,11 +15,13 @@ _written: dict[str, list[str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests, one machine) is a temporary folder chosen,
-    the same one for all calls of an application.
+    Read from ``spark.checkpoint.dir``; only where that is unset and all is one process (tests) is a temporary folder chosen,
+    the same one for all calls of an application. On a cluster it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         found = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
         _own[app] = found

@@ -29,6 +29,8 @@ from . import _text
 from ._shared import materialise, new_path
 
 END_ID = 2
+#: Marks the record of a document without an id, beside the width of its ids.
+NO_ID = 1 << 4
 MASK_DELTA = 0xA282EAD8
 HEAD = "<QI"
 KEY = "<qB"
@@ -247,7 +249,8 @@ def _writer(tokenizer: str, folder: str, end_id: int, width: int):
             docs, rows = batch.column(0).to_pylist(), []
             for doc_id, ids in zip(docs, encoder(tokenizer).encode(batch.column(1)), strict=True):
                 ids = np.concatenate([ids, end])
-                payload = struct.pack(KEY, -1 if doc_id is None else doc_id, width) + ids.astype(kind).tobytes()
+                key = struct.pack(KEY, 0, width | NO_ID) if doc_id is None else struct.pack(KEY, doc_id, width)
+                payload = key + ids.astype(kind).tobytes()
                 length = struct.pack("<Q", len(payload))
                 record = b"".join([length, struct.pack("<I", masked(length)), payload, struct.pack("<I", masked(payload))])
                 out.write(record)
@@ -293,7 +296,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if crc != masked(record[:8]) or size != len(payload) or struct.unpack("<I", record[-4:])[0] != masked(payload):
                 raise ValueError(f"{file}: damaged record at {offset}")
             key, width = struct.unpack_from(KEY, payload)
-            if key != (-1 if doc_id is None else doc_id):
+            key, width = None if width & NO_ID else key, width & ~NO_ID
+            if key != doc_id:
                 raise ValueError(f"{file}: the record at {offset} is of document {key}, not {doc_id}")
             ids = np.frombuffer(payload, "<u2" if width == 2 else "<u4", offset=struct.calcsize(KEY))
             counts.append(len(ids))
