@@ -3,6 +3,7 @@ repeated rows, empty tables, extra columns whose names clash with results."""
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -597,3 +598,76 @@ def test_short_keys_among_a_thousand_candidates(spark, length):
     found = {r.doc_id for r in got if r.n_random}
     planted = {i for i in range(8000) if i % 1000 == 7}
     assert len(found & planted) >= 7 and len(found - planted) <= 1, (len(found & planted), [rows[i][1] for i in sorted(found - planted)][:5])
+
+
+def plain_boosting(x, y, rounds, pairs):
+    """The same model from rows and explicit trees: ``(trees, start)``; a tree is a function of a row."""
+    rate, ridge = quality.RATE, quality.RIDGE
+    share = (y.sum() + 1) / (len(y) + 2)
+    total = [math.log(share / (1 - share))] * len(y)
+    start, trees = total[0], []
+    cuts = lambda n: [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, n + 1)[1:-1]).tolist())) for j in range(x.shape[1])]
+    fine, coarse = cuts(quality.BINS), cuts(quality.PAIR_BINS)
+    slopes = lambda: [(t - 1 / (1 + math.exp(-s)), 1 / (1 + math.exp(-s)) * (1 - 1 / (1 + math.exp(-s)))) for t, s in zip(y, total, strict=True)]
+    gain = lambda rows, gh: sum(gh[r][0] for r in rows) ** 2 / (sum(gh[r][1] for r in rows) + ridge)
+    value = lambda rows, gh: sum(gh[r][0] for r in rows) / (sum(gh[r][1] for r in rows) + ridge)
+
+    def best(rows, j, edges, gh):
+        """(gain, edge) of the best cut of some rows by one feature."""
+        found = (0.0, None)
+        for e in edges:
+            left, right = [r for r in rows if x[r, j] < e], [r for r in rows if x[r, j] >= e]
+            more = gain(left, gh) + gain(right, gh) - gain(rows, gh)
+            if more > found[0] + 1e-12:
+                found = (more, e)
+        return found
+
+    def grow(tree):
+        trees.append(tree)
+        for r in range(len(y)):
+            total[r] += rate * tree(x[r])
+
+    every = range(len(y))
+    for _ in range(rounds):
+        for j in range(x.shape[1]):
+            gh, parts = slopes(), [(-math.inf, math.inf)]
+            for _ in range(2):
+                inside = lambda p, j=j: [r for r in every if p[0] <= x[r, j] < p[1]]
+                options = [(*best(inside(p), j, [e for e in fine[j] if p[0] < e < p[1]], gh), p) for p in parts]
+                more, e, p = max(options, key=lambda o: o[0])
+                if e is None or more <= 1e-9:
+                    break
+                parts = [q for q in parts if q != p] + [(p[0], e), (e, p[1])]
+            leaves = [(p, value(inside(p), gh)) for p in parts]
+            grow(lambda row, j=j, leaves=leaves: next(v for p, v in leaves if p[0] <= row[j] < p[1]))
+    for _ in range(rounds // 4):
+        for i, j in pairs:
+            gh, top, chosen = slopes(), 0.0, None
+            for e in coarse[i]:
+                sides = [[r for r in every if x[r, i] < e], [r for r in every if x[r, i] >= e]]
+                seconds = [best(rows, j, coarse[j], gh) for rows in sides]
+                got = sum(gain(rows, gh) + s[0] for rows, s in zip(sides, seconds, strict=True))
+                if got > top + 1e-12:
+                    leaves = [[(rows, None)] if s[1] is None else [([r for r in rows if x[r, j] < s[1]], s[1]), ([r for r in rows if x[r, j] >= s[1]], s[1])] for rows, s in zip(sides, seconds, strict=True)]
+                    top, chosen = got, (e, [[(value(rows, gh), cut) for rows, cut in side] for side in leaves])
+
+            def tree(row, i=i, j=j, chosen=chosen):
+                side = chosen[1][int(row[i] >= chosen[0])]
+                return side[int(len(side) > 1 and row[j] >= side[0][1])][0]
+
+            grow(tree)
+    return trees, start
+
+
+def test_additive_model_is_a_sum_of_its_trees(monkeypatch):
+    monkeypatch.setattr(quality, "ROUNDS", 8)
+    monkeypatch.setattr(quality, "PAIRS", 2)
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(160, 3))
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (rng.random(160) < 0.1)).astype(int)
+    model = quality.Additive().fit(x, y)
+    trees, start = plain_boosting(x, y, 8, model.pairs)
+    assert len(trees) == 8 * 3 + 2 * 2 and len(model.pairs) == 2
+    new = rng.normal(size=(50, 3))
+    want = [1 / (1 + math.exp(-(start + sum(quality.RATE * t(row) for t in trees)))) for row in new]
+    assert model.score(new) == pytest.approx(want, abs=1e-9)
