@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import fresh
 from tidemark.operators import blocks, dedupe, labels, metrics, ranking, ranks, resample, splits
+from tidemark.sources import feeds
 
 
 @pytest.fixture(scope="module")
@@ -108,6 +109,24 @@ def test_sample_is_of_exactly_n_rows(spark):
     assert splits.seeded_sample(df, ["id"], 10).collect() == splits.seeded_sample(df.repartition(7), ["id"], 10).collect()
 
 
+def test_head_of_an_order(spark):
+    df = spark.range(4000).select((F.col("id") * 7919 % 4001).alias("a"), F.when(F.col("id") % 400 != 0, F.col("id") % 50).alias("b"), F.col("id").cast("string").alias("c"))
+    rows = [tuple(r) for r in df.collect()]
+    for order in (["a"], ["b", "a"], ["c"]):
+        at = [df.columns.index(o) for o in order]
+        want = sorted(rows, key=lambda r: [(r[i] is not None, r[i] if r[i] is not None else 0) for i in at])
+        for n in (0, 5, 300, 5000):
+            assert [tuple(r) for r in splits.head_rows(df, order, n).collect()] == want[:n]
+
+
+def test_years_prune_partitions(spark, tmp_path):
+    spark.range(48).select("id", F.concat(2000 + F.floor(F.col("id") / 12), F.lpad((F.col("id") % 12 + 1).cast("string"), 2, "0")).alias("yyyymm")).write.partitionBy("yyyymm").parquet(str(tmp_path / "t"))
+    some = feeds.read_training_years(spark, str(tmp_path / "t"), 2001, 2002, [3])
+    assert some.count() == 2
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "substring" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+
+
 def test_station_summary(spark):
     df = spark.createDataFrame([("a", "train", 1, 2.0), ("a", "train", 0, 4.0), ("a", "test", 1, None), (None, "test", 0, 3.0)], "station string, split string, y int, proxy double")
     got = {(r.station, r.split): (r.rows, r.event_rate, r.source_mean, r.source_std) for r in splits.station_summary(df, "station", "y", "proxy").collect()}
