@@ -13,7 +13,7 @@ from ._shared import forget, materialise
 
 #: A graph of at most so many edges (of 16 bytes) is finished by one task.
 SMALL_EDGES = 100_000
-#: Hubs, at most so many, have their minima broadcast in place of a shuffle by vertex.
+#: Hubs, at most so many, are joined by a broadcast in place of a shuffle by key.
 HUBS, LEAST_HUB = 4096, 1000
 
 
@@ -41,16 +41,16 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], names=["v", "root"])
 
 
-def _with_minima(rows: DataFrame, low: DataFrame, edges: int) -> DataFrame:
-    """``rows`` (u, v) with the minimum m of their vertex u, from ``low`` (u, n, m).
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with a table of a row a key, whose column n says how many of the ``total`` rows have that key.
 
-    Vertices of more than ``LEAST_HUB`` and a ``HUBS``-th part of all edges, at most ``2 * HUBS`` of them, are joined by a
-    broadcast; those left have few edges each, so no task of the shuffled join holds more than a sliver of them.
+    Keys of more than ``LEAST_HUB`` and a ``HUBS``-th part of all rows, so at most ``HUBS`` of them, are joined by a broadcast;
+    those left have few rows each, so no task of the shuffled join holds more than a sliver of all.
     """
-    hub = max(LEAST_HUB, edges // HUBS)
-    hubs = F.broadcast(low.where(F.col("n") > hub).select("u", "m"))
-    rest = rows.join(hubs, "u", "left_anti").join(low.where(F.col("n") <= hub).select("u", "m"), "u")
-    return rows.join(hubs, "u").unionByName(rest)
+    hub = max(LEAST_HUB, total // HUBS)
+    hubs = F.broadcast(counted.where(F.col("n") > hub))
+    rest = rows.join(hubs.select(key), key, "left_anti").join(counted.where(F.col("n") <= hub), key)
+    return rows.join(hubs, key).unionByName(rest)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -75,10 +75,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         minima = lambda rows: rows.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = minima(both).select("u", "n", F.least("u", "m").alias("m"))
-        large = _with_minima(both, low, 2 * mark["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = join_counted(both, low, "u", 2 * mark["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = minima(large)
         small = (
-            _with_minima(large, low, mark["n"])
+            join_counted(large, low, "u", mark["n"])
             .where("v > m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._graph import components
+from ._graph import components, join_counted
 from ._shared import materialise
 
 SHINGLE = 5
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     salted = solid.select(*keys, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     reps = firsts.drop("last").withColumnRenamed("rep", "doc_id").join(solid, keys).dropDuplicates(keys)
 
-    candidates = materialise(_candidates(reps), "candidates")
+    candidates = materialise(_candidates(reps, firsts.count()), "candidates")
     loose = components(candidates)
     links = _confirmed(spark, base, sig, loose, num, den)
     # ids of several sets tie those sets together; copies are told their set's root afterwards and are no part of the graph
@@ -298,16 +298,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` that span, within each tree node, the documents whose sketches allow a link."""
+def _candidates(reps: DataFrame, sets: int) -> DataFrame:
+    """Edges ``(a, b)`` that span, within each tree node, the documents whose sketches allow a link; ``reps`` are ``sets`` rows."""
     at = lambda level: F.expr(f"sig[tree * {DEPTH} + {level}]")
     active = reps.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig").select(
         "doc_id", F.xxhash64("tree", at(0)).alias("node"), *[at(k).alias(f"m{k}") for k in range(1, DEPTH)]
     )
     leaves, stars = [], None
+    total = TREES * sets
     for level in range(DEPTH):
         size = active.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-        met = active.join(size, "node")
+        met = join_counted(active, size, "node", total)
         leaves.append(met.where(f"n <= {LEAF}").select("node", "doc_id"))
         rest = met.where(f"n > {LEAF}")
         if level + 1 < DEPTH:
@@ -315,6 +316,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
                 rest.select("doc_id", F.xxhash64("node", f"m{level + 1}").alias("node"), *[f"m{k}" for k in range(level + 2, DEPTH)]),
                 f"level{level + 1}",
             )
+            total = active.count()
         else:
             # who shares DEPTH minwise tokens in a large node is a candidate without a sketch
             stars = rest.where("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
