@@ -348,6 +348,7 @@ def test_secrets(spark, docs):
     rows += [
         (100, 'é password = "abcdef" PASSWD:x secret=token=abcdefg'), (101, "AKIA" + "A1" * 8 + " AKIAB"), (102, "0123456789abcdef" * 2 + "g deadbeef"), (103, None), (104, ""),
         (105, "api_key: 'zzzzzz' apikey=12345"), (106, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"), (0, rows[0][1]),
+        (107, "plain words, " * 40_000 + "token: abcdef " + "0123456789abcdef" * 2000),
     ]
     got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows)

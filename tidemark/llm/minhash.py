@@ -259,7 +259,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null or blank texts have no shingles and link with nothing. Rows that repeat an id count as one vertex and each give a
     row. A null id gives a row with a null component that is kept. An empty table gives an empty result. Other columns,
-    whatever their names, are not read. A text of fewer than five words is one shingle.
+    whatever their names, are not read. A text of fewer than five words is one shingle. Of a very long text all shingles count; its
+    set is one row of its group.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

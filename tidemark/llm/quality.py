@@ -273,7 +273,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """One row per document: held_out, score (0 to 1), predicted (1 where score >= 0.5).
 
     Empty and null texts are scored like any other; rows that repeat a document each give a row; without labels every score
-    is 0.5; an empty table gives an empty result; other columns are not read.
+    is 0.5; an empty table gives an empty result; other columns are not read. A very long text is measured whole.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -270,7 +270,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: n_assign, n_access, n_hex, n_random, base_sha256, spans (``kind:start:end``, code points).
 
     A random span is reported only where no base span lies. Null and empty texts have no spans; rows that repeat a document
-    each count and each give a row; an empty table gives an empty result; other columns are not read.
+    each count and each give a row; an empty table gives an empty result; other columns are not read. A very long text is scanned
+    whole.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = materialise(base.mapInArrow(_scan, FOUND), "secrets")

@@ -268,7 +268,8 @@ def _writer(tokenizer: str, folder: str, end_id: int, width: int):
 def write_records(
     docs: DataFrame, tokenizer: str, order: list[Column], id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, folder: str | None = None
 ) -> DataFrame:
-    """Write all texts in ``order`` and return the index (written beside them as a table); a null text has the end id only."""
+    """Write all texts in ``order`` and return the index (written beside them as a table); null and empty texts have the end id
+    only, rows that repeat a record each, a very long text one long record; an empty table writes no file and an empty index."""
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
