@@ -1,9 +1,10 @@
 """Backward as-of joins with a tolerance, freshness and missing marks, and the fusion of several sources.
 
-Time is cut into buckets as wide as the tolerance. A right row goes into its own bucket and the next, so a left row finds
-every candidate in its own; within a bucket the latest right row at or before each left row is carried forward by one window.
-Work is one shuffle of both sides, whatever the sizes, and no pair is ever formed. A match travels as one struct, so a right
-row of nulls still counts as matched.
+Time is cut into buckets of an hour, or of the tolerance where that is shorter. Within a bucket the latest right row at or before
+each left row is carried forward by one window; into each bucket goes a copy of the last right row before it, as far as the
+tolerance reaches, so a left row finds its match in its own bucket however long the tolerance. Both sides are shuffled once, the
+copies are one a bucket, and no pair is ever formed. A match travels as one struct, so a right row of nulls still counts as
+matched.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql.window import Window
 from .dedupe import keep_last
 
 MICROS = 60_000_000
+#: The widest bucket, in minutes.
+BUCKET_MIN = 60
 
 
 @dataclass
@@ -37,6 +40,15 @@ def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def _carried(own: DataFrame, match: str, keys: list[str], width: int, tolerance: int) -> DataFrame:
+    """The last match of each bucket at the start of those after it, up to the next that has one of its own (where rows may
+    stand before that) and as far as it may be old."""
+    last = own.groupBy(*keys, "__bucket").agg(F.max_by(match, "__t").alias(match))
+    until = F.least(F.lead("__bucket").over(Window.partitionBy(*keys).orderBy("__bucket")), F.floor((F.col(match)["__at"] + tolerance) / width))
+    later = last.withColumn("__until", until).where("__until > __bucket").withColumn("__bucket", F.explode(F.expr("sequence(__bucket + 1, __until)")))
+    return later.select(F.expr("0").alias("__side"), (F.col("__bucket") * width).alias("__t"), "__bucket", *keys, match)
+
+
 def fuse(base: DataFrame, time: str, sources: Sequence[Source], by: Sequence[str] = ()) -> DataFrame:
     """``base`` with, for each source, its columns, ``{name}_timestamp``, ``{name}_freshness_min`` and ``{name}_missing``.
 
@@ -44,7 +56,7 @@ def fuse(base: DataFrame, time: str, sources: Sequence[Source], by: Sequence[str
     tolerance old, both bounds included. Of several rows of a source at one time and key the greatest (all columns in order)
     counts. Base rows with a null time or key match nothing and stay; an empty source attaches nulls and missing = true.
     """
-    width = int(max(s.tolerance_min for s in sources) * MICROS)
+    width = max(1, int(min(BUCKET_MIN, max(s.tolerance_min for s in sources)) * MICROS))
     keys = list(by)
     for s in sources:
         if list(s.by) != keys:
@@ -57,11 +69,8 @@ def fuse(base: DataFrame, time: str, sources: Sequence[Source], by: Sequence[str
         rows = keep_last(s.rows.where(F.col(s.time).isNotNull()), [*keys, s.time], s.columns)
         at = _micros(F.col(s.time))
         match = F.struct(at.alias("__at"), *[F.col(c) for c in s.columns])
-        spread = rows.select(
-            F.expr("1").alias("__side"), at.alias("__t"), F.explode(F.array(F.floor(at / width), F.floor(at / width) + 1)).alias("__bucket"),
-            *[F.col(k).alias(f"__{k}") for k in keys], match.alias(f"__m_{s.name}"),
-        )
-        parts.append(spread)
+        own = rows.select(F.expr("1").alias("__side"), at.alias("__t"), F.floor(at / width).alias("__bucket"), *[F.col(k).alias(f"__{k}") for k in keys], match.alias(f"__m_{s.name}"))
+        parts += [own, _carried(own, f"__m_{s.name}", [f"__{k}" for k in keys], width, int(s.tolerance_min * MICROS))]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part, allowMissingColumns=True)
