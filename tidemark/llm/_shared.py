@@ -57,6 +57,21 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
         _delete(spark, uri)
 
 
+def written(spark: SparkSession) -> int:
+    """How many tables this application has written here so far: a mark for ``forget_since``."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def forget_since(spark: SparkSession, mark: int, kept: DataFrame) -> None:
+    """Delete the tables written since a mark, but for the one that ``kept`` reads: for the end of a stage whose result is
+    stored."""
+    have = {f.rpartition("/")[0].rpartition("/")[2] for f in kept.inputFiles()}
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    for uri in [p for p in paths[mark:] if have and p.rpartition("/")[2] not in have]:  # a table without files is not worth a search
+        paths.remove(uri)
+        _delete(spark, uri)
+
+
 def forget_all(spark: SparkSession) -> None:
     """Delete every table that this application has written here: for a job's end, when all its results are stored."""
     for uri in _written.pop(spark.sparkContext.applicationId, []):
