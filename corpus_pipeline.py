@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, minhash, mixing, quality, tokens
-from tidemark.llm._shared import materialise
+from tidemark.llm._shared import forget_since, materialise, written
 from tidemark.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -59,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; once a stage's result is stored, what was stored before it and within it is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = written(spark)
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.split()[0].lower())
+        forget_since(spark, mark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
