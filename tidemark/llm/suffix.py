@@ -38,8 +38,8 @@ SLICE = 1 << 19
 #: Different surroundings of a minimiser: in one unit, from which on they are counted; in all, from which on they are dealt out.
 WARM, HOT_CONTEXTS = 8, 20_000
 STEP = 5
-#: Bytes of text of a unit and a bucket; both grow with the input, so that the rows between them do not outgrow it.
-UNIT_BYTES, MOST_UNIT_BYTES = 8 << 20, 32 << 20
+#: Bytes of text of a unit; it grows with the input, as units times buckets rows travel between the two.
+UNIT_BYTES, MOST_UNIT_BYTES = 8 << 20, 16 << 20
 
 
 # ---------------------------------------------------------------------------------------------- suffix arrays in numpy
@@ -568,7 +568,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bytes_in = base.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     size = UNIT_BYTES
-    while size < MOST_UNIT_BYTES and bytes_in > size * 20_000:
+    while size < MOST_UNIT_BYTES and bytes_in > size * 2000:
         size *= 2
     units, buckets = max(8, bytes_in // size), max(16, 4 * bytes_in // size)
     base = base.withColumn("unit", F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)).cast("int"))
