@@ -140,23 +140,27 @@ class Encoder:
 
     def learn(self, h: np.ndarray, tokens: list[str]) -> None:
         """Encode new pre-tokens (distinct hashes) and keep their ids."""
-        plain = [i for i, t in enumerate(tokens) if t.strip(" \t\r\n")]
-        ids: list[list[int]] = [[]] * len(tokens)
+        blank = [not t.strip(" \t\r\n") for t in tokens]
+        plain = np.flatnonzero(~np.array(blank))
+        order, sizes, flats = [plain], [], []
         for lo in range(0, len(plain), 2000):
-            part = plain[lo : lo + 2000]
-            joined = np.array(self.library(["\n".join(tokens[i] for i in part)])[0], np.uint32)
-            groups = np.split(joined, np.flatnonzero(joined == self.newline))
-            if len(groups) == len(part):
-                groups = [groups[0], *[g[1:] for g in groups[1:]]]
+            part = [tokens[i] for i in plain[lo : lo + 2000].tolist()]
+            joined = np.array(self.library(["\n".join(part)])[0], np.uint32)
+            cuts = np.flatnonzero(joined == self.newline)
+            if len(cuts) == len(part) - 1:
+                sizes.append(np.diff(np.concatenate([[-1], cuts, [len(joined)]])) - 1)
+                flats.append(joined[joined != self.newline])
             else:
-                groups = self.library([tokens[i] for i in part])
-            for i, g in zip(part, groups, strict=True):
-                ids[i] = g
-        blank = [i for i, t in enumerate(tokens) if not t.strip(" \t\r\n")]
-        for i, g in zip(blank, self.library([tokens[i] for i in blank]), strict=True):
-            ids[i] = g
-        n = np.array([len(x) for x in ids])
-        new = np.concatenate([np.asarray(x, np.uint32) for x in ids])
+                groups = self.library(part)
+                sizes.append(np.array([len(g) for g in groups]))
+                flats.append(np.concatenate([np.asarray(g, np.uint32) for g in groups]))
+        alone = np.flatnonzero(blank)
+        order.append(alone)
+        for g in self.library([tokens[i] for i in alone.tolist()]):
+            sizes.append(np.array([len(g)]))
+            flats.append(np.asarray(g, np.uint32))
+        ids, n, new = np.concatenate(order), np.concatenate(sizes), np.concatenate(flats)
+        h = h[ids]
         number = np.arange(self.count, self.count + len(ids))
         while self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -204,7 +208,8 @@ class Encoder:
             new = np.flatnonzero(number < 0)
             if len(new):
                 distinct, at = np.unique(h[new], return_index=True)
-                self.learn(distinct, [text[starts[i] : ends[i]] for i in new[at]])
+                first = new[at]
+                self.learn(distinct, [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
                 number[new] = self.find(h[new])
             n = self.len[number].astype(np.int64)
             to = np.cumsum(n) - n
