@@ -5,15 +5,17 @@ the int8 product is off by at most |e|(1+|f|) + (1+|e|)|f| + |e||f|, where |e| a
 whose product plus bound reaches the threshold, and only those, are computed anew in double precision.
 
 Equal unit vectors collapse to one that stands for all their ids. What is left is dealt to cells by the nearest pivot (k-means on
-a sample of ``SAMPLE`` vectors; the pivots grow with the table, up to ``MOST_PIVOTS``) and cells to tiles of a bounded size. By the
-triangle inequality of angles, a vector can only link with one of another cell if it is no farther from that cell's pivot than
-the cell's radius and the threshold's angle together; it travels to no other cell. Tiles meet in pairs, each in a task of bounded
-size that returns counts and a spanning forest of its links, not the pairs.
+a sample of ``SAMPLE`` vectors; the pivots grow with the table, up to ``MOST_PIVOTS``); small cells share a tile and large ones
+are cut into tiles of a bounded size. By the triangle inequality of angles, a vector can only link with one of another cell if it
+is no farther from that cell's pivot than the cell's radius and the threshold's angle together; it travels to no other cell's
+tiles, and once to a tile that several share. Tiles meet in pairs, each in a task of bounded size that returns counts and a
+spanning forest of its links, not the pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,10 @@ from ._shared import hashed_sample, materialise
 #: Pivots: about one for so many vectors, between the least and the most.
 ROWS_A_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 4096, 32, 512
 SAMPLE = 4096
-#: Numbers in a tile (32,768 rows of 64 numbers), and rows in a step of its product.
+#: Numbers in a tile at most (32,768 rows of 64 numbers), rows in one at least where there are cores for more tiles, and rows in
+#: a step of its product.
 TILE = 1 << 21
+LEAST_TILE_ROWS = 1024
 INNER = 1024
 SALTS = 32
 #: Rounding allowed for in single-precision products and in angles.
@@ -97,26 +101,43 @@ def _place(shared):
     return work
 
 
+def packed(rows: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(group of each cell, tiles of each group)``: neighbouring cells share a group of about ``limit`` rows, in one tile; a
+    cell of more rows is a group of its own, in as many tiles as it takes."""
+    group, tiles, held = np.zeros(len(rows), np.int32), [], limit
+    for c, n in enumerate(rows.tolist()):
+        if n > limit or held + n > limit:
+            tiles.append(max(1, -(-n // limit)))
+            held = n if n <= limit else limit
+        else:
+            held += n
+        group[c] = max(0, len(tiles) - 1)
+    return group, np.array(tiles)
+
+
 def _reach(shared, gap: float):
-    """``cells``: the other cells where a row may have links, by its angle from their pivots and their radii."""
+    """``mine``, the group of a row's cell, and ``cells``, the other groups where it may have links, by its angle from their
+    pivots and their radii."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims, home = batch.column("dim").to_numpy(), batch.column("home").to_numpy()
             blobs = batch.column("unit")
+            mine = np.zeros(batch.num_rows, np.int32)
             cells: list[np.ndarray] = [np.zeros(0, np.int32)] * batch.num_rows
             for dim in np.unique(dims):
                 if int(dim) not in shared.value:
                     continue
-                centres, radius = shared.value[int(dim)]
+                centres, radius, group = shared.value[int(dim)]
                 at = np.flatnonzero(dims == dim)
                 for part in np.split(at, range(1024, len(at), 1024)):
                     unit = np.stack([np.frombuffer(blobs[int(i)].as_buffer(), np.float64) for i in part])
                     near = np.arccos(np.clip(unit @ centres.T, -1, 1)) <= radius + gap
-                    near[np.arange(len(part)), home[part]] = False
+                    mine[part] = group[home[part]]
                     for i, hit in zip(part, near, strict=True):
-                        cells[i] = np.flatnonzero(hit).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
+                        found = np.unique(group[hit])
+                        cells[i] = found[found != mine[i]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mine), pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "mine", "cells"])
 
     return work
 
@@ -137,6 +158,10 @@ def tile_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _tile_rows(dim: int) -> int:
+    return max(16, min(65536, TILE // dim))
+
+
 LINKS = "id long, other long, links long, fp1 long, fp2 long, to1 long, to2 long"
 
 
@@ -227,23 +252,31 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # of each cell its rows and radius: at most MOST_PIVOTS rows for each length that the sample holds, and one for any other
     cells = first.groupBy("dim", "home").agg(F.count("*").alias("rows"), F.max("angle").alias("radius"))
     known = cells.where(F.col("dim").isin(list(centres))).collect() if centres else []
-    reach = {}
+    spread = math.ceil((6 * spark.sparkContext.defaultParallelism) ** 0.5)  # so many tiles meet in some three tasks a core
+    reach, grouped = {}, []
     for dim, points in centres.items():
-        radius = np.full(len(points), -10.0)  # nothing is near an empty cell
+        radius, held = np.full(len(points), -10.0), np.zeros(len(points), np.int64)  # nothing is near an empty cell
         for r in known:
             if r["dim"] == dim:
-                radius[r["home"]] = r["radius"]
-        reach[dim] = (points, radius)
+                radius[r["home"]], held[r["home"]] = r["radius"], r["rows"]
+        group, count = packed(held, min(_tile_rows(dim), max(LEAST_TILE_ROWS, -(-int(held.sum()) // spread))))
+        reach[dim] = (points, radius, group)
+        grouped += [(dim, g, int(n)) for g, n in enumerate(count)]
     gap = float(np.arccos(min(1.0, threshold))) + SLACK
-    tiles = cells.select("dim", "home", F.ceil(F.col("rows") / F.greatest(F.lit(16), F.least(F.lit(65536), F.floor(F.lit(TILE) / F.col("dim"))))).cast("int").alias("tiles"))
-    near = first.mapInArrow(_reach(spark.sparkContext.broadcast(reach), gap), "fp1 long, fp2 long, id long, dim int, home int, angle double, unit binary, n long, torn boolean, cells array<int>")
-    rows = near.join(F.broadcast(tiles), ["dim", "home"]).withColumn("tile", F.pmod(F.xxhash64(*fp), F.col("tiles")).cast("int"))
-    # each row meets the later tiles of its own cell, and all tiles of the cells that it can reach
-    other = rows.withColumn("cell", F.explode(F.concat(F.array("home"), "cells"))).drop("cells")
-    other = other.join(F.broadcast(tiles.select("dim", F.col("home").alias("cell"), F.col("tiles").alias("there"))), ["dim", "cell"])
-    met = other.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("there") - 1)))
+    near = first.mapInArrow(_reach(spark.sparkContext.broadcast(reach), gap), "fp1 long, fp2 long, id long, dim int, home int, angle double, unit binary, n long, torn boolean, mine int, cells array<int>").drop("home", "angle")
+    tile = F.pmod(F.xxhash64(*fp), F.col("tiles")).cast("int").alias("tile")
+    # each row meets all tiles of its own group and of the groups that it can reach
+    tiles = F.broadcast(spark.createDataFrame(grouped, "dim int, cell int, tiles int"))
+    sampled = near.where(F.col("dim").isin(list(centres))).join(tiles.withColumnRenamed("cell", "mine"), ["dim", "mine"])
+    sampled = sampled.select("id", "dim", *fp, "unit", "n", "torn", "mine", tile, F.explode(F.concat(F.array("mine"), "cells")).alias("cell"))
+    sampled = sampled.join(tiles.withColumnRenamed("tiles", "there"), ["dim", "cell"])
+    # a length that the sample lacks is one cell
+    alone = cells.where(~F.col("dim").isin(list(centres))).select("dim", F.expr(f"cast(ceil(rows / greatest(16, least(65536, {TILE} div dim))) as int)").alias("tiles"))
+    alone = near.where(~F.col("dim").isin(list(centres))).join(alone, "dim")
+    alone = alone.select("id", "dim", *fp, "unit", "n", "torn", "mine", tile, F.col("mine").alias("cell"), F.col("tiles").alias("there"))
+    met = sampled.unionByName(alone).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("there") - 1)))
     code = lambda home, t: F.col(home).cast("long") * (1 << 32) + F.col(t)
-    mine, theirs = code("home", "tile"), code("cell", "t")
+    mine, theirs = code("mine", "tile"), code("cell", "t")
     met = met.select("dim", F.least(mine, theirs).alias("x"), F.greatest(mine, theirs).alias("y"), (mine > theirs).cast("int").alias("side"), "id", "n", "torn", *fp, "unit")
     met = materialise(met.groupBy("dim", "x", "y").applyInArrow(_tiles(threshold), LINKS), "links")
 
