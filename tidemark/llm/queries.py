@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, minhash, mixing, preferences, quality, secrets, suffix, tokens, vectors
+from . import decontam, licenses, lm, minhash, mixing, preferences, quality, secrets, spelling, suffix, tokens, trie, vectors
 from ._shared import materialise
 
 
@@ -59,6 +59,18 @@ def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.format_pairs(turns, preferences.preference_pairs(turns))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
+def op13_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_scores(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_quality_gam": op1_quality_gam,
@@ -71,6 +83,9 @@ def queries() -> dict:
         "op8_license_join": op8_license_join,
         "op9_token_records": op9_token_records,
         "op10_preference_chat": op10_preference_chat,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op12_spelling_tiles": op12_spelling_tiles,
+        "op13_elias_fano_lm": op13_elias_fano_lm,
     }
 
 
@@ -236,6 +251,68 @@ FROM b JOIN e ON e.source = b.source AND e.turn = b.block % b.quota
 """
 
 
+#: CRC-32 by its table of 256 remainders of the reversed polynomial, for texts of which ``{bytes}`` is the list of bytes.
+CRC_TABLE = """c AS (
+  SELECT list(r ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce([i::UBIGINT] || range(8)::UBIGINT[], lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS r
+    FROM range(256) AS t(i)))"""
+CRC = "xor(list_reduce([4294967295::UBIGINT] || {bytes}, lambda a, x: xor(a >> 8, crc[((xor(a, x) & 255) + 1)::INT])), 4294967295::UBIGINT)"
+BYTES = "list_transform(range(1, length({hex}), 2), lambda i: ((position(substr({hex}, i, 1) IN '0123456789ABCDEF') - 1) * 16 + position(substr({hex}, i + 1, 1) IN '0123456789ABCDEF') - 1)::UBIGINT)"
+
+
+def _crc(text: str) -> str:
+    return CRC.format(bytes=BYTES.format(hex=f"hex(encode({text}))"))
+
+
+OP11 = f"""
+WITH RECURSIVE {CRC_TABLE},
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT conv_id, {_crc("conv_id::VARCHAR")} % {trie.CHOICES} AS h FROM (SELECT DISTINCT conv_id FROM t), c),
+b AS (
+  SELECT v.conv_id, t.k, t.role, t.text FROM v JOIN t ON t.conv_id = v.conv_id - v.conv_id % {trie.FAMILY} AND t.k <= h
+  UNION ALL SELECT v.conv_id, t.k + 1000000, t.role, t.text FROM v JOIN t USING (conv_id) WHERE t.k > h),
+s AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS depth, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words,
+    md5(strlen(role) || ':' || role || text) AS mark FROM b),
+p AS (
+  SELECT conv_id, 0::BIGINT AS depth, 0::BIGINT AS words, '' AS node, NULL::VARCHAR AS parent FROM v
+  UNION ALL SELECT s.conv_id, s.depth, s.words, md5(p.node || s.mark), p.node FROM p JOIN s ON s.conv_id = p.conv_id AND s.depth = p.depth + 1),
+e AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+n AS (SELECT node, depth, any_value(parent) AS parent, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n FROM p GROUP BY node, depth),
+k AS (SELECT parent AS node, count(*) AS kids FROM n WHERE parent IS NOT NULL GROUP BY parent),
+f AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k USING (node)),
+u AS (SELECT a.node, sum((f.kids = 0)::INT) AS leaves, sum((f.n - 1) * f.words) AS saved FROM f JOIN p a ON a.conv_id = f.conv_id AND a.depth <= f.depth GROUP BY a.node),
+x AS (SELECT p.node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM p JOIN e USING (conv_id, depth) GROUP BY p.node)
+SELECT f.conv_id, f.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, f.n AS n_convs, f.kids::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM f JOIN u USING (node) LEFT JOIN x USING (node) LEFT JOIN n q ON q.node = f.parent
+"""
+
+OP12 = f"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+l AS (SELECT id, translate(run, '{UPPER}', '{LOWER}') AS w, count(*) AS n FROM r WHERE length(run) >= {spelling.LEAST_CHARS} GROUP BY ALL),
+h AS (SELECT w, n, {_crc("id || ':' || w")} AS h FROM l, c),
+m AS (SELECT CASE WHEN h % {spelling.SLIP} = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= {spelling.LEAST_CHARS} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1))::INT AS i FROM v)),
+p AS (
+  SELECT a.word AS x, b.word AS y FROM d a JOIN d b ON a.i = b.i AND a.cut = b.cut AND a.word != b.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON d.cut = v.word
+  UNION SELECT v.word, d.word FROM d JOIN v ON d.cut = v.word),
+g AS (
+  SELECT v.word, v.n, count(p.y) AS n_near, max(o.n) AS top, arg_min(o.word, ROW(-o.n, encode(o.word))) AS best
+  FROM v LEFT JOIN p ON p.x = v.word LEFT JOIN v o ON o.word = p.y GROUP BY v.word, v.n),
+f AS (SELECT word, n, n_near, CASE WHEN top >= {spelling.FACTOR} * n THEN best END AS form, CASE WHEN top >= {spelling.FACTOR} * n THEN top END AS form_n FROM g),
+s AS (SELECT word, coalesce(form, word) AS at FROM f UNION SELECT s.word, f.form FROM s JOIN f ON f.word = s.at WHERE f.form IS NOT NULL),
+z AS (SELECT s.word, s.at AS root FROM s JOIN f ON f.word = s.at WHERE f.form IS NULL)
+SELECT f.word, f.form, z.root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM f JOIN z USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate_automaton": OP2,
@@ -245,4 +322,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_suffix_array_dedup": OP6,
         "op8_license_join": _op8(),
         "op10_preference_chat": OP10,
+        "op11_conversation_trie": OP11,
+        "op12_spelling_tiles": OP12,
     }
