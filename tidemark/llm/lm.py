@@ -44,7 +44,8 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
 COUNTED = "word long, n long, n_all long"
 SENT = "shard int, unit long, payload binary"
-ANSWER = "unit long, doc int, doc_id long, held_out boolean, n_tokens long, code long, base double, n_known long"
+ANSWER = "unit long, doc array<int>, code array<int>, base array<double>, n_known array<int>, last array<long>, n_tokens array<long>, doc_id array<long>, known array<long>, held_out array<long>"
+SUMMED = "doc_id long, held_out boolean, n_tokens long, code long, base double, n_known long"
 
 
 def held(id_column, mod: int, rest: int):
@@ -301,7 +302,7 @@ def _merge(messages: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
 def _answer(table: pa.Table, hot: dict[int, int], total: int, kinds: int, alpha: float, mu: float) -> pa.Table:
     messages = [_unpack(x) for x in table["payload"].to_pylist()]
     trie = Trie(*_merge(messages), hot, total, kinds, alpha, mu)
-    parts = []
+    rows = []
     for unit, m in zip(table["unit"].to_pylist(), messages, strict=True):
         word, n_pair, n_tri, places, docs = m[0].astype(np.uint64), m[1].astype(np.int64), m[4].astype(np.int64), m[7].astype(np.int64), m[8].astype(np.int64)
         before = (m[2].astype(np.uint64) << np.uint64(32)) | m[3].astype(np.uint64)
@@ -309,20 +310,27 @@ def _answer(table: pa.Table, hot: dict[int, int], total: int, kinds: int, alpha:
         of = np.repeat(np.repeat(np.repeat(np.arange(len(word)), n_pair), n_tri), places)
         hit, at = np.unique(docs, return_inverse=True)
         sums = [np.bincount(at, x, len(hit)) for x in (np.repeat(code, places), np.log10(count + 1.0)[of], (count > 0)[of])]
-        none = np.zeros(len(m[9]), np.int64)
-        parts.append((np.full(len(hit), unit), hit, None, sums[0].astype(np.int64), sums[1], sums[2].astype(np.int64)))
-        parts.append((np.full(len(m[9]), unit), m[9].astype(np.int64), m[9:], none, none.astype(float), none))
-    columns = [np.concatenate([p[k] for p in parts]) for k in (0, 1, 3, 4, 5)]
-    nulls = lambda p: np.ones(len(p[0]), bool) if p[2] is None else np.zeros(len(p[0]), bool)
-    unset = np.concatenate([nulls(p) for p in parts])
-    field = lambda k, kind: np.concatenate([np.zeros(len(p[0]), kind) if p[2] is None else p[2][k].astype(np.uint64).astype(kind) for p in parts])
-    no_id = unset | (field(3, np.int64) == 0)
-    arrays = [
-        pa.array(columns[0], pa.int64()), pa.array(columns[1].astype(np.int32)), pa.array(field(2, np.uint64).view(np.int64), mask=no_id), pa.array(field(4, np.int64) > 0, mask=unset),
-        pa.array(field(1, np.int64), mask=unset), pa.array(columns[2], pa.int64()), pa.array(columns[3]), pa.array(columns[4], pa.int64()),
-    ]
+        rows.append((unit, hit.astype(np.int32), sums[0].astype(np.int32), sums[1], sums[2].astype(np.int32), *(m[k].astype(np.uint64).view(np.int64) for k in range(9, 14))))
+    names = [c.split()[0] for c in ANSWER.split(", ")]
+    lists = [pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in c])).astype(np.int32), pa.array(np.concatenate(c))) for c in list(zip(*rows, strict=True))[1:]]
     release()
-    return pa.Table.from_arrays(arrays, names=["unit", "doc", "doc_id", "held_out", "n_tokens", "code", "base", "n_known"])
+    return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *lists], names=names)
+
+
+def _sum(table: pa.Table) -> pa.Table:
+    """A unit's texts, with what all shards found for them added up."""
+    flat = lambda name: table[name].combine_chunks().flatten().to_numpy()
+    doc, last = flat("doc"), flat("last")
+    n = len(last)
+    put = np.empty(n, np.int64)
+    put[last] = np.arange(n)
+    given = {name: flat(name)[put] for name in ("n_tokens", "doc_id", "known", "held_out")}
+    order = np.lexsort((flat("code"), flat("base"), doc))  # one order of addition, whatever the order of arrival
+    total = lambda name: np.bincount(doc[order], flat(name)[order], n)
+    return pa.table({
+        "doc_id": pa.array(given["doc_id"], mask=given["known"] == 0), "held_out": given["held_out"] > 0, "n_tokens": given["n_tokens"],
+        "code": total("code").astype(np.int64), "base": total("base"), "n_known": total("n_known").astype(np.int64),
+    })
 
 
 def language_scores(
@@ -361,10 +369,7 @@ def language_scores(
     answers = rows.mapInArrow(frugal(send), SENT).groupBy("shard").applyInArrow(answer, ANSWER)
     # every text opens in the context of two starts, which as many training texts do
     opening = int(_codes(np.array([size["texts"] + alpha * (size["texts"] + mu)]))[0])
-    summed = answers.groupBy("unit", "doc").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        F.sum("base").alias("base"), F.sum("code").alias("code"),
-    )
+    summed = answers.groupBy("unit").applyInArrow(_sum, SUMMED)
     return summed.select(
         F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * math.log10(total + kinds + 1)).alias("base_score"), ((F.col("code") - opening) / STEPS).alias("score"),
