@@ -144,7 +144,6 @@ def test_baselines_and_estimators(spark):
     scaled = models.impute_and_scale(df.withColumn("z", F.when(F.col("id") > 5, F.col("z"))).withColumn("c", F.lit(2.0)), ["z", "c"])
     s = scaled.where("split = 'train'").agg(F.avg("z"), F.stddev_pop("z"), F.max("c")).first()
     assert s[0] == pytest.approx(0, abs=1e-9) and s[1] == pytest.approx(1) and s[2] == 0
-    assert models.random_search(3) == models.random_search(3)
     assert {round(x.weight, 3) for x in models.class_weights(df, "label", "ratio").select("weight").distinct().collect()} == {1.0, round((600 - (p := sum(v[-1] for v in rows))) / p, 3)}
 
 
@@ -167,15 +166,17 @@ def test_queries_search_whole_grids(spark, monkeypatch):
     monkeypatch.setattr(queries, "_documents", lambda *_: (df, ["a", "b"]))
     monkeypatch.setattr(models, "_best", chosen)
     monkeypatch.setattr(models.Pipeline, "fit", lambda self, data: None)
-    for name in ("logistic_regression", "boosted_trees", "tuned_trees"):
+    monkeypatch.setattr(models, "fit_leafwise", lambda df, features, label, candidates, *rest: tried.append(candidates) or (_ for _ in ()).throw(Stop))
+    for name in ("logistic_regression", "boosted_trees", "leafwise_trees", "tuned_trees"):
         try:
             getattr(queries, name)(spark, "")
         except Stop:
             pass
     assert [p["C"] for p in tried[0]] == list(models.C_GRID)
     assert [(p["maxDepth"], p["maxIter"]) for p in tried[1]] == [(3, 20), (5, 20), (5, 40)]
-    assert tried[2] == models.random_search(20)
+    assert tried[2] == [models.Params(**p) for p in models.LEAF_GRID]
+    assert tried[3] == models.search_draws(20)
     monkeypatch.undo()
     assert models._best is best
-    choice, _, out = models.tuned_trees(df, ["a", "b"], "label", trials=1)
+    choice, _, out = models.tuned_trees(df, ["a", "b"], "label", trials=1, patience=2)
     assert "threshold" in choice and out.count() == len(rows)

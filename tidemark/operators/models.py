@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from random import Random
+from dataclasses import asdict
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
+from .boosting import LEAF_GRID, Model, Params, fit_leafwise, search_draws
 from .labels import quantile as pooled_quantile
 from .metrics import confusion_metrics, ranking_metrics, select_threshold
+from .neighbours import neighbour_information
+from .ranking import abs_spearman, importance_ensemble, quantile_mutual_information, stacked
 from .ranks import column_quantiles
 
 C_GRID = (0.01, 0.1, 1.0, 3.0)
@@ -80,19 +84,29 @@ def _predict(model, df: DataFrame, label: str) -> DataFrame:
     return out.withColumn("y_true", F.col(label).cast("int"))
 
 
+def _choose(scored: DataFrame, metric: str, decimals: int, last: str = "hss") -> tuple[int, float]:
+    """Number and threshold of the candidate whose validation scores are best, by (metric at its best threshold, average
+    precision, skill; or, where ``last`` is brier, the least Brier score), the first on ties. ``scored`` has a row's label
+    ``y_true`` and all candidates' probabilities ``probs``, so all are judged by the same few aggregations."""
+    rows = scored.select("y_true", F.posexplode("probs").alias("trial", "prob")).select("trial", "y_true", F.round("prob", decimals).alias("y_prob"))
+    rows = materialise(rows, "candidates")
+    top = select_threshold(rows, ["trial"], metric=metric)
+    ap = ranking_metrics(rows, ["trial"]).select("trial", "pr_auc")
+    brier = rows.groupBy("trial").agg(F.avg(F.pow(F.col("y_prob") - F.col("y_true"), F.lit(2.0))).alias("brier"))
+    order = [F.coalesce(metric, F.lit(0.0)), F.coalesce("pr_auc", F.lit(0.0)), -F.coalesce("brier", F.lit(0.0)) if last == "brier" else F.coalesce("hss", F.lit(0.0)), -F.col("trial")]
+    best = top.join(ap, "trial").join(brier, "trial").agg(F.max_by(F.struct("trial", "threshold"), F.struct(*order)).alias("b")).first()["b"]
+    return (best["trial"], best["threshold"]) if best else (0, 0.5)
+
+
 def _best(fitted: Sequence[tuple[dict, object]], val: DataFrame, label: str, metric: str, decimals: int, last: str = "hss") -> tuple[dict, object, float]:
-    """The candidate whose validation scores are best, by (metric at its best threshold, average precision, skill; or, where
-    ``last`` is brier, the least Brier score)."""
-    ranked = []
-    for i, (params, model) in enumerate(fitted):
-        rows = _predict(model, val, label).select("y_true", F.round("y_prob", decimals).alias("y_prob")).cache()
-        top = select_threshold(rows, metric=metric).first()
-        ap = ranking_metrics(rows).first()["pr_auc"]
-        final = -(rows.agg(F.avg(F.pow(F.col("y_prob") - F.col("y_true"), F.lit(2.0)))).first()[0] or 0.0) if last == "brier" else top["hss"] or 0.0
-        rows.unpersist()
-        ranked.append(((top[metric] or 0.0, ap or 0.0, final, -i), i, top["threshold"]))
-    _, i, threshold = max(ranked)
-    return fitted[i][0], fitted[i][1], threshold
+    """``_choose`` over fitted pipelines."""
+    out = val.withColumn("y_true", F.col(label).cast("int"))
+    for i, (_, model) in enumerate(fitted):
+        scored = model.transform(out).withColumn(f"prob_{i}", vector_to_array("probability")[1])
+        out = scored.drop("features", "rawPrediction", "probability", "prediction")
+    probs = F.array(*[F.col(f"prob_{i}") for i in range(len(fitted))]).alias("probs")
+    i, threshold = _choose(out.select("y_true", probs), metric, decimals, last)
+    return *fitted[i], threshold
 
 
 def logistic_grid(df: DataFrame, features: Sequence[str], label: str, grid: Sequence[float] = C_GRID, metric: str = "f2", split: str = "split", decimals: int = 4) -> tuple[dict, object, DataFrame]:
@@ -100,7 +114,7 @@ def logistic_grid(df: DataFrame, features: Sequence[str], label: str, grid: Sequ
 
     C divides the penalty of the summed, weighted loss; Spark penalises the weighted mean, hence regParam = 1 / (C Σw).
     """
-    ready = class_weights(impute_and_scale(df, features, split), label)
+    ready = materialise(class_weights(impute_and_scale(df, features, split), label), "ready")  # each fit reads it
     train, val = ready.where(F.col(split) == "train"), ready.where(F.col(split) == "val")
     total = train.agg(F.sum("weight")).first()[0]
     vector = VectorAssembler(inputCols=list(features), outputCol="features")
@@ -116,12 +130,13 @@ def logistic_grid(df: DataFrame, features: Sequence[str], label: str, grid: Sequ
 def boosted_trees(
     df: DataFrame, features: Sequence[str], label: str, grid: Sequence[dict] | None = None, metric: str = "f2", split: str = "split", decimals: int = 4, early_stop: bool = False, last: str = "hss"
 ) -> tuple[dict, object, DataFrame]:
-    """Boosted trees over a grid of parameters, median-imputed and with balanced weights; as ``logistic_grid``.
+    """Level-wise boosted trees over a grid of parameters, median-imputed and with balanced weights; as ``logistic_grid``.
 
     With ``early_stop`` training also sees the validation rows, marked, and stops when their loss no longer falls.
     """
     grid = grid or [{"maxDepth": 3, "maxIter": 20}, {"maxDepth": 5, "maxIter": 20}, {"maxDepth": 5, "maxIter": 40}]
     ready = class_weights(impute_and_scale(df, features, split, scale=False), label).withColumn("is_val", F.col(split) == "val")
+    ready = materialise(ready, "ready")  # each fit reads it
     train, val = ready.where(F.col(split) == "train"), ready.where(F.col(split) == "val")
     vector = VectorAssembler(inputCols=list(features), outputCol="features")
     fitted = []
@@ -136,26 +151,68 @@ def boosted_trees(
     return choice | {"threshold": threshold}, model, out
 
 
-def random_search(trials: int, seed: int = 42) -> list[dict]:
-    """Seeded parameter draws for ``boosted_trees``."""
-    r = Random(seed)
-    return [
-        {
-            "maxDepth": r.randint(3, 7), "maxIter": r.choice([20, 40, 60]), "stepSize": r.choice([0.03, 0.05, 0.1, 0.2]), "subsamplingRate": r.choice([0.6, 0.8, 1.0]),
-            "minInstancesPerNode": r.choice([1, 5, 20]), "maxBins": r.choice([32, 64, 128]), "minInfoGain": r.choice([0.0, 1e-4, 1e-3]),
-            "featureSubsetStrategy": r.choice(["all", "onethird", "sqrt"]), "minWeightFractionPerNode": r.choice([0.0, 0.001, 0.01]),
-        }
-        for _ in range(trials)
-    ]
+def _leafwise(df: DataFrame, features: Sequence[str], label: str, models: Sequence[Model], metric: str, split: str, decimals: int, last: str) -> tuple[Model, float, DataFrame]:
+    """The best of fitted leaf-wise models by validation, its threshold, and its predictions of all rows."""
+    val = df.where(F.col(split) == "val").where(F.col(label).isNotNull())
+    probs = F.array(*[m.probability() for m in models]).alias("probs")
+    i, threshold = _choose(val.select(F.col(label).cast("int").alias("y_true"), probs), metric, decimals, last)
+    out = df.withColumn("y_true", F.col(label).cast("int")).withColumn("y_prob", models[i].probability())
+    return models[i], threshold, out.withColumn("y_pred", (F.col("y_prob") >= threshold).cast("int"))
+
+
+def leafwise_grid(
+    df: DataFrame, features: Sequence[str], label: str, grid: Sequence[dict] = LEAF_GRID, metric: str = "f2", split: str = "split", decimals: int = 4
+) -> tuple[dict, Model, DataFrame]:
+    """Leaf-wise boosted trees over a grid, median-imputed and with balanced weights, the best by validation;
+    ``(choice, model, predictions)`` as ``logistic_grid``."""
+    ready = materialise(class_weights(impute_and_scale(df, features, split, scale=False), label), "ready")
+    model, threshold, out = _leafwise(ready, features, label, fit_leafwise(ready, features, label, [Params(**p) for p in grid], "weight", split), metric, split, decimals, "hss")
+    return asdict(model.params) | {"threshold": threshold}, model, out
 
 
 def tuned_trees(
-    df: DataFrame, features: Sequence[str], label: str, trials: int = TRIALS, seed: int = 42, metric: str = "f2", split: str = "split", decimals: int = 4
-) -> tuple[dict, object, DataFrame]:
-    """Boosted trees over the draws of ``random_search``, each stopped early on the validation rows; nulls are 0. As
-    ``boosted_trees``, but the choice is by (metric, average precision, least Brier score)."""
+    df: DataFrame, features: Sequence[str], label: str, trials: int = TRIALS, seed: int = 42, patience: int = 100, rounds: int = 4000, metric: str = "f2", split: str = "split", decimals: int = 4
+) -> tuple[dict, Model, DataFrame]:
+    """Leaf-wise boosted trees over seeded draws of nine parameters, side by side over one stored table; each stops once
+    ``patience`` rounds bring no lower validation log loss and keeps the trees up to the lowest. Nulls are 0, classes are not
+    weighted, and the choice is by (metric, average precision, least Brier score)."""
     zeros = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
-    return boosted_trees(zeros, features, label, random_search(trials, seed), metric, split, decimals, early_stop=True, last="brier")
+    ready = materialise(zeros, "ready")
+    models = fit_leafwise(ready, features, label, search_draws(trials, seed, rounds), None, split, patience)
+    model, threshold, out = _leafwise(ready, features, label, models, metric, split, decimals, "brier")
+    return asdict(model.params) | {"threshold": threshold, "best_iteration": len(model.trees)}, model, out
+
+
+def tree_importances(spark: SparkSession, model: Model) -> DataFrame:
+    """``(feature, split_importance, gain_importance, gain_share)`` of a leaf-wise model: how often each feature splits a node
+    and what that gains, also as a share of all."""
+    found = model.importances()
+    total = max(sum(g for _, _, g in found), 1e-12)
+    rows = [(f, float(n), float(g), g / total) for f, n, g in found]
+    return spark.createDataFrame(rows, "feature string, split_importance double, gain_importance double, gain_share double")
+
+
+#: The trees whose splits and gains are parts of the importance score.
+IMPORTANCE_TREES = {"n_estimators": 300, "learning_rate": 0.05, "num_leaves": 63, "subsample": 0.8, "colsample_bytree": 0.8}
+
+
+def feature_importance(df: DataFrame, features: Sequence[str], label: str, split: str = "split", trees: dict | None = None, neighbours: int | None = 3) -> DataFrame:
+    """One row a feature: mutual information and absolute rank correlation with the label, split and gain importance of
+    leaf-wise trees, each part divided by its largest, their weighted sum ``importance_score``, and the rows and event rate it
+    was learnt from. All parts come from the training rows, median-imputed but for the correlation; positives weigh as all
+    negatives do in the trees. Mutual information is by nearest neighbours, or in ten quantile bins if ``neighbours`` is None."""
+    spark = df.sparkSession
+    train = materialise(df.where((F.col(split) == "train") & F.col(label).isNotNull()).select(*features, label, split), "train")
+    filled = materialise(class_weights(impute_and_scale(train, features, split, scale=False), label, "ratio"), "filled")
+    (model,) = fit_leafwise(filled, features, label, [Params(**(trees or IMPORTANCE_TREES))], "weight", split)
+    if neighbours is None:
+        information = quantile_mutual_information(filled, features, label, split)
+    else:
+        information = neighbour_information(stacked(filled, features, label), ["feature"], "x", "y", neighbours)
+    parts = [information, abs_spearman(train, features, label), tree_importances(spark, model)]
+    names = spark.createDataFrame([(f,) for f in features], "feature string")
+    size = train.agg(F.count("*").alias("train_rows_used"), F.avg(label).alias("event_rate"))
+    return importance_ensemble(parts, names).crossJoin(F.broadcast(size))  # one row
 
 
 def gain_shares(model, features: Sequence[str]) -> list[tuple[str, float]]:

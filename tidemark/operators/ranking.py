@@ -96,6 +96,18 @@ def importance_ensemble(tables: Sequence[DataFrame], features: DataFrame, key: s
     return out.withColumn("importance_score", sum((F.col(f"{c}_norm") * w for c, w in weights.items()), F.lit(0.0)))
 
 
+def stacked(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """``(feature, x, y)``: one row for each row and feature, nulls and values that are no number left out."""
+    cell = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")))
+    cells = F.explode(F.array_compact(F.array(*[cell(c) for c in features])))
+    return df.where(F.col(label).isNotNull()).select(cells.alias("cell"), F.col(label).cast("int").alias("y")).select("cell.feature", "cell.x", "y")
+
+
+def abs_spearman(df: DataFrame, features: Sequence[str], label: str, least_pairs: int = 10) -> DataFrame:
+    """``(feature, abs_spearman)`` of each feature with a label."""
+    return spearman(stacked(df, features, label), ["feature"], "x", "y", least_pairs).select("feature", F.abs("spearman").alias("abs_spearman"))
+
+
 def global_ranking(scores: DataFrame, feature: str, group: str, score: str, parts: Sequence[str] = (), tie: str | None = None) -> DataFrame:
     """Per feature: number of scores, mean, median and largest, and the mean of each part as ``mean_{part}``; ``rank`` by mean
     score, then by the mean of the part ``tie``, then by name."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.derived import add_derived
-from ..operators import asof, blocks, dedupe, labels, metrics, models, ranking, resample, splits
+from ..operators import asof, blocks, dedupe, labels, metrics, models, neighbours, ranking, resample, splits
 from ..sources import feeds
 from . import pipeline, report
 
@@ -770,6 +770,12 @@ def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality(models.boosted_trees(rows, features, "label")[2])
 
 
+@query()
+def leafwise_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, features = _documents(spark, sf_dir)
+    return _quality(models.leafwise_grid(rows, features, "label")[2])
+
+
 @query()
 def tuned_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, features = _documents(spark, sf_dir)
@@ -799,6 +805,47 @@ def binned_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranking.binned_mutual_information(read(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_quantity", "l_returnflag", [10, 20, 30, 40]), ["mutual_info"])
 
 
+SHAPES = """
+WITH d AS (SELECT doc_id, quality AS y, n_chars AS size, len(text) - len(replace(text, ' ', '')) AS blanks, n_chars % 97 AS rest FROM documents JOIN labels USING (doc_id)),
+s AS (UNPIVOT d ON size, blanks, rest INTO NAME feature VALUE x)
+"""
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Labelled documents with three whole numbers."""
+    docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    blanks = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
+    return docs.select("doc_id", F.col("quality").alias("y"), F.col("n_chars").alias("size"), blanks.alias("blanks"), (F.col("n_chars") % 97).alias("rest")), ["size", "blanks", "rest"]
+
+
+@query(f"""{SHAPES}, n AS (SELECT feature, y, count(*) AS n FROM s GROUP BY ALL), c AS (SELECT s.doc_id, s.feature, s.x, s.y, n.n, least(3, n.n - 1) AS k FROM s JOIN n USING (feature, y) WHERE n.n > 1),
+r AS (SELECT a.doc_id, a.feature, a.x, a.n, a.k, list_sort(list(abs(b.x - a.x)))[any_value(a.k)] AS r FROM c a JOIN c b ON a.feature = b.feature AND a.y = b.y AND a.doc_id != b.doc_id GROUP BY a.doc_id, a.feature, a.x, a.n, a.k),
+m AS (SELECT r.doc_id, r.feature, any_value(r.n) AS n, any_value(r.k) AS k, count(*) AS m FROM r JOIN c ON c.feature = r.feature AND (abs(c.x - r.x) < r.r OR c.x = r.x) GROUP BY r.doc_id, r.feature),
+h AS (SELECT 1::BIGINT AS i, 0.0::DOUBLE AS h UNION ALL SELECT i + 1, sum(1.0 / i) OVER (ORDER BY i) FROM range(1, 200000) t(i))
+SELECT m.feature, round(greatest(0, any_value(w.h) + avg(k.h) - avg(n.h) - avg(q.h)), 7) AS mutual_info
+FROM m JOIN (SELECT feature, count(*) AS whole FROM m GROUP BY feature) z USING (feature)
+JOIN h k ON k.i = m.k JOIN h n ON n.i = m.n JOIN h q ON q.i = m.m JOIN h w ON w.i = z.whole GROUP BY m.feature""")
+def neighbour_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, features = shapes(spark, sf_dir)
+    return rounded(neighbours.neighbour_information(ranking.stacked(rows, features, "y"), ["feature"], "x", "y"), ["mutual_info"], 7)
+
+
+@query(f"""{SHAPES}, r AS (SELECT feature, rank() OVER a + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx, rank() OVER b + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry FROM s
+  WINDOW a AS (PARTITION BY feature ORDER BY x), b AS (PARTITION BY feature ORDER BY y))
+SELECT feature, round(abs(corr(rx, ry)), 7) AS abs_spearman FROM r GROUP BY feature""")
+def feature_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, features = shapes(spark, sf_dir)
+    return rounded(ranking.abs_spearman(rows, features, "y"), ["abs_spearman"], 7)
+
+
+@query()
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, features = _documents(spark, sf_dir)
+    out = models.feature_importance(rows, features, "label")
+    parts = ["mutual_info", "abs_spearman", "split_importance", "gain_share", "importance_score", "event_rate"]
+    return rounded(out.select("feature", "train_rows_used", *parts), parts, 6)
+
+
 IMPORTANCE = """
 WITH f AS (SELECT DISTINCT p_brand AS feature FROM part),
 s AS (SELECT p_brand AS feature, avg(p_retailprice) AS mutual_info, avg(p_size) AS abs_spearman, count(*)::DOUBLE AS split_importance, CASE WHEN p_brand != 'Brand#11' THEN max(p_retailprice) END AS gain_importance FROM part GROUP BY p_brand),
