@@ -202,3 +202,33 @@ def test_label_stage_derives_features(spark):
     assert out.count() == 57 and "sun_xrsa_diff_10m" in out.columns and out.where("target_geq_p95_3m = 1").count() > 0
     tasks = pipeline.tasks(out, "t", ["s", "t"], ["target_geq_p95_3m"], {"train": ("2024-01-31", "2024-01-31"), "test": ("2024-02-01", "2024-02-02")})
     assert "v" in tasks["target_geq_p95_3m"].columns and not any("p99" in c for c in tasks["target_geq_p95_3m"].columns if c.startswith("target"))
+
+
+def test_asof_keys_and_columns_of_any_name(spark):
+    for name in ("t", "bucket", "side", "row", "salt", "until", "__t", "key_0", "match_0"):
+        left = spark.createDataFrame([(1, 5, 0), (2, 9, 0), (1, 9, 1)], f"`{name}` int, at int, n int").withColumn("at", F.timestamp_seconds(F.col("at") * 60))
+        right = spark.createDataFrame([(1, 4, "a"), (2, 1, "b")], f"`{name}` int, rt int, v string").withColumn("rt", F.timestamp_seconds(F.col("rt") * 60))
+        for hot in (asof.HOT_ROWS, 1):
+            got = asof.fuse(left, "at", [asof.Source("x", right, "rt", ["v"], 5, [name])], [name], hot).collect()
+            assert sorted((r[name], r.n, r.v) for r in got) == [(1, 0, "a"), (1, 1, "a"), (2, 0, None)], name
+    same = right.withColumnRenamed("v", "n")
+    with pytest.raises(ValueError, match="more than once"):
+        asof.fuse(left, "at", [asof.Source("x", same, "rt", ["n"], 5)])
+    with pytest.raises(ValueError, match="x_missing"):
+        asof.fuse(left, "at", [asof.Source("x", right, "rt", ["v"], 5), asof.Source("x", right.select("rt", F.col("v").alias("u")), "rt", ["u"], 5)])
+
+
+def test_a_hot_bucket_is_spread_over_tasks(spark):
+    minutes = lambda c: F.timestamp_seconds(c.cast("long") * 60)
+    base = spark.range(20_000).select(F.col("id").alias("station"), minutes(F.col("id") % 50).alias("t"))
+    source = spark.range(30).select(minutes(F.col("id") * 2).alias("rt"), F.col("id").alias("v"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = lambda hot: asof.fuse(base, "t", [asof.Source("x", source, "rt", ["v"], 10)], hot_rows=hot)
+        share = lambda df: max(r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max("v")).collect())
+        assert share(rows(10**6)) == 20_000 and share(rows(200)) < 12_000
+        key = lambda df: sorted(map(tuple, df.select("station", "v", "x_missing").collect()))
+        assert key(rows(200)) == key(rows(10**6)) == [(i, min((i % 50) // 2, 29), False) for i in range(20_000)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
