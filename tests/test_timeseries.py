@@ -225,7 +225,7 @@ def test_a_hot_bucket_is_spread_over_tasks(spark):
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        rows = lambda hot: asof.fuse(base, "t", [asof.Source("x", source, "rt", ["v"], 10)], hot_rows=hot)
+        rows = lambda hot: asof.fuse(base, "t", [asof.Source("x", source, "rt", ["v"], 60)], hot_rows=hot)
         share = lambda df: max(r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max("v")).collect())
         assert share(rows(10**6)) == 20_000 and share(rows(200)) < 12_000
         key = lambda df: sorted(map(tuple, df.select("station", "v", "x_missing").collect()))

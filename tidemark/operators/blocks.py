@@ -19,26 +19,30 @@ from .ranks import join_null_safe
 NUMBER, BLOCK, OWN = "__n", "__block", "__own"
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str] = ()) -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str] = (), number: str = NUMBER) -> DataFrame:
     """Adds each row's number (from 0) in its series, ordered by time and ties."""
-    if taken := {NUMBER, BLOCK, OWN} & set(df.columns):
-        raise ValueError(f"columns of the frame may not be named {sorted(taken)}")
-    day, count, before_day, place = fresh(df.columns, "day", "count", "before", "place")
+    if number in df.columns:
+        raise ValueError(f"the frame has a column {number}; give the number another name")
+    day, count, before_day, place = fresh([*df.columns, number], "day", "count", "before", "place")
     rows = df.withColumn(day, F.date_trunc("day", F.col(time)))
     before = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(*keys, day).agg(F.count("*").alias(count))
     counts = counts.select(*keys, day, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(before_day))
     inside = Window.partitionBy(*keys, day).orderBy(time, *ties)
     joined = join_null_safe(rows.withColumn(place, F.row_number().over(inside) - 1), counts, [*keys, day])
-    return joined.withColumn(NUMBER, F.col(before_day) + F.col(place)).drop(day, place, before_day)
+    return joined.withColumn(number, F.col(before_day) + F.col(place)).drop(day, place, before_day)
 
 
-def blocked(df: DataFrame, keys: Sequence[str], time: str, before: int = 0, after: int = 0, block_rows: int = 100_000, ties: Sequence[str] = ()) -> DataFrame:
-    """Rows dealt to blocks, with copies of those that the next or the previous block's frames need."""
+def blocked(df: DataFrame, keys: Sequence[str], time: str, before: int = 0, after: int = 0, block_rows: int = 100_000, ties: Sequence[str] = (), names: Sequence[str] = (NUMBER, BLOCK, OWN)) -> DataFrame:
+    """Rows dealt to blocks, with copies of those that the next or the previous block's frames need. ``names`` are those of the
+    row's number, its block and whether it is the block's own."""
+    number, block, own = names
+    if taken := {block, own} & set(df.columns):
+        raise ValueError(f"the frame has columns {sorted(taken)}; give block and own other names")
     if max(before, after) > block_rows:
         raise ValueError("frames may not reach beyond a neighbouring block")
-    rows = number_rows(df, keys, time, ties)
-    home, place = F.expr(f"{NUMBER} div {block_rows}"), F.col(NUMBER) % block_rows
+    rows = number_rows(df, keys, time, ties, number)
+    home, place = F.floor(F.col(number) / block_rows), F.col(number) % block_rows
     where = [F.struct(home.alias("b"), F.lit(True).alias("own"))]
     if before:
         where.append(F.when(place >= block_rows - before, F.struct((home + 1).alias("b"), F.lit(False).alias("own"))))
@@ -46,7 +50,7 @@ def blocked(df: DataFrame, keys: Sequence[str], time: str, before: int = 0, afte
         where.append(F.when((place < after) & (home > 0), F.struct((home - 1).alias("b"), F.lit(False).alias("own"))))
     (spot,) = fresh(rows.columns, "spot")
     dealt = rows.withColumn(spot, F.explode(F.filter(F.array(*where), lambda x: x.isNotNull())))
-    return dealt.withColumns({BLOCK: F.col(f"{spot}.b"), OWN: F.col(f"{spot}.own")}).drop(spot)
+    return dealt.withColumns({block: F.col(f"{spot}.b"), own: F.col(f"{spot}.own")}).drop(spot)
 
 
 def series(keys: Sequence[str]) -> WindowSpec:
@@ -65,6 +69,8 @@ def lag(keys: Sequence[str]):
 
 
 def over_blocks(df: DataFrame, keys: Sequence[str], time: str, columns, before: int = 0, after: int = 0, ties: Sequence[str] = (), block_rows: int = 100_000) -> DataFrame:
-    """``df`` with the columns that ``columns(window)`` gives, frames reaching ``before`` and ``after`` rows at most."""
-    made: dict[str, Column] = columns(series(keys))
-    return own_rows(blocked(df, keys, time, before, after, block_rows, ties).withColumns(made))
+    """``df`` with the columns that ``columns(window)`` gives, frames reaching ``before`` and ``after`` rows at most. Columns of
+    ``df`` may have any names."""
+    names = fresh(df.columns, "n", "block", "own")
+    made: dict[str, Column] = columns(Window.partitionBy(*keys, names[1]).orderBy(names[0]))
+    return blocked(df, keys, time, before, after, block_rows, ties, names).withColumns(made).where(names[2]).drop(*names)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.derived import add_derived
-from ..operators import asof, blocks, dedupe, labels, metrics, models, neighbours, ranking, resample, splits
+from ..operators import asof, blocks, dedupe, labels, metrics, models, neighbours, ranking, resample, sequences, splits
 from ..sources import feeds
 from . import pipeline, report
 
@@ -421,6 +421,22 @@ def lookback_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.round(total, 5).alias("total"), F.size("sequence").alias("n"))
 
 
+@query(f"""
+SELECT event_id, round(value, 5) AS last, round(list_avg(list(value) OVER w), 5) AS mean, round(list_max(list(value) OVER w), 5) AS top FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) QUALIFY len(list(value) OVER w) = 24
+""")
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 24 events, packed by blocks and sliced in the tasks that read them."""
+    packed = sequences.packed_sequences(events(spark, sf_dir), ["user_id"], "ts", ["value"], 24, ["event_id"])
+
+    def made(windows, rows):
+        values = windows[:, :, 0]
+        return rows.assign(last=values[:, -1], mean=values.mean(axis=1), top=values.max(axis=1))
+
+    out = sequences.over_sequences(packed, 1, 24, ["event_id"], made, "event_id long, last double, mean double, top double")
+    return rounded(out, ["last", "mean", "top"], 5)
+
+
 DERIVED = {
     "sun": ["l_extendedprice", "l_quantity"],
     "l1": ["l_discount", "l_tax", "l_quantity", "l_extendedprice", "l_tax"],
