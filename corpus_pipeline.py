@@ -42,7 +42,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token records in the order of the files read, or of ids if ``docs`` is not read from files."""
-    order = [F.col("_metadata.file_name"), F.col("_metadata.row_index")] if docs.inputFiles() else None
+    name = F.col("_metadata.file_name")
+    number = F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long")  # beyond five digits names do not sort as numbers do
+    order = [number, name, F.col("_metadata.row_index")] if docs.inputFiles() else None
     return tokens.token_records(docs, tokenizer_path(), order=order)
 
 
