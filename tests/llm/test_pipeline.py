@@ -69,5 +69,16 @@ def test_mixture_and_records(stages):
         assert r.n_tokens == len(library.encode(text[r.doc_id], add_special_tokens=False).ids) + 1
 
 
+def test_records_follow_files_of_any_number(spark, tmp_path):
+    rows = [(f"part-{n}-x.snappy.parquet", i) for i, n in enumerate(("00009", "99999", "100000", "100001", "1000000"))]
+    for name, i in rows:
+        spark.createDataFrame([(i, f"text {i}", "en", "s", 6)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "one" / name))
+        (written,) = (tmp_path / "one" / name).glob("part-*.parquet")
+        (tmp_path / "all").mkdir(exist_ok=True)
+        written.rename(tmp_path / "all" / name)
+    got = corpus_pipeline.write_tokens(spark, spark.read.parquet(str(tmp_path / "all")), SF).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [0, 1, 2, 3, 4]
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).agg(F.sum("n_tokens")).first()[0] > 0

@@ -2,19 +2,18 @@
 
 Each source's documents, in the order of the md5 of their ids, are cut into blocks of ``block_docs``. A source of weight w
 releases its k-th block (from 0) at slot floor(k/w), due by slot ceil((k+1)/w); each slot goes to the released block of
-the earliest deadline. Weights are whole numbers of slots out of ``period``, so after each period every source has exactly
-its share and the schedule repeats: one period is scheduled, by a fold over its slots, and all blocks are placed by it. At
-any slot each source that still has blocks is less than one block from its whole slots. Those differ from its weight by less
-than one slot a period; only a source whose weight is below one slot gets a whole one, and what these take together beyond
-their weights, less than S slots, the largest source gives.
-
-Where that is no longer small (S sources, S * S > period), there are no periods. Sources in the order of their weights are the
-leaves of a binary tree over their cumulated weights, and each node's slots are shared between its two children by their
-weights alone, the first at every rounded multiple of its share: in whole numbers, so every slot has one owner and a block's
-slot follows from its number by one step for each level. However long the mixture, a source that still has blocks stays
-within two blocks of its target weight (1.2 was the most found for random weights), and there may be any number of sources.
-
-When a source runs out its slots stay empty and the others keep their relative weights; no document is dropped or repeated.
+the earliest deadline, then of the first source by name. Weights add up to one, so every slot has a block, every block keeps its
+deadline, and at any slot each source that still has blocks is less than one block from w times the slots, however long the
+mixture and whatever the number of sources.
+
+Nothing of that needs one task for all slots. At a slot B a source has had floor(wB) blocks or one more; which sources have one
+more follows from the weights alone: of the blocks whose window B cuts, those of the earliest deadlines that still fit before B,
+level by level from the latest release on, as many as there are free slots. So the slots are cut into periods, each knows the
+blocks that fall into it, and each is scheduled by a fold over its own slots; the result is that of one pass over all of them.
+
+Weights are whole numbers that add up to about ``RESOLUTION``, so they are exact to one part in that, the least of them one slot
+in ``LONGEST``; slots and blocks may go up to 2**32. When a source runs out its slots stay empty and the others keep their relative weights; no document is dropped or
+repeated. A period has ``PERIOD`` slots, or as many as there are sources or as the longest window has; work a slot grows with the sources.
 """
 
 from __future__ import annotations
@@ -28,90 +27,109 @@ from ._shared import materialise
 
 BLOCK_DOCS = 16
 PERIOD = 1000
-RESOLUTION = 2**36
-LEVELS = 38
+RESOLUTION = 2**30
+#: The least weight is one slot in so many.
+LONGEST = 2**18
 GROUP_ROWS = 100_000
 ALPHA = 0.7
 
-PATTERN = """
-aggregate(
-  sequence(0, {period} - 1),
-  named_struct('used', transform(quotas, q -> 0), 'out', cast(array() as array<int>)),
-  (state, slot) -> aggregate(
-    array(array_min(transform(quotas, (q, i) -> if(
-      state.used[i] < q and (state.used[i] * {period}) div q <= slot,
-      ((state.used[i] + 1) * {period} + q - 1) div q * {sources} + i,
-      null)))),
-    state,
-    (s, best) -> if(best is null,
-      named_struct('used', s.used, 'out', array_append(s.out, -1)),
-      named_struct(
-        'used', transform(s.used, (u, i) -> u + if(i = best % {sources}, 1, 0)),
-        'out', array_append(s.out, cast(best % {sources} as int))))),
-  state -> state.out)
+#: Blocks whose windows are cut at a slot, the latest releases first: the pool keeps the earliest deadlines, at most as many as
+#: slots are free from that release on.
+CHOSEN = """
+slice(
+  aggregate(
+    levels,
+    cast(array() as array<struct<deadline: long, i: int>>),
+    (pool, l) -> slice(array_sort(concat(pool, l.cut)), 1, cast(greatest(0L, l.free) as int))),
+  1, cast(more as int))
 """
 
-
-SLOT = """
-aggregate(path, block, (j, s) -> if(s.first,
-  cast((cast(2 * j + 1 as decimal(19, 0)) * cast(s.parent as decimal(18, 0)) + (2 * s.own - 1)) div cast(2 * s.own as decimal(18, 0)) - 1 as long),
-  cast((cast(2 * j + 1 as decimal(19, 0)) * cast(s.parent as decimal(18, 0))) div cast(2 * s.own as decimal(18, 0)) as long)))
+#: One period's slots in turn: what is released joins the pending blocks, and the one of the earliest deadline goes. Slots go by
+#: the thousand, so that no long array is copied for each.
+PATTERN = """
+flatten(aggregate(
+  sequence(0L, {period}L - 1, 1000L),
+  named_struct('next', 1, 'pending', {none}, 'out', cast(array() as array<array<{block}>>)),
+  (whole, from) -> aggregate(
+    array(aggregate(
+      sequence(from, least(from + 999L, {period}L - 1)),
+      named_struct('next', whole.next, 'pending', whole.pending, 'out', {none}),
+      (state, t) -> aggregate(
+        array(named_struct(
+          'now', coalesce(try_element_at(released, state.next).release = t, false),
+          'pending', if(coalesce(try_element_at(released, state.next).release = t, false), concat(state.pending, try_element_at(released, state.next).b), state.pending))),
+        state,
+        (s, x) -> named_struct(
+          'next', s.next + cast(x.now as int), 'pending', array_remove(x.pending, array_min(x.pending)), 'out', array_append(s.out, array_min(x.pending)))))),
+    whole,
+    (w, part) -> named_struct('next', part.next, 'pending', part.pending, 'out', array_append(w.out, part.out))),
+  whole -> whole.out))
 """
+PATTERN_BLOCK = "struct<deadline: long, i: int, block: long>"
 
 
 def target_weights(counts: DataFrame, weights: dict[str, float] | None, alpha: float) -> DataFrame:
-    """``(source, n, w)``, as ``quotas`` has them."""
-    if weights is None:
-        return counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(alpha)))
-    least = min(weights.values())
-    pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
-    return counts.withColumn("w", F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("source")), F.lit(least)))
+    """``(source, n, i, own, total)``: number in the order of names, and the weight as a whole number of ``total``.
 
+    Weights are given, or the source's documents to the power ``alpha``; a given weight of a source not there is unused and
+    a source without one counts as the least of those given.
+    """
+    if weights is None:
+        w = F.pow(F.col("n").cast("double"), F.lit(alpha))
+    else:
+        pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
+        w = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("source")), F.lit(float(min(weights.values()))))
+    everything = Window.partitionBy()  # a row a source
+    own = F.greatest(F.lit(RESOLUTION // LONGEST), F.round(F.col("w") / F.sum("w").over(everything) * RESOLUTION)).cast("long")
+    rows = counts.withColumn("w", w).withColumn("own", own).withColumn("total", F.sum("own").over(everything))
+    return rows.withColumn("i", (F.row_number().over(Window.orderBy("source")) - 1).cast("int")).select("source", "n", "i", "own", "total")
 
-def tree_paths(weighted: DataFrame) -> DataFrame:
-    """``(source, n, path)``: from the leaf up, the weights of each node and its parent and whether the node is the first child.
 
-    Weights are whole numbers, at least 1, that add up to about ``RESOLUTION``. A node of level d holds the sources whose
-    middle (twice, to be whole) agrees but for its last d bits; nodes without a sibling are left out.
-    """
-    total = weighted.agg(F.sum("w").alias("total"))
-    whole = weighted.crossJoin(F.broadcast(total)).withColumn("own", F.greatest(F.lit(1), F.round(F.col("w") / F.col("total") * RESOLUTION)).cast("long"))
-    middle = 2 * F.sum("own").over(Window.orderBy(F.desc("own"), "source").rowsBetween(Window.unboundedPreceding, 0)) - F.col("own")
-    leaves = materialise(whole.select("source", "n", "own", middle.alias("middle")), "leaves")
-    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")
-    at = leaves.select("source", "n", "own", "middle", level).withColumn("node", F.expr("shiftright(middle, level)"))
-    nodes = at.groupBy("level", "node").agg(F.sum("own").alias("weight"))
-    mine = at.select("source", "n", "level", "node").join(nodes, ["level", "node"])
-    steps = mine.groupBy("source", "n").agg(F.array_sort(F.collect_list(F.struct("level", "node", "weight"))).alias("x"))
-    path = f"""filter(transform(sequence(0, {LEVELS} - 1), i -> named_struct('first', x[i].node % 2 = 0, 'own', x[i].weight, 'parent', x[i + 1].weight)),
-      s -> s.own < s.parent)"""
-    return steps.select("source", "n", F.expr(path).alias("path"))
-
-
-def quotas(counts: DataFrame, weights: dict[str, float] | None, alpha: float, period: int) -> DataFrame:
-    """``(source, n, quota)``: whole slots out of ``period`` by largest remainder, at least one for every source; what that
-    takes too much comes off the largest quota (of the first name, if several are largest).
+def blocks_before(weighted: DataFrame, slots: DataFrame) -> DataFrame:
+    """``(slot, i, own, total, done)``: how many blocks each source has had before each of the slots.
 
-    Weights are given, or the source's documents to the power ``alpha``; a given weight of a source not there is unused and
-    a source without one counts as the least of those given.
+    ``done`` is the whole part of weight times slot, and one more for the chosen. A block that a slot cuts can be had before it
+    if a slot is free: from a release on, what is free is the slots up to this one less the blocks that have to be had in them.
     """
-    w = target_weights(counts, weights, alpha)
-    everything = Window.partitionBy()
-    share = w.withColumn("share", F.round(F.col("w") / F.sum("w").over(everything) * period, 9))
-    share = share.withColumn("whole", F.greatest(F.lit(1), F.floor("share")).cast("int")).withColumn("rest", F.greatest(F.lit(0.0), F.col("share") - F.col("whole")))
-    place = lambda c: F.row_number().over(Window.partitionBy().orderBy(F.desc(F.round(c, 9)), "source"))
-    spare = period - F.sum("whole").over(everything)
-    more = (place("rest") <= spare).cast("int") + F.when((place("whole") == 1) & (spare < 0), spare).otherwise(0)
-    return share.withColumn("quota", (F.col("whole") + more).cast("int")).select("source", "n", "quota")
+    at = materialise(weighted.select("i", "own", "total").crossJoin(F.broadcast(slots)).withColumn("done", F.expr("own * slot div total")), "cuts")
+    cut = at.where(F.expr("own * slot % total > 0")).select(
+        "slot", F.expr("done * total div own").alias("release"), F.struct(F.expr("((done + 1) * total + own - 1) div own").alias("deadline"), "i").alias("c")
+    )
+    low = cut.groupBy("slot").agg(F.min("release").alias("low"))
+    due = at.join(low, "slot").withColumn("first", F.expr("(own * low + total - 1) div total")).where("first < done")
+    due = due.select("slot", "own", "total", F.explode(F.sequence("first", F.col("done") - 1)).alias("k")).select("slot", F.expr("k * total div own").alias("release"), F.lit(None).alias("c"))
+    events = cut.unionByName(due).groupBy("slot", "release").agg(F.count_if(F.col("c").isNull()).alias("due"), F.collect_list("c").alias("cut"))
+    back = Window.partitionBy("slot").orderBy(F.desc("release")).rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumns({"free": F.col("slot") - F.col("release") - F.sum("due").over(back), "level": F.count_if(F.size("cut") > 0).over(back)})
+    levels = events.where("level > 0").groupBy("slot", "level").agg(F.min("free").alias("free"), F.flatten(F.collect_list("cut")).alias("cut"))
+    levels = levels.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("level", "free", "cut"))).alias("levels"))
+    left = at.groupBy("slot").agg((F.col("slot") - F.sum("done")).alias("more"))
+    chosen = levels.join(left, "slot").select("slot", F.explode(F.expr(CHOSEN)).alias("c")).select("slot", "c.i", F.lit(1).alias("one"))
+    return at.join(chosen, ["slot", "i"], "left").select("slot", "i", "own", "total", (F.col("done") + F.coalesce("one", F.lit(0))).alias("done"))
+
+
+def schedule(weighted: DataFrame, last_slot: int, period: int) -> DataFrame:
+    """``(i, block, slot)`` of all blocks of the periods up to that of ``last_slot``. A period is one row of an aggregation and
+    one fold."""
+    slots = weighted.sparkSession.range(last_slot // period + 2).select((F.col("id") * period).alias("slot"))
+    done = materialise(blocks_before(weighted, slots), "done")
+    after = done.select((F.col("slot") - period).alias("slot"), "i", F.col("done").alias("end"))
+    job = done.join(after, ["slot", "i"]).where("end > done").withColumn("block", F.explode(F.sequence("done", F.col("end") - 1)))
+    job = job.select(
+        "slot",
+        F.greatest(F.expr("block * total div own") - F.col("slot"), F.lit(0)).alias("release"),
+        F.struct(F.expr("((block + 1) * total + own - 1) div own").alias("deadline"), "i", "block").alias("b"),
+    )
+    ready = job.groupBy("slot", "release").agg(F.collect_list("b").alias("b"))
+    ready = ready.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("release", "b"))).alias("released"))
+    fold = PATTERN.format(period=period, block=PATTERN_BLOCK, none=f"cast(array() as array<{PATTERN_BLOCK}>)")
+    out = ready.select("slot", F.posexplode(F.expr(fold)).alias("place", "b"))
+    return out.select("b.i", "b.block", (F.col("slot") + F.col("place")).alias("slot"))
 
 
-def schedule(quota: DataFrame, period: int, sources: int) -> DataFrame:
-    """``(source, quota, turn, slot)``: the slot of each source's turn-th block in a period."""
-    row = quota.agg(F.array_sort(F.collect_list(F.struct("source", "quota"))).alias("s"))
-    row = row.withColumn("quotas", F.col("s.quota")).withColumn("pattern", F.expr(PATTERN.format(period=period, sources=sources)))
-    slots = row.select("s", F.posexplode("pattern").alias("slot", "i")).where("i >= 0")
-    turn = F.row_number().over(Window.partitionBy("i").orderBy("slot")) - 1
-    return slots.select(F.expr("s[i].source").alias("source"), F.expr("s[i].quota").alias("quota"), turn.alias("turn"), "slot")
+def period_of(longest: int, sources: int, least: int) -> int:
+    """Slots of a period: at least as many as the longest window has, so that finding where it starts costs no more than it."""
+    return max(least, sources, -(-longest // 1000) * 1000)
 
 
 def mix(
@@ -127,11 +145,15 @@ def mix(
 
     A null source counts as the source ''. Rows that repeat an id are documents of their own, in any order among
     themselves. A null id comes first in its source. An empty table gives an empty result. Other columns, texts among them, are
-    not read.
+    not read. The result does not depend on ``period``, which only says how many slots one task takes.
     """
     keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
     counts = keys.groupBy("source").agg(F.count("*").alias("n"))
-    size = counts.agg(F.count("*").alias("s"), F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()
+    weighted = materialise(target_weights(counts, weights, alpha).withColumn("blocks", F.expr(f"(n + {block_docs} - 1) div {block_docs}")), "weights")
+    # the last slot of any block is before the deadline of its source's last one
+    reach = F.max(F.expr("(blocks * total + own - 1) div own"))
+    size = weighted.agg(F.count("*").alias("s"), F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(reach, F.lit(0)).alias("last"), F.coalesce(F.max(F.expr("total div own")), F.lit(0)).alias("longest")).first()
+    period = period_of(size["longest"], size["s"], period)
     digits = 1
     while size["n"] > GROUP_ROWS * 16**digits:
         digits += 1
@@ -145,17 +167,10 @@ def mix(
     inside = F.row_number().over(Window.partitionBy("source", "part").orderBy("h", "doc_id")) - 1
     ranked = keys.withColumn("inside", inside).join(parts, ["source", "part"]).withColumn("rank", F.col("offset") + F.col("inside"))
     ranked = ranked.withColumn("block", F.expr(f"rank div {block_docs}"))
-    block = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {block_docs}"))).alias("block")
-    if size["s"] ** 2 <= period:
-        plan = materialise(schedule(quotas(counts, weights, alpha, period), period, max(size["s"], 1)), "schedule")
-        blocks = counts.join(plan.select("source", "quota").distinct(), "source").select("source", "n", "quota", block)
-        blocks = blocks.withColumn("round", F.expr("block div quota")).withColumn("turn", F.expr("cast(block % quota as int)"))
-        blocks = blocks.join(plan.select("source", "turn", "slot"), ["source", "turn"]).withColumn("slot", F.col("round") * period + F.col("slot"))
-    else:
-        paths = tree_paths(target_weights(counts, weights, alpha))
-        blocks = paths.select("source", "n", "path", block).withColumn("slot", F.expr(SLOT)).withColumn("round", F.expr(f"slot div {period}"))
-        blocks = materialise(blocks.drop("path"), "blocks")
+    planned = schedule(weighted, size["last"], period)
+    blocks = planned.join(weighted, "i").where("block < blocks").withColumn("round", F.expr(f"slot div {period}"))
     blocks = blocks.select("source", "block", "round", "slot", F.least(F.lit(block_docs), F.col("n") - F.col("block") * block_docs).alias("size"))
+    blocks = materialise(blocks, "blocks")
     rounds = blocks.groupBy("round").agg(F.sum("size").alias("size"))
     rounds = rounds.select("round", (F.sum("size").over(Window.orderBy("round")) - F.col("size")).alias("base"))
     first = F.sum("size").over(Window.partitionBy("round").orderBy("slot")) - F.col("size")

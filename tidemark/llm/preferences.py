@@ -84,9 +84,10 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     ``pairs`` has whole conversations (chosen, rejected), or also replies as ``preference_pairs`` gives them. The longest common
     turn prefix is the prompt, and its rows stand once for both sides. ``loss`` is true on assistant turns of a completion and
     false elsewhere (masked). Two equal conversations are all prompt. A conversation that is not there has no turns, a
-    pair that is listed again counts once, and without pairs or turns there are no rows. A turn is a row whatever its length.
+    pair that is listed again counts once, other columns are not read, and without pairs or turns there are no rows. A turn is a row whatever its length.
     """
     key = ["chosen", "rejected"]
+    pairs = pairs.select(*[c for c in (*key, "at", "own", "reply_turn", "reply") if c in pairs.columns])
     for name, kind in {"at": "long", "own": "string", "reply_turn": "long", "reply": "string"}.items():
         if name not in pairs.columns:
             pairs = pairs.withColumn(name, F.lit(None).cast(kind))

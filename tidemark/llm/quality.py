@@ -247,12 +247,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Additive:
-    """Fit on at most ``rows`` labelled documents that are not held out. Several labels of one id count as their least."""
+    """Fit on at most ``rows`` labelled documents that are not held out. Several labels of one id count as their least, and of
+    several texts of one id the one of the least md5 counts."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
     known = hashed_sample(known.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id", rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    picked = texts.join(F.broadcast(known), "doc_id").select("label", "text")  # at most ``rows`` rows of two numbers
+    one = F.min(F.struct(F.md5(F.col("text").cast("binary")).alias("digest"), "text"))
+    picked = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(one.alias("one")).select("label", "one.text")  # at most ``rows`` rows
     table = picked.mapInArrow(_text.frugal(_measure), "label int, x array<double>").toArrow()
     x = np.concatenate([np.zeros(0), *(c.flatten().to_numpy() for c in table["x"].chunks)]).reshape(-1, len(FEATURES))
     y = table["label"].to_numpy().astype(np.float64)

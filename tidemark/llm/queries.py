@@ -225,32 +225,24 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(t) AS c FROM r G
 OP5 = f"""
 WITH RECURSIVE k AS (SELECT doc_id, coalesce(source, '') AS source, md5(doc_id::VARCHAR) AS h FROM documents),
 c AS (SELECT source, count(*) AS n FROM k GROUP BY source),
-w AS (SELECT source, n, pow(n::DOUBLE, {mixing.ALPHA}) AS w FROM c),
-a AS (SELECT source, n, round(w / sum(w) OVER () * {mixing.PERIOD}, 9) AS share FROM w),
-f AS (SELECT source, n, greatest(1, floor(share))::INT AS whole, greatest(0, share - greatest(1, floor(share))) AS rest FROM a),
-g AS (
-  SELECT *, {mixing.PERIOD} - sum(whole) OVER () AS spare, row_number() OVER (ORDER BY round(rest, 9) DESC, source) AS i,
-    row_number() OVER (ORDER BY whole DESC, source) AS j FROM f),
-q AS (SELECT source, n, (whole + CASE WHEN i <= spare THEN 1 ELSE 0 END + CASE WHEN j = 1 AND spare < 0 THEN spare ELSE 0 END)::BIGINT AS quota FROM g),
-l AS (SELECT list(quota ORDER BY source) AS q, list(source ORDER BY source) AS s, count(*) AS m FROM q),
+w AS (SELECT source, n, pow(n::DOUBLE, {mixing.ALPHA}) / sum(pow(n::DOUBLE, {mixing.ALPHA})) OVER () AS w FROM c),
+l AS (SELECT list(w ORDER BY source) AS ws, list(source ORDER BY source) AS s, count(*) AS m, max(ceil(ceil(n / {mixing.BLOCK_DOCS}) / w - 1e-6)) AS slots FROM w),
 p AS (
-  SELECT -1::BIGINT AS t, list_transform(q, lambda x: 0::BIGINT) AS used, -1::BIGINT AS best FROM l
+  SELECT -1::BIGINT AS t, list_transform(ws, lambda x: 0::BIGINT) AS used, -1::BIGINT AS best FROM l
   UNION ALL
   SELECT t + 1, list_transform(used, lambda u, i: u + CASE WHEN i - 1 = nb % m THEN 1 ELSE 0 END), nb FROM (
-    SELECT t, used, m, list_min(list_transform(q, lambda x, i: CASE WHEN used[i] < x AND (used[i] * {mixing.PERIOD}) // x <= t + 1
-      THEN ((used[i] + 1) * {mixing.PERIOD} + x - 1) // x * m + i - 1 END))::BIGINT AS nb
-    FROM p, l WHERE t < {mixing.PERIOD} - 1)),
+    SELECT t, used, m, list_min(list_transform(ws, lambda x, i: CASE WHEN floor(used[i] / x + 1e-6) <= t + 1
+      THEN ceil((used[i] + 1) / x - 1e-6)::BIGINT * m + i - 1 END))::BIGINT AS nb
+    FROM p, l WHERE t < slots - 1)),
 e AS (
-  SELECT s[(best % m)::INT + 1] AS source, t AS slot, row_number() OVER (PARTITION BY best % m ORDER BY t) - 1 AS turn
-  FROM p, l WHERE t >= 0 AND best IS NOT NULL),
+  SELECT s[(best % m)::INT + 1] AS source, t AS slot, row_number() OVER (PARTITION BY best % m ORDER BY t) - 1 AS block
+  FROM p, l WHERE t >= 0),
 r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1 AS k FROM k),
-b AS (SELECT r.doc_id, r.source, r.k, r.k // {mixing.BLOCK_DOCS} AS block, q.quota FROM r JOIN q USING (source))
-SELECT b.doc_id, b.source, b.block::BIGINT AS block, ((b.block // b.quota) * {mixing.PERIOD} + e.slot)::BIGINT AS slot,
-  row_number() OVER (ORDER BY (b.block // b.quota) * {mixing.PERIOD} + e.slot, b.k) - 1 AS "position"
-FROM b JOIN e ON e.source = b.source AND e.turn = b.block % b.quota
+b AS (SELECT doc_id, source, k, k // {mixing.BLOCK_DOCS} AS block FROM r)
+SELECT b.doc_id, b.source, b.block::BIGINT AS block, e.slot::BIGINT AS slot, row_number() OVER (ORDER BY e.slot, b.k) - 1 AS "position"
+FROM b JOIN e USING (source, block)
 """
 
-
 #: CRC-32 by its table of 256 remainders of the reversed polynomial, for texts of which ``{bytes}`` is the list of bytes.
 CRC_TABLE = """c AS (
   SELECT list(r ORDER BY i) AS crc FROM (
