@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.columns import fresh
 from .ranks import join_null_safe, quantiles
@@ -138,6 +139,31 @@ def seeded_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) ->
     return rows.orderBy(mark, *key).limit(n).drop(mark)
 
 
-def stratified_sample(df: DataFrame, stratum: str, fractions: dict, seed: int = 42) -> DataFrame:
-    """A fraction of each stratum."""
-    return df.sampleBy(stratum, fractions, seed)
+def stratified_cap(df: DataFrame, stratum: str, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
+    """Exactly n rows (or all), shared between strata in proportion to their rows by largest remainders (ties to the stratum
+    that comes first), in each stratum those of the smallest md5 of the key's text and the seed: the same whatever the
+    partitioning. A null stratum is one of its own.
+
+    Rows are counted by stratum and the md5's first digits, so whole ranges of it are kept or left by count, and only the range
+    in which a quota ends is ranked.
+    """
+    mark, digits, place, rank, quota, before, count, whole, share = fresh(df.columns, "mark", "digits", "place", "rank", "quota", "before", "count", "whole", "share")
+    rows = df.withColumn(mark, F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed))).cast("binary")))
+    rows = rows.withColumn(digits, F.substring(mark, 1, 4))
+    counts = rows.groupBy(stratum, digits).agg(F.count("*").alias(count))  # at most 65,536 rows a stratum
+    strata = counts.groupBy(stratum).agg(F.sum(count).alias(whole))
+    all_ = Window.partitionBy()  # a row a stratum
+    exact = F.col(whole).cast("decimal(38,0)") * n
+    total = F.sum(whole).over(all_).cast("decimal(38,0)")
+    strata = strata.withColumns({share: F.floor(exact / total).cast("long"), rank: exact % total})
+    left = F.least(F.lit(n), F.sum(whole).over(all_)) - F.sum(share).over(all_)
+    order = F.row_number().over(all_.orderBy(F.desc(rank), F.asc_nulls_first(stratum)))
+    strata = strata.select(stratum, F.when(total <= n, F.col(whole)).otherwise(F.col(share) + (order <= left).cast("int")).alias(quota))
+    inside = Window.partitionBy(stratum).orderBy(digits).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn(before, F.coalesce(F.sum(count).over(inside), F.lit(0)))
+    spots = join_null_safe(counts, strata, [stratum]).where(F.col(before) < F.col(quota))
+    kept = join_null_safe(rows, spots.select(stratum, digits, before, count, quota), [stratum, digits])
+    ends = F.col(before) + F.col(count) > F.col(quota)
+    last = kept.where(ends).withColumn(place, F.row_number().over(Window.partitionBy(stratum, digits).orderBy(mark, *key)))
+    last = last.where(F.col(before) + F.col(place) <= F.col(quota))
+    return kept.where(~ends).select(*df.columns).unionByName(last.select(*df.columns))

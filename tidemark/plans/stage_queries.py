@@ -6,32 +6,20 @@ read back by the operator.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import labels, metrics, ranking, splits
+from ..operators import thresholds as T
 from ..sources import feeds
-from . import pipeline
-from .queries import NEAREST, PREDICTIONS, YEAR_SPLIT, _ahead, _by_year, _tasks, events, predictions, query, read, rounded, us
-
-_scratch: dict[str, str] = {}
-
+from ..sources.shared import materialise, new_path
+from . import pipeline, renewal
+from .queries import NEAREST, PREDICTIONS, SQL, YEAR_SPLIT, _ahead, _by_year, _tasks, events, predictions, query, read, rounded, us
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: that of ``spark.checkpoint.dir``, or a temporary one where
-    it is unset and all is one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        root = _scratch.get(app) or "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
-        _scratch[app] = root
-    return f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return new_path(spark, name)
 
 
 # ------------------------------------------------------------------------------------------------------ sources and sinks
@@ -72,26 +60,26 @@ def training_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_month(feeds.read_training_years(spark, _months(spark, sf_dir), 1996, 1997, [1, 2, 3]))
 
 
-@query("""SELECT 'orders' AS source_type, year(o_orderdate)::INT AS source_year, count(*) AS n, true AS named FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY 2""")
+@query("""SELECT 'orders' AS source_type, year(o_orderdate)::INT AS source_year, count(*) AS n, true AS named FROM orders GROUP BY 2""")
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files in folders by year, read back with what their paths say."""
     root, rows = scratch(spark, "years"), _orders(spark, sf_dir)
-    for year in (1996, 1997):
-        rows.where(F.col("yyyymm").startswith(str(year))).write.parquet(f"{root}/{year}/daily")
-    read_back = feeds.with_provenance(spark.read.parquet(*[f"{root}/{year}/daily" for year in (1996, 1997)]), "orders")
+    years = [r[0] for r in rows.select(F.substring("yyyymm", 1, 4)).distinct().collect()]
+    for year in years:
+        rows.where(F.col("yyyymm").startswith(year)).write.parquet(f"{root}/{year}/daily")
+    read_back = feeds.with_provenance(spark.read.parquet(*[f"{root}/{year}/daily" for year in years]), "orders")
     return read_back.groupBy("source_type", "source_year").agg(F.count("*").alias("n"), F.min(F.col("source_file").endswith(".parquet")).alias("named"))
 
 
-@query(f"""WITH o AS (SELECT strftime(o_orderdate, '%Y%m') AS yyyymm, o_totalprice AS p FROM orders)
-SELECT yyyymm, count(*) AS n, round(sum(CASE yyyymm WHEN '199602' THEN p + 1 WHEN '199603' THEN 0 ELSE p END), 2) AS price FROM o WHERE yyyymm BETWEEN '199601' AND '199603' GROUP BY 1""")
+@query("""WITH o AS (SELECT strftime(o_orderdate, '%Y%m') AS yyyymm, o_totalprice AS p FROM orders)
+SELECT yyyymm, count(*) AS n, round(sum(CASE WHEN right(yyyymm, 2) = '03' THEN 0 WHEN right(yyyymm, 2) = '02' THEN p + 1 ELSE p END), 2) AS price FROM o GROUP BY 1""")
 def partition_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """January and February are written; then zeros for February and March, of which only the new month is taken; then
-    February again, forced."""
+    """All months but March are written; then zeros for all, of which only March is new and taken; then February again, forced."""
     path, rows = scratch(spark, "sink"), _orders(spark, sf_dir)
-    months = lambda *m: rows.where(F.col("yyyymm").isin(*m))
-    feeds.write_partitions(months("199601", "199602"), path)
-    feeds.write_partitions(months("199602", "199603").withColumn("o_totalprice", F.lit(0.0)), path)
-    feeds.write_partitions(months("199602").withColumn("o_totalprice", F.col("o_totalprice") + 1), path, force=True)
+    month = F.substring("yyyymm", 5, 2)
+    feeds.write_partitions(rows.where(month != "03"), path)
+    feeds.write_partitions(rows.withColumn("o_totalprice", F.lit(0.0)), path)
+    feeds.write_partitions(rows.where(month == "02").withColumn("o_totalprice", F.col("o_totalprice") + 1), path, force=True)
     return _by_month(spark.read.parquet(path))
 
 
@@ -224,3 +212,59 @@ def quantile_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
         "split", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice")).alias("price"), (F.col("o_custkey") % 50).cast("double").alias("customer"), (F.col("o_orderstatus") == "F").cast("int").alias("y")
     )
     return rounded(ranking.quantile_mutual_information(rows, ["price", "customer"], "y"), ["mutual_info"])
+
+
+# ----------------------------------------------------------------------------------------------- kept up to date by partitions
+
+
+YEARS = """
+WITH o AS (SELECT y.years, o_orderpriority, o_totalprice AS v FROM orders, (VALUES ('all', 0, 9999), ('1996-1998', 1996, 1998)) y(years, a, b) WHERE year(o_orderdate) BETWEEN a AND b),
+r AS (SELECT *, row_number() OVER (PARTITION BY years, o_orderpriority ORDER BY v) AS i, count(*) OVER (PARTITION BY years, o_orderpriority) AS n FROM o)
+SELECT years, o_orderpriority, max(n) AS n_samples, min(v) AS min_value, max(v) AS max_value, round(quantile_cont(v, 0.5), 6) AS median_value,
+  max(v) FILTER (WHERE i = floor((n - 1) * 0.95 + 0.5) + 1) AS p95, max(v) FILTER (WHERE i = floor((n - 1) * 0.99 + 0.5) + 1) AS p99
+FROM r GROUP BY years, o_orderpriority
+"""
+
+
+@query(YEARS)
+def stored_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds over all years and over three of them from counts stored by year."""
+    path = scratch(spark, "counts")
+    orders = read(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    T.store_counts(T.value_counts(orders, ["o_orderpriority"], "o_totalprice", "year"), path, "year")
+    sets = {"all": None, "1996-1998": F.col("year").between(1996, 1998)}
+    parts = [T.stored_thresholds(spark, path, ["o_orderpriority"], years).withColumn("years", F.lit(name)) for name, years in sets.items()]
+    return parts[0].unionByName(parts[1]).withColumn("median_value", F.round("median_value", 6))
+
+
+@query("""
+WITH m AS (SELECT *, md5(o_orderkey || '|42') AS m FROM orders), s AS (SELECT o_orderpriority, count(*) AS c FROM orders GROUP BY 1), t AS (SELECT count(*) AS n FROM orders),
+q AS (SELECT o_orderpriority, c, c * 1000 // n AS base, row_number() OVER (ORDER BY c * 1000 % n DESC, o_orderpriority) AS i, least(1000, n) - sum(c * 1000 // n) OVER () AS spare, n FROM s, t),
+k AS (SELECT o_orderpriority, CASE WHEN n <= 1000 THEN c ELSE base + (i <= spare)::INT END AS quota FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY m, o_orderkey) AS i FROM m)
+SELECT o_orderkey, r.o_orderpriority, o_totalprice FROM r JOIN k USING (o_orderpriority) WHERE i <= quota
+""")
+def stratified_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand orders, shared by priority."""
+    return splits.stratified_cap(read(spark, sf_dir, "orders"), "o_orderpriority", ["o_orderkey"], 1000).select("o_orderkey", "o_orderpriority", "o_totalprice")
+
+
+@query(SQL["labels_by_day"])
+def renewed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by day, first made without the last two days and without each user's late rows, then renewed with them."""
+    path, made = scratch(spark, "days"), scratch(spark, "labels")
+    rows = events(spark, sf_dir).select("event_id", "user_id", "ts", "value", F.date_format("ts", "yyyyMMdd").alias("day"))
+    frozen = labels.quantiles_nearest(rows, ["user_id"], "value", [0.95, 0.99])
+    late = (F.col("day") >= "20240129") | ((F.col("day") == "20240110") & (F.hour("ts") == 7))
+    feeds.write_partitions(rows.where(~late), path, ["day"])
+    first = spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
+    none = renewal.fingerprints(first.limit(0), "user_id", "day")
+    known = materialise(renewal.fingerprints(first, "user_id", "day"), "fingerprints")
+    renewal.renew_labels(first, none, made, "user_id", "ts", "value", "day", frozen, [3, 6])
+    feeds.write_partitions(rows, path, ["day"], force=True)
+    spark.catalog.refreshByPath(path)
+    again = spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
+    renewal.renew_labels(again, known, made, "user_id", "ts", "value", "day", frozen, [3, 6])
+    spark.catalog.refreshByPath(made)
+    out = spark.read.parquet(made)
+    return out.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"), F.sum("target_geq_p95_3m").alias("p95_3"), F.sum("target_geq_p99_6m").alias("p99_6"))

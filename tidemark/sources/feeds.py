@@ -94,6 +94,13 @@ def write_partitions(df: DataFrame, path: str, by: Sequence[str] = ("yyyymm",),
     return rows
 
 
+def drop_partitions(spark: SparkSession, path: str, by: str, values: Sequence[str]) -> None:
+    """Delete partitions of a table that no row is left for, which overwriting by partitions does not touch."""
+    for value in values:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={value}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_small_csv(spark: SparkSession, path: str, schema: str, required: Sequence[str] = ()) -> DataFrame:
     """A small table with a declared schema; nulls in a required column raise."""
     df = spark.read.schema(schema).option("header", True).csv(path)
