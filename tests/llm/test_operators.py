@@ -343,6 +343,22 @@ def test_pairs_with_columns_of_their_own(spark):
     assert len(plain) == 3 and sorted(map(str, preferences.format_pairs(turns, more).collect())) == plain
 
 
+def test_words_scattered_over_a_text_are_no_license(spark):
+    filler = [f"cow{i}" for i in range(400)]
+    short = [(label, text) for label, text in licenses.TEMPLATES if len(licenses.words_of(text)) <= 16]
+    assert short
+    rows, want = [], []
+    for label, text in short:
+        said = licenses.words_of(text)
+        gap = 4 * max(8, 1 << (len(said) - 1).bit_length()) // len(said)
+        apart = [w for i, x in enumerate(said) for w in [x, *filler[i * gap : i * gap + gap]]]
+        rows += [(len(rows), " ".join(apart)), (len(rows) + 1, " ".join([*filler[:37], *said, *filler[:90]]))]
+        want += [None, label]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, label in enumerate(want):
+        assert (label in got[i].labels.split(",") and got[i].score == 1.0) if label else got[i].labels == "", (rows[i], got[i])
+
+
 def plain_pfair(own, slots):
     """Earliest deadline first over all slots in one go."""
     total, pending, coming, out = sum(own), [], {0: [(i, 0) for i in range(len(own))]}, []

@@ -8,7 +8,8 @@ tokens), and length and position bounds discard what cannot reach the overlap th
 
 A template's blocks are made to its measure: its class is the least power of two, ``LEAST`` or more, that its words do not
 exceed, and the blocks of a class are twice as wide and start at its every multiple. Any run of as many words as the template
-has lies whole in one of them, so a template that stands anywhere in a text is found, however long it is.
+has lies whole in one of them, so a template that stands anywhere in a text is found, however long it is; and what matches
+lies within four times the template's words (within 16 words, for one of fewer than eight).
 
 Templates are a parameter: the driver holds them, and their words are literals of the plan. Tables made of them are broadcast up
 to ``BROADCAST_WORDS`` words, and joined by key beyond.
@@ -30,7 +31,7 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 PHRASES = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
 THRESHOLD = (4, 5)
-LEAST = 32
+LEAST = 8
 BROADCAST_WORDS = 100_000
 
 
