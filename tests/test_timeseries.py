@@ -232,3 +232,19 @@ def test_a_hot_bucket_is_spread_over_tasks(spark):
         assert key(rows(200)) == key(rows(10**6)) == [(i, min((i % 50) // 2, 29), False) for i in range(20_000)]
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_grids_and_summaries_with_names_of_their_own(spark):
+    from tidemark.operators import metrics, splits
+
+    names = ["lo", "hi", "day", "at", "seen", "minute", "__minute", "__seen"]
+    for name in names:
+        df = spark.createDataFrame([(1, at(0), 5.0), (1, at(3), 6.0)], f"`{name}` int, t timestamp, v double")
+        assert resample.minute_grid(df, [name], "t").count() == 4
+        assert resample.resample_minutes(df, [name], "t", ["v"]).count() == 2
+        assert resample.left_on_minute(df, df.withColumnRenamed("v", "w"), [name], "t").count() == 2
+    df = spark.createDataFrame([(k, i % 2, i / 10, i % 2) for k in "ab" for i in range(10)], "__s string, y_true int, y_prob double, __p int")
+    assert metrics.ranking_metrics(df, ["__s"]).count() == 2 and metrics.select_threshold(df, ["__s"]).count() == 2
+    assert metrics.ranking_metrics(df.withColumnRenamed("__s", "__n"), ["__n"]).count() == 2 and metrics.threshold_scan(df, ["__p"]).count() == 38
+    table = spark.createDataFrame([("x", at(0), "train", 1), ("z", at(1), "val", 0)], "y string, target timestamp, split string, a int")
+    assert {(r.split, r.rows) for r in splits.task_summary(table, ["a"], "y", "target").collect()} == {("train", 1), ("val", 1), ("test", 0)}

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import fresh
 from .ranks import quantiles, running_totals
 
 GRID = tuple(round(0.05 * k, 2) for k in range(1, 20))
@@ -77,17 +78,18 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str] = (), y: str = "y_true",
     """
     keys = list(keys)
     score = F.col(prob) if decimals is None else F.round(F.col(prob), decimals)
+    s, p, n, tp, fp, all_p, all_n, whole_p, whole_n, ap, u = fresh(df.columns, "s", "p", "n", "tp", "fp", "all_p", "all_n", "whole_p", "whole_n", "ap", "u")
     rows = df.where(F.col(y).isNotNull() & F.col(prob).isNotNull())
-    counts = rows.groupBy(*keys, score.alias("__s")).agg(F.sum(F.col(y).cast("long")).alias("__p"), F.sum(1 - F.col(y).cast("long")).alias("__n"))
-    ranked = running_totals(counts, keys, "__s", {"__p": ("__tp", "__all_p"), "__n": ("__fp", "__all_n")}, descending=True)
+    counts = rows.groupBy(*keys, score.alias(s)).agg(F.sum(F.col(y).cast("long")).alias(p), F.sum(1 - F.col(y).cast("long")).alias(n))
+    ranked = running_totals(counts, keys, s, {p: (tp, all_p), n: (fp, all_n)}, descending=True)
     out = ranked.groupBy(*keys).agg(
-        F.sum("__p").alias("__P"),
-        F.sum("__n").alias("__N"),
-        F.sum(F.col("__p") * F.col("__tp") / (F.col("__tp") + F.col("__fp"))).alias("__ap"),
-        F.sum(F.col("__n") * (F.col("__tp") - F.col("__p") / 2)).alias("__u"),
+        F.sum(p).alias(whole_p),
+        F.sum(n).alias(whole_n),
+        F.sum(F.col(p) * F.col(tp) / (F.col(tp) + F.col(fp))).alias(ap),
+        F.sum(F.col(n) * (F.col(tp) - F.col(p) / 2)).alias(u),
     )
-    both = (F.col("__P") > 0) & (F.col("__N") > 0)
-    return out.select(*keys, F.when(both, F.col("__ap") / F.col("__P")).alias("pr_auc"), F.when(both, F.col("__u") / (F.col("__P") * F.col("__N"))).alias("roc_auc"))
+    both = (F.col(whole_p) > 0) & (F.col(whole_n) > 0)
+    return out.select(*keys, F.when(both, F.col(ap) / F.col(whole_p)).alias("pr_auc"), F.when(both, F.col(u) / (F.col(whole_p) * F.col(whole_n))).alias("roc_auc"))
 
 
 def calibration_metrics(df: DataFrame, keys: Sequence[str] = (), y: str = "y_true", prob: str = "y_prob", eps: float = 1e-9) -> DataFrame:
@@ -103,14 +105,15 @@ def threshold_scan(df: DataFrame, keys: Sequence[str] = (), y: str = "y_true", p
     """Scores at every threshold of the grid. Each row counts once, at the number of thresholds that it reaches, and
     cumulative sums do the rest: the grid never multiplies the rows."""
     keys, grid = list(keys), sorted(grid)
+    r, p_, c_, s_ = fresh(df.columns, "r", "p", "c", "s")
     reached = sum(((F.col(prob) >= t).cast("int") for t in grid), F.lit(0))
-    counts = df.groupBy(*keys, reached.alias("__r")).agg(F.sum(F.col(y).cast("long")).alias("__p"), F.count("*").alias("__c"))
+    counts = df.groupBy(*keys, reached.alias(r)).agg(F.sum(F.col(y).cast("long")).alias(p_), F.count("*").alias(c_))
     steps = F.array(*[F.struct(F.lit(i + 1).alias("k"), F.lit(float(t)).alias("t")) for i, t in enumerate(grid)])
-    each = counts.withColumn("__s", F.explode(steps))
-    hit = F.col("__r") >= F.col("__s.k")
+    each = counts.withColumn(s_, F.explode(steps))
+    hit = F.col(r) >= F.col(f"{s_}.k")
     cell = lambda c, v: F.sum(F.when(c, v).otherwise(0)).cast("long")
-    p, n = F.col("__p"), F.col("__c") - F.col("__p")
-    out = each.groupBy(*keys, F.col("__s.t").alias("threshold")).agg(cell(~hit, n).alias("tn"), cell(hit, n).alias("fp"), cell(~hit, p).alias("fn"), cell(hit, p).alias("tp"))
+    p, n = F.col(p_), F.col(c_) - F.col(p_)
+    out = each.groupBy(*keys, F.col(f"{s_}.t").alias("threshold")).agg(cell(~hit, n).alias("tn"), cell(hit, n).alias("fp"), cell(~hit, p).alias("fn"), cell(hit, p).alias("tp"))
     return scores_of_counts(out)
 
 
@@ -119,7 +122,8 @@ def select_threshold(df: DataFrame, keys: Sequence[str] = (), metric: str = "f2"
     same at all thresholds of a group, so it decides nothing here)."""
     scan = threshold_scan(df, keys, **options)
     best = F.max_by(F.struct(*[c for c in scan.columns if c not in keys]), F.struct(F.coalesce(metric, F.lit(-1.0)), "recall", -F.col("threshold")))
-    return scan.groupBy(*keys).agg(best.alias("__b")).select(*keys, "__b.*")
+    (found,) = fresh(scan.columns, "best")
+    return scan.groupBy(*keys).agg(best.alias(found)).select(*keys, f"{found}.*")
 
 
 def infer_threshold(df: DataFrame, keys: Sequence[str] = (), prob: str = "y_prob", pred: str = "y_pred") -> DataFrame:
@@ -168,8 +172,10 @@ def missing_predictions(expected: DataFrame, present: DataFrame, keys: Sequence[
 def robust_range(df: DataFrame, value: str, metric: str, keys: Sequence[str] = ()) -> DataFrame:
     """``low``, ``high`` of finite values per group for a colour scale: their 5th and 95th percentile inside [0, 1], and if
     those are equal the extremes, a little wider; ``hss`` is symmetric about 0, at least 0.05 wide; null without values."""
-    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null and not isnan(__v) and abs(__v) < double('infinity')")
-    r = quantiles(rows, keys, "__v", {"lo": (0.05, "linear"), "hi": (0.95, "linear")}, [F.min("__v").alias("least"), F.max("__v").alias("most")])
+    (v,) = fresh(keys, "v")
+    x = F.col(value).cast("double")
+    rows = df.select(*keys, x.alias(v)).where(F.col(v).isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    r = quantiles(rows, keys, v, {"lo": (0.05, "linear"), "hi": (0.95, "linear")}, [F.min(v).alias("least"), F.max(v).alias("most")])
     lo, hi, least, most = (F.col(c) for c in ("lo", "hi", "least", "most"))
     unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     if metric == "hss":

@@ -29,7 +29,8 @@ def resample_minutes(
     """One row per key and minute: means (``x``), non-null counts (``n_x``), fractions missing (``x_missing_fraction``),
     circular means, maxima of flags, the earliest non-null of ``firsts``, ``n_points`` and ``n_valid`` (rows that hold
     every component). Rows with a null time are left out; minutes without rows give none (see ``minute_grid``)."""
-    rows = df.where(F.col(time).isNotNull()).withColumn("__minute", floor_minute(time))
+    (minute,) = fresh(df.columns, "minute")
+    rows = df.where(F.col(time).isNotNull()).withColumn(minute, floor_minute(time))
     aggs = [F.count("*").alias("n_points")]
     for c in means:
         aggs += [F.avg(c).alias(c), F.count(c).alias(f"n_{c}"), (1 - F.count(c) / F.count("*")).alias(f"{c}_missing_fraction")]
@@ -38,7 +39,7 @@ def resample_minutes(
     aggs += [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(time, c))).alias(c) for c in firsts]
     if components:
         aggs.append(F.sum(all_present(components).cast("long")).alias("n_valid"))
-    return rows.groupBy(*keys, "__minute").agg(*aggs).withColumnRenamed("__minute", time)
+    return rows.groupBy(*keys, minute).agg(*aggs).withColumnRenamed(minute, time)
 
 
 def minute_grid(df: DataFrame, keys: Sequence[str], time: str, step: str = "minute", flag: str = "has_observation") -> DataFrame:
@@ -47,28 +48,28 @@ def minute_grid(df: DataFrame, keys: Sequence[str], time: str, step: str = "minu
     Times count by their step, so rows should be one for each key and step. The grid is made from bounds only (two values a
     key), exploded by day first so that no task makes a whole history.
     """
-    at = F.date_trunc(step, F.col(time))
-    bounds = df.groupBy(*keys).agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo is not null")
-    return _filled(df, bounds, keys, time, step, flag)
+    at, (lo, hi) = F.date_trunc(step, F.col(time)), fresh(df.columns, "lo", "hi")
+    bounds = df.groupBy(*keys).agg(F.min(at).alias(lo), F.max(at).alias(hi)).where(F.col(lo).isNotNull())
+    return _filled(df, bounds, keys, time, step, flag, lo, hi)
 
 
 def month_grid(df: DataFrame, keys: Sequence[str], time: str, step: str = "minute", flag: str | None = None) -> DataFrame:
     """Every step of every calendar month in which a key has a row; gap rows are null beside key and time, flags included."""
-    at = F.date_trunc("month", F.col(time))
-    months = df.where(F.col(time).isNotNull()).select(*keys, at.alias("lo")).distinct()
-    bounds = months.withColumn("hi", F.add_months("lo", 1).cast("timestamp") - F.expr(f"interval 1 {step}"))
-    return _filled(df, bounds, keys, time, step, flag)
-
-
-def _filled(df: DataFrame, bounds: DataFrame, keys: Sequence[str], time: str, step: str, flag: str | None) -> DataFrame:
-    day = F.explode(F.expr("sequence(date_trunc('day', lo), date_trunc('day', hi), interval 1 day)")).alias("__day")
-    days = bounds.select(*keys, "lo", "hi", day)
-    steps = F.explode(F.expr(f"sequence(greatest(lo, __day), least(hi, __day + interval 1 day - interval 1 {step}), interval 1 {step})"))
-    grid = days.withColumn("__t", steps).select(*keys, "__t")
-    rows = df.withColumns({"__t": F.date_trunc(step, F.col(time)), "__seen": F.lit(True)}).drop(time)
-    joined = grid.join(rows, [*keys, "__t"], "left").withColumnRenamed("__t", time)
+    at, (lo, hi) = F.date_trunc("month", F.col(time)), fresh(df.columns, "lo", "hi")
+    months = df.where(F.col(time).isNotNull()).select(*keys, at.alias(lo)).distinct()
+    bounds = months.withColumn(hi, F.add_months(lo, 1).cast("timestamp") - F.expr(f"interval 1 {step}"))
+    return _filled(df, bounds, keys, time, step, flag, lo, hi)
+
+
+def _filled(df: DataFrame, bounds: DataFrame, keys: Sequence[str], time: str, step: str, flag: str | None, lo: str, hi: str) -> DataFrame:
+    day, at, seen = fresh([*df.columns, lo, hi], "day", "at", "seen")
+    days = bounds.select(*keys, lo, hi, F.explode(F.expr(f"sequence(date_trunc('day', {lo}), date_trunc('day', {hi}), interval 1 day)")).alias(day))
+    steps = F.explode(F.expr(f"sequence(greatest({lo}, {day}), least({hi}, {day} + interval 1 day - interval 1 {step}), interval 1 {step})"))
+    grid = days.withColumn(at, steps).select(*keys, at)
+    rows = df.withColumns({at: F.date_trunc(step, F.col(time)), seen: F.lit(True)}).drop(time)
+    joined = grid.join(rows, [*keys, at], "left").withColumnRenamed(at, time)
     if flag:
-        joined = joined.withColumn(flag, F.coalesce("__seen", F.lit(False)))
+        joined = joined.withColumn(flag, F.coalesce(seen, F.lit(False)))
     out = [c for c in df.columns] + ([flag] if flag else [])
     return joined.select(*out)
 
@@ -130,5 +131,6 @@ def attach_residuals(observed: DataFrame, model: DataFrame, keys: Sequence[str],
 
 def left_on_minute(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     """Left equi join on keys and minute; the right side is one row for each."""
-    cut = lambda df: df.withColumn("__minute", floor_minute(time))
-    return cut(left).join(cut(right).drop(time), [*keys, "__minute"], "left").drop("__minute")
+    (minute,) = fresh([*left.columns, *right.columns], "minute")
+    cut = lambda df: df.withColumn(minute, floor_minute(time))
+    return cut(left).join(cut(right).drop(time), [*keys, minute], "left").drop(minute)

@@ -86,12 +86,13 @@ def task_summary(df: DataFrame, targets: Sequence[str], station: str, time: str,
 
     All targets in one pass: they are stacked as rows, which the aggregation combines before its shuffle.
     """
-    stacked = df.select(station, time, "split", F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets])).alias("__s"))
-    stacked = stacked.select(station, time, "split", "__s.target", "__s.y").where("y is not null")
+    cell, place, at, y = fresh([*df.columns, "target", "split"], "cell", "station", "time", "y")
+    stacked = df.select(F.col(station).alias(place), F.col(time).alias(at), "split", F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias(y)) for t in targets])).alias(cell))
+    stacked = stacked.select(place, at, "split", f"{cell}.target", f"{cell}.{y}").where(F.col(y).isNotNull())
     found = stacked.groupBy("target", "split").agg(
-        F.count("*").alias("rows"), F.countDistinct(station).alias("stations"), F.min(time).alias("first"), F.max(time).alias("last"), F.avg("y").alias("event_rate"), F.avg("y").alias("target_mean")
+        F.count("*").alias("rows"), F.countDistinct(place).alias("stations"), F.min(at).alias("first"), F.max(at).alias("last"), F.avg(y).alias("event_rate"), F.avg(y).alias("target_mean")
     )
-    high = quantiles(stacked.select("target", "split", "y"), ["target", "split"], "y", {"target_p95": (0.95, "nearest")})
+    high = quantiles(stacked.select("target", "split", y), ["target", "split"], y, {"target_p95": (0.95, "nearest")})
     found = join_null_safe(found, high, ["target", "split"])
     names = df.sparkSession.createDataFrame([(t, s) for t in targets for s in splits], "target string, split string")
     return names.join(found, ["target", "split"], "left").fillna(0, ["rows", "stations"])

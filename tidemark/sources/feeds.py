@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import day_of_year_time
+from ..functions.columns import day_of_year_time, fresh
 from ..operators.dedupe import keep_first
 
 #: Columns of the positional L1 text feed, in order.
@@ -46,9 +46,9 @@ def read_training_years(spark: SparkSession, root: str, first: int, last: int, m
 def positional_text(lines: DataFrame, columns: Sequence[str] = L1_COLUMNS, line: str = "value") -> DataFrame:
     """Whitespace-separated columns of text rows that start with a four-digit year, as numbers (null where they are none),
     with a timestamp from year, day of the year, hour and minute."""
-    parts = F.split(F.trim(F.col(line)), r"\s+")
-    rows = lines.withColumn("__p", parts).where(F.get("__p", F.lit(0)).rlike(r"^\d{4}$"))
-    rows = rows.select(*[c for c in lines.columns if c != line], *[F.get("__p", F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(columns)])
+    (parts,) = fresh([*lines.columns, *columns], "parts")
+    rows = lines.withColumn(parts, F.split(F.trim(F.col(line)), r"\s+")).where(F.get(parts, F.lit(0)).rlike(r"^\d{4}$"))
+    rows = rows.select(*[c for c in lines.columns if c != line], *[F.get(parts, F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(columns)])
     time = day_of_year_time(F.col("year"), F.col("doy"), F.col("hour"), F.col("minute"))
     return rows.withColumn("timestamp", time)
 
