@@ -359,6 +359,23 @@ def test_words_scattered_over_a_text_are_no_license(spark):
         assert (label in got[i].labels.split(",") and got[i].score == 1.0) if label else got[i].labels == "", (rows[i], got[i])
 
 
+def test_a_passage_of_many_documents_sends_a_bucket_its_contexts_only(spark):
+    rng = random.Random(12)
+    passage = words_text(rng, 45, 10**6)
+    rows = [(i, f"{words_text(rng, 6, 10**6)} {passage} {words_text(rng, 6, 10**6)}") for i in range(4000)]
+    base = spark.createDataFrame(rows, "doc_id long, text string").withColumn("unit", (F.col("doc_id") % 8).cast("int"))
+    spread = base.groupBy("unit").applyInArrow(suffix._spread(50, 16), "bucket int, unit int, keys binary, many binary, warm binary")
+    reply = spread.groupBy("bucket").applyInArrow(suffix._meet(16), "unit int, bucket int, keys binary, hot binary")
+    rows = base.groupBy("unit").cogroup(reply.groupBy("unit")).applyInArrow(suffix._contexts(50, 16), suffix.CONTEXTS).collect()
+    sent = [(len(suffix._open(bytes(r.marks))) // 32, len(r.lengths)) for r in rows if r.marks is not None]
+    assert all(places == contexts for places, contexts in sent) and sum(r.done is not None for r in rows) == 8
+    inside = sum(c for _, c in sent)  # contexts that reach out of the passage differ, all others are one a unit
+    done = sum(len(suffix._unpack(bytes(r.done))[0]) for r in rows if r.done is not None)
+    assert done >= 3900 and inside < 4 * 4000
+    got = {r.doc_id: r.n_removed for r in suffix.remove_repeats(base.select("doc_id", "text")).collect()}
+    assert got[0] == 0 and all(len(passage) <= got[i] <= len(passage) + 30 for i in range(1, 4000))
+
+
 def plain_pfair(own, slots):
     """Earliest deadline first over all slots in one go."""
     total, pending, coming, out = sum(own), [], {0: [(i, 0) for i in range(len(own))]}, []
