@@ -152,3 +152,26 @@ def test_searches_choose_and_count_splits(spark):
     choice, model, _ = models.tuned_trees(df, FEATURES, "label", trials=3, patience=5, rounds=60)
     assert set(B.SEARCH) <= set(choice) and choice["best_iteration"] == len(model.trees)
     assert B.search_draws(4) == B.search_draws(4) and len({str(p) for p in B.search_draws(4)}) == 4
+
+
+@pytest.mark.parametrize("neighbours", [3, None])
+def test_importance_is_made_of_all_four_parts(spark, neighbours):
+    from tidemark.operators import ranking
+    from tidemark.operators.neighbours import neighbour_information
+
+    df = spark.createDataFrame(rows_like(6, 500), SCHEMA).withColumn("c", F.when(F.col("id") % 7 != 0, F.col("c")))
+    trees = {"n_estimators": 6, "num_leaves": 5}
+    got = {r.feature: r for r in models.feature_importance(df, FEATURES, "label", trees=trees, neighbours=neighbours).collect()}
+    train = df.where("split = 'train'")
+    ready = models.class_weights(models.impute_and_scale(train, FEATURES, scale=False), "label", "ratio")
+    (model,) = B.fit_leafwise(ready, FEATURES, "label", [B.Params(**trees)], "weight")
+    splits = {f: (n, g) for f, n, g in model.importances()}
+    rank = {r.feature: r.abs_spearman for r in ranking.abs_spearman(train, FEATURES, "label").collect()}
+    mi = neighbour_information(ranking.stacked(ready, FEATURES, "label"), ["feature"], "x", "y") if neighbours else ranking.quantile_mutual_information(ready, FEATURES, "label")
+    mi = {r.feature: r.mutual_info for r in mi.collect()}
+    top = lambda d: max(d.values()) or 1.0
+    for f in FEATURES:
+        r = got[f]
+        assert (r.split_importance, r.gain_importance) == pytest.approx(splits[f]) and r.abs_spearman == pytest.approx(rank[f]) and r.mutual_info == pytest.approx(mi[f])
+        parts = [0.20 * mi[f] / top(mi), 0.15 * rank[f] / top(rank), 0.20 * splits[f][0] / max(n for n, _ in splits.values()), 0.45 * splits[f][1] / max(g for _, g in splits.values())]
+        assert r.importance_score == pytest.approx(sum(parts)) and r.train_rows_used == train.count()
