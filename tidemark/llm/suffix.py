@@ -6,8 +6,8 @@ A byte goes where some ``window``-byte string that covers it also starts in a do
    have equal minimisers at equal places, so a window whose minimiser occurs in one document only is unique. Per task,
    minimisers collapse to one entry each; their hashes meet in hash buckets, and only those of several documents go on.
 2. Every shared minimiser sends its contexts (the bytes that its windows can span) to the bucket of its hash, each context of a
-   unit of documents once, beside the places where it stands in the unit's smallest document that has it (elsewhere in the unit
-   all of it goes, which the unit knows itself). There, units are shards of ``SHARD_BYTES``: each shard builds its
+   unit of documents once, beside the places where it stands in the unit's smallest document that has it; its places in other documents of the unit travel
+   packed and unread. There, units are shards of ``SHARD_BYTES``: each shard builds its
    suffix array by Larsson-Sadakane refinement, takes common prefixes by Kasai's rule and so has its distinct windows in order,
    with the smallest document of each. Shards merge in pairs by binary search of the one's windows among the other's.
 3. Windows whose smallest document is smaller than theirs go back to their documents as intervals.
@@ -292,7 +292,7 @@ def _meet(buckets: int):
 
 
 MARKS = "unit int, marks binary"
-CONTEXTS = f"bucket int, {MARKS}, lengths binary, bytes binary, done binary"
+CONTEXTS = f"bucket int, {MARKS}, lengths binary, bytes binary, next binary, others binary"
 
 
 def _cuts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -390,14 +390,20 @@ def _contexts(window: int, buckets: int):
                 text = np.concatenate(pieces)
                 start = np.cumsum(length) - length
                 rep = _equals(text, start, length, ctx, k)
-                # where a smaller document of the unit has the same context, all of it goes, and no bucket need hear of the place
+                # the places of a context but for those in the unit's smallest document that has it travel packed: the bucket
+                # only says whether its windows stand in a smaller document than any of them
                 least = np.full(len(rep), np.iinfo(np.int64).max)
                 np.minimum.at(least, rep, doc)
-                gone = doc > least[rep]
-                done = np.stack([np.full(gone.sum(), unit), doc[gone], tag[gone], lo[gone], (lo + length)[gone]])
-                k, doc, tag, lo, length, start, rep = (x[~gone] for x in (k, doc, tag, lo, length, start, rep))
-                first_at = np.full(len(gone), len(gone))
-                np.minimum.at(first_at, rep, np.arange(len(rep)))
+                other = doc > least[rep]
+                next_ = np.full(len(rep), np.iinfo(np.int64).max)
+                np.minimum.at(next_, rep[other], doc[other])
+                next_ = next_[rep]
+                far = np.stack([(k >> bits).astype(np.int64), doc, tag, lo, lo + length])[:, other]
+                far = far[:, np.lexsort((far[3], far[2], far[1], far[0]))]
+                packed = {int(far[0, x]): _pack(*_runs(far[:, x:y])[1:]) for x, y in zip(*_cuts(far[0]), strict=True)}
+                first_at = np.full(len(rep), len(rep))
+                np.minimum.at(first_at, rep[~other], np.arange(len(rep) - int(other.sum())))
+                k, doc, tag, lo, length, start, rep, next_ = (x[~other] for x in (k, doc, tag, lo, length, start, rep, next_))
                 rep = first_at[rep]
                 bucket = (k >> bits).astype(np.int64)
                 order = np.lexsort((lo, doc, bucket))
@@ -410,12 +416,9 @@ def _contexts(window: int, buckets: int):
                     own = own[turn]
                     marks = np.concatenate([np.diff(doc[i], prepend=0), tag[i], lo[i], np.diff(place[number], prepend=0)])
                     bytes_of = _gather(text, start[own], length[own])
-                    rows.append((int(bucket[i[0]]), unit, _squeeze(marks.astype(np.int64).tobytes()), length[own].astype(np.uint8).tobytes(), _squeeze(bytes_of.tobytes()), None))
-                if done.shape[1]:
-                    _, d, t, x, y = _runs(done[:, np.lexsort((done[3], done[2], done[1]))])
-                    rows.append((unit % buckets, unit, None, None, None, _pack(d, t, x, y)))  # comes back as it is
-        names = ["bucket", "unit", "marks", "lengths", "bytes", "done"]
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+                    rows.append((int(bucket[i[0]]), unit, _squeeze(marks.astype(np.int64).tobytes()), length[own].astype(np.uint8).tobytes(), _squeeze(bytes_of.tobytes()), _squeeze(next_[own].tobytes()), packed.get(int(bucket[i[0]]))))
+        names = ["bucket", "unit", "marks", "lengths", "bytes", "next", "others"]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
     return work
@@ -479,18 +482,16 @@ def _bucket(window: int):
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         places, units, sizes, pieces, base = [], [], [], [], 0
-        out = [(u.as_py(), d.as_py()) for u, d in zip(table["unit"], table["done"], strict=True) if d.is_valid]
-        names, kinds = ["unit", "marks"], [pa.int32(), pa.binary()]
-        table = table.filter(table["marks"].is_valid())
+        nexts, others = [], []
         for row in range(table.num_rows):
             doc, tag, lo, c = np.frombuffer(_open(table["marks"][row].as_py()), np.int64).reshape(4, -1)
             places.append(np.stack([np.cumsum(doc), tag, lo, np.cumsum(c) + base]))
             units.append(np.full(len(doc), table["unit"][row].as_py(), np.int64))
             sizes.append(np.frombuffer(table["lengths"][row].as_py(), np.uint8).astype(np.int64))
             pieces.append(np.frombuffer(_open(table["bytes"][row].as_py()), np.uint8))
+            nexts.append(np.frombuffer(_open(table["next"][row].as_py()), np.int64))
+            others.append((table["unit"][row].as_py(), table["others"][row].as_py(), base))
             base += len(sizes[-1])
-        if not places:
-            return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))})
         doc, tag, lo, c = np.concatenate(places, axis=1)
         unit, length, text = np.concatenate(units), np.concatenate(sizes), np.concatenate(pieces)
         start = np.cumsum(length) - length
@@ -520,9 +521,12 @@ def _bucket(window: int):
             marks.append(np.stack([unit[e], doc[e], tag[e], at, at + window]))
         m = np.concatenate(marks, axis=1)
         m = m[:, np.lexsort((m[3], m[2], m[1], m[0]))]
+        # packed places go where the merged order has a smaller document for every window of their contexts
+        out = [(u, x) for (u, x, at), n in zip(others, nexts, strict=True) if x is not None and (top[c_of[at : at + len(n)]] < n).all()]
         for a, b in zip(*_cuts(m[0]), strict=True):
             u, d, t, x, y = _runs(m[:, a:b])
             out.append((int(u[0]), _pack(d, t, x, y)))
+        names, kinds = ["unit", "marks"], [pa.int32(), pa.binary()]
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
     return work
