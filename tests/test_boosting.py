@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,20 @@ def test_importance_is_made_of_all_four_parts(spark, neighbours):
         assert (r.split_importance, r.gain_importance) == pytest.approx(splits[f]) and r.abs_spearman == pytest.approx(rank[f]) and r.mutual_info == pytest.approx(mi[f])
         parts = [0.20 * mi[f] / top(mi), 0.15 * rank[f] / top(rank), 0.20 * splits[f][0] / max(n for n, _ in splits.values()), 0.45 * splits[f][1] / max(g for _, g in splits.values())]
         assert r.importance_score == pytest.approx(sum(parts)) and r.train_rows_used == train.count()
+
+
+def test_growth_in_a_task_touches_only_the_rows_of_the_leaf_that_is_cut(monkeypatch):
+    """The root's rows once a tree, and then those of the two new leaves; never all rows for each split."""
+    rng, n, leaves, rounds = np.random.default_rng(1), 4000, 32, 3
+    bins = rng.integers(0, 200, (n, 3)).astype(np.uint8)
+    y, ids = (rng.random(n) < bins[:, 0] / 200).astype(np.uint8), rng.integers(0, 2**60, n)
+    cells = [bins, y, np.ones(n), (np.arange(n) % 4 == 0).astype(np.uint8), ids, np.zeros((1, n))]
+    row = B._block_row(0, n, [c.tobytes() for c in cells])
+    table = pa.Table.from_batches([row]).append_column("trial", pa.array([0], pa.int32()))
+    read, walked, count, walk = [], [], np.bincount, B.Tree.nodes_of
+    monkeypatch.setattr(B.np, "bincount", lambda x, *rest, **more: read.append(len(x)) or count(x, *rest, **more))
+    monkeypatch.setattr(B.Tree, "nodes_of", lambda self, rows: walked.append(len(rows)) or walk(self, rows))
+    _, trees, losses = B._fit_here(table, 3, [B.Params(n_estimators=rounds, num_leaves=leaves, min_child_samples=20)], 5)
+    assert [sum(f < 0 for f in t.feature) for t in trees] == [leaves] * rounds and len(losses) == rounds + 1
+    assert sum(walked) <= n * rounds
+    assert sum(read) < 9 * (rounds + 1) * n * 12  # three sums of three features at each of some twelve depths

@@ -8,7 +8,9 @@ of the largest gain is split, until a tree has its number of leaves or nothing g
 leaf that may yet be split, so a tree takes about as many passes as it is deep. All candidates share each pass. Every
 ``STORE_EVERY`` trees the scores are stored anew, so a lost executor costs a pass.
 
-A table of at most ``SMALL_CELLS`` cells is grown by the same steps, one task a candidate, without jobs in between.
+A table of at most ``SMALL_CELLS`` cells is grown by the same steps, one task a candidate, without jobs in between. There each
+node holds its rows, so a split touches only those of the leaf that it cuts, no leaf is evaluated ahead of its turn, and the
+scores follow from the rows that the leaves hold in the end.
 """
 
 from __future__ import annotations
@@ -196,16 +198,21 @@ def log_loss(y: np.ndarray, score: np.ndarray) -> float:
     return float(np.logaddexp(0, np.where(y > 0, -score, score)).sum())
 
 
-def best_cut(cells: np.ndarray, p: Params) -> tuple:
-    """``(gain, bin, g, h, n, left g, left h, left n)`` of the best cut of a node's histogram; a gain of 0 is none."""
-    g, h, n = cells.sum(axis=1)
-    left = np.cumsum(cells, axis=1)[:, :-1]
-    right = np.array([[g], [h], [n]]) - left
-    gain = _worth(left[0], left[1], p) + _worth(right[0], right[1], p) - _worth(g, h, p)
-    fits = (np.minimum(left[2], right[2]) >= max(p.min_child_samples, 1)) & (np.minimum(left[1], right[1]) >= LEAST_HESSIAN)
+def best_cuts(cells: np.ndarray, p: Params) -> list[tuple]:
+    """``(gain, bin, g, h, n, left g, left h, left n)`` of the best cut of each histogram; a gain of 0 is none."""
+    whole = cells.sum(axis=2)
+    left = np.cumsum(cells, axis=2)[:, :, :-1]
+    right = whole[:, :, None] - left
+    gain = _worth(left[:, 0], left[:, 1], p) + _worth(right[:, 0], right[:, 1], p) - _worth(whole[:, 0], whole[:, 1], p)[:, None]
+    fits = (np.minimum(left[:, 2], right[:, 2]) >= max(p.min_child_samples, 1)) & (np.minimum(left[:, 1], right[:, 1]) >= LEAST_HESSIAN)
     gain = np.where(fits & (gain > 1e-9), gain, 0.0)
-    k = int(gain.argmax())
-    return (float(gain[k]), k, float(g), float(h), float(n), *(float(v) for v in left[:, k]))
+    k, i = gain.argmax(axis=1), np.arange(len(cells))
+    return [(g, b, *w, *x) for g, b, w, x in zip(gain[i, k].tolist(), k.tolist(), whole.tolist(), left[i, :, k].tolist(), strict=True)]
+
+
+def best_cut(cells: np.ndarray, p: Params) -> tuple:
+    """``best_cuts`` of one histogram."""
+    return best_cuts(cells[None], p)[0]
 
 
 def _worth(g, h, p: Params):
@@ -222,11 +229,12 @@ def leaf_value(g: float, h: float, p: Params) -> float:
 NO_CUT = (0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
 
 
-def grow(params: Params, n_features: int, patience: int | None) -> Generator[Request, tuple[dict, float | None], tuple[list[Tree], list[float]]]:
+def grow(params: Params, n_features: int, patience: int | None, ahead: bool = True) -> Generator[Request, tuple[dict, float | None], tuple[list[Tree], list[float]]]:
     """Yields requests, is sent ``({(node, feature): cut}, validation loss)``, and returns the trees and the losses.
 
     Who answers adds ``Request.trees`` to the scores first. Growth ends with ``n_estimators`` trees or where not even a root can
-    be cut; with patience also after so many trees without a new least loss, and the trees after the best are cut off.
+    be cut; with patience also after so many trees without a new least loss, and the trees after the best are cut off. With
+    ``ahead`` a request also opens children that may not be needed, which saves passes; without, only those of the leaf just split.
     """
     trees: list[Tree] = []
     losses: list[float] = []
@@ -281,7 +289,7 @@ def grow(params: Params, n_features: int, patience: int | None) -> Generator[Req
             if not waiting or leaves >= params.num_leaves:
                 break
             open_ = [twin[c] for c in waiting]
-            for _, node in heapq.nsmallest(params.num_leaves - leaves, heap):  # those that may be split before the next pass
+            for _, node in heapq.nsmallest(params.num_leaves - leaves, heap) if ahead else ():  # those that may be split before the next pass
                 if shadow.feature[twin[node]] < 0 and may_split(depth[node] + 1):
                     f, cut = plan[twin[node]]
                     open_ += shadow.split(twin[node], f, cut[1])
@@ -395,20 +403,74 @@ def _fit_here(table: pa.Table, n_features: int, params: Sequence[Params], patien
     table = table.drop_columns(["trial"]).sort_by("block")  # sums in one order, whatever the order of arrival
     blocks = [b[1:] for b in _read_blocks(table, n_features, 1)]
     bins, y, weight, val, ids = (np.concatenate([b[i] for b in blocks]) for i in range(5))
-    score, known = np.concatenate([b[5][0] for b in blocks]), 0
-    run = grow(params[k], n_features, patience)
+    score, at_val = np.concatenate([b[5][0] for b in blocks]), np.flatnonzero(val)
+    columns, y_val = [bins[:, f].astype(np.int64) for f in range(n_features)], y[at_val]
+    run, held = grow(params[k], n_features, patience, ahead=False), Held(columns)
     want = next(run)
     while True:
-        _add_trees(score, bins, want.trees[known:])
-        known = len(want.trees)
-        cuts = {(node, f): best_cut(cells, params[k]) for node, f, cells in histograms(bins, y, weight, ~val, ids, score, want)}
-        loss = log_loss(y[val], score[val]) / max(val.sum(), 1) if want.loss else None
+        if want.open == [0]:  # a tree begins
+            if want.trees:
+                held.add_leaves(score, want.trees[-1])
+            bag = ~val & drawn(ids, params[k], want.round)
+            p = 1 / (1 + np.exp(-score))
+            held.begin(np.flatnonzero(bag), np.flatnonzero(~bag), weight * (p - y), weight * p * (1 - p))
+        cuts = held.cuts(want)
+        loss = log_loss(y_val, score[at_val]) / max(len(at_val), 1) if want.loss else None
         try:
             want = run.send((cuts, loss))
         except StopIteration as end:
             return k, *end.value
 
 
+class Held:
+    """The rows of each node of a tree under way: those that it is grown on and the others, in their order in the table."""
+
+    def __init__(self, columns: list[np.ndarray]):
+        self.columns = columns  # bins of each feature
+
+    def begin(self, bag: np.ndarray, others: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
+        self.rows, self.g, self.h = {0: (bag, others)}, g, h
+
+    def part(self, tree: Tree, node: int) -> None:
+        """Deals a node's rows to its children."""
+        column, pairs = self.columns[tree.feature[node]], []
+        for rows in self.rows.pop(node):
+            low = column[rows] <= tree.bin[node]
+            pairs.append((rows[low], rows[~low]))
+        self.rows[tree.left[node]], self.rows[tree.right[node]] = zip(*pairs, strict=True)
+
+    def cuts(self, want: Request) -> dict[tuple[int, int], tuple]:
+        """Cuts of the open nodes (the root, or the two children of one node) that have rows enough for one."""
+        if want.open[0]:
+            self.part(want.tree, want.tree.left.index(want.open[0]))
+        nodes = [n for n in want.open if not n or len(self.rows[n][0]) >= 2 * max(want.params.min_child_samples, 1)]
+        if not nodes:
+            return {}
+        cells = np.empty((len(nodes), len(want.features), 3, BINS + 1))
+        for i, n in enumerate(nodes):
+            rows = self.rows[n][0]
+            g, h = self.g[rows], self.h[rows]
+            for j, f in enumerate(want.features):
+                cell = self.columns[f][rows]
+                cells[i, j] = np.bincount(cell, g, BINS + 1), np.bincount(cell, h, BINS + 1), np.bincount(cell, minlength=BINS + 1)
+        found = best_cuts(cells.reshape(-1, 3, BINS + 1), want.params)
+        return dict(zip([(n, f) for n in nodes for f in want.features], found, strict=True))
+
+    def add_leaves(self, score: np.ndarray, tree: Tree) -> None:
+        """Adds the values of the finished tree's leaves to the scores of the rows that they hold."""
+        for node, f in enumerate(tree.feature):
+            if f >= 0 and node in self.rows:
+                self.part(tree, node)
+            if f < 0:
+                for rows in self.rows[node]:
+                    score[rows] += tree.value[node]
+
+
+def _each_apart(table: DataFrame, trials: int) -> DataFrame:
+    """The table once for each candidate, each in a task of its own: dealt by a hash, several would share one."""
+    return table.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).repartitionByRange(trials, "trial")
+
+
 def _fit_by_passes(table: DataFrame, n_features: int, params: Sequence[Params], patience: int | None) -> list[tuple[list[Tree], list[float]]]:
     spark, trials = table.sparkSession, len(params)
     runs = {k: grow(p, n_features, patience) for k, p in enumerate(params)}
@@ -491,8 +553,7 @@ def fit_leafwise(
             k, trees, losses = _fit_here(part, len(columns), candidates, patience)
             return pa.table({"trial": pa.array([k], pa.int32()), "model": pa.array([pickle.dumps((trees, losses))], pa.binary())})
 
-        each = table.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-        found = each.repartition(trials, "trial").groupBy("trial").applyInArrow(fit, "trial int, model binary").collect()  # a row a candidate
+        found = _each_apart(table, trials).groupBy("trial").applyInArrow(fit, "trial int, model binary").collect()  # a row a candidate
         grown = {r["trial"]: pickle.loads(r["model"]) for r in found}
         forget(df.sparkSession, table)
         fitted = [grown.get(k, ([], [])) for k in range(trials)]
