@@ -193,3 +193,10 @@ def test_growth_in_a_task_touches_only_the_rows_of_the_leaf_that_is_cut(monkeypa
     assert [sum(f < 0 for f in t.feature) for t in trees] == [leaves] * rounds and len(losses) == rounds + 1
     assert sum(walked) <= n * rounds
     assert sum(read) < 9 * (rounds + 1) * n * 12  # three sums of three features at each of some twelve depths
+
+
+@pytest.mark.parametrize("trials, blocks", [(3, 1), (20, 1), (20, 61)])
+def test_each_candidate_grows_in_a_task_of_its_own(spark, trials, blocks):
+    table = spark.range(blocks).withColumnRenamed("id", "block")
+    spots = B._each_apart(table, trials).withColumn("at", F.spark_partition_id()).groupBy("trial").agg(F.collect_set("at").alias("at"), F.count("*").alias("n")).collect()
+    assert len({r.at[0] for r in spots}) == trials and {(len(r.at), r.n) for r in spots} == {(1, blocks)}

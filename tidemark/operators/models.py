@@ -157,6 +157,7 @@ def _leafwise(df: DataFrame, features: Sequence[str], label: str, models: Sequen
     probs = F.array(*[m.probability() for m in models]).alias("probs")
     i, threshold = _choose(val.select(F.col(label).cast("int").alias("y_true"), probs), metric, decimals, last)
     out = df.withColumn("y_true", F.col(label).cast("int")).withColumn("y_prob", models[i].probability())
+    out = materialise(out, "scored")  # each metric reads it
     return models[i], threshold, out.withColumn("y_pred", (F.col("y_prob") >= threshold).cast("int"))
 
 
