@@ -7,6 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import columns as C
 from tidemark.functions.derived import INPUTS, add_derived
@@ -248,3 +249,17 @@ def test_grids_and_summaries_with_names_of_their_own(spark):
     assert metrics.ranking_metrics(df.withColumnRenamed("__s", "__n"), ["__n"]).count() == 2 and metrics.threshold_scan(df, ["__p"]).count() == 38
     table = spark.createDataFrame([("x", at(0), "train", 1), ("z", at(1), "val", 0)], "y string, target timestamp, split string, a int")
     assert {(r.split, r.rows) for r in splits.task_summary(table, ["a"], "y", "target").collect()} == {("train", 1), ("val", 1), ("test", 0)}
+
+
+def test_series_within_a_block_take_one_shuffle_and_longer_ones_are_cut(spark):
+    """Lags of short and long series, null keys among them, equal plain ones; without long series the rows move once."""
+    df = spark.createDataFrame([(k, at(400 * i), float(i * i % 17)) for k, n in (("a", 30), ("b", 4), (None, 25), ("c", 5)) for i in range(n)], "s string, t timestamp, v double")
+    made = lambda w: {"lag": F.lag("v", 3).over(w), "ahead": F.max("v").over(w.rowsBetween(1, 2))}
+    whole = Window.partitionBy("s").orderBy("t")
+    want = sorted(map(str, df.withColumns(made(whole)).collect()))
+    shuffles = {}
+    for size in (1000, 5):
+        out = blocks.over_blocks(df, ["s"], "t", made, before=3, after=2, block_rows=size)
+        assert out.columns == [*df.columns, "lag", "ahead"] and sorted(map(str, out.collect())) == want
+        shuffles[size] = out._jdf.queryExecution().sparkPlan().toString().count("Window")
+    assert shuffles[1000] == 1 < shuffles[5]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,11 +68,16 @@ INPUTS = {
 FAMILIES = {"sun": (sun, True), "l1": (l1, False), "geo": (geo, True), "leo": (leo, True)}
 
 
-def add_derived(df: DataFrame, lag, inputs: dict[str, list[str]] | None = None) -> DataFrame:
-    """``df`` with the derived columns of each family whose inputs it has; ``lag(column, rows)`` is the lag to use."""
+def derived_columns(names: Sequence[str], lag, inputs: dict[str, list[str]] | None = None) -> dict[str, Column]:
+    """The derived columns of each family whose inputs are among ``names``; ``lag(column, rows)`` is the lag to use."""
     out: dict[str, Column] = {}
     for name, columns in (inputs or INPUTS).items():
-        if all(c in df.columns for c in columns):
+        if all(c in names for c in columns):
             make, lagged = FAMILIES[name]
             out |= make(*[F.col(c) for c in columns], *([lag] if lagged else []))
-    return df.withColumns(out)
+    return out
+
+
+def add_derived(df: DataFrame, lag, inputs: dict[str, list[str]] | None = None) -> DataFrame:
+    """``df`` with its ``derived_columns``."""
+    return df.withColumns(derived_columns(df.columns, lag, inputs))

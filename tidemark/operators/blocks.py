@@ -2,7 +2,8 @@
 
 A window partitioned by station alone puts a station's whole history into one task. Here each row gets its number in its
 series from counts per day (combined before the shuffle), series are cut into blocks of ``block_rows`` rows, and each block
-also holds the few rows before and after it that frames reach into. Frames of at most that reach are then exact.
+also holds the few rows before and after it that frames reach into. Frames of at most that reach are then exact. Series that are
+no longer than a block need none of this: ``over_blocks`` takes them as they are, with one shuffle of their rows.
 """
 
 from __future__ import annotations
@@ -70,7 +71,23 @@ def lag(keys: Sequence[str]):
 
 def over_blocks(df: DataFrame, keys: Sequence[str], time: str, columns, before: int = 0, after: int = 0, ties: Sequence[str] = (), block_rows: int = 100_000) -> DataFrame:
     """``df`` with the columns that ``columns(window)`` gives, frames reaching ``before`` and ``after`` rows at most. Columns of
-    ``df`` may have any names."""
+    ``df`` may have any names. Only series of more than ``block_rows`` rows are cut into blocks; whether there are any is asked
+    at once, by counts per series."""
+    if max(before, after) > block_rows:
+        raise ValueError("frames may not reach beyond a neighbouring block")
+    if not keys:
+        return _cut(df, keys, time, columns, before, after, ties, block_rows)
+    count, long = fresh(df.columns, "count", "long")
+    sizes = df.groupBy(*keys).agg(F.count("*").alias(count)).where(F.col(count) > block_rows).select(*keys, F.lit(True).alias(long))
+    whole = lambda rows: rows.withColumns(columns(Window.partitionBy(*keys).orderBy(time, *ties)))
+    if sizes.isEmpty():
+        return whole(df)
+    marked = join_null_safe(df, F.broadcast(sizes), keys, "left")  # a row for each block_rows rows of df at most
+    short, cut = marked.where(F.col(long).isNull()).drop(long), marked.where(long).drop(long)
+    return whole(short).unionByName(_cut(cut, keys, time, columns, before, after, ties, block_rows))
+
+
+def _cut(df: DataFrame, keys: Sequence[str], time: str, columns, before: int, after: int, ties: Sequence[str], block_rows: int) -> DataFrame:
     names = fresh(df.columns, "n", "block", "own")
     made: dict[str, Column] = columns(Window.partitionBy(*keys, names[1]).orderBy(names[0]))
     return blocked(df, keys, time, before, after, block_rows, ties, names).withColumns(made).where(names[2]).drop(*names)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import calendar, fresh
-from ..functions.derived import add_derived
+from ..functions.derived import derived_columns
 from ..operators import blocks, labels, metrics, splits
 from ..operators.asof import Source, fuse
 from ..operators.dedupe import keep_last
@@ -28,9 +28,9 @@ def label_and_derive(fused: DataFrame, station: str, time: str, value: str, trai
     rows = labels.attach_thresholds(fused, frozen, station)
     rows = labels.forward_labels(rows, [station], time, value, {"p95": "p95", "p99": "p99"}, horizons)
     (month,) = fresh(rows.columns, "month")
-    part = [station, month]
-    dealt = blocks.blocked(rows.drop("p95", "p99").withColumn(month, F.date_trunc("month", F.col(time))), part, time, before=15)
-    return blocks.own_rows(add_derived(dealt, blocks.lag(part), inputs)).drop(month)
+    rows = rows.drop("p95", "p99").withColumn(month, F.date_trunc("month", F.col(time)))
+    made = lambda w: derived_columns(rows.columns, lambda c, k: F.lag(c, k).over(w), inputs)
+    return blocks.over_blocks(rows, [station, month], time, made, before=15).drop(month)
 
 
 def tasks(labelled: DataFrame, time: str, metadata: Sequence[str], targets: Sequence[str], ranges: dict | None = None) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.derived import add_derived
+from ..functions.derived import derived_columns
 from ..operators import asof, blocks, dedupe, labels, metrics, models, neighbours, ranking, resample, sequences, splits
 from ..sources import feeds
 from . import pipeline, report
@@ -464,8 +464,8 @@ FROM l
 def derived_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = {"sun_xrs_hardness_proxy": 4, "l1_newell_like": 2, "l1_bmag_pressure_ratio": 0, "leo_fac_cond_proxy": 8, "leo_residual_vertical_to_horizontal_ratio": 7, "leo_freshness_weighted_residual": 6}
     rows = read(spark, sf_dir, "lineitem")
-    dealt = blocks.blocked(rows, ["l_suppkey"], "l_shipdate", before=15, ties=["l_orderkey", "l_linenumber"])
-    out = blocks.own_rows(add_derived(dealt, blocks.lag(["l_suppkey"]), DERIVED))
+    made = lambda w: derived_columns(rows.columns, lambda c, k: F.lag(c, k).over(w), DERIVED)
+    out = blocks.over_blocks(rows, ["l_suppkey"], "l_shipdate", made, before=15, ties=["l_orderkey", "l_linenumber"])
     made = [c for c in out.columns if c not in rows.columns]
     return out.select("l_orderkey", "l_linenumber", *[F.round(c, places.get(c, 5)).alias(c) for c in made])
 
