@@ -20,8 +20,13 @@ from .ranks import join_null_safe
 NUMBER, BLOCK, OWN = "__n", "__block", "__own"
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str] = (), number: str = NUMBER) -> DataFrame:
-    """Adds each row's number (from 0) in its series, ordered by time and ties."""
+def number_rows(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str] = (), number: str | None = None) -> DataFrame:
+    """Adds each row's number (from 0) in its series, ordered by time and ties. Without a name of its own the frame may have
+    none of the names that ``series`` and ``own_rows`` go by."""
+    if number is None:
+        if taken := {BLOCK, OWN} & set(df.columns):
+            raise ValueError(f"the frame has columns {sorted(taken)}; give the number another name")
+        number = NUMBER
     if number in df.columns:
         raise ValueError(f"the frame has a column {number}; give the number another name")
     day, count, before_day, place = fresh([*df.columns, number], "day", "count", "before", "place")
