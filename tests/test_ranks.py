@@ -131,3 +131,15 @@ def test_station_summary(spark):
     df = spark.createDataFrame([("a", "train", 1, 2.0), ("a", "train", 0, 4.0), ("a", "test", 1, None), (None, "test", 0, 3.0)], "station string, split string, y int, proxy double")
     got = {(r.station, r.split): (r.rows, r.event_rate, r.source_mean, r.source_std) for r in splits.station_summary(df, "station", "y", "proxy").collect()}
     assert got == {("a", "train"): (2, 0.5, 3.0, pytest.approx(2**0.5)), ("a", "test"): (1, 1.0, None, None), (None, "test"): (1, 0.0, 3.0, None)}
+
+
+def test_quantiles_of_groups_of_any_size_agree(spark):
+    rng = np.random.default_rng(3)
+    sizes = {"a": 1, "b": 2, "c": 7, "d": 60, None: 23}
+    rows = [(k, float(x)) for k, n in sizes.items() for x in rng.choice([-0.0, 0.0, 1.5, -2.0, float("nan"), *rng.normal(size=9)], n)] + [("e", None), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    asked = {"n50": (0.5, "nearest"), "n95": (0.95, "nearest"), "l30": (0.3, "linear")}
+    found = [sorted(map(str, ranks.quantiles(df, ["k"], "v", asked, [F.max("v").alias("top")], window_rows=w).collect())) for w in (0, 7, 23, 1000)]
+    assert len(found[0]) == 5 and found[0] == found[1] == found[2] == found[3]
+    plan = ranks.quantiles(df, ["k"], "v", asked)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # small groups: one shuffle of their rows

@@ -100,3 +100,32 @@ def test_dropping_partitions(spark, tmp_path):
     feeds.drop_partitions(spark, str(tmp_path / "t"), "p", ["a", "gone"])
     spark.catalog.refreshByPath(str(tmp_path / "t"))
     assert [r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [2]
+
+
+def test_partitions_whose_labels_vanish_go_and_stored_fingerprints_serve(spark, tmp_path):
+    rows = [(d * 10 + i, "a", START + timedelta(days=d, minutes=i), 1.0) for d in range(3) for i in range(4)]
+    frozen = spark.createDataFrame([("a", 0.8, 0.95)], "s string, p95 double, p99 double")
+    out, before = str(tmp_path / "labels"), renewal.fingerprints(table(spark, rows, str(tmp_path / "none")).limit(0), "s", "day")
+    left = []
+    for i, now in enumerate((rows, rows[:8])):
+        df = table(spark, now, str(tmp_path / f"rows{i}"))
+        stored = str(tmp_path / f"marks{i}")
+        renewal.fingerprints(df, "s", "day").write.parquet(stored)
+        marks = spark.read.parquet(stored)
+        renewal.renew_labels(df, before, out, "s", "t", "v", "day", frozen, [4], now=marks)
+        before = marks
+        spark.catalog.refreshByPath(out)
+        left.append(sorted((str(r.day), r.id) for r in spark.read.parquet(out).collect()))
+    assert [sorted({d for d, _ in x}) for x in left] == [["20240101", "20240102"], ["20240101"]] and [len(x) for x in left] == [8, 4]
+
+
+def test_marks_are_sums_of_hashes_and_the_plan_is_dealt_by_station_once(spark, tmp_path):
+    df = table(spark, rows_like(3), str(tmp_path / "rows"))
+    plain = F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))
+    want = sorted(map(str, df.groupBy(F.col("day").cast("string").alias("day"), "s").agg(F.count("*").alias("n"), plain.alias("mark")).collect()))
+    found = renewal.fingerprints(df, "s", "day")
+    assert sorted(map(str, found.collect())) == want and dict(found.dtypes)["mark"] == "decimal(38,0)"
+    found.write.parquet(str(tmp_path / "marks"))
+    marks = spark.read.parquet(str(tmp_path / "marks"))
+    plan = renewal.to_renew(marks, marks.where("day > '20240105'"), "s", "day", 3)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning" in line and "s#" in line for line in plan.splitlines()) == 2  # once, read by two branches

@@ -74,10 +74,10 @@ def lag(keys: Sequence[str]):
     return lambda c, k: F.lag(c, k).over(w)
 
 
-def over_blocks(df: DataFrame, keys: Sequence[str], time: str, columns, before: int = 0, after: int = 0, ties: Sequence[str] = (), block_rows: int = 100_000) -> DataFrame:
+def over_blocks(df: DataFrame, keys: Sequence[str], time: str, columns, before: int = 0, after: int = 0, ties: Sequence[str] = (), block_rows: int = 100_000, longest: int | None = None) -> DataFrame:
     """``df`` with the columns that ``columns(window)`` gives, frames reaching ``before`` and ``after`` rows at most. Columns of
     ``df`` may have any names. Only series of more than ``block_rows`` rows are cut into blocks; whether there are any is asked
-    at once, by counts per series."""
+    at once, by counts per series, unless ``longest``, a bound on the rows of a series, says that there are none."""
     if max(before, after) > block_rows:
         raise ValueError("frames may not reach beyond a neighbouring block")
     if not keys:
@@ -85,7 +85,7 @@ def over_blocks(df: DataFrame, keys: Sequence[str], time: str, columns, before:
     count, long = fresh(df.columns, "count", "long")
     sizes = df.groupBy(*keys).agg(F.count("*").alias(count)).where(F.col(count) > block_rows).select(*keys, F.lit(True).alias(long))
     whole = lambda rows: rows.withColumns(columns(Window.partitionBy(*keys).orderBy(time, *ties)))
-    if sizes.isEmpty():
+    if (longest is not None and longest <= block_rows) or sizes.isEmpty():
         return whole(df)
     marked = join_null_safe(df, F.broadcast(sizes), keys, "left")  # a row for each block_rows rows of df at most
     short, cut = marked.where(F.col(long).isNull()).drop(long), marked.where(long).drop(long)

@@ -34,10 +34,11 @@ def lagged_differences(df: DataFrame, keys: Sequence[str], time: str, lags: dict
 
 
 def forward_labels(
-    df: DataFrame, keys: Sequence[str], time: str, value: str, thresholds: dict[str, str], horizons: Sequence[int], drop_incomplete: bool = True, ties: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], time: str, value: str, thresholds: dict[str, str], horizons: Sequence[int], drop_incomplete: bool = True, ties: Sequence[str] = (), longest: int | None = None
 ) -> DataFrame:
     """``target_geq_{name}_{h}m`` = 1 if the largest value of the next h rows reaches the threshold column, null unless all
-    h are there and not null. ``thresholds`` maps names to columns. One frame for each horizon, no chain of shifts."""
+    h are there and not null. ``thresholds`` maps names to columns, ``longest`` the rows of the longest
+    series, if known. One frame for each horizon, no chain of shifts."""
 
     def made(w) -> dict[str, Column]:
         out = {}
@@ -48,7 +49,7 @@ def forward_labels(
                 out[f"target_geq_{name}_{h}m"] = F.when(full, (F.max(value).over(ahead) >= F.col(column)).cast("byte"))
         return out
 
-    labelled = over_blocks(df, keys, time, made, after=max(horizons), ties=ties)
+    labelled = over_blocks(df, keys, time, made, after=max(horizons), ties=ties, longest=longest)
     names = [f"target_geq_{n}_{h}m" for h in horizons for n in thresholds]
     return labelled.dropna(subset=names) if drop_incomplete else labelled
 

@@ -58,16 +58,44 @@ def running_totals(counts: DataFrame, keys: Sequence[str], value: str, sums: dic
     return joined.withColumns({upto: F.col(upto) + F.col(b) for b, (upto, _) in zip(before, sums.values(), strict=True)}).drop(bucket, *before)
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, asked: dict[str, tuple[float, str]], aggs: Sequence[Column] = ()) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, asked: dict[str, tuple[float, str]], aggs: Sequence[Column] = (), window_rows: int = 100_000) -> DataFrame:
     """Per group, exact quantiles ``name: (q, rule)`` of a column's values that are not null, and further aggregates over its
-    distinct values (their number of rows is the column ``count`` of the names made by ``fresh``, so only minima and maxima
-    make sense). Rules: ``nearest``, the value at rank round((n - 1) q), halves up; ``linear``, between the two ranks around
-    (n - 1) q. Equal values count once with their number, combined before the shuffle. No rows give no groups (one null row
-    without keys)."""
-    keys = list(keys)
-    count, upto, whole = fresh(df.columns, "count", "upto", "whole")
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias(count))
+    distinct values (of which only minima and maxima make sense, as equal values may count more than once). Rules: ``nearest``,
+    the value at rank round((n - 1) q), halves up; ``linear``, between the two ranks around (n - 1) q. No rows give no groups
+    (one null row without keys).
+
+    Groups of at most ``window_rows`` rows are sorted in a window each, with one shuffle of their rows; whether there are larger
+    ones is asked at once, by counts per group. In those equal values count once, combined before the shuffle, and go by buckets."""
+    keys, rows = list(keys), df.where(F.col(value).isNotNull())
+    if not keys:
+        return _bucket_quantiles(rows, keys, value, asked, aggs)
+    count, large = fresh(df.columns, "count", "large")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias(count)).where(F.col(count) > window_rows).select(*keys, F.lit(True).alias(large))
+    if sizes.isEmpty():
+        return _window_quantiles(rows, keys, value, asked, aggs)
+    marked = join_null_safe(rows.select(*keys, value), F.broadcast(sizes), keys, "left")  # a row for each window_rows rows of df at most
+    small, rest = marked.where(F.col(large).isNull()).drop(large), marked.where(large).drop(large)
+    return _window_quantiles(small, keys, value, asked, aggs).unionByName(_bucket_quantiles(rest, keys, value, asked, aggs))
+
+
+def _window_quantiles(rows: DataFrame, keys: list[str], value: str, asked: dict[str, tuple[float, str]], aggs: Sequence[Column]) -> DataFrame:
+    number, whole = fresh(rows.columns, "number", "whole")
+    if rows.schema[value].dataType.typeName() in ("float", "double"):
+        rows = rows.withColumn(value, F.when(F.col(value) == 0, F.lit(0).cast(rows.schema[value].dataType)).otherwise(F.col(value)))  # -0.0, as grouping has it
+    line = Window.partitionBy(*keys).orderBy(value)
+    ranked = rows.select(*keys, value).withColumns({number: F.row_number().over(line), whole: F.count("*").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    return ranked.groupBy(*keys).agg(*_at_ranks(value, number, whole, asked), *aggs)
+
+
+def _bucket_quantiles(rows: DataFrame, keys: list[str], value: str, asked: dict[str, tuple[float, str]], aggs: Sequence[Column]) -> DataFrame:
+    count, upto, whole = fresh(rows.columns, "count", "upto", "whole")
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias(count))
     ranked = running_totals(counts, keys, value, {count: (upto, whole)})
+    return ranked.groupBy(*keys).agg(*_at_ranks(value, upto, whole, asked), *aggs)
+
+
+def _at_ranks(value: str, upto: str, whole: str, asked: dict[str, tuple[float, str]]) -> list[Column]:
+    """Aggregates of rows with how many of a group's rows lie up to and with them and in all."""
     at = lambda rank: F.min(F.when(F.col(upto) > rank, F.col(value)))
     columns = []
     for name, (q, rule) in asked.items():
@@ -80,7 +108,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, asked: dict[str, t
             columns.append(F.when(part == 0, low).otherwise((1 - part) * low + part * high).alias(name))
         else:
             raise ValueError(f"unknown rule {rule}")
-    return ranked.groupBy(*keys).agg(*columns, F.sum(count).alias(count), *aggs).drop(count)
+    return columns
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float], accuracy: int = 10_000) -> dict[str, list[float | None]]:

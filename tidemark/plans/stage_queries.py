@@ -254,13 +254,13 @@ def renewed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels by day, first made without the last two days and without each user's late rows, then renewed with them."""
     path, made = scratch(spark, "days"), scratch(spark, "labels")
     rows = events(spark, sf_dir).select("event_id", "user_id", "ts", "value", F.date_format("ts", "yyyyMMdd").alias("day"))
-    frozen = labels.quantiles_nearest(rows, ["user_id"], "value", [0.95, 0.99])
+    frozen = materialise(labels.quantiles_nearest(rows, ["user_id"], "value", [0.95, 0.99]), "thresholds")
     late = (F.col("day") >= "20240129") | ((F.col("day") == "20240110") & (F.hour("ts") == 7))
     feeds.write_partitions(rows.where(~late), path, ["day"])
     first = spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
     none = renewal.fingerprints(first.limit(0), "user_id", "day")
     known = materialise(renewal.fingerprints(first, "user_id", "day"), "fingerprints")
-    renewal.renew_labels(first, none, made, "user_id", "ts", "value", "day", frozen, [3, 6])
+    renewal.renew_labels(first, none, made, "user_id", "ts", "value", "day", frozen, [3, 6], now=known)
     feeds.write_partitions(rows, path, ["day"], force=True)
     spark.catalog.refreshByPath(path)
     again = spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
