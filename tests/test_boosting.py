@@ -200,3 +200,65 @@ def test_each_candidate_grows_in_a_task_of_its_own(spark, trials, blocks):
     table = spark.range(blocks).withColumnRenamed("id", "block")
     spots = B._each_apart(table, trials).withColumn("at", F.spark_partition_id()).groupBy("trial").agg(F.collect_set("at").alias("at"), F.count("*").alias("n")).collect()
     assert len({r.at[0] for r in spots}) == trials and {(len(r.at), r.n) for r in spots} == {(1, blocks)}
+
+
+def held_table(order, cuts, n=6000, skew=170):
+    """Blocks of the same rows, in some order and cut at some places; a cut far to one side parts the labels best."""
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 200, (n, 3)).astype(np.uint8)
+    y, ids = (rng.random(n) < np.where(bins[:, 0] > skew, 0.8, 0.1) + bins[:, 1] / 2000).astype(np.uint8), np.arange(n) * 7919
+    weight, val = 0.3 + rng.random(n), (np.arange(n) % 4 == 0).astype(np.uint8)
+    rows = []
+    for i, part in enumerate(np.split(order(n), cuts)):
+        cells = [bins[part], y[part], weight[part], val[part], ids[part], np.zeros((1, len(part)))]
+        rows.append(B._block_row(i, len(part), [np.ascontiguousarray(c).tobytes() for c in cells]))
+    return pa.Table.from_batches(rows).append_column("trial", pa.array([0] * len(rows), pa.int32()))
+
+
+def test_only_the_smaller_child_of_a_large_node_is_added_up(monkeypatch):
+    table, read, count = held_table(np.arange, []), [], np.bincount
+    monkeypatch.setattr(B.np, "bincount", lambda x, *rest, **more: read.append(len(x)) or count(x, *rest, **more))
+    _, trees, _ = B._fit_here(table, 3, [B.Params(n_estimators=1, num_leaves=12)], None)
+    train = 6000 * 3 // 4
+    assert trees[0].feature[0] == 0 and abs(trees[0].bin[0] - 170) < 9 and read.count(train) == 18  # the root, and that of the tree which is not grown
+    assert max(x for x in read if x < train) <= train / 2
+
+
+@pytest.mark.parametrize("params", [B.Params(n_estimators=12, num_leaves=20, reg_alpha=0.1), B.Params(n_estimators=9, num_leaves=31, min_child_samples=3, subsample=0.7, subsample_freq=1, max_depth=6)])
+def test_the_order_of_rows_and_the_cut_of_blocks_do_not_change_a_bit_of_a_tree(params):
+    one = B._fit_here(held_table(np.arange, []), 3, [params], 5)[1]
+    other = B._fit_here(held_table(np.random.default_rng(9).permutation, [100, 1500, 1501]), 3, [params], 5)[1]
+    assert len(one) > 2 and one == other
+
+
+def test_cuts_of_equal_gain_go_to_the_first_feature():
+    """Feature 2 parts the same rows as feature 0, in bins of other numbers."""
+    table = held_table(np.arange, []).to_pylist()[0]
+    bins = np.frombuffer(table["bins"], np.uint8).reshape(-1, 3).copy()
+    bins[:, 2] = bins[:, 0] + 40
+    row = B._block_row(0, len(bins), [bins.tobytes(), *[table[c] for c in ("y", "weight", "val", "ids", "scores")]])
+    _, trees, _ = B._fit_here(pa.Table.from_batches([row]).append_column("trial", pa.array([0], pa.int32())), 3, [B.Params(n_estimators=25, num_leaves=31, min_child_samples=5)], None)
+    assert len(trees) == 25 and not any(2 in t.feature for t in trees) and any(1 in t.feature for t in trees)
+
+
+@pytest.mark.parametrize("small", [10**9, 0])
+def test_forecasts_of_validation_rows_are_those_of_the_models(spark, monkeypatch, small):
+    monkeypatch.setattr(B, "STORE_EVERY", 3)
+    rows = [*rows_like(7, 500), (900, 0.1, 3.0, 0.5, None, "val", 1.0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    tried = [B.Params(n_estimators=9, num_leaves=4, learning_rate=0.3), B.Params(n_estimators=6, num_leaves=7, min_child_samples=10), B.Params(n_estimators=5, min_child_samples=400)]
+    forecasts = []
+    models_ = B.fit_leafwise(df, FEATURES, "label", tried, patience=2, forecasts=forecasts, small_cells=small)
+    assert [m.params for m in models_] == tried and not models_[2].trees and len(models_[0].trees) < len(models_[0].losses) - 1
+    val = df.where("split = 'val' and label is not null")
+    for k, m in enumerate(models_):
+        want = sorted((r.label, r.p) for r in val.select("label", m.probability().alias("p")).collect())
+        assert sorted((r.y_true, r.prob) for r in forecasts[0].where(F.col("trial") == k).collect()) == want and len(want) == 125
+
+
+def test_search_without_rows_to_learn_from_or_to_validate_on(spark):
+    rows = rows_like(8, 200)
+    for kept in ("train", "val", "test"):
+        df = spark.createDataFrame([r for r in rows if r[5] == kept], SCHEMA)
+        choice, _, out = models.tuned_trees(df, FEATURES, "label", trials=2, patience=2, rounds=5)
+        assert out.count() == df.count() and choice["threshold"] is not None

@@ -10,7 +10,12 @@ leaf that may yet be split, so a tree takes about as many passes as it is deep.
 
 A table of at most ``SMALL_CELLS`` cells is grown by the same steps, one task a candidate, without jobs in between. There each
 node holds its rows, so a split touches only those of the leaf that it cuts, no leaf is evaluated ahead of its turn, and the
-scores follow from the rows that the leaves hold in the end.
+scores follow from the rows that the leaves hold in the end. Of two children the smaller one's histogram is added up and the
+larger one's is what remains of their parent's.
+
+Gradients and hessians are whole multiples of a grain so small that no sum of them is ever rounded. Sums are then the same in
+any order of rows, blocks and tasks, what remains of a parent is exactly the other child, and cuts that part the same training
+rows gain exactly the same: the first feature and bin wins.
 """
 
 from __future__ import annotations
@@ -59,6 +64,7 @@ SEARCH = {
 
 BLOCK = "block long, rows int, bins binary, y binary, weight binary, val binary, ids binary, scores binary"
 HIST = "trial int, leaf int, feature int, cells binary"
+FORECAST = "trial int, y_true int, prob double"
 CUT = "trial int, leaf int, feature int, gain double, bin int, g double, h double, n double, left_g double, left_h double, left_n double"
 
 
@@ -99,12 +105,13 @@ class Tree:
         return left, left + 1
 
     def nodes_of(self, bins: np.ndarray) -> np.ndarray:
-        """The last node that each row reaches."""
-        feature, at, left, right = (np.array(x) for x in (self.feature, self.bin, self.left, self.right))
+        """The last node that each row reaches; a right child's number is one above the left one's."""
+        feature, at, left = (np.array(x) for x in (self.feature, self.bin, self.left))
+        flat, width = bins.reshape(-1), bins.shape[1]
         node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        while len(rows := rows[feature[node[rows]] >= 0]):
-            here = node[rows]
-            node[rows] = np.where(bins[rows, feature[here]] <= at[here], left[here], right[here])
+        while len(rows := rows.compress(feature.take(node.take(rows)) >= 0)):
+            here = node.take(rows)
+            node[rows] = left.take(here) + (flat.take(rows * width + feature.take(here)) > at.take(here))
         return node
 
 
@@ -179,14 +186,27 @@ def drawn(ids: np.ndarray, params: Params, round_: int) -> np.ndarray:
     return (h >> np.uint64(11)).astype(float) / 2**53 < params.subsample
 
 
-def histograms(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, train: np.ndarray, ids: np.ndarray, score: np.ndarray, want: Request) -> Iterator[tuple[int, int, np.ndarray]]:
+def grain_of(weight: float) -> float:
+    """The power of two in whose multiples gradients are counted: sums of as many as ``weight``, all their weights, stay exact."""
+    return 2.0 ** (math.ceil(math.log2(weight)) - 52) if weight > 0 else 1.0
+
+
+def slopes(y: np.ndarray, weight: np.ndarray, score: np.ndarray, grain: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's gradient and hessian, in whole grains."""
+    p = 1 / (1 + np.exp(-score))
+    return np.rint(weight * (p - y) / grain) * grain, np.rint(weight * p * (1 - p) / grain) * grain
+
+
+def histograms(
+    bins: np.ndarray, y: np.ndarray, weight: np.ndarray, train: np.ndarray, ids: np.ndarray, score: np.ndarray, want: Request, grain: float
+) -> Iterator[tuple[int, int, np.ndarray]]:
     """``(node, feature, cells)`` of the open nodes: sums of gradient, hessian and rows for each bin."""
     node = want.tree.nodes_of(bins)
     slot = np.full(len(want.tree.feature), -1)
     slot[want.open] = np.arange(len(want.open))
     rows = np.flatnonzero(train & (slot[node] >= 0) & drawn(ids, want.params, want.round))
-    p = 1 / (1 + np.exp(-score[rows]))
-    g, h, at, size = weight[rows] * (p - y[rows]), weight[rows] * p * (1 - p), slot[node[rows]] * (BINS + 1), len(want.open) * (BINS + 1)
+    g, h = slopes(y[rows], weight[rows], score[rows], grain)
+    at, size = slot[node[rows]] * (BINS + 1), len(want.open) * (BINS + 1)
     for f in want.features:
         cell = at + bins[rows, f]
         sums = np.stack([np.bincount(cell, v, size) for v in (g, h, np.ones(len(rows)))]).reshape(3, len(want.open), BINS + 1)
@@ -200,14 +220,14 @@ def log_loss(y: np.ndarray, score: np.ndarray) -> float:
 
 def best_cuts(cells: np.ndarray, p: Params) -> list[tuple]:
     """``(gain, bin, g, h, n, left g, left h, left n)`` of the best cut of each histogram; a gain of 0 is none."""
-    whole = cells.sum(axis=2)
-    left = np.cumsum(cells, axis=2)[:, :, :-1]
-    right = whole[:, :, None] - left
-    gain = _worth(left[:, 0], left[:, 1], p) + _worth(right[:, 0], right[:, 1], p) - _worth(whole[:, 0], whole[:, 1], p)[:, None]
+    sums = cells.cumsum(axis=2)
+    whole, left = sums[:, :, -1:], sums[:, :, :-1]
+    right = whole - left
+    gain = _worth(left[:, 0], left[:, 1], p) + _worth(right[:, 0], right[:, 1], p) - _worth(whole[:, 0], whole[:, 1], p)
     fits = (np.minimum(left[:, 2], right[:, 2]) >= max(p.min_child_samples, 1)) & (np.minimum(left[:, 1], right[:, 1]) >= LEAST_HESSIAN)
     gain = np.where(fits & (gain > 1e-9), gain, 0.0)
     k, i = gain.argmax(axis=1), np.arange(len(cells))
-    return [(g, b, *w, *x) for g, b, w, x in zip(gain[i, k].tolist(), k.tolist(), whole.tolist(), left[i, :, k].tolist(), strict=True)]
+    return [(g, b, *w, *x) for g, b, w, x in zip(gain[i, k].tolist(), k.tolist(), whole[:, :, 0].tolist(), left[i, :, k].tolist(), strict=True)]
 
 
 def best_cut(cells: np.ndarray, p: Params) -> tuple:
@@ -216,7 +236,7 @@ def best_cut(cells: np.ndarray, p: Params) -> tuple:
 
 
 def _worth(g, h, p: Params):
-    shrunk = np.maximum(np.abs(g) - p.reg_alpha, 0)
+    shrunk = np.maximum(np.abs(g) - p.reg_alpha, 0) if p.reg_alpha else g
     return shrunk * shrunk / np.maximum(h + p.reg_lambda, 1e-300)
 
 
@@ -351,7 +371,7 @@ def _add_trees(scores: np.ndarray, bins: np.ndarray, trees: Sequence[Tree]) -> N
         scores += np.array(t.value)[t.nodes_of(bins)]
 
 
-def _pass(batches: Iterator[pa.RecordBatch], n_features: int, trials: int, wants: dict[int, tuple[Request, list[Tree]]]) -> Iterator[pa.RecordBatch]:
+def _pass(batches: Iterator[pa.RecordBatch], n_features: int, trials: int, wants: dict[int, tuple[Request, list[Tree]]], grain: float) -> Iterator[pa.RecordBatch]:
     """Histograms of all candidates' open nodes, added up over the task's blocks; node -1 holds the validation loss."""
     sums: dict[tuple[int, int, int], np.ndarray] = {}
 
@@ -365,7 +385,7 @@ def _pass(batches: Iterator[pa.RecordBatch], n_features: int, trials: int, wants
         for _, bins, y, weight, val, ids, scores in _read_blocks(batch, n_features, trials):
             for k, (want, later) in wants.items():
                 _add_trees(scores[k], bins, later)
-                for node, f, cells in histograms(bins, y, weight, ~val, ids, scores[k], want):
+                for node, f, cells in histograms(bins, y, weight, ~val, ids, scores[k], want, grain):
                     sums[k, node, f] = sums[k, node, f] + cells if (k, node, f) in sums else cells
                 if want.loss:
                     sums[k, -1, -1] = sums.get((k, -1, -1), np.zeros(2)) + np.array([log_loss(y[val], scores[k][val]), val.sum()])
@@ -397,63 +417,82 @@ def _cuts(table: pa.Table, params: Sequence[Params]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def _fit_here(table: pa.Table, n_features: int, params: Sequence[Params], patience: int | None) -> tuple[int, list[Tree], list[float]]:
-    """A candidate grown on all blocks in one task."""
+def _fit_here(table: pa.Table, n_features: int, params: Sequence[Params], patience: int | None, forecast: list | None = None) -> tuple[int, list[Tree], list[float]]:
+    """A candidate grown on all blocks in one task; ``forecast`` is told the validation rows' labels and scores by its trees."""
     k = table["trial"][0].as_py()
-    table = table.drop_columns(["trial"]).sort_by("block")  # sums in one order, whatever the order of arrival
+    table = table.drop_columns(["trial"]).sort_by("block")  # one order, whatever the order of arrival
     blocks = [b[1:] for b in _read_blocks(table, n_features, 1)]
     bins, y, weight, val, ids = (np.concatenate([b[i] for b in blocks]) for i in range(5))
-    score, at_val = np.concatenate([b[5][0] for b in blocks]), np.flatnonzero(val)
-    columns, y_val = [bins[:, f].astype(np.int64) for f in range(n_features)], y[at_val]
-    run, held = grow(params[k], n_features, patience, ahead=False), Held(columns)
+    order, n = np.argsort(val, kind="stable"), int((~val).sum())  # rows to learn from come first
+    bins, y, weight, ids, score = bins[order], y[order], weight[order], ids[order], np.concatenate([b[5][0] for b in blocks])[order]
+    grain, everything, best = grain_of(float(weight[:n].sum())), np.arange(len(y)), (math.inf, score[n:].copy())
+    run, held = grow(params[k], n_features, patience, ahead=False), Held([np.ascontiguousarray(c) for c in bins.T])
     want = next(run)
     while True:
         if want.open == [0]:  # a tree begins
             if want.trees:
                 held.add_leaves(score, want.trees[-1])
-            bag = ~val & drawn(ids, params[k], want.round)
-            p = 1 / (1 + np.exp(-score))
-            held.begin(np.flatnonzero(bag), np.flatnonzero(~bag), weight * (p - y), weight * p * (1 - p))
+            bag = drawn(ids[:n], params[k], want.round)
+            rest = np.concatenate([everything[:n].compress(~bag), everything[n:]])
+            held.begin(everything[:n].compress(bag), rest, *slopes(y[:n], weight[:n], score[:n], grain))
         cuts = held.cuts(want)
-        loss = log_loss(y_val, score[at_val]) / max(len(at_val), 1) if want.loss else None
+        loss = log_loss(y[n:], score[n:]) / max(len(y) - n, 1) if want.loss else None
+        if want.loss and want.trees and loss < best[0]:
+            best = loss, score[n:].copy()
         try:
             want = run.send((cuts, loss))
         except StopIteration as end:
+            if forecast is not None:
+                forecast += [y[n:], score[n:] if patience is None else best[1]]
             return k, *end.value
 
 
 class Held:
-    """The rows of each node of a tree under way: those that it is grown on and the others, in their order in the table."""
+    """The rows of each node of a tree under way: those that it is grown on and the others, in their order in the table. Nodes of
+    ``2 * (BINS + 1)`` rows or more also keep their histograms until they are split, no more than a few numbers a cell in all."""
 
     def __init__(self, columns: list[np.ndarray]):
         self.columns = columns  # bins of each feature
 
     def begin(self, bag: np.ndarray, others: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
-        self.rows, self.g, self.h = {0: (bag, others)}, g, h
+        self.rows, self.kept, self.g, self.h = {0: (bag, others)}, {}, g, h
 
     def part(self, tree: Tree, node: int) -> None:
         """Deals a node's rows to its children."""
         column, pairs = self.columns[tree.feature[node]], []
         for rows in self.rows.pop(node):
-            low = column[rows] <= tree.bin[node]
-            pairs.append((rows[low], rows[~low]))
+            low = column.take(rows) <= tree.bin[node]
+            pairs.append((rows.compress(low), rows.compress(~low)))
         self.rows[tree.left[node]], self.rows[tree.right[node]] = zip(*pairs, strict=True)
 
+    def sums(self, node: int, features: list[int]) -> np.ndarray:
+        """A node's histograms, added up from its rows."""
+        rows, cells = self.rows[node][0], np.empty((len(features), 3, BINS + 1))
+        g, h = self.g.take(rows), self.h.take(rows)
+        for j, f in enumerate(features):
+            cell = self.columns[f].take(rows).astype(np.intp)
+            cells[j] = np.bincount(cell, g, BINS + 1), np.bincount(cell, h, BINS + 1), np.bincount(cell, minlength=BINS + 1)
+        return cells
+
     def cuts(self, want: Request) -> dict[tuple[int, int], tuple]:
         """Cuts of the open nodes (the root, or the two children of one node) that have rows enough for one."""
+        above = None
         if want.open[0]:
-            self.part(want.tree, want.tree.left.index(want.open[0]))
-        nodes = [n for n in want.open if not n or len(self.rows[n][0]) >= 2 * max(want.params.min_child_samples, 1)]
+            parent = want.tree.left.index(want.open[0])
+            self.part(want.tree, parent)
+            above = self.kept.pop(parent, None)
+        size = {n: len(self.rows[n][0]) for n in want.open}
+        nodes = [n for n in want.open if size[n] >= 2 * max(want.params.min_child_samples, 1)]
         if not nodes:
             return {}
-        cells = np.empty((len(nodes), len(want.features), 3, BINS + 1))
-        for i, n in enumerate(nodes):
-            rows = self.rows[n][0]
-            g, h = self.g[rows], self.h[rows]
-            for j, f in enumerate(want.features):
-                cell = self.columns[f][rows]
-                cells[i, j] = np.bincount(cell, g, BINS + 1), np.bincount(cell, h, BINS + 1), np.bincount(cell, minlength=BINS + 1)
-        found = best_cuts(cells.reshape(-1, 3, BINS + 1), want.params)
+        if above is None:
+            cells = {n: self.sums(n, want.features) for n in nodes}
+        else:
+            less, more = sorted(want.open, key=size.get)
+            cells = {less: self.sums(less, want.features)}
+            cells[more] = above - cells[less]
+        self.kept |= {n: cells[n] for n in nodes if size[n] >= 2 * (BINS + 1)}
+        found = best_cuts(np.concatenate([cells[n] for n in nodes]), want.params)
         return dict(zip([(n, f) for n in nodes for f in want.features], found, strict=True))
 
     def add_leaves(self, score: np.ndarray, tree: Tree) -> None:
@@ -471,7 +510,8 @@ def _each_apart(table: DataFrame, trials: int) -> DataFrame:
     return table.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).repartitionByRange(trials, "trial")
 
 
-def _fit_by_passes(table: DataFrame, n_features: int, params: Sequence[Params], patience: int | None) -> list[tuple[list[Tree], list[float]]]:
+def _fit_by_passes(table: DataFrame, n_features: int, params: Sequence[Params], patience: int | None, grain: float) -> tuple[list[tuple[list[Tree], list[float]]], DataFrame]:
+    """All candidates' trees and losses, and the table as it was stored last."""
     spark, trials = table.sparkSession, len(params)
     runs = {k: grow(p, n_features, patience) for k, p in enumerate(params)}
     wants = {k: next(r) for k, r in runs.items()}
@@ -480,7 +520,7 @@ def _fit_by_passes(table: DataFrame, n_features: int, params: Sequence[Params],
         sent = {k: (replace(w, trees=[]), w.trees[stored[k] :]) for k, w in wants.items()}
 
         def one_pass(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            return _pass(batches, n_features, trials, sent)
+            return _pass(batches, n_features, trials, sent, grain)
 
         def cuts(part: pa.Table) -> pa.Table:
             return _cuts(part, params)
@@ -506,8 +546,22 @@ def _fit_by_passes(table: DataFrame, n_features: int, params: Sequence[Params],
             before, table = table, materialise(table.mapInArrow(rescore, BLOCK), "boosted")
             forget(spark, before)
             stored |= {k: len(w.trees) for k, w in wants.items()}
-    forget(spark, table)
-    return [out[k] for k in range(trials)]
+    return [out[k] for k in range(trials)], table
+
+
+def _forecast(batches: Iterator[pa.RecordBatch], n_features: int, trials: int, start: float, grown: Sequence[Sequence[Tree]]) -> Iterator[pa.RecordBatch]:
+    """``FORECAST`` of the validation rows of blocks by all candidates."""
+    for batch in batches:
+        for _, bins, y, _, val, *_ in _read_blocks(batch, n_features, trials):
+            bins, y = bins[val], y[val]
+            for k, trees in enumerate(grown):
+                score = np.full(len(y), start)
+                _add_trees(score, bins, trees)
+                yield from _forecast_rows(k, y, score).to_batches()
+
+
+def _forecast_rows(k: int, y: np.ndarray, score: np.ndarray) -> pa.Table:
+    return pa.table({"trial": pa.array(np.full(len(y), k), pa.int32()), "y_true": pa.array(y, pa.int32()), "prob": pa.array(1 / (1 + np.exp(-score)), pa.float64())})
 
 
 def fit_leafwise(
@@ -518,6 +572,7 @@ def fit_leafwise(
     weight: str | None = None,
     split: str = "split",
     patience: int | None = None,
+    forecasts: list[DataFrame] | None = None,
     ids: Sequence[str] = (),
     sample_rows: int = 200_000,
     small_cells: int = SMALL_CELLS,
@@ -527,8 +582,12 @@ def fit_leafwise(
     Features are numbers without nulls; rows without a label go. Rows are drawn for bags by the hash of the columns ``ids``,
     or of all features. ``sample_rows`` bounds the rows that bin edges are taken from. The first score is the weighted log
     odds of the training labels.
+
+    To a list ``forecasts`` is added a table of what each model (``trial``, by its number) forecasts of the rows of ``val`` that
+    stopped it: ``(trial, y_true, prob)``. A candidate that grows in one task knows their scores from its growth, so no row walks
+    through the trees again.
     """
-    columns, trials = list(features), len(candidates)
+    columns, trials, spark = list(features), len(candidates), df.sparkSession
     y, w, v, at = fresh(columns, "y", "weight", "val", "at")
     kept = df.where(F.col(label).isNotNull() & F.col(split).isin("train", "val") if patience is not None else F.col(label).isNotNull() & (F.col(split) == "train"))
     rows = kept.select(
@@ -546,19 +605,35 @@ def fit_leafwise(
         return _blocks(batches, len(columns), edges, start, 1 if small else trials)
 
     table = materialise(rows.mapInArrow(blocks, BLOCK), "blocks")
-    forget(df.sparkSession, rows)
+    forget(spark, rows)
+    validated = forecasts is not None
     if small:
+        turns = sorted(range(trials), key=lambda k: (candidates[k].learning_rate, -candidates[k].num_leaves))  # those that take longest start first
+        ordered = [candidates[k] for k in turns]
 
         def fit(part: pa.Table) -> pa.Table:
-            k, trees, losses = _fit_here(part, len(columns), candidates, patience)
-            return pa.table({"trial": pa.array([k], pa.int32()), "model": pa.array([pickle.dumps((trees, losses))], pa.binary())})
-
-        found = _each_apart(table, trials).groupBy("trial").applyInArrow(fit, "trial int, model binary").collect()  # a row a candidate
-        grown = {r["trial"]: pickle.loads(r["model"]) for r in found}
-        forget(df.sparkSession, table)
+            seen = [] if validated else None
+            k, trees, losses = _fit_here(part, len(columns), ordered, patience, seen)
+            model = pa.table({"trial": pa.array([turns[k]], pa.int32()), "model": pa.array([pickle.dumps((trees, losses))], pa.binary())})
+            return pa.concat_tables([model, _forecast_rows(turns[k], *seen)] if validated else [model], promote_options="default").select(names)
+
+        names = ["trial", "model", "y_true", "prob"] if validated else ["trial", "model"]
+        found = _each_apart(table, trials).groupBy("trial").applyInArrow(fit, "trial int, model binary" + (", y_true int, prob double" if validated else ""))
+        if validated:
+            found = materialise(found, "grown")
+            forecasts.append(found.where("model is null").select("trial", "y_true", "prob"))
+        grown = {r["trial"]: pickle.loads(r["model"]) for r in found.where("model is not null").select("trial", "model").collect()}  # a row a candidate
         fitted = [grown.get(k, ([], [])) for k in range(trials)]
     else:
-        fitted = _fit_by_passes(table, len(columns), candidates, patience)
+        fitted, table = _fit_by_passes(table, len(columns), candidates, patience, grain_of(total["w"]))
+        if validated:
+            trees = [f[0] for f in fitted]
+
+            def forecast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                return _forecast(batches, len(columns), trials, start, trees)
+
+            forecasts.append(materialise(table.mapInArrow(forecast, FORECAST), "forecasts"))
+    forget(spark, table)
     return [Model(columns, edges, start, trees, p, losses) for (trees, losses), p in zip(fitted, candidates, strict=True)]
 
 

@@ -86,10 +86,9 @@ def _predict(model, df: DataFrame, label: str) -> DataFrame:
 
 def _choose(scored: DataFrame, metric: str, decimals: int, last: str = "hss") -> tuple[int, float]:
     """Number and threshold of the candidate whose validation scores are best, by (metric at its best threshold, average
-    precision, skill; or, where ``last`` is brier, the least Brier score), the first on ties. ``scored`` has a row's label
-    ``y_true`` and all candidates' probabilities ``probs``, so all are judged by the same few aggregations."""
-    rows = scored.select("y_true", F.posexplode("probs").alias("trial", "prob")).select("trial", "y_true", F.round("prob", decimals).alias("y_prob"))
-    rows = materialise(rows, "candidates")
+    precision, skill; or, where ``last`` is brier, the least Brier score), the first on ties. ``scored`` has a candidate's number
+    ``trial``, a row's label ``y_true`` and its probability ``prob``, so all are judged by the same few aggregations."""
+    rows = materialise(scored.select("trial", "y_true", F.round("prob", decimals).alias("y_prob")), "candidates")
     top = select_threshold(rows, ["trial"], metric=metric)
     ap = ranking_metrics(rows, ["trial"]).select("trial", "pr_auc")
     brier = rows.groupBy("trial").agg(F.avg(F.pow(F.col("y_prob") - F.col("y_true"), F.lit(2.0))).alias("brier"))
@@ -98,14 +97,18 @@ def _choose(scored: DataFrame, metric: str, decimals: int, last: str = "hss") ->
     return (best["trial"], best["threshold"]) if best else (0, 0.5)
 
 
+def _by_trial(rows: DataFrame, probs: Sequence[Column]) -> DataFrame:
+    """``(trial, y_true, prob)`` from rows with a probability by each candidate."""
+    return rows.select("y_true", F.posexplode(F.array(*probs)).alias("trial", "prob"))
+
+
 def _best(fitted: Sequence[tuple[dict, object]], val: DataFrame, label: str, metric: str, decimals: int, last: str = "hss") -> tuple[dict, object, float]:
     """``_choose`` over fitted pipelines."""
     out = val.withColumn("y_true", F.col(label).cast("int"))
     for i, (_, model) in enumerate(fitted):
         scored = model.transform(out).withColumn(f"prob_{i}", vector_to_array("probability")[1])
         out = scored.drop("features", "rawPrediction", "probability", "prediction")
-    probs = F.array(*[F.col(f"prob_{i}") for i in range(len(fitted))]).alias("probs")
-    i, threshold = _choose(out.select("y_true", probs), metric, decimals, last)
+    i, threshold = _choose(_by_trial(out, [F.col(f"prob_{i}") for i in range(len(fitted))]), metric, decimals, last)
     return *fitted[i], threshold
 
 
@@ -151,11 +154,9 @@ def boosted_trees(
     return choice | {"threshold": threshold}, model, out
 
 
-def _leafwise(df: DataFrame, features: Sequence[str], label: str, models: Sequence[Model], metric: str, split: str, decimals: int, last: str) -> tuple[Model, float, DataFrame]:
-    """The best of fitted leaf-wise models by validation, its threshold, and its predictions of all rows."""
-    val = df.where(F.col(split) == "val").where(F.col(label).isNotNull())
-    probs = F.array(*[m.probability() for m in models]).alias("probs")
-    i, threshold = _choose(val.select(F.col(label).cast("int").alias("y_true"), probs), metric, decimals, last)
+def _leafwise(df: DataFrame, label: str, models: Sequence[Model], forecasts: DataFrame, metric: str, decimals: int, last: str) -> tuple[Model, float, DataFrame]:
+    """The best of fitted leaf-wise models by what they forecast of the validation rows, its threshold, and its predictions of all rows."""
+    i, threshold = _choose(forecasts, metric, decimals, last)
     out = df.withColumn("y_true", F.col(label).cast("int")).withColumn("y_prob", models[i].probability())
     out = materialise(out, "scored")  # each metric reads it
     return models[i], threshold, out.withColumn("y_pred", (F.col("y_prob") >= threshold).cast("int"))
@@ -167,7 +168,9 @@ def leafwise_grid(
     """Leaf-wise boosted trees over a grid, median-imputed and with balanced weights, the best by validation;
     ``(choice, model, predictions)`` as ``logistic_grid``."""
     ready = materialise(class_weights(impute_and_scale(df, features, split, scale=False), label), "ready")
-    model, threshold, out = _leafwise(ready, features, label, fit_leafwise(ready, features, label, [Params(**p) for p in grid], "weight", split), metric, split, decimals, "hss")
+    models = fit_leafwise(ready, features, label, [Params(**p) for p in grid], "weight", split)
+    val = ready.where(F.col(split) == "val").where(F.col(label).isNotNull()).withColumn("y_true", F.col(label).cast("int"))
+    model, threshold, out = _leafwise(ready, label, models, _by_trial(val, [m.probability() for m in models]), metric, decimals, "hss")
     return asdict(model.params) | {"threshold": threshold}, model, out
 
 
@@ -179,8 +182,9 @@ def tuned_trees(
     weighted, and the choice is by (metric, average precision, least Brier score)."""
     zeros = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
     ready = materialise(zeros, "ready")
-    models = fit_leafwise(ready, features, label, search_draws(trials, seed, rounds), None, split, patience)
-    model, threshold, out = _leafwise(ready, features, label, models, metric, split, decimals, "brier")
+    forecasts: list[DataFrame] = []
+    models = fit_leafwise(ready, features, label, search_draws(trials, seed, rounds), None, split, patience, forecasts)
+    model, threshold, out = _leafwise(ready, label, models, forecasts[0], metric, decimals, "brier")
     return asdict(model.params) | {"threshold": threshold, "best_iteration": len(model.trees)}, model, out
 
 
