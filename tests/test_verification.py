@@ -180,3 +180,17 @@ def test_queries_search_whole_grids(spark, monkeypatch):
     assert models._best is best
     choice, _, out = models.tuned_trees(df, ["a", "b"], "label", trials=1, patience=2)
     assert "threshold" in choice and out.count() == len(rows)
+
+
+def test_labelled_documents_join_their_measures_and_not_their_texts(spark, tmp_path):
+    import math
+
+    from tidemark.plans import queries
+
+    spark.createDataFrame([(1, "Ab c!", "en"), (2, None, "en"), (3, "", "de"), (4, "x", "de")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows, features = queries._documents(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Join") < plan.index("regexp_replace")
+    got = {r.doc_id: (r.label, r.split, *[None if r[f] is None else round(r[f], 6) for f in features]) for r in rows.collect()}
+    assert got == {1: (1, "train", round(math.log(6), 6), 0.2, 0.2, 0.2), 2: (0, "train", None, None, None, None), 3: (1, "val", 0.0, 0.0, 0.0, 0.0)}

@@ -759,11 +759,13 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """Labelled documents with a few plain features and a split by id, for the estimators."""
-    docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
     text = F.col("text")
     share = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / F.greatest(F.length(text), F.lit(1))
-    rows = docs.select(
-        "doc_id", F.col("quality").alias("label"), F.log1p(F.length(text)).alias("size"), share("[A-Z]").alias("upper"), share("[#$%&*|!]").alias("marks"), share(" ").alias("blank"),
+    measured = read(spark, sf_dir, "documents").select(  # before the join, which then moves numbers and no texts
+        "doc_id", F.log1p(F.length(text)).alias("size"), share("[A-Z]").alias("upper"), share("[#$%&*|!]").alias("marks"), share(" ").alias("blank"),
+    )
+    rows = measured.join(read(spark, sf_dir, "labels"), "doc_id").select(
+        "doc_id", F.col("quality").alias("label"), "size", "upper", "marks", "blank",
         F.when(F.col("doc_id") % 5 < 3, "train").when(F.col("doc_id") % 5 == 3, "val").otherwise("test").alias("split"),
     )
     return rows, ["size", "upper", "marks", "blank"]
